@@ -31,7 +31,7 @@ MAX_RANGES = 32_768
 #: Sampled keys a range.
 SAMPLES = 24
 #: A group of equal texts larger than this part of a shard may be split.
-SPLIT_OVER = 0.01
+SPLIT_OVER = 0.05
 
 _KEY = np.dtype([("a", "<i8"), ("b", "<i8")])
 
@@ -96,7 +96,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANG
 
     Edge cases: a null text has no bytes and the crc32 of nothing; null ids and
     repeated rows are rows like others; no row crosses shards for being equal to
-    another unless its group exceeds 1% of a shard; an empty table gives an empty
+    another unless its group exceeds 5% of a shard; an empty table gives an empty
     result; further columns are ignored.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
