@@ -33,26 +33,53 @@ THRESHOLDS = (
     ("stop_word_ratio", 0.01, None),
 )
 
-_SPACE = " \t\n\x0b\f\r"
+_SPACES = r"\\x20\\x09-\\x0D"
 
-
-def statistics(text: Column) -> list[Column]:
-    """Base statistics of a text, each named."""
-    words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
-    squeezed = F.translate(F.coalesce(text, F.lit("")), _SPACE, "")
-    symbols = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]"))
-    lines = F.expr(r"filter(split(coalesce(text, ''), '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')")
-    return [words.alias("_words"), F.length(squeezed).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), lines.alias("_lines")]
-
-
-#: Words inside three-word windows that occur twice or more; _words is bound once.
+#: Words inside three-word windows that occur twice or more; a.w are the words.
 _REPEATS = """
-    transform(array(sort_array(transform(slice(_words, 3, size(_words)), (z, i) -> struct(xxhash64(_words[i], _words[i + 1], z) as h, i as p)))),
+    transform(array(sort_array(transform(slice(a.w, 3, size(a.w)), (z, i) -> struct(xxhash64(a.w[i], a.w[i + 1], z) as h, i as p)))),
       s -> transform(array(sort_array(filter(transform(s, (x, i) ->
                if((i > 0 and s[i - 1].h = x.h) or (i + 1 < size(s) and s[i + 1].h = x.h), x.p, -1)), p -> p >= 0))),
-             r -> aggregate(zip_with(r, slice(r, 2, size(r)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (n, g) -> n + g))[0])[0]
+             r -> aggregate(zip_with(r, slice(r, 2, size(r)), (x, y) -> least(3, coalesce(y - x, 3))), 0L, (n, g) -> n + g))[0])[0]
 """
 
+#: Ratios of the statistics b.
+_RATIOS = {
+    "n_words": "b.n_words",
+    "repeat_ratio": "b.n_repeat_words / greatest(b.n_words, 1)",
+    "mean_word_length": "b.word_chars / greatest(b.n_words, 1)",
+    "symbol_ratio": "b.n_symbols / greatest(b.n_words, 1)",
+    "dup_line_ratio": "b.n_dup_lines / greatest(b.n_lines, 1)",
+    "stop_word_ratio": "b.n_stop_words / greatest(b.n_words, 1)",
+}
+
+
+def judgement(text: str = "text") -> Column:
+    """One struct of all statistics of a text and the verdict.
+
+    Words, lines and statistics are bound by lambdas over one-element arrays, so each
+    is made once wherever the optimizer moves the expression, into a filter say.
+    """
+    listed = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    bounds = [f"{_RATIOS[name]} >= {least}D" for name, least, _ in THRESHOLDS if least is not None] + [f"{_RATIOS[name]} <= {most}D" for name, _, most in THRESHOLDS if most is not None]
+    failed = "(b.n_words < 50 or 100 * b.n_repeat_words > 50 * b.n_words)"
+    return F.expr(f"""
+        transform(array(named_struct('t', coalesce({text}, ''))), x -> transform(array(named_struct(
+            't', x.t,
+            'w', filter(split(x.t, '[{_SPACES}]+'), w -> w <> ''),
+            'l', filter(split(x.t, '\\n'), l -> l rlike '[^{_SPACES}]'))),
+          a -> transform(array(named_struct(
+            'n_words', cast(size(a.w) as long),
+            'word_chars', cast(length(translate(a.t, ' \\t\\n\\u000b\\u000c\\r', '')) as long),
+            'n_symbols', cast(regexp_count(a.t, '[#*$%&|<>]') as long),
+            'n_dup_lines', cast(size(a.l) - size(array_distinct(a.l)) as long),
+            'n_lines', cast(size(a.l) as long),
+            'n_repeat_words', if(size(a.w) < 3, 0L, {_REPEATS}),
+            'n_stop_words', cast(size(filter(a.w, w -> lower(w) in ({listed}))) as long))),
+          b -> named_struct('n_words', b.n_words, 'word_chars', b.word_chars, 'n_symbols', b.n_symbols, 'n_dup_lines', b.n_dup_lines,
+            'n_repeat_words', b.n_repeat_words, 'n_stop_words', b.n_stop_words, 'base_failed', {failed}, 'kept', not {failed} and {" and ".join(bounds)}))[0])[0])[0]
+    """)
+
 
 def rule_columns(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines,
@@ -63,36 +90,8 @@ def rule_columns(docs: DataFrame) -> DataFrame:
     of ``docs`` named like the new ones are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
-    docs = docs.drop(*new, "_words", "_lines")
-    out = docs.select("*", *statistics(F.col("text")))
-    listed = ", ".join("'" + w + "'" for w in STOP_WORDS)
-    out = out.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)").alias("n_dup_lines"),
-        F.expr("cast(size(_lines) as long)").alias("_n_lines"),
-        F.expr(f"if(size(_words) < 3, 0L, {_REPEATS})").alias("n_repeat_words"),
-        F.expr(f"cast(size(filter(_words, w -> lower(w) in ({listed}))) as long)").alias("n_stop_words"),
-    )
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    ratios = {
-        "n_words": F.col("n_words"),
-        "repeat_ratio": F.col("n_repeat_words") / words,
-        "mean_word_length": F.col("word_chars") / words,
-        "symbol_ratio": F.col("n_symbols") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-        "stop_word_ratio": F.col("n_stop_words") / words,
-    }
-    verdict = F.lit(True)
-    for name, least, most in THRESHOLDS:
-        if least is not None:
-            verdict = verdict & (ratios[name] >= least)
-        if most is not None:
-            verdict = verdict & (ratios[name] <= most)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict).drop("_n_lines")
+    docs = docs.drop(*new, "_judged")
+    return docs.select("*", judgement().alias("_judged")).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_judged.{c}") for c in new])
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -102,5 +101,4 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that pass the rules; columns as they were."""
-    judged = rule_columns(docs.select(F.struct("*").alias("_row"), "text"))
-    return judged.where("kept").select("_row.*")
+    return docs.where(judgement().getField("kept"))

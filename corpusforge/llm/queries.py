@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, mixing, quality_rules, sharding
+from . import chat, decontam, jaccard_join, language_id, mixing, oracle, pii, quality_classifier, quality_rules, sharding, warc
 from .common import read_table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_digest(read_table(spark, sf_dir, "conversations"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -26,9 +38,29 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_ngram_jaccard_join, op6_sharding, op7_decontamination, op10_quality_rules)}
+    made = (op1_warc, op2_mixing, op3_chat_formatting, op4_quality_classifier, op5_ngram_jaccard_join, op6_sharding, op7_decontamination, op8_language_id, op9_pii, op10_quality_rules)
+    return {f.__name__: f for f in made}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op1_warc": oracle.OP1,
+        "op2_mixing": oracle.OP2,
+        "op3_chat_formatting": oracle.OP3,
+        "op5_ngram_jaccard_join": oracle.OP5,
+        "op7_decontamination": oracle.OP7,
+        "op10_quality_rules": oracle.OP10,
+    }
