@@ -1,0 +1 @@
+"""Retrieval analytics over documents and source files, on Spark DataFrames."""
