@@ -32,7 +32,6 @@ No all-pairs output is ever made: a block yields spanning links only.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 from math import comb
 
@@ -51,6 +50,10 @@ SKETCH = 64
 #: Classes and shingles of one chunk of a block, about.
 CHUNK_ROWS = 2000
 CHUNK_SHINGLES = 1_500_000
+#: Postings that a heap merges; longer inputs are merged by counting, with equal results.
+SMALL_MERGE = 48
+#: Long lists are merged too if they have fewer postings a candidate than this.
+MERGE_RATIO = 16
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -80,50 +83,20 @@ def required_overlap(num: int, den: int, sketch: int) -> int:
     return max(1, c)
 
 
-def divide_skip(lists: list[list[int]], need: int, long_count: int) -> list[int]:
-    """Ids found in at least ``need`` of the ascending ``lists``.
-
-    The ``long_count`` longest lists are probed, the rest heap-merged with skips:
-    ids that can't reach the count any more are jumped over.
-    """
-    lists = sorted((x for x in lists if x), key=len)
-    long_count = max(0, min(long_count, need - 1, len(lists)))
-    short, long = lists[: len(lists) - long_count], lists[len(lists) - long_count :]
-    need_short = need - len(long)
-    if len(short) < need_short:
-        return []
-    at = [0] * len(short)
-    heap = [(x[0], i) for i, x in enumerate(short)]
+def heap_merge(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """(id, number of lists that have it) of ascending lists, in order of ids."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
     heapq.heapify(heap)
-    found = []
-    while len(heap) >= need_short:
-        top, popped = heap[0][0], []
+    while heap:
+        top, count = heap[0][0], 0
         while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= need_short:
-            count = len(popped)
-            for left, other in zip(range(len(long), 0, -1), long, strict=True):
-                if count + left < need:
-                    break
-                p = bisect_left(other, top)
-                count += p < len(other) and other[p] == top
-            if count >= need:
-                found.append(top)
-            for i in popped:
-                at[i] += 1
-                if at[i] < len(short[i]):
-                    heapq.heappush(heap, (short[i][at[i]], i))
-        else:
-            while heap and len(popped) < need_short - 1:
-                popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            jump = heap[0][0]
-            for i in popped:
-                at[i] = bisect_left(short[i], jump, at[i])
-                if at[i] < len(short[i]):
-                    heapq.heappush(heap, (short[i][at[i]], i))
-    return found
+            _, i, at = heap[0]
+            count += 1
+            if at + 1 < len(lists[i]):
+                heapq.heapreplace(heap, (lists[i][at + 1], i, at + 1))
+            else:
+                heapq.heappop(heap)
+        yield top, count
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -135,7 +108,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class _Block:
-    """Documents of one chunk: leader first, then the rest; all with full sets."""
+    """Documents of one chunk with their full sets, and the links found among them."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -149,13 +122,6 @@ class _Block:
         self.sets.append(values)
         self.query.append(query)
 
-    def _find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
     def _linked(self, a: int, b: int) -> bool:
         x, y = self.sets[a], self.sets[b]
         short, long = sorted((len(x), len(y)))
@@ -165,68 +131,81 @@ class _Block:
         return self.den * n >= self.num * (short + long - n)
 
     def _join(self, a: int, b: int) -> None:
-        self.up[self._find(a)] = self._find(b)
-        self.links.append((self.ids[a], self.ids[b]))
+        old, new = self.label[a], self.label[b]
+        if old != new:
+            self.label[self.label == old] = new
+            self.links.append((self.ids[a], self.ids[b]))
 
     def star(self, leader: int) -> None:
         for i in range(len(self.ids)):
-            if i != leader and self._find(i) != self._find(leader) and self._linked(i, leader):
+            if i != leader and self._linked(i, leader):
                 self._join(i, leader)
 
     def search(self, queries: list[int]) -> None:
-        """T-occurrence search of each query over the whole chunk."""
+        """T-occurrence search of each query over the whole chunk (DivideSkip)."""
         if not queries:
             return
         tokens = np.concatenate(self.sets)
-        owners = np.repeat(np.arange(len(self.sets), dtype=np.int64), [len(s) for s in self.sets])
+        sizes = np.array([len(s) for s in self.sets])
+        owners = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(tokens, kind="stable")  # owners stay ascending in a list
         tokens, owners = tokens[order], owners[order]
         for q in queries:
-            own = self.sets[q]
-            need = -(-self.num * len(own) // self.den)  # overlap is at least J times the larger set
+            own, n = self.sets[q], int(sizes[q])
+            need = max(1, -(-self.num * n // self.den))  # J times the larger set, so T for the smallest partner
             start = np.searchsorted(tokens, own, "left")
-            size = np.searchsorted(tokens, own, "right") - start
-            listed = np.flatnonzero(size > 1)  # a list of one holds the query alone
-            # A partner may be larger or smaller than the query: T for the smallest one.
-            need = max(1, need)
+            count = np.searchsorted(tokens, own, "right") - start
+            listed = np.flatnonzero(count > 1)  # a list of one holds the query alone
             if len(listed) < need:
                 continue
-            rank = np.argsort(size[listed], kind="stable")
-            listed = listed[rank]
-            longest = need - 1
-            lists = [owners[start[i] : start[i] + size[i]].tolist() for i in listed[: len(listed) - longest]]
-            lists += [owners[start[i] : start[i] + size[i]] for i in listed[len(listed) - longest :]]
-            for other in self._occurrences(lists, need, longest):
-                if other != q and self._find(other) != self._find(q) and self._linked(q, other):
-                    self._join(q, other)
-
-    @staticmethod
-    def _occurrences(lists: list, need: int, longest: int) -> list[int]:
-        return divide_skip([x if isinstance(x, list) else _Lazy(x) for x in lists], need, longest)
+            listed = listed[np.argsort(count[listed], kind="stable")]
+            start, count = start[listed], count[listed]
+            cut = len(listed) - need + 1  # a partner is in one of the short lists at least
+            # Partners of fitting size that are not known to be in the query's component.
+            open_ = (self.den * np.minimum(sizes, n) >= self.num * np.maximum(sizes, n)) & (self.label != self.label[q])
+            if int(count[:cut].sum()) <= SMALL_MERGE:
+                lists = [owners[s : s + c].tolist() for s, c in zip(start[:cut].tolist(), count[:cut].tolist(), strict=True)]
+                seen = {i: k for i, k in heap_merge(lists) if open_[i]}
+                found = np.array(list(seen), dtype=np.int64)
+                hits = np.array(list(seen.values()), dtype=np.int64)
+            else:  # the same merge for long inputs, by counting
+                all_hits = np.bincount(owners[_spread(start[:cut], count[:cut])], minlength=len(sizes))
+                found = np.flatnonzero((all_hits > 0) & open_)
+                hits = all_hits[found]
+            start, count = start[cut:], count[cut:]
+            if len(found) and len(start) and count.sum() <= MERGE_RATIO * len(found) * len(start):
+                hits = hits + np.bincount(owners[_spread(start, count)], minlength=len(sizes))[found]
+            else:
+                for k, (s, c) in enumerate(zip(start.tolist(), count.tolist(), strict=True)):
+                    if not len(found):
+                        break
+                    long = owners[s : s + c]  # binary probes of every candidate at once
+                    p = np.searchsorted(long, found)
+                    p[p == c] = 0
+                    hits = hits + (long[p] == found)
+                    if k % 8 == 7:
+                        alive = hits + (len(start) - k - 1) >= need
+                        found, hits = found[alive], hits[alive]
+            fit = self.den * hits >= self.num * (n + sizes[found] - hits)
+            for other in found[fit].tolist():
+                self._join(q, other)
 
     def run(self, leader: int | None) -> list[int]:
-        """Links of the chunk; returns the positions of the stragglers."""
-        self.up = list(range(len(self.ids)))
+        """Links of the chunk; returns the positions of the queries."""
+        self.label = np.arange(len(self.ids))
         if leader is not None:
             self.star(leader)
-            rest = [i for i in range(len(self.ids)) if self._find(i) != self._find(leader)]
+            rest = np.flatnonzero(self.label != self.label[leader]).tolist()
         else:
             rest = [i for i, q in enumerate(self.query) if q]
         self.search(rest)
         return rest
 
 
-class _Lazy:
-    """An ascending NumPy list that is probed only; never turned into objects."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-
-    def __len__(self) -> int:
-        return len(self.values)
-
-    def __getitem__(self, i):
-        return self.values[i]
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions start[i], ..., start[i] + count[i] - 1 of all i."""
+    total = int(count.sum())
+    return np.repeat(start - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(total)
 
 
 def _sketches(k: int, sketch: int):
