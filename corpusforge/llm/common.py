@@ -74,6 +74,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each old one.
+
+    Operators that add columns to whole rows work on this and restore the names at the
+    end, so no name of the caller can clash with theirs.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
+#: Bits of a membership bitmap: 8 MB, whatever the number of keys.
+BITMAP_BITS = 1 << 26
+
+
+def mark_possible_members(df: DataFrame, key: str, members: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """``df`` with a boolean ``flag``: false only where ``key`` is not in ``members(key)``.
+
+    One bit a key hash, kept in 4 kB rows that are broadcast: at most ``bits / 8`` bytes by
+    construction.  With more keys than bits the flag is true more often and the exact join
+    that must follow gets more rows; it never misses one.
+    """
+
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+
+    bitmap = members.select(place(F.col(key)).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("__bits"))
+    asked = df.withColumn("__p", place(F.col(key))).withColumn("__bucket", F.expr("bitmap_bucket_number(__p)"))
+    held = asked.join(F.broadcast(bitmap), "__bucket", "left")
+    bit = F.expr("shiftright(cast(conv(hex(substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(__p) % 8 as int)) & 1")
+    return held.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__p", "__bucket", "__bits")
+
+
 def crc_bucket(column, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_windows, hash_words
+from .common import hash_windows, hash_words, neutral
 
 #: Words of a window that counts as shared.
 WINDOW = 10
@@ -149,7 +150,11 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_ADDED = "_n_words long, _hit_spans array<struct<start:long,end:long>>, _items array<long>"
+_ADDED = T.StructType([
+    T.StructField("_n_words", T.LongType()),
+    T.StructField("_hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    T.StructField("_items", T.ArrayType(T.LongType())),
+])
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -176,7 +181,7 @@ def _pass(block, text_at: int, first: bool):
     return run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """``docs`` with three more columns: _n_words, _hit_spans and _items.
 
     ``_hit_spans`` are merged word spans that occur in items of ``items(item_id,
@@ -191,13 +196,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     """
     new = ["_n_words", "_hit_spans", "_items"]
     docs = docs.drop(*new)
-    spark, schema = docs.sparkSession, ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    at, out, first = docs.columns.index("text"), docs, True
+    spark, schema = docs.sparkSession, T.StructType([*docs.schema.fields, *_ADDED.fields])
+    at, out, first = docs.columns.index(text), docs, True
     for block in _blocks(items, window, gram, block_words):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), at, first), f"{schema}, {_ADDED}")
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), at, first), schema)
         first = False
     if first:
-        out = docs.mapInArrow(_pass(spark.sparkContext.broadcast(ItemBlock(window, gram)), at, True), f"{schema}, {_ADDED}")
+        out = docs.mapInArrow(_pass(spark.sparkContext.broadcast(ItemBlock(window, gram)), at, True), schema)
     return out
 
 
@@ -218,7 +223,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` without a shared window; columns as they were."""
-    return find_contamination(docs, items, **options).where("size(_hit_spans) = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, at = neutral(docs)
+    return find_contamination(rows, items, text=at["text"], **options).where("size(_hit_spans) = 0").select(*at.values()).toDF(*docs.columns)
 
 
 def excise(text: str, spans: list[tuple[int, int]]) -> str:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, scratch
+from .common import WORD_PATTERN, neutral, scratch
 
 #: Fixed by contract: weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -119,5 +119,6 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     mixed = mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), "size", "taken").where("taken > 0")
     # Repeated rows of one id are taken alike but for ties at the cut: the most counts.
     mixed = mixed.groupBy("_id", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times")).withColumnRenamed("size", "_size")
-    joined = docs.withColumn("_words", word_count("text")).join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    rows, at = neutral(docs)
+    joined = rows.withColumn("_words", word_count(at["text"])).join(mixed, F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*at.values()).toDF(*docs.columns)
