@@ -108,13 +108,15 @@ TOP_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev me tv
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 
 _BRACKET = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:({_AT}|@)|({_DOT}|\.))[ \t]*[\])}}>][ \t]*", re.I)
-_SPOKEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+([ \t]+(?:{_AT})[ \t]+|@)[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_DOT})[ \t]+|\.)[A-Za-z0-9-]+)+", re.I)
+_SPOKEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)([ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_DOT})[ \t]+|\.)[A-Za-z0-9-]+)+", re.I)
+_JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.]+([-_]at[-_])[A-Za-z0-9]+(?:[-_]dot[-_][A-Za-z0-9]+)+(?![A-Za-z0-9_-])", re.I)
+_JOINED_DOT = re.compile(r"[-_]dot[-_]", re.I)
 _SPOKEN_DOT = re.compile(rf"[ \t]+(?:{_DOT})[ \t]+", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT})[ \t]+(?=[0-9])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t-]+)?(?:{_WORD}|[0-9])(?:[ \t-]+(?:{_WORD}|{_DOT}|[0-9]))*[ \t-]+(?:{_WORD}|[0-9])(?!\w)", re.I)
 _SPELLED_PART = re.compile(rf"(plus)|({_DOT})|({_WORD})|([0-9])|[ \t-]+", re.I)
-_ODD = re.compile("[ ­Ͱ-ԯ٠-٩۰-۹०-९​-‍‐‑–—․ ⁠。﹒﹫﻿！-～\U0001d7ce-\U0001d7ff]")
-_SIGN = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]|[ \t](?:{_DOT})[ \t]|(?<!\w)(?:{_WORD})[ \t-]+(?:{_WORD}|{_DOT})(?!\w)", re.I)
+_ODD = re.compile("[ ­²³¹Ͱ-ԯ٠-٩۰-۹०-९​-‍‐‑–—․ ⁠⁰-ₜ①-⓿。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
+_SIGN = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]|[ \t](?:{_DOT})[ \t]|[ \t]@|@[ \t]|[ \t](?:{_AT})[ \t]+[A-Za-z0-9-]+\.[A-Za-z]|[-_]at[-_]|(?<!\w)(?:{_WORD})[ \t-]+(?:{_WORD}|{_DOT})(?!\w)", re.I)
 
 
 class Rewritten:
@@ -177,10 +179,11 @@ def _plain_character(c: str) -> str:
         return ""
     if c in HOMOGLYPHS:
         return HOMOGLYPHS[c]
-    if "\uff01" <= c <= "\uff5e":
-        return chr(ord(c) - 0xFEE0)
     digit = unicodedata.digit(c, None)
-    return c if digit is None else str(digit)
+    if digit is not None:
+        return str(digit)
+    plain = unicodedata.normalize("NFKC", c)  # full width, circled and mathematical forms
+    return plain if len(plain) == 1 and plain.isascii() else c
 
 
 def _spell(text: str) -> list[tuple[int, int, str]]:
@@ -198,13 +201,24 @@ def _spell(text: str) -> list[tuple[int, int, str]]:
 
 
 def _mail_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn spoken and spaced signs of an address into "@" and ".".
+
+    "at", "dot" and a spaced "@" are everyday signs too.  They count if the address has a
+    known last label, and a spoken "at" before a written domain only if the part before
+    is no plain word.
+    """
     edits = []
     for m in _SPOKEN_MAIL.finditer(text):
-        dots = [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text, m.end(1), m.end())]
-        # "at" and "dot" are everyday words too; an address needs both and a known last label.
-        if dots and (m.group(1) == "@" or re.split(r"[ \t.]", m.group())[-1].lower() in TOP_LABELS):
-            edits += ([(*m.span(1), "@")] if m.group(1) != "@" else []) + dots
-    return edits
+        sign, dots = m.group(2), [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text, m.end(2), m.end())]
+        known = re.split(r"[ \t.]", m.group())[-1].lower() in TOP_LABELS
+        plain_word = m.group(1).isalpha()
+        if sign == "@" and dots or known and (dots or sign.strip() == "@" and sign != "@" or sign != "@" and not plain_word):
+            edits += ([(*m.span(2), "@")] if sign != "@" else []) + dots
+    for m in _JOINED_MAIL.finditer(text):
+        if re.split(r"[-_]", m.group())[-1].lower() in TOP_LABELS:
+            edits += [(*m.span(1), "@"), *((*d.span(), ".") for d in _JOINED_DOT.finditer(text, m.end(1), m.end()))]
+    edits.sort()
+    return [e for i, e in enumerate(edits) if i == 0 or e[0] >= edits[i - 1][1]]
 
 
 def deobfuscate(text: str) -> Rewritten | None:

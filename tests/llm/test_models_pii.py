@@ -42,6 +42,14 @@ def test_base_equals_the_patterns(docs):
         ("j​ohn@ex​ample.com", [("email", "j​ohn@ex​ample.com")]),
         ("look at the dot on it, we met at noon. three two one go", []),
         ("plain@example.com stays base", []),
+        ("write bosbt.42 at mail8.example.com today", [("email", "bosbt.42 at mail8.example.com")]),
+        ("it is available at example.com or 3 @ 4.5 each, m² and 5º", []),
+        ("john @ example.com", [("email", "john @ example.com")]),
+        ("john-at-example-dot-com", [("email", "john-at-example-dot-com")]),
+        ("𝓳𝓸𝓱𝓷@example.com and ⓐ", [("email", "𝓳𝓸𝓱𝓷@example.com")]),
+        ("4111 1111 one one one one 1111", [("card", "4111 1111 one one one one 1111")]),
+        ("+1 (five five five) 123-4567", [("phone", "+1 (five five five) 123-4567")]),
+        ("null eins zwei drei vier", []),
         ("", []),
     ],
 )
