@@ -15,26 +15,31 @@ from corpusforge.llm.common import drop_path, read_table, release_scratch, scrat
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    release_scratch(spark)  # in each stage: what earlier ones left; their results are stored
     return quality_rules.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: five words, similarity 0.75."""
+    release_scratch(spark)
     return jaccard_join.keep_one_per_component(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with an item of the benchmark."""
+    release_scratch(spark)
     return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as often as it is taken."""
+    release_scratch(spark)
     return mixing.take_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of each document of the mix."""
+    release_scratch(spark)
     return sharding.assign_shards(docs)
 
 
@@ -61,7 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{k}-{name}"
         made = stage(spark, docs, sf_dir)
         made.write.parquet(out)
-        release_scratch(spark)  # the result no longer needs it
         docs = spark.read.schema(made.schema).parquet(out)
         if last is not None:
             drop_path(spark, last)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_windows, hash_words, scratch, texts_of
+from .common import hash_windows, hash_words, mark_possible_members, neutral, scratch, texts_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -319,10 +319,12 @@ def classes_and_links(docs: DataFrame, k: int = SHINGLE, num: int = 75, den: int
     placed = members.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("cid"), "chunks").cast("int").alias("chunk"), "cid", "chunks")
     rows = placed.select("lead", "chunk", "cid").union(sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("cid")))
 
-    involved = rows.select("cid").distinct().join(classes.select("cid", "first_id", "digest"), "cid")
+    involved = scratch(rows.select("cid").distinct().join(classes.select("cid", "first_id", "digest"), "cid"), "involved")
+    # Most documents have no partner at all; their texts are not dealt out.
+    asked = mark_possible_members(docs, "doc_id", involved.select(F.col("first_id").alias("doc_id")), "_asked").where("_asked")
     sets = (
-        docs.alias("d")
-        .join(involved.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.first_id")))
+        asked.alias("d")
+        .join(involved.hint("merge").alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.first_id")))
         .select("text", "cid", "digest")
         .mapInArrow(_full_sets(k), "cid long, values binary")
         .groupBy("cid")
@@ -372,12 +374,20 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that stay when each component keeps its smallest doc_id.
 
-    Of repeated rows of that id one stays.  Rows without an id stay only where no
-    row of their component has one; of equal ones one stays.
+    Of repeated rows of that id one stays.  Rows without an id stay only where no row of
+    their component has one, one of each text.
     """
     rows = scratch(jaccard_components(docs, **options), "components")
-    kept = rows.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]))
-    # Both branches read one exchange of the texts; only repeated ids are dealt out again.
-    once, more = found.where("_rows = 1"), found.where("_rows > 1").dropDuplicates(["doc_id"])
-    return once.union(more).drop("_kept", "_rows")
+    # Ids that are dropped, and ids that stay but have further rows, need a look; the
+    # other texts, most of them, pass through without being dealt out.
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    look = scratch(ids.where("n > 1 or not stays"), "doubtful")
+    table, at = neutral(docs)
+    key, names = at["doc_id"], list(at.values())
+    marked = mark_possible_members(table, key, look.withColumnRenamed("doc_id", key), "look")
+    passed = marked.where("not look").select(*names)
+    gone = look.where("not stays").select(F.col("doc_id").alias("gone"))
+    doubtful = marked.where("look").drop("look")
+    stay = doubtful.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("gone")), "left_anti")
+    stay = stay.withColumn("same", F.when(F.col(key).isNull(), F.xxhash64(at["text"]))).dropDuplicates([key, "same"]).select(*names)
+    return passed.union(stay).toDF(*docs.columns)
