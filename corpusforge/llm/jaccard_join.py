@@ -22,8 +22,11 @@ Plan
    are one component and need no comparison among themselves.  The others
    (stragglers) are queries of a DivideSkip search over the whole block, on full
    shingle sets, with exact overlap.  A large block is dealt out in chunks of
-   bounded size.  A second step searches, over all chunks of such a block, those
-   documents that are not in its leader's component by then.
+   bounded size, and those documents that are not in its leader's component by then
+   are searched in all chunks.  Where they are many (documents that share a long passage
+   but are not alike), the documents of large blocks first go through steps 2 and 3
+   once more with sketches of 512 hashes, of which 289 may be left out (or three
+   quarters, in documents of up to 384 shingles).
 4. Links form components by alternating stars.
 
 No all-pairs output is ever made: a block yields spanning links only.
@@ -50,6 +53,9 @@ SKETCH = 64
 #: Classes and shingles of one chunk of a block, about.
 CHUNK_ROWS = 2000
 CHUNK_SHINGLES = 1_500_000
+#: Hashes in the sketches by which documents of large blocks are dealt out anew, and the
+#: copies of stragglers, for each document of a large block, from which on that is done.
+DEEP_SKETCH, DIRECT_WORK = 512, 1.0
 #: Postings that a heap merges; longer inputs are merged by counting, with equal results.
 SMALL_MERGE = 48
 #: Long lists are merged too if they have fewer postings a candidate than this.
@@ -287,24 +293,24 @@ def _blocks_with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 _LINKS = "lead long, u long, v long"
 
 
-def classes_and_links(docs: DataFrame, k: int = SHINGLE, num: int = 75, den: int = 100, sketch: int = SKETCH, chunk_rows: int = CHUNK_ROWS, chunk_shingles: int = CHUNK_SHINGLES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs(doc_id, text)`` to three stored tables.
+def _first_hashes(sketch: int):
+    """(cid, values) to (cid, n, sketch)."""
 
-    * one row per document: doc_id, n_shingles, digest (null: no words);
-    * one row per class of equal sets: cid, digest, n, first_id;
-    * spanning links between classes: u, v (cids).
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shingled = scratch(docs.mapInArrow(_sketches(k, sketch), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
-    classes = scratch(
-        shingled.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(v, dtype=np.int64) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in sets], pa.int64()), pa.array([v[:sketch] for v in sets], pa.list_(pa.int64()))], names=["cid", "n", "sketch"])
+
+    return run
+
+
+def _route(sketches: DataFrame, num: int, den: int, sketch: int) -> DataFrame:
+    """(cid, n, sketch) to members of blocks: cid, n, lead.  Linked classes share a block."""
     need = required_overlap(num, den, sketch)
     # Sets up to this size have partners that fit a sketch whole, so the exact bound holds.
     whole = num * sketch // den
     exempt = F.when(F.col("n") <= whole, F.ceil(F.col("n") * num / F.lit(den))).otherwise(F.lit(need)) - 1
-    posts = classes.select("cid", exempt.cast("int").alias("exempt"), F.explode("sketch").alias("t"))
+    posts = sketches.select("cid", exempt.cast("int").alias("exempt"), F.explode("sketch").alias("t"))
     lists = posts.groupBy("t").agg(F.count("*").alias("df"), F.min("cid").alias("lead")).where("df > 1")
     kept = (
         posts.join(lists, "t")
@@ -313,11 +319,56 @@ def classes_and_links(docs: DataFrame, k: int = SHINGLE, num: int = 75, den: int
         .where("size(ls) > exempt")
         .select("cid", F.explode(F.array_distinct(F.expr("transform(slice(ls, 1, size(ls) - exempt), x -> x.lead)"))).alias("lead"))
     )
-    members = scratch(kept.join(classes.select("cid", "n"), "cid"), "members")
+    return scratch(kept.join(sketches.select("cid", "n"), "cid"), "members")
+
+
+def _place(members: DataFrame, chunk_rows: int, chunk_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members by chunk, chunks of each block, and the rows of step one (leaders in every chunk)."""
     sizes = members.groupBy("lead").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.max("cid").alias("any")).where("rows > 1 or any <> lead")
-    sizes = sizes.select("lead", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("shingles") / chunk_shingles)).cast("int").alias("chunks"))
+    sizes = sizes.select("lead", "rows", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("shingles") / chunk_shingles)).cast("int").alias("chunks"))
     placed = members.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("cid"), "chunks").cast("int").alias("chunk"), "cid", "chunks")
-    rows = placed.select("lead", "chunk", "cid").union(sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("cid")))
+    return placed, sizes, placed.select("lead", "chunk", "cid").union(_everywhere(sizes.select("lead", "chunks", F.col("lead").alias("cid"))))
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """(lead, chunks, cid) once for each chunk of the block."""
+    return rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cid")
+
+
+def _stragglers(found: DataFrame, links: DataFrame, large: DataFrame) -> DataFrame:
+    """Members of large blocks that are not in the leader's component: lead, cid, chunks."""
+    comp = connected_components(links)
+    rest = found.where("v is null").select("lead", F.col("u").alias("cid")).distinct().join(large, "lead")
+    root_of = comp.select(F.col("node").alias("cid"), "root")
+    lead_root = comp.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    rest = rest.join(root_of, "cid", "left").join(lead_root, "lead", "left").where("not (coalesce(root, cid) <=> coalesce(lead_root, lead))")
+    return scratch(rest.select("lead", "cid", "chunks"), "stragglers")
+
+
+def classes_and_links(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    num: int = 75,
+    den: int = 100,
+    sketch: int = SKETCH,
+    chunk_rows: int = CHUNK_ROWS,
+    chunk_shingles: int = CHUNK_SHINGLES,
+    deep_sketch: int = DEEP_SKETCH,
+    direct_work: float = DIRECT_WORK,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs(doc_id, text)`` to three stored tables.
+
+    * one row per document: doc_id, n_shingles, digest (null: no words);
+    * one row per class of equal sets: cid, digest, n, first_id;
+    * spanning links between classes: u, v (cids).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shingled = scratch(docs.mapInArrow(_sketches(k, sketch), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
+    classes = scratch(
+        shingled.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()),
+        "classes",
+    )
+    placed, sizes, rows = _place(_route(classes, num, den, sketch), chunk_rows, chunk_shingles)
 
     involved = scratch(rows.select("cid").distinct().join(classes.select("cid", "first_id", "digest"), "cid"), "involved")
     # Most documents have no partner at all; their texts are not dealt out.
@@ -331,23 +382,29 @@ def classes_and_links(docs: DataFrame, k: int = SHINGLE, num: int = 75, den: int
         .agg(F.first("values").alias("values"))
     )
     sets = scratch(sets, "sets")
-    found = scratch(_blocks_with_sets(rows.withColumn("query", F.lit(False)), sets).mapInArrow(_search_blocks(num, den, True), _LINKS), "links")
-    links = found.where("v is not null").select("u", "v")
 
+    def step_one(rows: DataFrame) -> DataFrame:
+        return scratch(_blocks_with_sets(rows.withColumn("query", F.lit(False)), sets).mapInArrow(_search_blocks(num, den, True), _LINKS), "links")
+
+    found = step_one(rows)
+    links = found.where("v is not null").select("u", "v")
     large = scratch(sizes.where("chunks > 1"), "large")
     if not large.isEmpty():
-        comp = connected_components(links)
-        rest = found.where("v is null").select("lead", F.col("u").alias("cid")).distinct().join(large, "lead")
-        root_of = comp.select(F.col("node").alias("cid"), "root")
-        lead_root = comp.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-        rest = rest.join(root_of, "cid", "left").join(lead_root, "lead", "left").where("not (coalesce(root, cid) <=> coalesce(lead_root, lead))")
-        asked = scratch(rest.select("lead", "cid", "chunks"), "stragglers")
-        again = (
-            placed.join(asked.select("lead").distinct(), "lead", "left_semi")
-            .select("lead", "chunk", "cid", F.lit(False).alias("query"))
-            .union(asked.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cid", F.lit(True)))
-        )
-        more = scratch(_blocks_with_sets(again, sets).mapInArrow(_search_blocks(num, den, False), _LINKS), "links")
+        rest = _stragglers(found, links, large)
+        total = large.agg(F.sum("rows")).first()[0]
+        if (rest.agg(F.sum("chunks")).first()[0] or 0) > direct_work * total:
+            # Many stragglers: deal the documents of large blocks out anew, by sketches in
+            # which a passage may be most of a document before its lists count.
+            again = placed.join(large, "lead", "left_semi").select("cid").union(large.select(F.col("lead").alias("cid"))).distinct()
+            deep = scratch(sets.join(again, "cid", "left_semi").mapInArrow(_first_hashes(deep_sketch), "cid long, n long, sketch array<long>"), "sketches")
+            placed, sizes, rows = _place(_route(deep, num, den, deep_sketch), chunk_rows, chunk_shingles)
+            found = step_one(rows)
+            links = links.union(found.where("v is not null").select("u", "v"))
+            large = scratch(sizes.where("chunks > 1"), "large")
+            rest = _stragglers(found, links, large)
+        queries = _everywhere(rest).withColumn("query", F.lit(True))
+        hosts = placed.join(rest.select("lead").distinct(), "lead", "left_semi").select("lead", "chunk", "cid", F.lit(False).alias("query"))
+        more = scratch(_blocks_with_sets(hosts.union(queries.select("lead", "chunk", "cid", "query")), sets).mapInArrow(_search_blocks(num, den, False), _LINKS), "links")
         links = links.union(more.select("u", "v"))
     return shingled.select("doc_id", "n_shingles", "digest"), classes.select("cid", "digest", "n", "first_id"), links
 

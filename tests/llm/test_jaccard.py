@@ -56,7 +56,7 @@ def corpus(n=120, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_rows": 7}, {"chunk_shingles": 900, "sketch": 32}])
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 7}, {"chunk_rows": 7, "direct_work": 1e9}, {"chunk_rows": 7, "direct_work": 0, "deep_sketch": 128}, {"chunk_shingles": 900, "sketch": 32}])
 def test_equals_brute_force(spark, options):
     rows = corpus()
     got = sorted(tuple(r) for r in run(spark, rows, **options).collect())
@@ -116,7 +116,7 @@ def test_heap_merge_and_search_agree(spark):
 
 
 def test_overlap_bound():
-    assert J.required_overlap(75, 100, 32) == 1 and J.required_overlap(75, 100, 64) == 13
+    assert J.required_overlap(75, 100, 32) == 1 and J.required_overlap(75, 100, 64) == 13 and J.required_overlap(75, 100, 512) > 270
 
 
 def test_components(spark):
