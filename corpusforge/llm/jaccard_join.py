@@ -55,7 +55,7 @@ CHUNK_ROWS = 2000
 CHUNK_SHINGLES = 1_500_000
 #: Hashes in the sketches by which documents of large blocks are dealt out anew, and the
 #: copies of stragglers, for each document of a large block, from which on that is done.
-DEEP_SKETCH, DIRECT_WORK = 512, 1.0
+DEEP_SKETCH, DIRECT_WORK = 512, 8.0
 #: Postings that a heap merges; longer inputs are merged by counting, with equal results.
 SMALL_MERGE = 48
 #: Long lists are merged too if they have fewer postings a candidate than this.
@@ -197,15 +197,14 @@ class _Block:
                 self._join(q, other)
 
     def run(self, leader: int | None) -> list[int]:
-        """Links of the chunk; returns the positions of the queries."""
+        """Links of the chunk; returns those that are not in the leader's component then."""
         self.label = np.arange(len(self.ids))
-        if leader is not None:
-            self.star(leader)
-            rest = np.flatnonzero(self.label != self.label[leader]).tolist()
-        else:
-            rest = [i for i, q in enumerate(self.query) if q]
-        self.search(rest)
-        return rest
+        if leader is None:
+            self.search([i for i, q in enumerate(self.query) if q])
+            return []
+        self.star(leader)
+        self.search(np.flatnonzero(self.label != self.label[leader]).tolist())
+        return np.flatnonzero(self.label != self.label[leader]).tolist()
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -335,14 +334,10 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     return rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cid")
 
 
-def _stragglers(found: DataFrame, links: DataFrame, large: DataFrame) -> DataFrame:
-    """Members of large blocks that are not in the leader's component: lead, cid, chunks."""
-    comp = connected_components(links)
-    rest = found.where("v is null").select("lead", F.col("u").alias("cid")).distinct().join(large, "lead")
-    root_of = comp.select(F.col("node").alias("cid"), "root")
-    lead_root = comp.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    rest = rest.join(root_of, "cid", "left").join(lead_root, "lead", "left").where("not (coalesce(root, cid) <=> coalesce(lead_root, lead))")
-    return scratch(rest.select("lead", "cid", "chunks"), "stragglers")
+def _stragglers(found: DataFrame, large: DataFrame) -> DataFrame:
+    """Members of large blocks that their chunk left outside of the leader's component."""
+    rest = found.where("v is null").select("lead", F.col("u").alias("cid")).distinct()
+    return scratch(rest.join(large, "lead").select("lead", "cid", "chunks"), "stragglers")
 
 
 def classes_and_links(
@@ -390,7 +385,7 @@ def classes_and_links(
     links = found.where("v is not null").select("u", "v")
     large = scratch(sizes.where("chunks > 1"), "large")
     if not large.isEmpty():
-        rest = _stragglers(found, links, large)
+        rest = _stragglers(found, large)
         total = large.agg(F.sum("rows")).first()[0]
         if (rest.agg(F.sum("chunks")).first()[0] or 0) > direct_work * total:
             # Many stragglers: deal the documents of large blocks out anew, by sketches in
@@ -401,7 +396,7 @@ def classes_and_links(
             found = step_one(rows)
             links = links.union(found.where("v is not null").select("u", "v"))
             large = scratch(sizes.where("chunks > 1"), "large")
-            rest = _stragglers(found, links, large)
+            rest = _stragglers(found, large)
         queries = _everywhere(rest).withColumn("query", F.lit(True))
         hosts = placed.join(rest.select("lead").distinct(), "lead", "left_semi").select("lead", "chunk", "cid", F.lit(False).alias("query"))
         more = scratch(_blocks_with_sets(hosts.union(queries.select("lead", "chunk", "cid", "query")), sets).mapInArrow(_search_blocks(num, den, False), _LINKS), "links")
