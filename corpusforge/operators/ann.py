@@ -21,6 +21,8 @@ from .search import comparable, semantic_score
 
 #: Vectors that centroids are trained on, at most about; rounds of training.
 SAMPLE, ROUNDS = 20_000, 12
+#: Share of the exact neighbours that the default effort finds in the sample.
+RECALL = 0.95
 VERSION = 1
 
 
@@ -49,6 +51,16 @@ def train_centroids(vectors: np.ndarray, lists: int, seed: int = 7) -> np.ndarra
     return centers
 
 
+def enough_probes(vectors: np.ndarray, centers: np.ndarray, k: int = 10, recall: float = RECALL, queries: int = 128) -> int:
+    """Fewest lists by which searches of the sample find ``recall`` of their exact top ``k``."""
+    probe = vectors[np.linspace(0, len(vectors) - 1, min(queries, len(vectors))).astype(int)]
+    home = np.argmax(vectors @ centers.T, axis=1)
+    places = np.argsort(np.argsort(-(probe @ centers.T), axis=1, kind="stable"), axis=1, kind="stable")
+    best = np.argsort(-(probe @ vectors.T), axis=1, kind="stable")[:, :k]
+    reached = np.sort(np.take_along_axis(places, home[best], axis=1).ravel())
+    return int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))))]) + 1
+
+
 def _assign(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = shared.value
@@ -70,7 +82,8 @@ class IvfIndex:
     def build(cls, chunks: DataFrame, lists: int | None = None, nprobe: int | None = None, model: str = "hashing", path: str | None = None, sample: int = SAMPLE) -> IvfIndex:
         """From ``chunks(chunk_id, vector)``; with ``path`` the lists are stored as partitions.
 
-        ``sample`` bounds the vectors that reach the driver; every row is indexed.
+        ``sample`` bounds the vectors that reach the driver; every row is indexed.  Without
+        ``nprobe`` the effort is what the sample needs for a recall of RECALL.
         """
         first = chunks.where("vector is not null").select(F.size("vector").alias("d")).first()
         dim = first["d"] if first else 0
@@ -82,7 +95,7 @@ class IvfIndex:
             vectors = np.zeros((1, max(1, dim)))
         lists = lists or max(1, min(4096, int(round(count**0.5))))
         centers = train_centroids(vectors, lists)
-        meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or max(1, len(centers) // 6))
+        meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers))
         return cls(cls._placed(rows, centers), centers, meta)._stored(path)
 
     @staticmethod
