@@ -113,7 +113,7 @@ _JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.]+([-_]at[-_])[A-Za
 _JOINED_DOT = re.compile(r"[-_]dot[-_]", re.I)
 _SPOKEN_DOT = re.compile(rf"[ \t]+(?:{_DOT})[ \t]+", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT})[ \t]+(?=[0-9])", re.I)
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t-]+)?(?:{_WORD}|[0-9])(?:[ \t-]+(?:{_WORD}|{_DOT}|[0-9]))*[ \t-]+(?:{_WORD}|[0-9])(?!\w)", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t-]+)?(?:{_WORD}|[0-9])(?:[ \t-]+(?:{_WORD}|{_DOT}|[0-9]))*[ \t-]+(?:{_WORD}|[0-9])(?![\w@])", re.I)
 _SPELLED_PART = re.compile(rf"(plus)|({_DOT})|({_WORD})|([0-9])|[ \t-]+", re.I)
 _ODD = re.compile("[ ­²³¹Ͱ-ԯ٠-٩۰-۹०-९​-‍‐‑–—․ ⁠⁰-ₜ①-⓿。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
 _SIGN = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]|[ \t](?:{_DOT})[ \t]|[ \t]@|@[ \t]|[ \t](?:{_AT})[ \t]+[A-Za-z0-9-]+\.[A-Za-z]|[-_]at[-_]|(?<!\w)(?:{_WORD})[ \t-]+(?:{_WORD}|{_DOT})(?!\w)", re.I)
@@ -241,21 +241,25 @@ def deobfuscate(text: str) -> Rewritten | None:
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and the spans that deobfuscation adds.
 
-    An added span overlaps no base span, whatever its kind.
+    An added span is inside no base span of its kind; it may extend base spans, which
+    stay, or overlap those of other kinds.
     """
     text = text or ""
     base = detect(text)
     new = deobfuscate(text)
     if new is None:
         return base, []
-    taken = sorted((a, b) for _, a, b in base)
+    # Base spans of a kind are disjoint and in order.
+    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    for kind, a, b in base:
+        taken[kind].append((a, b))
     added: list[Span] = []
     for kind, a, b in detect(new.text):
         if not new.changed(a, b):
             continue
         start, end = new.back(a)[0], new.back(b - 1)[1]
-        i = bisect_right(taken, (end, -1))
-        if any(x < end and start < y for x, y in taken[max(0, i - 8) : i]) or any(x < end and start < y for _, x, y in added[-4:]):
+        i = bisect_right(taken[kind], start, key=lambda s: s[0])
+        if i and end <= taken[kind][i - 1][1]:
             continue
         added.append((kind, start, end))
     return base, added
@@ -267,12 +271,12 @@ def spell_spans(spans: list[Span]) -> str:
 
 
 def redact(text: str, spans: list[Span]) -> str:
-    """``text`` with each span replaced by its kind in brackets."""
+    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first names them all."""
     out, done = [], 0
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a >= done:
             out += [text[done:a], f"[{kind.upper()}]"]
-            done = b
+        done = max(done, b)
     return "".join([*out, text[done:]])
 
 

@@ -59,6 +59,31 @@ def test_deobfuscation(text, found):
     assert [(k, text[a:b]) for k, a, b in added] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "found"),
+    [
+        ("mail j\u043ehn@example.com", "hn@example.com", [("email", "j\u043ehn@example.com")]),
+        ("jo\u200bhn@example.com", "hn@example.com", [("email", "jo\u200bhn@example.com")]),
+        ("john [dot] doe@example.com", "doe@example.com", [("email", "john [dot] doe@example.com")]),
+        ("jane@mail.example [dot] com now", "jane@mail.example", [("email", "jane@mail.example [dot] com")]),
+        ("john@mail.g\u043eogle.com", "john@mail.g", [("email", "john@mail.g\u043eogle.com")]),
+        ("+1 555 123 456 seven eight nine", "+1 555 123 456", [("phone", "+1 555 123 456 seven eight nine")]),
+        ("three two one@example.com", "one@example.com", []),
+        ("john@example.com\u200b, +1 555 123 4567\u200b", "john@example.com", []),
+    ],
+)
+def test_disguise_on_one_side_extends_the_base_span(text, base, found):
+    spans, added = P.find_spans(text)
+    assert spans == P.detect(text) and text[spans[0][1] : spans[0][2]] == base
+    assert [(k, text[a:b]) for k, a, b in added] == found
+    for _, a, b in added:
+        assert P.redact(text, spans + added) == P.redact(text, added)
+
+
+def test_redact_covers_overlapping_spans():
+    assert P.redact("0123456789", [("email", 1, 4), ("phone", 3, 7), ("card", 8, 9)]) == "0[EMAIL]7[CARD]9"
+
+
 def test_long_texts_are_linear():
     for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "a@" * 100_000, "one two " * 30_000, "x at y dot " * 20_000):
         P.find_spans(t)
