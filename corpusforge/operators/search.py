@@ -9,6 +9,7 @@ scan for ranking reads content only where a text term needs it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,16 +163,18 @@ def find_similar(
 
     ``min_similarity`` is clamped to 0 to 1 (default 0.3); a ``k`` that is no number of 1 or
     more counts as 5.  If an approximate index gives fewer than ``k`` similar rows and the
-    table has at most ``rescan_limit``, the whole table is searched.
+    table has at most ``rescan_limit``, the whole table is searched.  With ``k`` infinite
+    (``math.inf``) all similar rows of the table come out, in no order; an index is not asked.
     """
-    k = int(k) if isinstance(k, (int, float)) and k == k and k >= 1 else 5
+    unlimited = k == inf
+    k = int(k) if not unlimited and isinstance(k, (int, float)) and k == k and k >= 1 else 5
     least = 0.3 if min_similarity is None or min_similarity != min_similarity else min(1.0, max(0.0, min_similarity))
 
     def similar(rows: DataFrame) -> DataFrame:
         return comparable(rows, len(vector)).withColumn("similarity", semantic_score(vector)).where(F.col("similarity") >= least)
 
     found = similar(chunks)
-    if candidates is not None:
+    if candidates is not None and not unlimited:
         ids = candidates.select("chunk_id").distinct()
         some = similar(chunks.join(ids, "chunk_id", "left_semi"))
         enough = len(some.select("chunk_id").limit(k).collect()) >= k
@@ -179,7 +182,8 @@ def find_similar(
             found = some
     if text is not None:
         found = found.where(~F.coalesce(T.normalize_text("content") == T.normalize_text(F.lit(text)), F.lit(False)))
-    return found.drop("vector").orderBy(F.desc("similarity"), "chunk_id").limit(k)
+    found = found.drop("vector")
+    return found if unlimited else found.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
 def format_results(found: DataFrame, score: str = "score", language: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ The test tables stand in for a code index: a chunk is a row of ``documents``, a
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import inf
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ m AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM docu
 SELECT doc_id, round(dot, 4) AS similarity FROM dots JOIN m USING (doc_id) WHERE dot >= 0.8 AND t <> (SELECT t FROM m WHERE doc_id = 1)""")
 def similar_text_excluding_input(spark, d):
     text = table(spark, d, "documents").where("doc_id = 1").select("text").first()[0]
-    found = search.find_similar(chunk_table(spark, d), embedding.HashingEmbedder()(text), text, 1_000_000, 0.8)
+    found = search.find_similar(chunk_table(spark, d), embedding.HashingEmbedder()(text), text, inf, 0.8)
     return found.select(F.col("chunk_id").alias("doc_id"), F.round("similarity", 4).alias("similarity"))
 
 

@@ -1,5 +1,7 @@
 """Search semantics on hand-made rows."""
 
+from math import inf
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from corpusforge.functions import embedding
 from corpusforge.operators import search
 from corpusforge.operators.ann import IvfIndex, should_build
 from corpusforge.operators.search import SearchConfig
+from corpusforge.plans.queries import QUERIES
 
 SCHEMA = "chunk_id long, file string, content string, vector array<float>"
 PLAIN = SearchConfig(semantic_weight=1.0, recency_boost=0.0)
@@ -77,6 +80,17 @@ def test_similar_rescans_after_repeated_labels(spark):
     assert search.find_similar(c, [1.0, 0.0], k=2, min_similarity=0, candidates=twice).count() == 2
 
 
+def test_similar_without_a_limit(spark, sf):
+    c = rows(spark, *[(f"f{i}", f"text {i}", [1.0, 0.0]) for i in range(9)], ("far", "other", [0.0, 1.0]))
+    first = spark.createDataFrame([(0,)], "chunk_id long")
+    for candidates in (None, first):
+        found = search.find_similar(c, [1.0, 0.0], "text  3", inf, 0.8, candidates, rescan_limit=0)
+        assert sorted(files(found)) == [f"f{i}" for i in range(9) if i != 3]
+    million = spark.range(1_000_003).select(F.col("id").alias("chunk_id"), F.lit("f").alias("file"), F.lit("x").alias("content"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    assert search.find_similar(million, [1.0, 0.0], "y", inf, 0.8).count() == 1_000_003
+    assert "Limit" not in QUERIES["similar_text_excluding_input"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_format(spark):
     c = rows(spark, ("a.js", "body", [1.0, 0.0]))
     text = search.format_results(search.hybrid_search(c, "q", [1.0, 0.0], config=PLAIN)).first()["markdown"]
