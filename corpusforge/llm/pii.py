@@ -113,10 +113,13 @@ _JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.]+([-_]at[-_])[A-Za
 _JOINED_DOT = re.compile(r"[-_]dot[-_]", re.I)
 _SPOKEN_DOT = re.compile(rf"[ \t]+(?:{_DOT})[ \t]+", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT})[ \t]+(?=[0-9])", re.I)
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t-]+)?(?:{_WORD}|[0-9])(?:[ \t-]+(?:{_WORD}|{_DOT}|[0-9]))*[ \t-]+(?:{_WORD}|[0-9])(?![\w@])", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t-]+)?(?:{_WORD}|[0-9])(?:(?:[ \t-]+(?:{_WORD}|{_DOT}|[0-9]))*[ \t-]+(?:{_WORD}|[0-9]))?(?![\w@])", re.I)
 _SPELLED_PART = re.compile(rf"(plus)|({_DOT})|({_WORD})|([0-9])|[ \t-]+", re.I)
 _ODD = re.compile("[ ­²³¹Ͱ-ԯ٠-٩۰-۹०-९​-‍‐‑–—․ ⁠⁰-ₜ①-⓿。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
-_SIGN = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]|[ \t](?:{_DOT})[ \t]|[ \t]@|@[ \t]|[ \t](?:{_AT})[ \t]+[A-Za-z0-9-]+\.[A-Za-z]|[-_]at[-_]|(?<!\w)(?:{_WORD})[ \t-]+(?:{_WORD}|{_DOT})(?!\w)", re.I)
+_SIGN = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]|[ \t](?:{_DOT})[ \t]|[ \t]@|@[ \t]|[ \t](?:{_AT})[ \t]+[A-Za-z0-9-]+\.[A-Za-z]|[-_]at[-_]|(?<!\w)(?:{_WORD})(?:[ \t-]+(?:{_WORD}|{_DOT})(?!\w)|[ \t()-]{{1,3}}[0-9])|(?:[0-9][ \t()-]{{1,3}}|\+[ \t()-]{{0,3}}|(?<!\w)plus[ \t-]+)(?:{_WORD})(?!\w)", re.I)
+# Up to three characters between a run of spelled digits and further digits.
+_DIGITS_BEFORE = re.compile(r"(?:[0-9][ \t()-]{1,3}|\+[ \t()-]{0,3})\Z")
+_DIGITS_AFTER = re.compile(r"[ \t()-]{1,3}[0-9]")
 
 
 class Rewritten:
@@ -187,12 +190,17 @@ def _plain_character(c: str) -> str:
 
 
 def _spell(text: str) -> list[tuple[int, int, str]]:
-    """Edits that turn runs of three or more spelled digits into digits."""
+    """Edits that turn runs of spelled digits into digits: three or more of them, or fewer
+    among or next to plain digits or a plus sign."""
     edits = []
     for m in _SPELLED.finditer(text):
         parts = [p for p in _SPELLED_PART.finditer(text, *m.span()) if p.lastindex]
-        if sum(p.lastindex == 3 for p in parts) < 3:
+        spelled = sum(p.lastindex == 3 for p in parts)
+        if not spelled:
             continue
+        if spelled < 3 and not any(p.lastindex in (1, 4) for p in parts):
+            if not (_DIGITS_BEFORE.search(text[max(0, m.start() - 4) : m.start()]) or _DIGITS_AFTER.match(text, m.end())):
+                continue
         for k, p in enumerate(parts):
             new = ("", "+", ".", DIGIT_WORDS[p.group().lower()] if p.lastindex == 3 else "", p.group())[p.lastindex]
             # The white space up to the next part goes with this one.

@@ -80,12 +80,32 @@ def test_disguise_on_one_side_extends_the_base_span(text, base, found):
         assert P.redact(text, spans + added) == P.redact(text, added)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("plus 4 nine 1 five 1 two 3 four 5 six", ["plus 4 nine 1 five 1 two 3 four 5 six"]),
+        ("+4 nine 1 five 1 two 3 four 5 six ok", ["+4 nine 1 five 1 two 3 four 5 six"]),
+        ("call +one 555 123 4567", ["+one 555 123 4567"]),
+        ("call +1 555 one 23 4567", ["+1 555 one 23 4567"]),
+        ("call +1 555 123 45 six seven.", ["+1 555 123 45 six seven"]),
+        ("4111 1111 1111 111 one", ["4111 1111 1111 111 one"]),
+        ("in 2019 one of 30, chapter 5 two or three 12", []),
+        ("5 one@example.com", []),
+        ("+49 151 2345678. One of us", []),
+    ],
+)
+def test_few_spelled_digits_among_plain_ones(text, found):
+    base, added = P.find_spans(text)
+    assert base == P.detect(text)
+    assert [text[a:b] for _, a, b in added] == found
+
+
 def test_redact_covers_overlapping_spans():
     assert P.redact("0123456789", [("email", 1, 4), ("phone", 3, 7), ("card", 8, 9)]) == "0[EMAIL]7[CARD]9"
 
 
 def test_long_texts_are_linear():
-    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "a@" * 100_000, "one two " * 30_000, "x at y dot " * 20_000):
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "a@" * 100_000, "one two " * 30_000, "one 1 " * 30_000, "1 one dot " * 20_000, "x at y dot " * 20_000):
         P.find_spans(t)
 
 
