@@ -26,7 +26,7 @@ Plan
    are searched in all chunks.  Where they are many (documents that share a long passage
    but are not alike), the documents of large blocks first go through steps 2 and 3
    once more with sketches of 512 hashes, of which 289 may be left out (or three
-   quarters, in documents of up to 384 shingles).
+   quarters, in documents of up to 385 shingles).
 4. Links form components by alternating stars.
 
 No all-pairs output is ever made: a block yields spanning links only.
@@ -308,7 +308,9 @@ def _route(sketches: DataFrame, num: int, den: int, sketch: int) -> DataFrame:
     need = required_overlap(num, den, sketch)
     # Sets up to this size have partners that fit a sketch whole, so the exact bound holds.
     whole = num * sketch // den
-    exempt = F.when(F.col("n") <= whole, F.ceil(F.col("n") * num / F.lit(den))).otherwise(F.lit(need)) - 1
+    # Just above it, all that a pair shares can still be less than ``need``.
+    own = F.ceil(F.col("n") * num / F.lit(den))
+    exempt = F.when(F.col("n") <= whole, own).otherwise(F.least(own, F.lit(need))) - 1
     posts = sketches.select("cid", exempt.cast("int").alias("exempt"), F.explode("sketch").alias("t"))
     lists = posts.groupBy("t").agg(F.count("*").alias("df"), F.min("cid").alias("lead")).where("df > 1")
     kept = (

@@ -119,6 +119,17 @@ def test_overlap_bound():
     assert J.required_overlap(75, 100, 32) == 1 and J.required_overlap(75, 100, 64) == 13 and J.required_overlap(75, 100, 512) > 270
 
 
+def test_route_at_the_end_of_the_exact_bound(spark):
+    """385 shingles and a subset of 289 of them, which a third document has too."""
+    assert 100 * 289 >= 75 * 385
+    sets = {0: [*range(289), *range(1000, 1711)], 1: list(range(385)), 2: list(range(289))}
+    rows = spark.createDataFrame([(c, len(v), v[:512]) for c, v in sets.items()], "cid long, n long, sketch array<long>")
+    leads = {c: {c} for c in sets}
+    for r in J._route(rows, 75, 100, 512).collect():
+        leads[r["cid"]].add(r["lead"])
+    assert leads[1] & leads[2]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 201), (201, 200), (5, 5), (None, 3)] + [(500, 500 + i) for i in range(1, 300)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
