@@ -494,9 +494,9 @@ def duplicate_workspace(spark, d):
 @query("""WITH b AS (SELECT o_custkey AS workspace, max(epoch_ms(o_orderdate)) AS rank FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY o_custkey) SELECT workspace::VARCHAR AS workspace, rank FROM b""")
 def attach_candidate(spark, d):
     o = table(spark, d, "orders")
-    low = o.agg(F.min("o_custkey").alias("low"))
-    c = o.crossJoin(F.broadcast(low)).where("o_custkey = low").select(F.col("o_custkey").cast("string").alias("workspace"), F.lit("meta").alias("source"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("rank"))
-    return retention.attach_candidate(c).select("workspace", "rank")
+    low = o.agg(F.min("o_custkey").cast("string")).first()[0]  # the workspace that is preferred
+    c = o.select(F.col("o_custkey").cast("string").alias("workspace"), F.lit("meta").alias("source"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("rank"))
+    return retention.attach_candidate(c, low).select("workspace", "rank")
 
 
 # --- events, logs ---------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators import indexing, retention
 from corpusforge.operators.chunking import chunk_files
+from corpusforge.plans.queries import QUERIES
 from corpusforge.sources import files, stores
 from corpusforge.streaming import watch
 
@@ -128,6 +129,14 @@ def test_attach(spark):
     assert retention.attach_candidate(c.where("workspace = '/w/a'")).first()["rank"] == 5
 
 
+def test_attach_query_asks_all_workspaces(spark, sf, monkeypatch):
+    asked, operator = [], retention.attach_candidate
+    monkeypatch.setattr(retention, "attach_candidate", lambda c, *preferred: asked.append(c) or operator(c, *preferred))
+    assert QUERIES["attach_candidate"](spark, sf).count() == 1
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    assert asked[0].count() == orders.count() and asked[0].select("workspace").distinct().count() == orders.select("o_custkey").distinct().count() > 1
+
+
 def test_watcher(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     events = [("a", "add", at(0)), ("a", "change", at(1)), ("b", "add", at(2)), ("b", "unlink", at(3)), ("c", "unlink", at(4))]
