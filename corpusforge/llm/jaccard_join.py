@@ -213,6 +213,10 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(total)
 
 
+def _digest(values: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None
+
+
 def _sketches(k: int, sketch: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -222,7 +226,7 @@ def _sketches(k: int, sketch: int):
             for text in texts_of(batch):
                 values = shingle_set(text, k)
                 sizes.append(len(values))
-                digests.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
+                digests.append(_digest(values))
                 sketches.append(values[:sketch].view(np.int64) if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=schema)
 
@@ -416,32 +420,54 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     row, takes the component's smallest id if its text links with others, else
     null; an empty table gives an empty result; further columns are ignored.
     """
+    return _judged(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def _judged(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``jaccard_components`` with the digest of each and its component's node, which
+    no other component has, whatever the ids (both null without words)."""
     shingled, classes, links = classes_and_links(docs, **options)
     comp = connected_components(links)
     in_comp = classes.select(F.col("cid").alias("node"), "digest", "first_id").join(comp, "node")
     low = in_comp.groupBy("root").agg(F.min("first_id").alias("low"))
-    linked = in_comp.join(low, "root").select("node", "low")
-    labelled = classes.join(linked, classes["cid"] == linked["node"], "left").select("digest", F.coalesce("low", "first_id").alias("component_id"))
-    return shingled.join(labelled, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = in_comp.join(low, "root").select("node", "root", "low")
+    labelled = classes.join(linked, classes["cid"] == linked["node"], "left").select("digest", F.coalesce("root", "cid").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
+    return shingled.join(labelled, "digest", "left").select("doc_id", "n_shingles", "digest", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that stay when each component keeps its smallest doc_id.
 
-    Of repeated rows of that id one stays.  Rows without an id stay only where no row of
-    their component has one, one of each text.
+    Each row is judged by its own component, also where an id is repeated with other texts.
+    Of a component's rows of its smallest id one stays.  Rows without an id stay only where
+    no row of their component has one, one of each text; so do rows without words, one of
+    each id and text.
     """
-    rows = scratch(jaccard_components(docs, **options), "components")
-    # Ids that are dropped, and ids that stay but have further rows, need a look; the
-    # other texts, most of them, pass through without being dealt out.
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    rows = scratch(_judged(docs, **options), "components")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Ids that are dropped, and ids that have further rows, need a look; the other texts,
+    # most of them, pass through without being dealt out.
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("stays"))
     look = scratch(ids.where("n > 1 or not stays"), "doubtful")
     table, at = neutral(docs)
     key, names = at["doc_id"], list(at.values())
-    marked = mark_possible_members(table, key, look.withColumnRenamed("doc_id", key), "look")
+    marked = mark_possible_members(table, key, look.select(F.col("doc_id").alias(key)), "look")
     passed = marked.where("not look").select(*names)
-    gone = look.where("not stays").select(F.col("doc_id").alias("gone"))
     doubtful = marked.where("look").drop("look")
-    stay = doubtful.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("gone")), "left_anti")
-    stay = stay.withColumn("same", F.when(F.col(key).isNull(), F.xxhash64(at["text"]))).dropDuplicates([key, "same"]).select(*names)
-    return passed.union(stay).toDF(*docs.columns)
+    ids_of = look.select(F.col("doc_id").alias("_id"))
+    stay = passed.union(doubtful.join(ids_of.hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_anti").select(*names))
+    repeated = look.where("n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return stay.toDF(*docs.columns)
+    mine = rows.where(own).join(repeated.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    each = F.when(F.col("doc_id").isNull(), F.col("digest"))
+    kept = mine.where("digest is not null").groupBy("doc_id", "root", each.alias("each")).agg(F.min("digest").alias("_digest")).select(F.col("doc_id").alias("_id"), "_digest")
+    k = options.get("k", SHINGLE)
+    digest = F.udf(lambda text: _digest(shingle_set(text, k)), "binary")
+    again = mark_possible_members(table, key, repeated.withColumnRenamed("_id", key), "look").where("look").drop("look")
+    again = again.join(repeated.hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_semi").withColumn("digest", digest(at["text"]))
+    wordless = again.where("digest is null")
+    chosen = again.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    same = F.when(F.col(key).isNull() | F.col("digest").isNull(), F.xxhash64(F.col(at["text"]).isNull(), at["text"]))
+    more = wordless.union(chosen).withColumn("same", same).dropDuplicates([key, "digest", "same"]).select(*names)
+    return stay.union(more).toDF(*docs.columns)

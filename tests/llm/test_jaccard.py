@@ -79,6 +79,18 @@ def test_keep_one(spark):
     assert ids.count(None) == 2
 
 
+def test_keep_one_judges_each_row_by_its_own_component(spark):
+    one, two, three, lone, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [
+        (1, one), (5, one + " near"), (5, two), (5, two), (5, two + " near"), (5, three), (5, three.upper()),
+        (None, one), (None, lone), (None, lone), (7, None), (7, None), (7, ""), (7, other), (8, two), (9, "one id"),
+    ]
+    kept = J.keep_one_per_component(spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)).collect()
+    got = sorted(((r["doc_id"], (r["text"] or str(r["text"])).lower()[:4]) for r in kept), key=str)
+    want = [(1, "a0 a"), (5, "b0 b"), (5, "c0 c"), (None, "d0 d"), (7, "none"), (7, ""), (7, "e0 e"), (9, "one ")]
+    assert got == sorted(want, key=str)
+
+
 def test_heap_merge_and_search_agree(spark):
     assert list(J.heap_merge([[1, 3, 5], [1, 5], [], [5]])) == [(1, 2), (3, 1), (5, 3)]
     rows = corpus(60)
