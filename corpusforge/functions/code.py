@@ -30,7 +30,7 @@ DEFINITIONS = {
     "java": [rf"(?:public|private|protected)?\s*(?:static)?\s*(?:\w+)\s+({_NAME})\s*\(", rf"class\s+({_NAME})"],
 }
 #: Extensions of each language but the default, javascript.
-LANGUAGE_EXTENSIONS = {"python": "py pyw", "go": "go", "rust": "rs", "java": "java kt scala"}
+LANGUAGE_EXTENSIONS = {"python": [".py", ".pyw"], "go": [".go"], "rust": [".rs"], "java": [".java", ".kt", ".scala"]}
 #: A call, and what names a symbol in a snippet.
 CALL = rf"\b({_JS})\s*\("
 SYMBOLS = [
@@ -44,12 +44,12 @@ SYMBOLS = [
     rf"(?:public|private|protected|static)\s+\w+\s+({_NAME})\s*\(",
 ]
 #: Lower-cased names that are no definition and no call.
-BUILTINS = (
-    "if for while switch catch function async await return throw new typeof instanceof delete void console require import export super this "
-    "parseint parsefloat string number boolean array object map set promise error json math date regexp "
-    "def class print len range str int float list dict tuple bool type isinstance hasattr getattr setattr "
-    "func make append cap panic recover else try finally with all race resolve reject"
-).split()
+BUILTINS = [
+    "if", "for", "while", "switch", "catch", "function", "async", "await", "return", "throw", "new", "typeof", "instanceof", "delete", "void", "console", "require", "import", "export",
+    "super", "this", "parseint", "parsefloat", "string", "number", "boolean", "array", "object", "map", "set", "promise", "error", "json", "math", "date", "regexp", "def", "class",
+    "print", "len", "range", "str", "int", "float", "list", "dict", "tuple", "bool", "type", "isinstance", "hasattr", "getattr", "setattr", "func", "make", "append", "cap", "panic",
+    "recover", "else", "try", "finally", "with", "all", "race", "resolve", "reject",
+]
 
 
 def _col(c: Column | str) -> Column:
@@ -69,7 +69,7 @@ def language(path: Column | str) -> Column:
     ext = extension(path)
     out = F.lit("javascript")
     for name, listed in LANGUAGE_EXTENSIONS.items():
-        out = F.when(ext.isin([f".{e}" for e in listed.split()]), name).otherwise(out)
+        out = F.when(ext.isin(listed), name).otherwise(out)
     return out
 
 

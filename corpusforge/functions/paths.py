@@ -17,69 +17,107 @@ TEMPORARY = ("temp-workspace", ".tmp", "\\temp\\", "/tmp/", "\\\\temp\\\\")
 
 #: MIME type of each extension.
 MIME_TYPES = {
-    "text/javascript": "js mjs cjs jsx",
-    "text/typescript": "ts tsx mts cts",
-    "application/json": "json json5 jsonc",
-    "text/yaml": "yaml yml",
-    "text/x-toml": "toml",
-    "application/xml": "xml",
-    "text/csv": "csv",
-    "text/html": "html htm",
-    "application/xhtml+xml": "xhtml",
-    "text/css": "css",
-    "text/x-scss": "scss",
-    "text/x-sass": "sass",
-    "text/x-less": "less",
-    "text/x-stylus": "styl",
-    "text/x-vue": "vue",
-    "text/x-svelte": "svelte",
-    "text/x-astro": "astro",
-    "text/markdown": "md markdown mdx",
-    "text/plain": "txt cfg conf env",
-    "text/x-rst": "rst",
-    "text/asciidoc": "adoc",
-    "text/x-tex": "tex",
-    "text/x-python": "py pyw",
-    "text/x-cython": "pyx",
-    "text/x-ruby": "rb erb rake gemspec",
-    "text/x-go": "go",
-    "text/x-rust": "rs",
-    "text/x-java": "java",
-    "text/x-kotlin": "kt kts",
-    "text/x-groovy": "groovy gradle",
-    "text/x-scala": "scala",
-    "text/x-clojure": "clj cljs",
-    "text/x-c": "c h",
-    "text/x-c++": "cpp cc cxx hpp hxx",
-    "text/x-objectivec": "m mm",
-    "text/x-csharp": "cs",
-    "text/x-vb": "vb",
-    "text/x-fsharp": "fs",
-    "text/x-shellscript": "sh bash zsh fish",
-    "text/x-batch": "bat cmd",
-    "text/x-powershell": "ps1 psm1",
-    "text/x-sql": "sql pgsql mysql",
-    "text/x-ini": "ini",
-    "text/x-properties": "properties",
-    "text/x-swift": "swift",
-    "text/x-dart": "dart",
-    "text/x-haskell": "hs",
-    "text/x-ocaml": "ml",
-    "text/x-elixir": "ex exs",
-    "text/x-erlang": "erl",
-    "text/x-lua": "lua",
-    "text/x-perl": "pl pm",
-    "text/x-r": "r",
-    "text/x-julia": "jl",
-    "text/x-terraform": "tf",
-    "text/x-hcl": "hcl",
-    "text/x-nix": "nix",
-    "text/x-cmake": "cmake",
-    "text/x-dockerfile": "dockerfile",
-    "text/x-protobuf": "proto",
-    "text/x-graphql": "graphql gql",
-    "text/x-solidity": "sol",
-    "image/svg+xml": "svg",
+    ".js": "text/javascript",
+    ".mjs": "text/javascript",
+    ".cjs": "text/javascript",
+    ".ts": "text/typescript",
+    ".tsx": "text/typescript",
+    ".jsx": "text/javascript",
+    ".mts": "text/typescript",
+    ".cts": "text/typescript",
+    ".json": "application/json",
+    ".json5": "application/json",
+    ".jsonc": "application/json",
+    ".yaml": "text/yaml",
+    ".yml": "text/yaml",
+    ".toml": "text/x-toml",
+    ".xml": "application/xml",
+    ".csv": "text/csv",
+    ".html": "text/html",
+    ".htm": "text/html",
+    ".xhtml": "application/xhtml+xml",
+    ".css": "text/css",
+    ".scss": "text/x-scss",
+    ".sass": "text/x-sass",
+    ".less": "text/x-less",
+    ".styl": "text/x-stylus",
+    ".vue": "text/x-vue",
+    ".svelte": "text/x-svelte",
+    ".astro": "text/x-astro",
+    ".md": "text/markdown",
+    ".markdown": "text/markdown",
+    ".mdx": "text/markdown",
+    ".txt": "text/plain",
+    ".rst": "text/x-rst",
+    ".adoc": "text/asciidoc",
+    ".tex": "text/x-tex",
+    ".py": "text/x-python",
+    ".pyw": "text/x-python",
+    ".pyx": "text/x-cython",
+    ".rb": "text/x-ruby",
+    ".erb": "text/x-ruby",
+    ".rake": "text/x-ruby",
+    ".gemspec": "text/x-ruby",
+    ".go": "text/x-go",
+    ".rs": "text/x-rust",
+    ".java": "text/x-java",
+    ".kt": "text/x-kotlin",
+    ".kts": "text/x-kotlin",
+    ".groovy": "text/x-groovy",
+    ".scala": "text/x-scala",
+    ".clj": "text/x-clojure",
+    ".cljs": "text/x-clojure",
+    ".c": "text/x-c",
+    ".h": "text/x-c",
+    ".cpp": "text/x-c++",
+    ".cc": "text/x-c++",
+    ".cxx": "text/x-c++",
+    ".hpp": "text/x-c++",
+    ".hxx": "text/x-c++",
+    ".m": "text/x-objectivec",
+    ".mm": "text/x-objectivec",
+    ".cs": "text/x-csharp",
+    ".vb": "text/x-vb",
+    ".fs": "text/x-fsharp",
+    ".sh": "text/x-shellscript",
+    ".bash": "text/x-shellscript",
+    ".zsh": "text/x-shellscript",
+    ".fish": "text/x-shellscript",
+    ".bat": "text/x-batch",
+    ".cmd": "text/x-batch",
+    ".ps1": "text/x-powershell",
+    ".psm1": "text/x-powershell",
+    ".sql": "text/x-sql",
+    ".pgsql": "text/x-sql",
+    ".mysql": "text/x-sql",
+    ".ini": "text/x-ini",
+    ".cfg": "text/plain",
+    ".conf": "text/plain",
+    ".properties": "text/x-properties",
+    ".env": "text/plain",
+    ".swift": "text/x-swift",
+    ".dart": "text/x-dart",
+    ".hs": "text/x-haskell",
+    ".ml": "text/x-ocaml",
+    ".ex": "text/x-elixir",
+    ".exs": "text/x-elixir",
+    ".erl": "text/x-erlang",
+    ".lua": "text/x-lua",
+    ".pl": "text/x-perl",
+    ".pm": "text/x-perl",
+    ".r": "text/x-r",
+    ".jl": "text/x-julia",
+    ".tf": "text/x-terraform",
+    ".hcl": "text/x-hcl",
+    ".nix": "text/x-nix",
+    ".cmake": "text/x-cmake",
+    ".gradle": "text/x-groovy",
+    ".dockerfile": "text/x-dockerfile",
+    ".proto": "text/x-protobuf",
+    ".graphql": "text/x-graphql",
+    ".gql": "text/x-graphql",
+    ".sol": "text/x-solidity",
+    ".svg": "image/svg+xml",
 }
 
 
@@ -109,7 +147,7 @@ def extension(path: Column | str) -> Column:
 
 
 def mime_type(path: Column | str) -> Column:
-    table = F.create_map(*[F.lit(x) for mime, names in MIME_TYPES.items() for e in names.split() for x in (f".{e}", mime)])
+    table = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("text/plain"))
 
 

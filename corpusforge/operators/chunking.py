@@ -26,18 +26,30 @@ _TS = r"^(export\s+)?(async\s+)?(function|class|const|let|var|interface|type)\s+
 _CPP = r"^(class|struct|namespace|template|void|int|bool)\s+\w+"
 _SHELL = r"^(\w+\s*\(\)|function\s+\w+)"
 _TAG = r"(?i)^(<(div|section|article|header|footer|nav|main|aside|form|table|template|script|style)\b)"
-#: How a top-level construct begins, by extension (several share one).
+#: How a top-level construct begins, by extension.
 CONSTRUCTS = {
-    "js jsx mjs cjs": _JS,
-    "ts tsx": _TS,
-    "py pyw": r"^(class|def|async\s+def)\s+\w+",
+    "js": _JS,
+    "jsx": _JS,
+    "mjs": _JS,
+    "cjs": _JS,
+    "ts": _TS,
+    "tsx": _TS,
+    "py": r"^(class|def|async\s+def)\s+\w+",
+    "pyw": r"^(class|def|async\s+def)\s+\w+",
     "pyx": r"^(cdef|cpdef|def|class)\s+\w+",
     "java": r"^(public|private|protected)?\s*(static\s+)?(class|interface|enum|void|int|String|boolean)\s+\w+",
-    "kt kts": r"^(class|interface|object|fun|val|var)\s+\w+",
+    "kt": r"^(class|interface|object|fun|val|var)\s+\w+",
+    "kts": r"^(class|interface|object|fun|val|var)\s+\w+",
     "scala": r"^(class|object|trait|def|val|var)\s+\w+",
     "c": r"^(struct|enum|union|void|int|char|float|double)\s+\w+",
-    "cpp cc cxx h hpp hxx": _CPP,
-    "cs csx": r"^(public|private|protected)?\s*(static\s+)?(class|interface|struct|enum|void|int|string|bool)\s+\w+",
+    "cpp": _CPP,
+    "cc": _CPP,
+    "cxx": _CPP,
+    "h": _CPP,
+    "hpp": _CPP,
+    "hxx": _CPP,
+    "cs": r"^(public|private|protected)?\s*(static\s+)?(class|interface|struct|enum|void|int|string|bool)\s+\w+",
+    "csx": r"^(public|private|protected)?\s*(static\s+)?(class|interface|struct|enum|void|int|string|bool)\s+\w+",
     "go": r"^(func|type|const|var)\s+\w+",
     "rs": r"^(pub\s+)?(fn|struct|enum|trait|impl|const|static|mod)\s+\w+",
     "php": r"^(class|interface|trait|function|const)\s+\w+",
@@ -47,32 +59,38 @@ CONSTRUCTS = {
     "swift": r"^(class|struct|enum|protocol|func|var|let|extension)\s+\w+",
     "r": r"^(\w+)\s*(<-|=)\s*function",
     "lua": r"^(function|local\s+function)\s+\w+",
-    "sh bash zsh": _SHELL,
+    "sh": _SHELL,
+    "bash": _SHELL,
+    "zsh": _SHELL,
     "fish": r"^function\s+\w+",
     "css": r"^(\.|#|@media|@keyframes|@font-face|\w+)\s*[{,]",
     "scss": r"^(\$\w+:|@mixin|@function|@include|\.|#|@media)\s*",
     "sass": r"^(\$\w+:|=\w+|\+\w+|\.|#|@media)\s*",
     "less": r"^(@\w+:|\.|#|@media)\s*",
     "styl": r"^(\$\w+\s*=|\w+\(|\.|#)\s*",
-    "html htm": _TAG,
+    "html": _TAG,
+    "htm": _TAG,
     "xml": r"^(<\w+|\s*<!\[CDATA\[)",
     "svg": r"^(<svg|<g|<path|<defs|<symbol)\b",
     "json": r'^(\s*"[\w-]+"\s*:\s*[\[{])',
-    "yaml yml": r"^(\w[\w-]*:\s*[|>]?$|\w[\w-]*:\s*$)",
+    "yaml": r"^(\w[\w-]*:\s*[|>]?$|\w[\w-]*:\s*$)",
+    "yml": r"^(\w[\w-]*:\s*[|>]?$|\w[\w-]*:\s*$)",
     "toml": r"^(\[\[?\w+\]?\]?|\w+\s*=)",
     "ini": r"^(\[\w+\]|\w+\s*=)",
     "env": r"^[A-Z_][A-Z0-9_]*=",
-    "makefile mk": r"^([A-Za-z0-9_./-]+)\s*:(?!=)",
+    "makefile": r"^([A-Za-z0-9_./-]+)\s*:(?!=)",
+    "mk": r"^([A-Za-z0-9_./-]+)\s*:(?!=)",
     "dockerfile": r"(?i)^(FROM|RUN|CMD|LABEL|EXPOSE|ENV|ADD|COPY|ENTRYPOINT|VOLUME|USER|WORKDIR|ARG|ONBUILD|STOPSIGNAL|HEALTHCHECK|SHELL)\s+",
     "md": r"^(#{1,6}\s+|```|\*{3}|_{3})",
     "mdx": r"^(#{1,6}\s+|```|import\s+|export\s+)",
     "txt": r"^.{50,}",
     "rst": r"^(={3,}|-{3,}|~{3,}|\.\.\s+\w+::)",
     "sql": r"(?i)^(CREATE|ALTER|INSERT|UPDATE|DELETE|SELECT|DROP|GRANT|REVOKE|WITH|DECLARE|BEGIN|END)\s+",
-    "pl pm": r"^(sub|package|use|require)\s+\w+",
+    "pl": r"^(sub|package|use|require)\s+\w+",
+    "pm": r"^(sub|package|use|require)\s+\w+",
     "vim": r"^(function|command|autocmd|let\s+g:)\s*",
 }
-_BY_EXTENSION = {e: re.compile(p.replace("$)", r"\Z)"), re.A) for names, p in CONSTRUCTS.items() for e in names.split()}
+_BY_EXTENSION = {e: re.compile(p.replace("$)", r"\Z)"), re.A) for e, p in CONSTRUCTS.items()}
 
 _SPACE_CHARS = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "     ﻿"
 _RUN = re.compile(r"[\x00-\x08\x0E-\x1F\x21-\x7F]+")

@@ -7,63 +7,77 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, dirname, glob_to_regex
 
-#: Marker files of each project type.
+#: Marker files and the project type that each tells.
 MARKERS = {
-    "javascript": "package.json package-lock.json yarn.lock pnpm-lock.yaml",
-    "python": "requirements.txt Pipfile pyproject.toml setup.py",
-    "android": "build.gradle build.gradle.kts settings.gradle",
-    "java": "pom.xml",
-    "ios": "Podfile Package.swift",
-    "go": "go.mod",
-    "php": "composer.json",
-    "rust": "Cargo.toml",
-    "ruby": "Gemfile",
-    "dotnet": "*.csproj *.sln",
+    "package.json": "javascript",
+    "package-lock.json": "javascript",
+    "yarn.lock": "javascript",
+    "pnpm-lock.yaml": "javascript",
+    "requirements.txt": "python",
+    "Pipfile": "python",
+    "pyproject.toml": "python",
+    "setup.py": "python",
+    "build.gradle": "android",
+    "build.gradle.kts": "android",
+    "settings.gradle": "android",
+    "pom.xml": "java",
+    "Podfile": "ios",
+    "Package.swift": "ios",
+    "go.mod": "go",
+    "composer.json": "php",
+    "Cargo.toml": "rust",
+    "Gemfile": "ruby",
+    "*.csproj": "dotnet",
+    "*.sln": "dotnet",
 }
 #: Directories that are not searched for markers.
-SKIPPED = "node_modules dist build target vendor coverage htmlcov typings nltk_data secrets venv env __pycache__ eggs .eggs".split()
-#: Ignored directories and files of each project type; "common" always holds.
-DIRECTORIES = {
-    "javascript": "node_modules .next dist build .nuxt .output .vercel .netlify out coverage .nyc_output .pnpm-store .turbo",
-    "python": "__pycache__ build develop-eggs dist downloads eggs .eggs lib lib64 parts sdist var *.egg-info .venv venv env ENV .pytest_cache htmlcov .tox .hypothesis .mypy_cache .ruff_cache",
-    "java": "target .gradle build .idea out gen classes .settings .m2",
-    "android": ".gradle build .idea captures .externalNativeBuild .cxx .navigation",
-    "ios": "Pods DerivedData xcuserdata build .build Packages .swiftpm Carthage/Build fastlane/screenshots fastlane/test_output",
-    "go": "vendor bin pkg",
-    "php": "vendor",
-    "rust": "target",
-    "ruby": "vendor/bundle .bundle",
-    "dotnet": "bin obj packages .vs node_modules",
-    "common": ".git .svn .hg .bzr $RECYCLE.BIN logs .vscode .idea nbproject .settings .metadata .c9 tmp temp .cache .sass-cache coverage .nyc_output test-results htmlcov docs/_build site",
-}
-FILES = {
-    "javascript": "npm-debug.log* yarn-debug.log* yarn-error.log* package-lock.json pnpm-lock.yaml bun.lockb yarn.lock",
-    "python": "*.pyc *.pyd .Python .installed.cfg *.egg .coverage",
-    "java": "*.iml .classpath .project *.class *.jar *.war *.ear",
-    "android": "*.iml local.properties *.apk *.aar *.ap_ *.dex google-services.json gradle-app.setting",
-    "ios": "*.xcarchive fastlane/report.xml fastlane/Preview.html *.moved-aside *.xcuserstate *.hmap *.ipa",
-    "go": "*.exe *.test *.prof",
-    "php": "composer.phar composer.lock .phpunit.result.cache",
-    "rust": "Cargo.lock *.rs.bk",
-    "ruby": "Gemfile.lock .byebug_history",
-    "dotnet": "*.user *.suo",
-    "common": ".DS_Store Thumbs.db desktop.ini *.bak *.backup *~ *.swp *.swo *.swn #*# .#* *.lock .~lock* *.log *.log.* .sublime-project .sublime-workspace .classpath .project *.launch *.tmproj *.tmproject tmtags .*.sw? Session.vim .env .env.local .env.*.local .env.production .env.development .env.test secrets.json secrets.yaml secrets.yml *.key *.pem *.crt *.cer *.p12 *.pfx *.tmp *.temp connect.lock *.pid *.seed *.pid.lock *.cover *.coverage *.orig core *.core",
-}
-
-
-def patterns_of(kind: str) -> list[str]:
-    """Globs of a project type."""
-    return [f"**/{d}/**" for d in DIRECTORIES.get(kind, "").split()] + [f"**/{f}" for f in FILES.get(kind, "").split()]
-
-
-PATTERNS = {kind: patterns_of(kind) for kind in MARKERS}
-COMMON_PATTERNS = patterns_of("common")
+SKIPPED = ["node_modules", "dist", "build", "target", "vendor", "coverage", "htmlcov", "typings", "nltk_data", "secrets", "venv", "env", "__pycache__", "eggs", ".eggs"]
+#: Ignore patterns of each project type.
+PATTERNS = {
+    "javascript": [
+        "**/node_modules/**", "**/.next/**", "**/dist/**", "**/build/**", "**/.nuxt/**", "**/.output/**", "**/.vercel/**", "**/.netlify/**", "**/out/**", "**/coverage/**", "**/.nyc_output/**",
+        "**/npm-debug.log*", "**/yarn-debug.log*", "**/yarn-error.log*", "**/.pnpm-store/**", "**/.turbo/**", "**/package-lock.json", "**/pnpm-lock.yaml", "**/bun.lockb", "**/yarn.lock",
+    ],
+    "python": [
+        "**/__pycache__/**", "**/*.pyc", "**/*.pyd", "**/.Python", "**/build/**", "**/develop-eggs/**", "**/dist/**", "**/downloads/**", "**/eggs/**", "**/.eggs/**", "**/lib/**", "**/lib64/**",
+        "**/parts/**", "**/sdist/**", "**/var/**", "**/*.egg-info/**", "**/.installed.cfg", "**/*.egg", "**/.venv/**", "**/venv/**", "**/env/**", "**/ENV/**", "**/.pytest_cache/**", "**/htmlcov/**",
+        "**/.tox/**", "**/.coverage", "**/.hypothesis/**", "**/.mypy_cache/**", "**/.ruff_cache/**",
+    ],
+    "java": [
+        "**/target/**", "**/.gradle/**", "**/build/**", "**/.idea/**", "**/*.iml", "**/out/**", "**/gen/**", "**/classes/**", "**/.classpath", "**/.project", "**/.settings/**", "**/.m2/**",
+        "**/*.class", "**/*.jar", "**/*.war", "**/*.ear",
+    ],
+    "android": [
+        "**/.gradle/**", "**/build/**", "**/.idea/**", "**/*.iml", "**/local.properties", "**/captures/**", "**/.externalNativeBuild/**", "**/.cxx/**", "**/*.apk", "**/*.aar", "**/*.ap_", "**/*.dex",
+        "**/google-services.json", "**/gradle-app.setting", "**/.navigation/**",
+    ],
+    "ios": [
+        "**/Pods/**", "**/DerivedData/**", "**/xcuserdata/**", "**/*.xcarchive", "**/build/**", "**/.build/**", "**/Packages/**", "**/.swiftpm/**", "**/Carthage/Build/**", "**/fastlane/report.xml",
+        "**/fastlane/Preview.html", "**/fastlane/screenshots/**", "**/fastlane/test_output/**", "**/*.moved-aside", "**/*.xcuserstate", "**/*.hmap", "**/*.ipa",
+    ],
+    "go": ["**/vendor/**", "**/bin/**", "**/pkg/**", "**/*.exe", "**/*.test", "**/*.prof"],
+    "php": ["**/vendor/**", "**/composer.phar", "**/composer.lock", "**/.phpunit.result.cache"],
+    "rust": ["**/target/**", "**/Cargo.lock", "**/*.rs.bk"],
+    "ruby": ["**/vendor/bundle/**", "**/.bundle/**", "**/Gemfile.lock", "**/.byebug_history"],
+    "dotnet": ["**/bin/**", "**/obj/**", "**/packages/**", "**/*.user", "**/*.suo", "**/.vs/**", "**/node_modules/**"],
+}
+#: Ignore patterns that always hold.
+COMMON_PATTERNS = [
+    "**/.git/**", "**/.svn/**", "**/.hg/**", "**/.bzr/**", "**/.DS_Store", "**/Thumbs.db", "**/desktop.ini", "**/$RECYCLE.BIN/**",
+    "**/*.bak", "**/*.backup", "**/*~", "**/*.swp", "**/*.swo", "**/*.swn", "**/#*#", "**/.#*", "**/*.lock", "**/.~lock*", "**/*.log", "**/logs/**", "**/*.log.*",
+    "**/.vscode/**", "**/.idea/**", "**/.sublime-project", "**/.sublime-workspace", "**/nbproject/**", "**/.settings/**", "**/.metadata/**", "**/.classpath", "**/.project", "**/.c9/**",
+    "**/*.launch", "**/*.tmproj", "**/*.tmproject", "**/tmtags", "**/.*.sw?", "**/Session.vim",
+    "**/.env", "**/.env.local", "**/.env.*.local", "**/.env.production", "**/.env.development", "**/.env.test", "**/secrets.json", "**/secrets.yaml", "**/secrets.yml",
+    "**/*.key", "**/*.pem", "**/*.crt", "**/*.cer", "**/*.p12", "**/*.pfx", "**/tmp/**", "**/temp/**", "**/*.tmp", "**/*.temp", "**/.cache/**",
+    "**/.sass-cache/**", "**/connect.lock", "**/*.pid", "**/*.seed", "**/*.pid.lock", "**/coverage/**", "**/.nyc_output/**", "**/test-results/**", "**/*.cover", "**/*.coverage", "**/htmlcov/**",
+    "**/docs/_build/**", "**/site/**", "**/*.orig", "**/core", "**/*.core",
+]
 
 
 def _type_of(name: Column, markers: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
-    for kind, listed in reversed(markers.items()):
-        out = F.when(name.rlike("|".join(f"(?:{glob_to_regex(g)})" for g in listed.split())), kind).otherwise(out)
+    for marker, kind in reversed(markers.items()):
+        out = F.when(name.rlike(glob_to_regex(marker)), kind).otherwise(out)
     return out
 
 

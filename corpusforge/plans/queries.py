@@ -363,7 +363,7 @@ NAMES = ["a/b/Main.java", "x.PY", "README.md", "Makefile", ".env", "dir/archive.
 _NAMES_SQL = "(SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS path)"
 _BASE_SQL = "regexp_extract(path, '([^/]*)/*$', 1)"
 _EXT_SQL = f"CASE WHEN regexp_matches({_BASE_SQL}, '^[^.].*\\.') THEN lower(regexp_extract({_BASE_SQL}, '(\\.[^.]*)$', 1)) ELSE '' END"
-_MIME_SQL = "CASE " + " ".join(f"WHEN ext IN ({', '.join(chr(39) + '.' + e + chr(39) for e in names.split())}) THEN '{mime}'" for mime, names in paths.MIME_TYPES.items()) + " ELSE 'text/plain' END"
+_MIME_SQL = "CASE ext " + " ".join(f"WHEN '{ext}' THEN '{mime}'" for ext, mime in paths.MIME_TYPES.items()) + " ELSE 'text/plain' END"
 
 
 def name_table(spark) -> DataFrame:
@@ -388,7 +388,7 @@ def resource_list(spark, d):
 PROJECT_FILES = ["package.json", "src/app/App.csproj", "a/b/c/go.mod", "node_modules/x/Cargo.toml", "sub/requirements.txt", "deep/er/pom.xml"]
 
 
-@query(f"SELECT unnest(list_distinct([{', '.join(chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) for k in ('common', 'javascript', 'dotnet', 'python', 'java') for p in projects.patterns_of(k))}])) AS pattern")
+@query(f"SELECT unnest(list_distinct([{', '.join(chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) for p in [*projects.COMMON_PATTERNS, *(p for k in ('javascript', 'dotnet', 'python', 'java') for p in projects.PATTERNS[k])])}])) AS pattern")
 def project_detect_union(spark, d):
     return projects.smart_patterns(projects.detect_projects(spark.createDataFrame([(p,) for p in PROJECT_FILES], "path string")))
 
