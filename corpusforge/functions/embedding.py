@@ -77,12 +77,17 @@ def hashing_provider(dim: int = DIM, normalize: bool = True) -> Callable[[Column
     return embed
 
 
-def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], text: str = "text", batch: int = 64) -> DataFrame:
+class BreakerOpen(RuntimeError):
+    """Too many texts failed one after the other; the model is at fault, not a text."""
+
+
+def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], text: str = "text", batch: int = 64, fail_fast: int | None = None) -> DataFrame:
     """``df`` with a struct column ``embedding(vector, error, success)``.
 
     ``make`` is called once a Python worker (that is where a model is loaded) and gives a
     function of a list of texts.  A batch that fails is repeated text by text, so one bad
-    text costs its own row only.
+    text costs its own row only.  With ``fail_fast`` the task fails after so many failures
+    without a success between them, instead of going through all texts with a dead model.
     """
     shape = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType(), False)), T.StructField("error", T.StringType()), T.StructField("success", T.BooleanType())])
 
@@ -90,11 +95,19 @@ def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], li
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
 
+        failures = 0
+
         def one(t: str) -> tuple:
+            nonlocal failures
             try:
-                return [float(x) for x in model([t])[0]], None, True
+                made = [float(x) for x in model([t])[0]], None, True
             except Exception as e:  # the row carries the error
+                failures += 1
+                if fail_fast and failures >= fail_fast:
+                    raise BreakerOpen(f"{failures} failures one after the other: {e}") from e
                 return None, str(e), False
+            failures = 0
+            return made
 
         for texts in batches:
             rows, all_texts = [], texts.tolist()
@@ -102,6 +115,7 @@ def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], li
                 part = all_texts[i : i + batch]
                 try:
                     rows += [([float(x) for x in v], None, True) for v in model(part)]
+                    failures = 0
                 except Exception:
                     rows += [one(t) for t in part]
             yield pd.DataFrame(rows, columns=["vector", "error", "success"])

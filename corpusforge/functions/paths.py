@@ -143,7 +143,7 @@ def dirname(path: Column | str) -> Column:
 
 def extension(path: Column | str) -> Column:
     """Lower-cased extension with its dot; '' for names without one or with a leading dot only."""
-    return F.lower(F.regexp_extract(basename(path), r"[^.].*?(\.[^.]*)$|^\.+[^.]+.*(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(basename(path), r"(?s)^(?!\.\.$).+(\.[^.]*)$", 1))
 
 
 def mime_type(path: Column | str) -> Column:

@@ -23,6 +23,8 @@ from .search import comparable, semantic_score
 SAMPLE, ROUNDS = 20_000, 12
 #: Share of the exact neighbours that the default effort finds in the sample.
 RECALL = 0.95
+#: Rows of a list that one file holds, about.
+LIST_ROWS = 1_000_000
 VERSION = 1
 
 
@@ -35,6 +37,12 @@ class AnnMeta:
     count: int
     lists: int
     nprobe: int
+    capacity: int = 0
+
+
+def capacity(count: int) -> int:
+    """Rows for which the lists of ``count`` rows still do; beyond it they are trained anew."""
+    return max(count, -(-count * 6 // 5), count + 1024)
 
 
 def train_centroids(vectors: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -95,7 +103,7 @@ class IvfIndex:
             vectors = np.zeros((1, max(1, dim)))
         lists = lists or max(1, min(4096, int(round(count**0.5))))
         centers = train_centroids(vectors, lists)
-        meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers))
+        meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers), capacity(count))
         return cls(cls._placed(rows, centers), centers, meta)._stored(path)
 
     @staticmethod
@@ -103,10 +111,14 @@ class IvfIndex:
         shared = rows.sparkSession.sparkContext.broadcast(centers)  # at most 4096 centroids
         return rows.select("chunk_id", "vector").mapInArrow(_assign(shared, 1), "chunk_id long, vector array<float>, list_no int")
 
-    def _stored(self, path: str | None) -> IvfIndex:
+    def _stored(self, path: str | None, mode: str = "overwrite") -> IvfIndex:
+        """Lists as partitions below ``path``: a list's rows are brought together before, in
+        as many tasks as a large list needs, so there are few files a list."""
         if path is None:
             return self
-        self.rows.write.mode("append").partitionBy("list_no").parquet(f"{path}/lists")
+        parts = 1 + self.meta.count // (self.meta.lists * LIST_ROWS)
+        placed = self.rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).repartition("list_no", "_part").drop("_part")
+        placed.write.mode(mode).partitionBy("list_no").parquet(f"{path}/lists")
         spark = self.rows.sparkSession
         spark.createDataFrame([(json.dumps(asdict(self.meta)), [[float(x) for x in c] for c in self.centroids])], "meta string, centroids array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return IvfIndex(spark.read.parquet(f"{path}/lists"), self.centroids, self.meta, path)
@@ -120,13 +132,19 @@ class IvfIndex:
             return None
         return cls(spark.read.parquet(f"{path}/lists"), np.array(row["centroids"]), meta, path)
 
-    def add(self, chunks: DataFrame) -> IvfIndex:
-        """Further rows go to their nearest lists; centroids stay."""
-        rows = comparable(chunks, self.meta.dim).select("chunk_id", "vector")
-        placed, n = self._placed(rows, self.centroids), rows.count()
+    def add(self, chunks: DataFrame) -> IvfIndex | None:
+        """Further rows go to their nearest lists; centroids stay.  Ids that the index has
+        already are left out.  None if the rows go beyond the index's capacity: build anew."""
+        rows = comparable(chunks, self.meta.dim).select("chunk_id", "vector").dropDuplicates(["chunk_id"]).join(self.rows.select("chunk_id"), "chunk_id", "left_anti")
+        n = rows.count()
+        if self.meta.count + n > self.meta.capacity:
+            return None
+        placed = self._placed(rows, self.centroids)
         self.meta.count += n
         if self.path:
-            return IvfIndex(placed, self.centroids, self.meta)._stored(self.path)
+            if n == 0:
+                return self
+            return IvfIndex(placed, self.centroids, self.meta)._stored(self.path, "append")
         return IvfIndex(self.rows.unionByName(placed), self.centroids, self.meta)
 
     def set_effort(self, nprobe: int) -> None:

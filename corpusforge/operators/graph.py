@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 
 def call_edges(call_data: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``call_data(file, definitions, calls)`` to the two edge tables."""
+    """``call_data(file, definitions, calls)``, best a stored table, to the two edge tables."""
     edge = lambda c: call_data.select(F.explode(c).alias("symbol"), "file").distinct()
     return edge("definitions"), edge("calls")
 
 
-def inverted_index(edges: DataFrame) -> DataFrame:
-    """symbol to its files, sorted."""
-    return edges.groupBy("symbol").agg(F.sort_array(F.collect_set("file")).alias("files"))
+def inverted_index(edges: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(symbol, file) rows, of some symbols if they are given; one row a file, so a symbol
+    that most files call is no single value."""
+    rows = edges.select("symbol", "file").distinct()
+    return rows if symbols is None else rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
 
 
 def graph_stats(defines: DataFrame, called_by: DataFrame) -> DataFrame:

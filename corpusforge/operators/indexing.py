@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Files changed this recently are always hashed again.
 FRESH_MS = 2000
@@ -102,19 +103,52 @@ def replace_by_file(chunks: DataFrame, changed: DataFrame, new: DataFrame, key:
     return chunks.join(changed.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def dense_index(chunks: DataFrame, order: str = "chunk_id", name: str = "index") -> DataFrame:
-    """Gapless numbers from 0 in order of ``order``.
+#: Rows of a range that is summed in one task, about; most ranges; keys sampled a range.
+RANGE_ROWS, MOST_RANGES, SAMPLES = 100_000, 8192, 32
 
-    Numbering is two-level: rows are dealt out in ranges, counted per range, and numbered
-    within, so no task sees more than its range.
+
+def _borders(rows: DataFrame, order: str, n: int, ranges: int) -> DataFrame:
+    """One row: ``_borders``, quantiles of a sample of the order keys, drawn by their hash.
+
+    The borders are values, not partitions of one physical plan, so every use of them cuts
+    the rows alike.  At most about SAMPLES * MOST_RANGES keys reach the driver.
+    """
+    draw = F.pmod(F.xxhash64(order), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    keys = [r[0] for r in rows.where(draw < SAMPLES * ranges / n).select(order).sort(order).collect()]
+    picked = [k for k in (keys[len(keys) * i // ranges] for i in range(1, ranges)) if k is not None] if keys else []
+    kind = rows.schema[order].dataType
+    return rows.sparkSession.createDataFrame([(picked,)], T.StructType([T.StructField("_borders", T.ArrayType(kind))]))
+
+
+def running_total(rows: DataFrame, order: str, weight: str | None = None, name: str = "total", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with the sum of ``weight`` (rows, if None) up to and including each row.
+
+    Ranges of ``order`` are summed first; a row's total is what lies before its range plus
+    a window inside it, so no task sees more than a range.  Rows of equal order are summed
+    in any order; a key that repeats very often makes its range as large.
     """
-    parts = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = chunks.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_low"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_start", before).select("_p", "_start")  # a row a partition
-    nth = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return ranged.join(F.broadcast(starts), "_p").withColumn(name, (nth + F.col("_start")).cast("long")).drop("_p", "_start")
+    amount = F.lit(1) if weight is None else F.col(weight)
+    n = rows.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // range_rows)))
+    if ranges == 1:
+        return rows.withColumn(name, F.sum(amount).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("long"))  # ``range_rows`` rows at most
+    steps = ranges.bit_length()
+    middle = "cast((s.lo + s.hi) div 2 as int)"
+    place = F.expr(
+        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_borders)), (s, i) -> if(s.lo < s.hi, "
+        f"if(_borders[{middle}] <= `{order}`, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})), s), s -> s.lo)"
+    )
+    ranged = rows.crossJoin(F.broadcast(_borders(rows, order, n, ranges))).withColumn("_range", place).drop("_borders")  # one row
+    sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))  # a row a range
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_range", before.alias("_before"))
+    inside = F.sum(amount).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
+def dense_index(chunks: DataFrame, order: str = "chunk_id", name: str = "index", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Gapless numbers from 0 in order of ``order``, by ``running_total``."""
+    return running_total(chunks, order, None, name, range_rows).withColumn(name, F.col(name) - 1)
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
@@ -123,8 +157,14 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 
 def group_by_file(chunks: DataFrame) -> DataFrame:
-    """file to its ordered chunk ids."""
-    return chunks.groupBy("file").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    """(file, place, chunk_id): the chunks of each file in order, numbered from 0.
+
+    One row a chunk, so a file of any size is no single value or task.
+    """
+    rows = chunks.select("file", "chunk_id").withColumn("_key", F.struct("file", "chunk_id"))
+    numbered = dense_index(rows, "_key", "_n").drop("_key")
+    first = numbered.groupBy("file").agg(F.min("_n").alias("_first"))
+    return numbered.join(first.withColumnRenamed("file", "_file"), F.col("file").eqNullSafe(F.col("_file"))).select("file", (F.col("_n") - F.col("_first")).alias("place"), "chunk_id")
 
 
 def lru_keep(entries: DataFrame, limit: int = 5000, keep: int = 4000, time: str = "last_used", key: str = "key") -> DataFrame:
@@ -135,20 +175,56 @@ def lru_keep(entries: DataFrame, limit: int = 5000, keep: int = 4000, time: str
     return best.withColumn("_n", n).crossJoin(F.broadcast(total)).where(f"_total <= {limit} or _n <= {keep}").drop("_n", "_total")
 
 
-def coalesce_events(events: DataFrame, limit: int = 10_000, keep: int = 5000) -> DataFrame:
-    """``events(path, event_type, seq)`` to one row per path: its last type, in order of the
-    path's first event.  With ``limit`` paths or more only the ``keep`` latest-first stay."""
-    last = events.groupBy("path").agg(F.max_by("event_type", "seq").alias("event_type"), F.min("seq").alias("first_seq"))
-    total = last.agg(F.count("*").alias("_total"))
-    late = last.orderBy(F.desc("first_seq"), "path").limit(max(limit, keep))
+def coalesce_events(events: DataFrame) -> DataFrame:
+    """``events(path, event_type, seq)`` to one row per path: its last type and the ``seq`` of
+    its first event."""
+    return events.groupBy("path").agg(F.max_by("event_type", "seq").alias("event_type"), F.min("seq").alias("first_seq"))
+
+
+def trim_pending(pending: DataFrame, limit: int = 10_000, keep: int = 5000) -> DataFrame:
+    """What a live queue holds on to: all of ``pending(path, event_type, first_seq)`` below
+    ``limit`` paths, else the ``keep`` latest.
+
+    For a queue in memory that would overflow.  A stream's backlog lies in its source and is
+    not trimmed.
+    """
+    total = pending.agg(F.count("*").alias("_total"))
+    late = pending.orderBy(F.desc("first_seq"), "path").limit(max(limit, keep))
     n = F.row_number().over(Window.orderBy(F.desc("first_seq"), "path"))  # at most ``limit`` rows
     return late.withColumn("_n", n).crossJoin(F.broadcast(total)).where(f"_total < {limit} or _n <= {keep}").drop("_n", "_total")
 
 
-def nearest_rank(values: DataFrame, column: str, percent: float) -> Column:
-    """Element at min(n - 1, floor(p / 100 * n)) of the sorted values; aggregate in ``agg``.
+def nearest_rank(values: DataFrame, group: str, column: str, percent: float, name: str = "value") -> DataFrame:
+    """(group, name): the element at min(n - 1, floor(percent / 100 * n)) of each group's sorted
+    values; exact.
+
+    Values are counted first, and the rank is looked up in a running total over all groups,
+    so a group is never one task's work.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("_n")).withColumn("_key", F.struct(group, column))
+    total = running_total(counted, "_key", "_n", "_upto").withColumn("_from", F.col("_upto") - F.col("_n"))
+    asked = total.groupBy(F.col(group).alias("_group")).agg(F.min("_from").alias("_first"), F.sum("_n").alias("_all"))
+    rank = F.col("_first") + F.least(F.col("_all") - 1, F.floor(F.col("_all") * percent / 100))
+    found = total.join(asked, F.col(group).eqNullSafe(F.col("_group"))).where((F.col("_from") <= rank) & (rank < F.col("_upto")))
+    return found.select(group, F.col(column).alias(name))
+
+
+def breaker(results: DataFrame, limit: int = 8, scope: str = "scope", order: str = "seq", success: str = "success") -> DataFrame:
+    """(scope, tripped_at, failures): where ``limit`` failures follow one another without a
+    success between them, first of each scope.
 
-    For latency samples of a benchmark: the values of one group come together.
+    A run of failures is what lies between two successes: their running total names it, and
+    a running number of all rows finds its row ``limit``, so no scope is one task's work.
     """
-    ordered = F.sort_array(F.collect_list(column))
-    return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * percent / 100).cast("int") + 1))
+    rows = results.select(scope, order, F.col(success).cast("int").alias("_ok")).withColumn("_key", F.struct(scope, order))
+    placed = running_total(running_total(rows, "_key", "_ok", "_run"), "_key", None, "_at").drop("_key")
+    runs = placed.where("_ok = 0").groupBy(scope, "_run").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    tripped = runs.groupBy(F.col(scope).alias("_scope")).agg(F.min(F.when(F.col("_n") >= limit, F.col("_first") + limit - 1)).alias("_trip"), F.sum("_n").alias("failures"))
+    hit = placed.join(tripped.where("_trip is not null"), F.col("_at") == F.col("_trip"))
+    return hit.select(scope, F.col(order).alias("tripped_at"), "failures")
+
+
+def error_list(results: DataFrame, stage: str, scope: str = "scope", order: str = "seq", message: str = "error") -> DataFrame:
+    """(stage, scope, at, message) of every row with an error, for the list that a status
+    report shows; read it with ``orderBy("at").limit(n)``."""
+    return results.where(F.col(message).isNotNull()).select(F.lit(stage).alias("stage"), F.col(scope).alias("scope"), F.col(order).alias("at"), F.col(message).alias("message"))

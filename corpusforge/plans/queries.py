@@ -6,6 +6,7 @@ The test tables stand in for a code index: a chunk is a row of ``documents``, a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from math import inf
 
@@ -16,6 +17,8 @@ from ..functions import code, embedding, logs, paths, registry
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ann, chunking, graph, indexing, projects, retention, search
+from ..sources import files, stores
+from ..sources.shared import shared_root, stored, stored_path
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,12 +94,53 @@ def json_vector_round(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.store_round("embedding").alias("vector"))
 
 
+def vector_index(spark, d) -> ann.IvfIndex:
+    """The approximate index of ``vectors``, built and stored once."""
+    path = stored_path(spark, f"{d} index", lambda p: ann.IvfIndex.build(vectors(spark, d), path=p))
+    return ann.IvfIndex.load(spark, path, "hashing", 64)
+
+
 @query()
 def ann_topk(spark, d):
-    index = ann.IvfIndex.build(vectors(spark, d))
+    index = vector_index(spark, d)
+    return index.search(query_vector(spark, d), 10).select(F.col("chunk_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT count(*) >= 9 AS recall_reached, count(*) FILTER (found) = count(*) AS all_scores_exact FROM (SELECT true AS found FROM range(9))")
+def ann_recall(spark, d):
+    """Of the exact ten best, at least nine are found, under their exact scores."""
+    rows, q = vectors(spark, d), query_vector(spark, d)
+    exact = search.comparable(rows, len(q)).select("chunk_id", F.round(search.semantic_score(q), 6).alias("exact")).orderBy(F.desc("exact"), "chunk_id").limit(10)
+    near = vector_index(spark, d).search(q, 10).select("chunk_id", F.round("similarity", 6).alias("similarity"))
+    both = exact.join(near, "chunk_id")
+    return both.agg((F.count("*") >= 9).alias("recall_reached"), (F.count_if(F.col("exact") == F.col("similarity")) == F.count("*")).alias("all_scores_exact"))
+
+
+@query(f"SELECT vec_id, round({_DOT}, 6) AS similarity FROM embeddings, {_Q} ORDER BY {_DOT} DESC, vec_id LIMIT 10")
+def ann_all_lists(spark, d):
+    """With every list probed the index gives the exact result."""
+    index = vector_index(spark, d)
+    index.set_effort(min(1000, index.meta.lists))
     return index.search(query_vector(spark, d), 10).select(F.col("chunk_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("""SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 10 <> 0) AS before, (SELECT count(*) FROM embeddings) AS after, (SELECT count(*) FROM embeddings) AS again""")
+def ann_add(spark, d):
+    """Rows added to stored lists; those that are there already are not stored twice."""
+    late = vectors(spark, d).where("chunk_id % 10 = 0")
+    counts = []
+
+    def make(path):
+        index = ann.IvfIndex.build(vectors(spark, d).where("chunk_id % 10 <> 0"), path=path)
+        counts.append(index.rows.count())
+        for _ in range(2):
+            index = index.add(late)
+            counts.append(index.rows.count())
+
+    make(f"{shared_root(spark)}/corpusforge/grown-{uuid.uuid4().hex}")
+    return spark.createDataFrame([tuple(counts)], "before long, after long, again long")
+
+
 @query("""SELECT k, n, least(n, greatest(k, least(200, greatest(50, ceil(k * 20.0)::BIGINT)))) AS candidates, greatest(n, ceil(n * 1.2)::BIGINT, n + 1024) AS capacity,
   CASE WHEN n > 5000 THEN 500 WHEN n > 1000 THEN 100 WHEN n > 500 THEN 50 ELSE 10 END AS batch, floor(10 + 85 * k / n)::INTEGER AS percent
 FROM (SELECT k::BIGINT AS k FROM range(1, 300, 7) r(k)), (SELECT (n * n)::BIGINT AS n FROM range(1, 150, 3) s(n)) WHERE k <= n""")
@@ -123,8 +167,10 @@ _TEXT = f"""CASE WHEN contains(lower(text), '{QUERY}') THEN 1.5 ELSE 0.3 * (cont
 
 
 def chunk_table(spark, d) -> DataFrame:
+    """Chunks of the documents with their vectors, stored once as an index is."""
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.col("text").alias("content"), embedding.hashing_provider()(F.col("text")).alias("vector"))
+    made = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.col("text").alias("content"), embedding.hashing_provider()(F.col("text")).alias("vector"))
+    return stored(spark, f"{d} chunks", lambda: made)
 
 
 def source_times(spark, d) -> DataFrame:
@@ -144,6 +190,12 @@ def hybrid_search(spark, d):
     return found.select("chunk_id", "file", F.round("score", 4).alias("score"))
 
 
+def page_chunks(spark, d) -> DataFrame:
+    pages = table(spark, d, "pages")
+    made = pages.select(F.col("page_id").alias("chunk_id"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("content"), embedding.hashing_provider()(F.col("html")).alias("vector"))
+    return stored(spark, f"{d} page chunks", lambda: made)
+
+
 @query(f"""WITH {_EMB.format(src="documents")}, {_UNIT},
 dots AS (SELECT a.doc_id, sum(a.v * b.v) AS dot FROM unit a JOIN unit b ON b.doc_id = 1 AND a.bucket = b.bucket GROUP BY a.doc_id),
 m AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
@@ -265,9 +317,10 @@ def replace_by_file(spark, d):
     return indexing.replace_by_file(c, changed, c.where("file = 'src1'").select((F.col("chunk_id") + 1_000_000).alias("chunk_id"), "file", (F.col("n_chars") * 2).alias("n_chars")))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents WHERE source <> 'src2'")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS index FROM lineitem WHERE l_partkey % 7 <> 0")
 def dense_reindex(spark, d):
-    return indexing.dense_index(table(spark, d, "documents").where("source <> 'src2'").select("doc_id"), "doc_id")
+    rows = table(spark, d, "lineitem").where("l_partkey % 7 <> 0").withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return indexing.dense_index(rows, "key", range_rows=5000).select("l_orderkey", "l_linenumber", "l_partkey", "index")
 
 
 @query("SELECT count(DISTINCT source) AS files, count(*) AS chunks FROM documents")
@@ -275,10 +328,9 @@ def index_stats(spark, d):
     return indexing.index_stats(table(spark, d, "documents").select(F.col("source").alias("file")))
 
 
-@query("SELECT source AS file, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunk_ids FROM documents GROUP BY source")
+@query("SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, doc_id AS chunk_id FROM documents")
 def group_by_file(spark, d):
-    g = indexing.group_by_file(table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("chunk_id")))
-    return g.select("file", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"))
+    return indexing.group_by_file(table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("chunk_id")))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, value DESC NULLS LAST, event_id) AS n FROM events) WHERE n = 1")
@@ -319,14 +371,19 @@ def symbol_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(code.symbols("html")), ",").alias("symbols"))
 
 
+def page_calls(spark, d) -> DataFrame:
+    """The side table of call data, stored once."""
+    return stored(spark, f"{d} calls", lambda: page_code(spark, d).select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"))
+
+
 def page_edges(spark, d) -> tuple[DataFrame, DataFrame]:
-    return graph.call_edges(page_code(spark, d).select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"))
+    return graph.call_edges(page_calls(spark, d))
 
 
-@query(f"WITH {_EDGES} SELECT 'defines' AS kind, symbol, string_agg(file, ',' ORDER BY file) AS files FROM ed GROUP BY symbol UNION ALL SELECT 'calls', symbol, string_agg(file, ',' ORDER BY file) FROM ec GROUP BY symbol")
+@query(f"WITH {_EDGES} SELECT 'defines' AS kind, symbol, file FROM ed UNION ALL SELECT 'calls', symbol, file FROM ec")
 def call_edges(spark, d):
-    defines, called = (graph.inverted_index(e).select("symbol", F.array_join("files", ",").alias("files")) for e in page_edges(spark, d))
-    return defines.select(F.lit("defines").alias("kind"), "symbol", "files").union(called.select(F.lit("calls").alias("kind"), "symbol", "files"))
+    defines, called = (graph.inverted_index(e) for e in page_edges(spark, d))
+    return defines.select(F.lit("defines").alias("kind"), "symbol", "file").union(called.select(F.lit("calls").alias("kind"), "symbol", "file"))
 
 
 @query(f"""WITH {_EDGES}, e AS (SELECT * FROM ed UNION ALL SELECT * FROM ec), h0 AS (SELECT DISTINCT file FROM e WHERE symbol = 'track'),
@@ -341,6 +398,41 @@ def graph_stats(spark, d):
     return graph.graph_stats(*page_edges(spark, d))
 
 
+_PAGE_EMB = _EMB.replace("doc_id", "page_id").replace("lower(text)", "lower(html)")
+_PAGE_UNIT = _UNIT.replace("doc_id", "page_id")
+GRAPH_QUERY = "track click"
+_PAGE_TEXT = f"CASE WHEN contains(lower(html), '{GRAPH_QUERY}') THEN 1.5 ELSE 0.3 * (contains(lower(html), 'track')::INT + contains(lower(html), 'click')::INT) / 2 END"
+_NEAR = f"""{_EDGES}, seeds AS (SELECT DISTINCT unnest({_SYMS}) AS symbol FROM (SELECT html FROM first_scores JOIN pages USING (page_id) ORDER BY s DESC, page_id LIMIT 5)),
+e AS (SELECT * FROM ed UNION ALL SELECT * FROM ec), h0 AS (SELECT DISTINCT file FROM e WHERE symbol IN (SELECT symbol FROM seeds)),
+h1 AS (SELECT DISTINCT file FROM e WHERE symbol IN (SELECT symbol FROM ec WHERE file IN (SELECT file FROM h0))),
+near AS (SELECT file, max(p) AS p FROM (SELECT file, 1.0::DOUBLE AS p FROM h0 UNION ALL SELECT file, 0.5 FROM h1) GROUP BY file)"""
+
+
+@query(f"""WITH src AS (SELECT page_id, html FROM pages UNION ALL SELECT -1, '{GRAPH_QUERY}'), {_PAGE_EMB.format(src="src")}, {_PAGE_UNIT},
+dots AS (SELECT a.page_id, sum(a.v * b.v) AS dot FROM unit a JOIN unit b ON b.page_id = -1 AND a.bucket = b.bucket WHERE a.page_id >= 0 GROUP BY a.page_id),
+base AS (SELECT page_id, html, 0.7 * coalesce(dot, 0) AS s FROM pages LEFT JOIN dots USING (page_id)),
+r AS (SELECT *, row_number() OVER (ORDER BY s DESC, page_id) AS n, count(*) OVER () AS total FROM base),
+first_scores AS (SELECT page_id, s + CASE WHEN total <= 2000 OR n <= 2000 THEN {_PAGE_TEXT} ELSE 0 END AS s FROM r), {_NEAR}
+SELECT page_id AS chunk_id, round(s + 0.15 * coalesce(p, 0), 4) AS score FROM first_scores LEFT JOIN near ON near.file = page_id::VARCHAR ORDER BY s + 0.15 * coalesce(p, 0) DESC, page_id LIMIT 20""")
+def hybrid_search_graph(spark, d):
+    """Hybrid search whose five best rows boost what their call graph is near to."""
+    chunks = page_chunks(spark, d)
+    found = search.hybrid_search(chunks, GRAPH_QUERY, embedding.HashingEmbedder()(GRAPH_QUERY), k=20, call_edges=page_edges(spark, d))
+    return found.select("chunk_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH c AS (SELECT vec_id, {_DOT} AS dot FROM embeddings, {_Q} ORDER BY dot DESC, vec_id LIMIT least((SELECT count(*) FROM embeddings), 200)),
+s AS (SELECT vec_id AS chunk_id, label::VARCHAR AS file, 0.7 * dot AS s FROM c JOIN embeddings USING (vec_id))
+SELECT chunk_id, round(s, 4) AS score FROM s ORDER BY s DESC, chunk_id LIMIT 10""")
+def hybrid_search_index(spark, d):
+    """Hybrid search on the candidates of the approximate index, all of its lists probed."""
+    index, q = vector_index(spark, d), query_vector(spark, d)
+    index.set_effort(min(1000, index.meta.lists))
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("file"), F.lit(None).cast("string").alias("content"), F.col("embedding").alias("vector"))
+    found = search.hybrid_search(chunks, "q", q, k=10, candidates=index.candidates(q, 10))
+    return found.select("chunk_id", F.round("score", 4).alias("score"))
+
+
 # --- paths and resources ----------------------------------------------------------------------------
 
 _PATH = r"regexp_replace(url, '^[a-z]+://', '')"
@@ -359,30 +451,63 @@ def glob_exclude(spark, d):
     return page_paths(spark, d).select("page_id", paths.exclude_predicate("path", GLOBS).alias("excluded"))
 
 
-NAMES = ["a/b/Main.java", "x.PY", "README.md", "Makefile", ".env", "dir/archive.tar.gz", "page.html", "no/ext", "style.SCSS", "q.sql", "/abs/p.tsx", "w\\in\\dows.rs"]
-_NAMES_SQL = "(SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS path)"
+ENDINGS = [".java", ".PY", ".md", "", ".tar.gz", ".html", ".SCSS", ".tsx", ".", ".env.local", ".Dockerfile", ".xyz"]
+LEADS = ["src/", "/abs/dir.d/", "", "w\\in\\", "a//b/", ".hidden/."]
+_PATHS_SQL = f"""(SELECT p_partkey AS n, [{", ".join(f"'{x}'" for x in LEADS)}][p_partkey % {len(LEADS)} + 1] || CASE WHEN p_partkey % 31 = 0 THEN '..' WHEN p_partkey % 29 = 0 THEN '.env'
+  ELSE replace(p_name, ' ', CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '_' END) || [{", ".join(f"'{x}'" for x in ENDINGS)}][p_partkey % {len(ENDINGS)} + 1] END AS path FROM part)"""
 _BASE_SQL = "regexp_extract(path, '([^/]*)/*$', 1)"
-_EXT_SQL = f"CASE WHEN regexp_matches({_BASE_SQL}, '^[^.].*\\.') THEN lower(regexp_extract({_BASE_SQL}, '(\\.[^.]*)$', 1)) ELSE '' END"
+_EXT_SQL = f"CASE WHEN {_BASE_SQL} = '..' OR position('.' IN {_BASE_SQL}[2:]) = 0 THEN '' ELSE lower(regexp_extract({_BASE_SQL}, '(\\.[^.]*)$', 1)) END"
 _MIME_SQL = "CASE ext " + " ".join(f"WHEN '{ext}' THEN '{mime}'" for ext, mime in paths.MIME_TYPES.items()) + " ELSE 'text/plain' END"
 
 
-def name_table(spark) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in NAMES], "path string")
+def name_table(spark, d) -> DataFrame:
+    """Paths of many shapes, from the parts."""
+    n = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (n % len(values) + 1).cast("int"))
+    made = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.when(n % 5 == 0, "/").otherwise("_")), pick(ENDINGS))
+    return table(spark, d, "part").select(n.alias("n"), F.concat(pick(LEADS), F.when(n % 31 == 0, "..").when(n % 29 == 0, ".env").otherwise(made)).alias("path"))
 
 
-@query(f"SELECT path, {_MIME_SQL} AS mime_type FROM (SELECT path, {_EXT_SQL} AS ext FROM {_NAMES_SQL})")
+@query(f"SELECT n, {_MIME_SQL} AS mime_type FROM (SELECT n, {_EXT_SQL} AS ext FROM {_PATHS_SQL})")
 def mime_type(spark, d):
-    return name_table(spark).select("path", paths.mime_type("path").alias("mime_type"))
+    return name_table(spark, d).select("n", paths.mime_type("path").alias("mime_type"))
 
 
-@query(f"SELECT path, {_BASE_SQL} AS base, {_EXT_SQL} AS ext, substr(md5(path), 1, 12) AS key, replace(path, '\\', '/') AS normal FROM {_NAMES_SQL}")
+@query(f"SELECT n, {_BASE_SQL} AS base, {_EXT_SQL} AS ext, substr(md5(path), 1, 12) AS key, replace(path, '\\', '/') AS normal FROM {_PATHS_SQL}")
 def path_parts(spark, d):
-    return name_table(spark).select("path", paths.basename("path").alias("base"), paths.extension("path").alias("ext"), paths.workspace_key("path").alias("key"), paths.normalize_path("path").alias("normal"))
+    return name_table(spark, d).select("n", paths.basename("path").alias("base"), paths.extension("path").alias("ext"), paths.workspace_key("path").alias("key"), paths.normalize_path("path").alias("normal"))
+
 
+@query(f"SELECT n, ext IN ('.java', '.py', '.html') OR base = '.env' AS allowed, regexp_matches('/' || regexp_replace(path, '[^/]*/*$', ''), '/(src|b)/') AS pruned, starts_with(path, '/abs/dir.d/') AND NOT contains(path, '..') AS inside FROM (SELECT *, {_BASE_SQL} AS base, {_EXT_SQL} AS ext FROM {_PATHS_SQL})")
+def path_tests(spark, d):
+    p = name_table(spark, d)
+    return p.select("n", paths.allowed_file("path", ["java", ".py", "html"], [".env"]).alias("allowed"), paths.in_pruned_directory("path", ("src", "b")).alias("pruned"), paths.is_inside("path", "/abs/dir.d").alias("inside"))
 
-@query(f"SELECT page_id, {_PATH} AS name FROM pages ORDER BY {_PATH}, page_id LIMIT 500")
+
+_URL_NAME = f"{_PATH} || '.' || page_id || '.html'"
+
+
+@query(f"SELECT {_URL_NAME} AS name, 'text/html' AS mime_type FROM pages WHERE len(string_split({_URL_NAME}, '/')) - 1 <= 10 AND NOT regexp_matches({_URL_NAME}, '(^|/)en/') ORDER BY 1 LIMIT 500")
 def resource_list(spark, d):
-    return page_paths(spark, d).orderBy("path", "page_id").limit(500).select("page_id", F.col("path").alias("name"))
+    named = table(spark, d, "pages").select(F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("."), F.col("page_id").cast("string"), F.lit(".html")).alias("relative"))
+    return files.list_resources(named.withColumn("file", F.concat(F.lit("/w/"), "relative")), ["html"], ["en"]).select("name", "mime_type")
+
+
+@query("SELECT * FROM (VALUES ('region.parquet', '', true), ('nation.parquet', '', true), ('lineitem.parquet', 'too_large', false), ('none.parquet', 'stat_failed', false), ('', 'is_directory', false)) t(name, status, read)")
+def read_statuses(spark, d):
+    """Guarded reading of some files of the data folder, of one that is none, and of the folder."""
+    listed = spark.createDataFrame([(n,) for n in ("region.parquet", "nation.parquet", "lineitem.parquet", "none.parquet", "")], "name string")
+    found = listed.withColumn("file", F.concat(F.lit(d.rstrip("/") + "/"), "name"))
+    return found.join(files.read_files(found, 16 << 10), "file").select("name", "status", F.col("content_hash").isNotNull().alias("read"))
+
+
+@query("""SELECT (SELECT count(*) FROM documents WHERE n_chars < 400) AS chunks, (SELECT sum(n_chars) FROM documents WHERE n_chars < 400)::BIGINT AS chars, (SELECT sum(doc_id) FROM documents WHERE n_chars < 400)::BIGINT AS ids""")
+def store_pieces(spark, d):
+    """Chunks written by the tasks as compatible binary stores, and read back."""
+    docs = table(spark, d, "documents").where("n_chars < 400").select(F.col("source").alias("file"), F.col("doc_id").cast("int").alias("start_line"), F.col("n_chars").cast("int").alias("end_line"), F.col("text").alias("content"), F.array(F.lit(0.5).cast("float")).alias("vector"))
+    path = stored_path(spark, f"{d} pieces", lambda p: stores.write_pieces(docs.withColumn("file", F.coalesce("file", F.lit(""))), p))
+    back = stores.read_pieces(spark, path)
+    return back.agg(F.count("*").alias("chunks"), F.sum("end_line").alias("chars"), F.sum("start_line").alias("ids"))
 
 
 PROJECT_FILES = ["package.json", "src/app/App.csproj", "a/b/c/go.mod", "node_modules/x/Cargo.toml", "sub/requirements.txt", "deep/er/pom.xml"]
@@ -491,37 +616,84 @@ def duplicate_workspace(spark, d):
     return retention.mark_duplicates(e).where("duplicate").select(F.col("workspace").alias("user_id"), F.col("cache_id").alias("event_id"))
 
 
-@query("""WITH b AS (SELECT o_custkey AS workspace, max(epoch_ms(o_orderdate)) AS rank FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY o_custkey) SELECT workspace::VARCHAR AS workspace, rank FROM b""")
+@query("""SELECT o_custkey::VARCHAR AS workspace, max(epoch_ms(o_orderdate)) AS rank FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY o_custkey""")
 def attach_candidate(spark, d):
+    """Of all workspaces the preferred one."""
     o = table(spark, d, "orders")
-    low = o.agg(F.min("o_custkey").cast("string")).first()[0]  # the workspace that is preferred
-    c = o.select(F.col("o_custkey").cast("string").alias("workspace"), F.lit("meta").alias("source"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("rank"))
-    return retention.attach_candidate(c, low).select("workspace", "rank")
+    low = o.agg(F.min("o_custkey").cast("string")).first()[0]
+    return retention.attach_candidate(attachable(o), low).select("workspace", "rank")
+
+
+@query("""SELECT o_custkey::VARCHAR AS workspace, max(epoch_ms(o_orderdate)) AS rank FROM orders WHERE (SELECT count(DISTINCT o_custkey) FROM orders) = 1 GROUP BY o_custkey""")
+def attach_open(spark, d):
+    """Without a preferred one the choice among many stays open."""
+    return retention.attach_candidate(attachable(table(spark, d, "orders"))).select("workspace", "rank")
+
+
+def attachable(orders) -> DataFrame:
+    return orders.select(F.col("o_custkey").cast("string").alias("workspace"), F.lit("meta").alias("source"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("rank"))
 
 
 # --- events, logs ---------------------------------------------------------------------------------------
 
 
 def watch_events(spark, d) -> DataFrame:
-    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), "event_type", "ts", "event_id")
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), "event_type", F.date_trunc("minute", "ts").alias("ts"), F.col("event_id").alias("seq"))
 
 
 @query("""SELECT user_id::VARCHAR AS path, arg_max(event_type, event_id) AS event_type, min(event_id) AS first_seq FROM events GROUP BY user_id""")
 def watch_coalesce(spark, d):
-    return indexing.coalesce_events(watch_events(spark, d).withColumnRenamed("event_id", "seq")).select("path", "event_type", "first_seq")
+    return indexing.coalesce_events(watch_events(spark, d)).select("path", "event_type", "first_seq")
+
+
+@query("""WITH p AS (SELECT user_id::VARCHAR AS path, arg_max(event_type, event_id) AS event_type, min(event_id) AS first_seq FROM events GROUP BY user_id)
+SELECT path, event_type, first_seq FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY first_seq DESC, path) AS n FROM p) WHERE total < 12 OR n <= 6""")
+def watch_trim(spark, d):
+    return indexing.trim_pending(indexing.coalesce_events(watch_events(spark, d)), 12, 6)
 
 
-@query("""WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT user_id::VARCHAR AS path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM s GROUP BY user_id, session""")
+@query("""WITH m AS (SELECT user_id, event_type, date_trunc('minute', ts) AS ts, event_id FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id::VARCHAR AS path, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_events FROM s GROUP BY user_id, session""")
 def watch_debounce(spark, d):
-    return watch.debounce(watch_events(spark, d), "30 minutes").select("path", "first_ts", "last_ts", "n_events")
+    """Times are cut to minutes, so that events tie."""
+    return watch.debounce(watch_events(spark, d), "30 minutes").select("path", "first_ts", "last_ts", "event_type", "n_events")
+
+
+@query("""WITH l AS (SELECT user_id::VARCHAR AS path, floor(value / 10)::BIGINT AS size, epoch_ms(ts) AS seen_ms, event_id FROM events WHERE value IS NOT NULL),
+o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY path, seen_ms ORDER BY event_id) = 1),
+c AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY seen_ms) AS before FROM o),
+f AS (SELECT path, arg_max(size, seen_ms) AS size, max(CASE WHEN before IS NULL OR before <> size THEN seen_ms END) AS since FROM c GROUP BY path)
+SELECT path, size, (SELECT max(seen_ms) FROM l) - since AS stable_ms FROM f WHERE (SELECT max(seen_ms) FROM l) - since >= 86400000""")
+def watch_settled(spark, d):
+    looks = table(spark, d, "events").where("value is not null").select(F.col("user_id").cast("string").alias("path"), F.floor(F.col("value") / 10).cast("long").alias("size"), F.lit(0.0).alias("mtime_ms"), F.unix_millis(F.col("ts").cast("timestamp")).alias("seen_ms"), "event_id")
+    looks = looks.groupBy("path", "seen_ms").agg(F.min_by("size", "event_id").alias("size"), F.first("mtime_ms").alias("mtime_ms"))
+    latest = looks.agg(F.max("seen_ms")).first()[0] or 0
+    return watch.settled(looks, latest, DAY).select("path", "size", "stable_ms")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type <> 'error' AS ok FROM events),
+g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS nth FROM g WHERE NOT ok)
+SELECT user_id AS scope, min(CASE WHEN nth = 3 THEN event_id END) AS tripped_at, count(*) AS failures FROM n GROUP BY user_id HAVING max(nth) >= 3""")
+def failure_breaker(spark, d):
+    results = table(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("success"))
+    return indexing.breaker(results, 3)
+
+
+@query("SELECT 'embed' AS stage, user_id AS scope, event_id AS at, 'failed: ' || event_type AS message FROM events WHERE value > 90")
+def error_list(spark, d):
+    results = table(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("event_id").alias("seq"), F.when(F.col("value") > 90, F.concat(F.lit("failed: "), "event_type")).alias("error"))
+    return indexing.error_list(results, "embed")
 
 
-@query("""SELECT event_type, round(avg(value), 6) AS avg_ms, list_sort(list(value))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95_ms FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+@query("""WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, avg_ms, value AS p95_ms FROM v JOIN (SELECT event_type, round(avg(value), 6) AS avg_ms FROM events GROUP BY event_type) USING (event_type) WHERE i = least(n - 1, floor(n * 0.95)::BIGINT)""")
 def latency_percentile(spark, d):
     e = table(spark, d, "events").where("value is not null")
-    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg_ms"), indexing.nearest_rank(e, "value", 95).alias("p95_ms"))
+    means = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg_ms"))
+    return means.join(indexing.nearest_rank(e, "event_type", "value", 95, "p95_ms"), "event_type")
 
 
 MESSAGES = [("Indexed 5 / 20 files", 5, 20), ("Complete: 70 chunks from 12 files", 12, 12), ("Processing 3 changed files", None, 3), ("idle", None, None), ("indexed 7/9 FILES (x)", 7, 9)]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +56,70 @@ def read_texts(files: DataFrame, max_size: int = MAX_FILE_SIZE) -> DataFrame:
     return out.withColumn("content_hash", F.when(F.col("status") == "", F.md5("content"))).withColumn("content", F.when(F.col("status") == "", F.decode("content", "UTF-8")))
 
 
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and name of a path or URI."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (pafs.LocalFileSystem(), path)
+
+
+def _read_one(path: str, max_size: int) -> tuple[str, int | None, float | None, bytes | None]:
+    """(status, size, mtime_ms, content) of a file, content only if the status is ''."""
+    try:
+        fs, name = open_path(path)
+        info = fs.get_file_info(name)
+    except (OSError, ValueError):
+        return "stat_failed", None, None, None
+    if info.type == pafs.FileType.NotFound:
+        return "stat_failed", None, None, None
+    mtime = None if info.mtime_ns is None else info.mtime_ns // 1_000_000 * 1.0
+    if info.type == pafs.FileType.Directory:
+        return "is_directory", None, mtime, None
+    if info.size > max_size:
+        return "too_large", info.size, mtime, None
+    try:
+        with fs.open_input_stream(name, compression=None) as source:
+            body = source.read(max_size + 1)
+    except OSError:
+        return "read_failed", info.size, mtime, None
+    if len(body) > max_size:  # it grew since
+        return "too_large_after_read", len(body), mtime, None
+    return "", len(body), mtime, body
+
+
+def read_files(listed: DataFrame, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """``listed(file)`` to (file, status, size, mtime_ms, content, content_hash).
+
+    Each task reads its own files, never more than ``max_size`` bytes and one of each.  A
+    file that is missing, a directory, too large or unreadable keeps its row, with the
+    reason as its status and no content; text that is no UTF-8 has replacement characters.
+    """
+    schema = pa.schema([("file", pa.string()), ("status", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.float64()), ("content", pa.string()), ("content_hash", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                status, size, mtime, body = _read_one(path, max_size)
+                text = None if body is None else body.decode("utf-8", "replace")
+                row = {"file": path, "status": status, "size": size, "mtime_ms": mtime, "content": text, "content_hash": None if body is None else hashlib.md5(body).hexdigest()}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return listed.select("file").where("file is not null").mapInArrow(run, "file string, status string, size long, mtime_ms double, content string, content_hash string")
+
+
+def real_paths(rows: DataFrame, path: str = "file", name: str = "real") -> DataFrame:
+    """``rows`` with the path that links lead to, as the machine that runs the task sees it."""
+    @F.pandas_udf("string")
+    def resolve(values: pd.Series) -> pd.Series:
+        return values.map(lambda p: None if p is None else os.path.realpath(re.sub("^file:/+", "/", p)))
+
+    return rows.withColumn(name, resolve(F.col(path)))
+
+
+def contained(rows: DataFrame, root: str, path: str = "file") -> DataFrame:
+    """Rows whose real path lies in the real ``root``; a link that leads out of it doesn't."""
+    top = os.path.realpath(root.removeprefix("file://"))
+    return real_paths(rows, path, "_real").where(P.is_inside("_real", top)).drop("_real")
+
+
 def list_resources(files: DataFrame, extensions: list[str], excluded_dirs: list[str] = (), limit: int = MAX_RESOURCES) -> DataFrame:
     """(uri, name, mime_type) of the first ``limit`` files by name."""
     folders = F.filter(F.split(P.dirname("relative"), "/"), lambda d: d != ".")

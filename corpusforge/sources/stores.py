@@ -13,11 +13,13 @@ import uuid
 import zlib
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import store_round
+from .files import open_path
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("chunk_id", T.LongType()),
@@ -216,14 +218,68 @@ def unpack_binary_store(files: dict[str, bytes]) -> list[dict]:
     return out
 
 
-def read_binary_stores(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of every binary store below ``root``, one store a row group: (store, chunk...).
+#: Chunks of one piece of a store that is written or read by a task at once.
+PIECE_ROWS = 20_000
+
+
+def _write_pieces(root: str, kind: str, write_id: int):
+    """Chunks of a task to pieces below ``root``; rows (piece, chunks, bytes)."""
+
+    def run(batches):
+        fs, base = open_path(root)
+
+        def put(chunks: list[dict]) -> pa.RecordBatch:
+            files = pack_binary_store(chunks, write_id) if kind == "binary" else {"vectors.sqlite": pack_sqlite_store(chunks)}
+            name = f"piece-{uuid.uuid4().hex}"
+            fs.create_dir(f"{base}/{name}", recursive=True)
+            for part, body in files.items():
+                with fs.open_output_stream(f"{base}/{name}/{part}", compression=None) as out:
+                    out.write(body)
+            return pa.RecordBatch.from_pylist([{"piece": name, "chunks": len(chunks), "bytes": sum(map(len, files.values()))}], schema=pa.schema([("piece", pa.string()), ("chunks", pa.int64()), ("bytes", pa.int64())]))
+
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(row)
+                if len(held) >= PIECE_ROWS:
+                    yield put(held)
+                    held = []
+        if held:
+            yield put(held)
+
+    return run
+
+
+def write_pieces(chunks: DataFrame, root: str, kind: str = "binary", write_id: int = 1) -> DataFrame:
+    """Chunks as many compatible stores of bounded size, written by the tasks; the manifest.
+
+    ``kind`` is binary or sqlite.  A piece is complete before its row is in the manifest,
+    which is published last; pieces of lost attempts are in no manifest and are not read.
+    """
+    spark, root = chunks.sparkSession, root.rstrip("/")
+    rows = chunks.select("file", "start_line", "end_line", "content", "vector")
+    made = rows.mapInArrow(_write_pieces(f"{root}/pieces", kind, write_id), "piece string, chunks long, bytes long")
+    made.write.mode("overwrite").json(f"{root}/manifest")
+    return spark.read.schema("piece string, chunks long, bytes long").json(f"{root}/manifest")
+
+
+def read_pieces(spark: SparkSession, root: str, kind: str = "binary") -> DataFrame:
+    """Chunks of the pieces in the manifest of ``root``."""
+    root = root.rstrip("/")
+    listed = spark.read.schema("piece string, chunks long, bytes long").json(f"{root}/manifest").select("piece")
+    return read_binary_stores(spark, f"{root}/pieces", listed) if kind == "binary" else read_sqlite_stores(spark, f"{root}/pieces", pieces=listed)
+
+
+def read_binary_stores(spark: SparkSession, root: str, pieces: DataFrame | None = None) -> DataFrame:
+    """Chunks of every binary store below ``root``, or of the ``pieces(piece)``: (store, chunk...).
 
     The four files of a store are brought together by folder; stores are independent, so
     many are read at once.
     """
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     named = parts.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("store"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content").where(F.col("name").isin("vectors.bin", "records.bin", "content.bin", "files.json"))
+    if pieces is not None:
+        named = named.join(pieces, F.element_at(F.split("store", "/"), -1) == F.col("piece"), "left_semi")
 
     def run(frame):
         import pandas as pd
@@ -258,9 +314,11 @@ def unpack_sqlite_store(raw: bytes) -> list[dict]:
     return [{"chunk_id": i, "file": f, "start_line": a, "end_line": b, "content": c, "vector": list(struct.unpack(f"<{len(v) // 4}f", v)) if v else None} for i, f, a, b, c, v in rows]
 
 
-def read_sqlite_stores(spark: SparkSession, root: str, pattern: str = "*.sqlite") -> DataFrame:
-    """Chunks of every SQLite store below ``root``: (store, chunk...)."""
+def read_sqlite_stores(spark: SparkSession, root: str, pattern: str = "*.sqlite", pieces: DataFrame | None = None) -> DataFrame:
+    """Chunks of every SQLite store below ``root``, or of the ``pieces(piece)``: (store, chunk...)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
+    if pieces is not None:
+        files = files.join(pieces, F.element_at(F.split("path", "/"), -2) == F.col("piece"), "left_semi")
 
     def run(batches):
         import pandas as pd

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import coalesce_events, replace_by_file
@@ -28,20 +28,37 @@ def read_events(spark, path: str, files_per_trigger: int = 100) -> DataFrame:
 def debounce(events: DataFrame, gap: str = f"{DEBOUNCE} milliseconds", late: str = "10 minutes") -> DataFrame:
     """One row per path and session: path, first_ts, last_ts, event_type (the last), n_events.
 
-    Works on batch and stream; a stream keeps a session's state until the watermark passes.
+    Of events at one time the last is that with the greatest ``seq``, if there is such a
+    column, else the greatest type.  Works on batch and stream; a stream keeps a session's
+    state until the watermark passes.
     """
     source = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = source.groupBy(F.session_window("ts", gap), "path")
-    out = grouped.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("event_type", "ts").alias("event_type"), F.count("*").alias("n_events"))
+    order = F.struct("ts", "seq" if "seq" in events.columns else "event_type")
+    out = grouped.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("event_type", order).alias("event_type"), F.count("*").alias("n_events"))
     return out.drop("session_window")
 
 
+def settled(seen: DataFrame, as_of_ms: int, stability: int = STABILITY) -> DataFrame:
+    """Files that are no longer being written: (path, size, mtime_ms, stable_ms).
+
+    ``seen(path, size, mtime_ms, seen_ms)`` are looks at files.  A file is settled if size
+    and time are those of its last look for ``stability`` ms up to ``as_of_ms`` or more.
+    """
+    by = Window.partitionBy("path").orderBy("seen_ms")
+    changed = F.lag("seen_ms").over(by).isNull() | ~F.lag("size").over(by).eqNullSafe(F.col("size")) | ~F.lag("mtime_ms").over(by).eqNullSafe(F.col("mtime_ms"))
+    looks = seen.where(F.col("seen_ms") <= as_of_ms).withColumn("since", F.when(changed, F.col("seen_ms")))
+    last = looks.groupBy("path").agg(F.max_by("size", "seen_ms").alias("size"), F.max_by("mtime_ms", "seen_ms").alias("mtime_ms"), F.max("since").alias("since"))
+    return last.withColumn("stable_ms", F.lit(as_of_ms) - F.col("since")).where(F.col("stable_ms") >= stability).drop("since")
+
+
 def apply_batch(chunks: DataFrame, events: DataFrame, index: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Chunk table after a batch: unlinked files lose their rows, others are indexed anew.
 
     ``index`` makes chunks of ``(file)`` rows.
     """
-    last = coalesce_events(events.withColumn("seq", F.struct("ts", F.monotonically_increasing_id().alias("n"))))
+    tie = "seq" if "seq" in events.columns else "event_type"
+    last = coalesce_events(events.withColumn("seq", F.struct("ts", tie)))
     touched = last.select(F.col("path").alias("file"), "event_type")
     return replace_by_file(chunks, touched, index(touched.where("event_type <> 'unlink'").select("file")))
 

@@ -21,6 +21,10 @@ from .operators.chunking import count_tokens, smart_chunk
 from .sources import files, stores
 
 
+#: Files that a task reads when an index is brought up to date; errors that are listed.
+FILES_A_TASK, MOST_ERRORS = 200, 100
+
+
 @dataclass(frozen=True)
 class IndexReport:
     mode: str
@@ -50,12 +54,17 @@ class Workspace:
     dimension: int = embedding.DIM
     provider: Callable[[Column], Column] | None = None
     embed: Callable[[str], list[float]] | None = None
+    #: Loads a model in a task and gives a function of a list of texts; used instead of
+    #: ``provider``, and its errors go to the error list.
+    make_model: Callable[[], Callable[[list[str]], list]] | None = None
     config: search.SearchConfig = search.SearchConfig()
 
     def __post_init__(self):
         self.provider = self.provider or embedding.hashing_provider(self.dimension)
         self.embed = self.embed or embedding.HashingEmbedder(self.dimension)
         self.index_: ann.IvfIndex | None = None
+        #: Errors of the last run, the first MOST_ERRORS by file: stage, scope, at, message.
+        self.errors: list[dict] = []
         self._open()
 
     def _open(self) -> None:
@@ -96,11 +105,18 @@ class Workspace:
             todo.unpersist()
             return IndexReport(how.mode, how.reason, n_files, 0, 0, chunks.count())
 
-        raw = files.scan(self.spark, self.root, content=True).join(todo.select("file", "expected_hash", "again"), "file", "left_semi")
-        read = files.read_texts(raw).join(todo.select("file", "expected_hash", "again"), "file").where("status = ''").cache()
+        wanted = todo.select("file", "expected_hash", "again", F.col("mtime_ms").alias("found_ms"))
+        looked = files.read_files(todo.select("file").repartition(max(1, -(-n_todo // FILES_A_TASK)))).join(wanted, "file").withColumn("mtime_ms", F.col("found_ms")).drop("found_ms").cache()
+        read = looked.where("status = ''")
         fresh = read.where(~F.col("content_hash").eqNullSafe(F.col("expected_hash")) | F.col("again"))
-        made = chunking.chunk_files(fresh.select("file", "content")).withColumn("vector", self.provider(F.col("text")))
-        made = made.withColumn("success", F.size("vector") == self.dimension).cache()
+        made = chunking.chunk_files(fresh.select("file", "content"))
+        if self.make_model is not None:
+            made = embedding.embed_with_status(made, self.make_model).select("*", "embedding.vector", "embedding.error").drop("embedding")
+        else:
+            made = made.withColumn("vector", self.provider(F.col("text"))).withColumn("error", F.lit(None).cast("string"))
+        made = made.withColumn("success", F.coalesce(F.size("vector") == self.dimension, F.lit(False))).cache()
+        unread = looked.where("status <> ''").select(F.lit("read").alias("stage"), F.col("file").alias("scope"), F.lit(0).alias("at"), F.col("status").alias("message"))
+        self.errors = [r.asDict() for r in unread.union(indexing.error_list(made, "embed", "file", "chunk_no")).orderBy("scope", "at").limit(MOST_ERRORS).collect()]
         totals = fresh.select("file").join(made.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("total"))
         done = indexing.commit_guard(made, totals).select("file").cache()
 
@@ -117,7 +133,7 @@ class Workspace:
             call_data=indexing.replace_by_file(calls, done.union(gone), data),
         )
         report = IndexReport(how.mode, how.reason, n_files, n_todo, n_gone, self._table("chunks").count())
-        for held in (todo, read, made, done):
+        for held in (todo, looked, made, done):
             held.unpersist()
         self.index_ = None
         return report

@@ -167,8 +167,10 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
 
 
 def test_percentile_matches_rule(spark):
-    v = spark.createDataFrame([(float(i),) for i in range(10)], "v double")
-    assert v.agg(indexing.nearest_rank(v, "v", 95).alias("p")).first()["p"] == 9.0
+    v = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", 5.0)] * 7 + [(None, 1.0), ("c", None)], "g string, v double")
+    got = {r["g"]: r["p"] for r in indexing.nearest_rank(v, "g", "v", 95, "p").collect()}
+    assert got == {"a": 9.0, "b": 5.0, None: 1.0}
+    assert {r["g"]: r["p"] for r in indexing.nearest_rank(v, "g", "v", 50, "p").collect()} == {"a": 5.0, "b": 5.0, None: 1.0}
 
 
 def test_crc(spark):
