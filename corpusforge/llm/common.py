@@ -5,54 +5,84 @@ Scratch tables
 Operators that reuse an expensive intermediate write it once as Parquet below
 the folder named in ``spark.checkpoint.dir`` and read it back.  That folder is
 shared by driver and executors, so a lost executor costs only a re-read.
+
+Each call of an operator has a ``Scratch`` of its own and deletes its tables when it
+returns, but for the small ones that its lazy result still reads.  Those belong to
+whoever uses the result: a caller that works inside ``owning(spark)`` gets them deleted
+at the end of that block.  Nobody deletes tables of another call.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
+
 #: Words of a text: runs of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_LIVE: list[str] = []
+#: Rows of one file of a scratch table of numbers, about.
+FILE_ROWS = 1_000_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for scratch tables, from ``spark.checkpoint.dir``.
+class Scratch:
+    """Scratch tables of one call; leaving the ``with`` block deletes those not kept."""
 
-    Only a local session (tests, a laptop) may leave the setting out; a cluster
-    session without it is refused, as a machine-local folder would be invisible
-    to the other machines.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="corpusforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, label: str, keep: bool = False) -> str:
+        """A new path; with ``keep`` it goes to the owner of the result, if there is one."""
+        path = f"{shared_root(self.spark)}/corpusforge/{label}-{uuid.uuid4().hex}"
+        holder = _OWNER.get() if keep else self
+        if holder is not None:
+            holder.paths.append(path)
+        return path
+
+    def write(self, df: DataFrame, label: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+        """Write ``df`` once as Parquet and return the table read back.
+
+        ``rows`` is a bound of the rows of a table of numbers, where one is known; it is
+        then written in files of some size, at least two a core, not in one a partition.
+        """
+        path = self.path(label, keep)
+        if rows is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
 
+    def __enter__(self) -> Scratch:
+        return self
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/corpusforge/{label}-{uuid.uuid4().hex}"
-    _LIVE.append(path)
-    return path
+    def __exit__(self, *_) -> None:
+        self.release()
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet and return the table read back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_OWNER: ContextVar[Scratch | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owning(spark: SparkSession) -> Iterator[Scratch]:
+    """Owns the tables that results of operators called in the block still read, and
+    deletes them at its end; store the results before that."""
+    with Scratch(spark) as owner:
+        token = _OWNER.set(owner)
+        try:
+            yield owner
+        finally:
+            _OWNER.reset(token)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -61,15 +91,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table made so far by this process.
-
-    Call it once results that depend on them are stored elsewhere.
-    """
-    while _LIVE:
-        drop_path(spark, _LIVE.pop())
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,17 +104,20 @@ def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
 
 
-#: Bits of a membership bitmap: 8 MB, whatever the number of keys.
-BITMAP_BITS = 1 << 26
+#: Bits of a membership bitmap for each member, and at most: 8 MB, whatever the number.
+MEMBER_BITS, BITMAP_BITS = 128, 1 << 26
 
 
-def mark_possible_members(df: DataFrame, key: str, members: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
+def mark_possible_members(df: DataFrame, key: str, members: DataFrame, flag: str, bits: int | None = None) -> DataFrame:
     """``df`` with a boolean ``flag``: false only where ``key`` is not in ``members(key)``.
 
-    One bit a key hash, kept in 4 kB rows that are broadcast: at most ``bits / 8`` bytes by
-    construction.  With more keys than bits the flag is true more often and the exact join
+    One bit a key hash, kept in 4 kB rows that are broadcast: at most ``BITMAP_BITS / 8``
+    bytes by construction, less for few members (``members`` is counted, so give a stored
+    table).  With more keys than bits the flag is true more often and the exact join
     that must follow gets more rows; it never misses one.
     """
+    if bits is None:
+        bits = min(BITMAP_BITS, 1 << max(15, (members.count() * MEMBER_BITS).bit_length()))
 
     def place(c):
         return F.pmod(F.xxhash64(c), F.lit(bits)) + 1

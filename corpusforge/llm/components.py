@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import Scratch
 
 
 def _hang(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,20 +28,21 @@ def _hang(edges: DataFrame, large: bool) -> DataFrame:
     return hung.union(low.select("u", F.col("low").alias("v"))).where("u <> v")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scope: Scratch, max_rounds: int = 60) -> DataFrame:
     """``links(u, v)`` of longs to ``(node, root)``: root is the smallest node.
 
     Every node of a link appears once, its root included.  Self-links and repeated
-    links are harmless; an empty table gives an empty table; null ends are ignored.
+    links are harmless; an empty table gives an empty table; null ends are ignored.  The
+    result reads a table of ``scope``.
     """
-    edges = scratch(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = scope.write(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
         check = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if check["n"] == 0 or (check["n"], check["s"]) == before:
             break
         before = (check["n"], check["s"])
-        edges = scratch(_hang(_hang(edges, True).distinct(), False).distinct(), "links")
+        edges = scope.write(_hang(_hang(edges, True).distinct(), False).distinct(), "links", rows=2 * check["n"])
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

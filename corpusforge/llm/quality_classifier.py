@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, scratch, texts_of
+from .common import Scratch, crc_bucket, texts_of
 
 #: Share of the pooled covariance in a class covariance, and of the identity in that.
 POOLED, RIDGE = 0.1, 0.02
@@ -173,6 +173,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     held = crc_bucket("doc_id", 5) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    rows = scratch(rows.mapInArrow(_statistics, "doc_id long, held_out boolean, x array<double>"), "statistics")
+    rows = Scratch(docs.sparkSession).write(rows.mapInArrow(_statistics, "doc_id long, held_out boolean, x array<double>"), "statistics", keep=True)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("not held_out"), labels, **options))
     return rows.mapInArrow(_scored(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
