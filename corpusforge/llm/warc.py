@@ -24,15 +24,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, scratch_path
+from .common import Scratch, mark_possible_members
 
 #: Fixed by contract: payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 #: Bytes between two wanted records that are read along, and most bytes of one read.
 GAP = 64 << 10
 MOST_READ = 8 << 20
-#: Bytes of one archive file, about.
+#: Bytes of one archive file, about, and of the records that one task reads.
 FILE_BYTES = 256 << 20
+TASK_BYTES = 32 << 20
 LEVEL = 6
 
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -50,8 +51,8 @@ def _plain(value: str) -> str:
     return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m.group(1), 16)), value)
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record as a gzip member."""
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, size: int | None = None) -> bytes:
+    """One WARC/1.1 record as a gzip member; ``size`` is that of a payload that is not given."""
     body = b"" if revisit else payload
     head = [
         "WARC/1.1",
@@ -59,7 +60,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {len(payload) if size is None else size}",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(body)}",
     ]
@@ -100,24 +101,30 @@ def _uri(folder: str) -> str:
 
 
 def _write(folder: str):
+    """Rows (page_id, url, payload, digest, payload_bytes, first) to archives and index rows.
+
+    A row whose ``first`` is not null is a revisit of it.  Payloads are taken out of the
+    batch one at a time, so a worker holds a batch and one record.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         out, name, at = None, "", 0
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, html, digest, first in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    payload = (html or "").encode("utf-8", "surrogatepass")
-                    revisit = first is not None and first != page_id
+                payloads = batch.column(2)
+                for i, (page_id, url, digest, size, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         fs.create_dir(base, recursive=True)
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    record = encode_record(page_id, url, payload, digest, first if revisit else None, revisit)
+                    revisit = first is not None
+                    record = encode_record(page_id, url, payloads[i].as_py() or b"", digest, first, revisit, size)
                     out.write(record)
-                    rows.append((page_id, url, digest, "revisit" if revisit else "response", first if revisit else None, name, at, len(record)))
+                    rows.append((page_id, url, digest, "revisit" if revisit else "response", first, name, at, len(record)))
                     at += len(record)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), _INDEX, strict=True)], schema=_INDEX) if rows else pa.RecordBatch.from_pylist([], schema=_INDEX)
         finally:
@@ -133,15 +140,31 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
     Of records with equal payloads of ``least_revisit`` bytes or more that with the
     smallest page_id is a response and the others are revisits of it.
 
-    A group's smallest id is a grouped minimum, combined before the shuffle, and goes
-    back by a join whose large side Spark may split; no group is ever in one place.
+    Payloads stay where they are scanned: only digests, ids and sizes are dealt out.  A
+    group's smallest id is a grouped minimum, combined before the shuffle.  Rows whose
+    digest can't be repeated (a bitmap tells) are written straight from the scan; revisits
+    need no payload; and what is left, one payload of each repeated digest, is fetched by
+    an exact join whose payload side the second bitmap has narrowed down to those.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html.cast("binary"), 256).alias("digest"))
-    long_enough = F.octet_length(F.coalesce(F.col("html"), F.lit("")).cast("binary")) >= least_revisit
-    firsts = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    linked = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "first")
-    return scratch(linked.mapInArrow(_write(_uri(folder)), INDEX), "warc-index")
+    with Scratch(pages.sparkSession) as scope:
+        payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+        rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+        plain = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
+        firsts = plain.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("digest", "low")
+        firsts = scope.write(firsts, "repeated")
+        narrow = mark_possible_members(plain, "digest", firsts, "maybe").where("maybe").drop("maybe")
+        narrow = scope.write(narrow.join(firsts.hint("merge"), "digest", "left").withColumn("first", F.when(~F.col("low").eqNullSafe(F.col("page_id")), F.col("low"))), "narrow")
+        # Revisits of a group without any id have no one to refer to; so all its rows are responses.
+        revisits = narrow.where("first is not null").select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "size", "first")
+        needed = narrow.where("first is null").select("digest", F.col("page_id").alias("_id")).distinct()
+
+        sized = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("first", F.lit(None).cast("long"))
+        marked = mark_possible_members(sized, "digest", firsts, "maybe")
+        columns = ["page_id", "url", "payload", "digest", "size", "first"]
+        straight = marked.where("not maybe").select(columns)
+        again = mark_possible_members(marked.where("maybe").withColumn("key", F.xxhash64("digest", "page_id")), "key", needed.select(F.xxhash64("digest", "_id").alias("key")), "wanted").where("wanted").select(columns)
+        held = again.alias("r").join(needed.hint("merge").alias("n"), (F.col("r.digest") == F.col("n.digest")) & F.col("r.page_id").eqNullSafe(F.col("n._id")), "left_semi").select(columns)
+        return scope.write(straight.union(held).union(revisits).mapInArrow(_write(_uri(folder)), INDEX), "warc-index", keep=True)
 
 
 def coalesce_ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = MOST_READ) -> list[tuple[int, int, list[int]]]:
@@ -205,12 +228,14 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
     """Records of the ``selected`` index rows: page_id, url, payload (null for revisits),
     payload_bytes, payload_digest, record_type, refers_to.
 
-    Index rows are dealt out by file and stretch of 64 MB, so a large file is read by
-    several tasks, and are sorted by offset in each.  Response payloads are checked
-    against their digest.
+    Index rows are dealt out in ranges of (file, offset), as many as the bytes to read ask
+    for, so a large file is read by several tasks and each reads its ranges in order.
+    Response payloads are checked against their digest.
     """
-    stretch = F.floor(F.col("offset") / F.lit(64 << 20))
-    dealt = selected.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    spark = selected.sparkSession
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    dealt = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_read(_uri(folder)), PAGE)
 
 
@@ -223,6 +248,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     without page_id revisits the smallest id of its payload, or is a response if none
     has one; an empty table gives an empty result; further columns are ignored.
     """
-    folder = scratch_path(pages.sparkSession, "warc")
-    index = write_archives(pages, folder)
-    return read_records(index, folder)
+    folder = Scratch(pages.sparkSession).path("warc", keep=True)
+    return read_records(write_archives(pages, folder), folder)
