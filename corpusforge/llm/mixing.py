@@ -6,11 +6,14 @@ source that needs more words than it has queues its documents again, up to three
 times.  Entries are served in the order of virtual time until the total budget is
 spent.  DataFrame functions only.
 
-Distribution: the shuffled order is that of md5(doc_id), so its first digits cut
-each source into 4096 buckets.  Running sums are a window inside a bucket plus a
-small table of bucket totals; a source with a third of all rows is 4096 windows.
+Distribution: the shuffled order is that of an md5 of id and text, so its first digits
+cut each source into 4096 even buckets.  Running sums are a window inside a bucket plus a
+small table of bucket totals; a source with a third of all rows is 4096 windows.  Rows
+equal in id and text have one md5; those of one input partition are queued as one entry
+with a count, so a window never sees more of them than there are partitions.
 The global order of virtual times is range-partitioned the same way: totals of
-ranges tell in which one the budget ends, and only that range is sorted.
+ranges tell in which one the budget ends, that range is divided again until it is small,
+and only then is it sorted.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, neutral, scratch
+from .common import WORD_PATTERN, Scratch, neutral
 
 #: Fixed by contract: weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Most times that a document is taken.
 EPOCHS = 3
-#: Ranges of virtual time between 0 and 1.
-RANGES = 4096
+#: Ranges into which a stretch of virtual time is divided, the entries that are sorted at
+#: last, about, and the most divisions (doubles can't tell more apart).
+RANGES, SORTED, DIVISIONS = 4096, 5000, 4
 
 
 def word_count(text: str | Column) -> Column:
@@ -51,6 +55,71 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     return ranked.select("q", "source", "source_size", F.least(F.col("cap"), F.coalesce(open_level, F.lit(0.0)) * F.col("w")).alias("target"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` of each row; its upper bits are the input partition's.
+
+    Only for tables that are written at once: another scan may number rows otherwise.
+    """
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _mix(rows: DataFrame, scope: Scratch, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """``rows(row, doc_id, q, source, size, k)``, a stored table, to (row, doc_id, size,
+    source_size, target, times); the result reads tables of ``scope``."""
+    part, n = F.shiftright("row", 33), rows.count()
+    entries = rows.where("size > 0").groupBy("q", "k", part.alias("part")).agg(F.first("source").alias("source"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("row", "doc_id"))).alias("copies"))
+    entries = scope.write(entries.withColumn("bucket", F.substring("k", 1, 3)).withColumn("words", F.col("size") * F.size("copies")), "entries", rows=n)
+
+    buckets = entries.groupBy("q", "bucket").agg(F.sum("words").alias("bucket_size"))
+    sources = rows.groupBy("q").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    targets = scope.write(source_targets(sources, weights, epochs), "targets", rows=n)
+    upto = Window.partitionBy("q").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select("q", "bucket", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("skip"))
+    offsets = offsets.join(targets.select("q", "source_size", "target"), "q")
+    inside = Window.partitionBy("q", "bucket").orderBy("k", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = entries.join(offsets, ["q", "bucket"]).withColumn("before", F.col("skip") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    placed = placed.select("k", "size", "source_size", "target", "before", F.posexplode("copies").alias("nth", "copy"))
+    cum = F.col("before") + F.col("size") * (F.col("nth") + 1)
+    finish = F.array(*[(F.col("source_size") * e + cum) / F.col("target") for e in range(epochs)])
+    queued = scope.write(placed.select("copy.row", "copy.doc_id", "k", "size", "source_size", "target", finish.alias("finish")), "queued", rows=n)
+
+    # The range of virtual time in which the budget ends, ever smaller.  Borders are
+    # multiples of powers of two, so no rounding moves a turn across one.
+    turns = queued.select("row", "k", "size", F.posexplode("finish").alias("epoch", "at"))
+    budget = targets.agg(F.sum("source_size")).first()[0] or 0
+    inside, low, step, done = F.lit(True), 0.0, 2.0 / RANGES, 0
+    in_order = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows at most
+    for _ in range(DIVISIONS):
+        span = F.least(F.floor((F.col("at") - low) / step), F.lit(RANGES - 1)).cast("int")
+        served = turns.where(inside).groupBy(span.alias("span")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        last = served.withColumn("upto", F.sum("words").over(in_order) + done).where(F.col("upto") > budget).orderBy("span").first()
+        if last is None:  # at first: all turns fit
+            inside = F.lit(False) if low == 0.0 and done == 0 and step == 2.0 / RANGES else inside
+            break
+        low, done = low + last["span"] * step, last["upto"] - last["words"]
+        inside = (F.col("at") >= low) & ((F.col("at") < low + step) if last["span"] < RANGES - 1 or low + step < 2.0 else F.lit(True))
+        if last["n"] <= SORTED or low + step >= 2.0:
+            break
+        step /= RANGES
+    # Only that range is sorted; the cut is its first turn that does not fit.  Null: all fit.
+    order = Window.orderBy("at", "k", "row", "epoch").rowsBetween(Window.unboundedPreceding, 0)
+    cut = turns.where(inside).withColumn("upto", F.sum("size").over(order) + done).where(F.col("upto") > budget).agg(F.min(F.struct("at", "k", "row", "epoch")).alias("cut"))
+    times = sum(
+        (F.when(F.col("cut").isNull() | (F.struct(F.col("finish")[e].alias("at"), F.col("k"), F.col("row"), F.lit(e).alias("epoch")) < F.col("cut")), F.lit(1)).otherwise(F.lit(0)) for e in range(epochs)),
+        F.lit(0),
+    )
+    mixed = queued.crossJoin(F.broadcast(cut)).select("row", "doc_id", "size", "source_size", "target", times.cast("int").alias("times"))  # cut is one row
+    wordless = rows.where("size = 0").join(targets.select("q", "source_size", "target"), "q")
+    return mixed.union(wordless.select("row", "doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)), F.lit(0)))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """What the mix needs to know of ``docs(_row, doc_id, text, source)``."""
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))  # equal as the sources are, never null
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+    return docs.select(F.col("_row").alias("row"), "doc_id", named.alias("q"), "source", word_count("text").alias("size"), key.alias("k"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source, ...)``.
 
@@ -59,66 +128,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
 
     Edge cases: null and wordless texts have size 0 and are never taken; a null
     source is a source, last in order; a null doc_id shuffles as the empty text;
-    repeated rows are rows like others; an empty table gives an empty result; further
-    columns are ignored.
+    repeated rows are rows like others (which of equal ones is taken more often is open);
+    an empty table gives an empty result; further columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))  # equal as the sources are, never null
-    sized = scratch(docs.select("doc_id", "source", named.alias("q"), word_count("text").alias("size"), key.alias("k")).withColumn("bucket", F.substring("k", 1, 3)), "sized")
+    with Scratch(docs.sparkSession) as scope:
+        rows = scope.write(_sized(_numbered(docs.select("doc_id", "text", "source"))), "sized")
+        mixed = _mix(rows, scope, weights, epochs)
+        return scope.write(mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken")), "mixed", keep=True, rows=rows.count())
 
-    buckets = sized.groupBy("q", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
-    targets = source_targets(buckets.groupBy("q").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")), weights, epochs)
-    targets = scratch(targets, "targets")
-    upto = Window.partitionBy("q").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("q", "bucket", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("skip"))
-    offsets = offsets.join(targets.select("q", "source_size", "target"), "q")
-    inside = Window.partitionBy("q", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.join(offsets, ["q", "bucket"]).select("doc_id", "k", "size", "source_size", "target", (F.col("skip") + F.sum("size").over(inside)).alias("cum"))
-    finish = [F.when(F.col("size") > 0, (F.col("source_size") * e + F.col("cum")) / F.col("target")) for e in range(epochs)]
-    queued = scratch(queued.withColumn("finish", F.array(*finish)), "queued")
-
-    # The range of virtual time in which the budget ends.
-    entries = queued.where("size > 0").select("doc_id", "k", "size", F.posexplode("finish").alias("epoch", "at"))
-    span = F.least(F.floor(F.col("at") * RANGES), F.lit(2 * RANGES)).cast("int")
-    served = entries.groupBy(span.alias("span")).agg(F.sum("size").alias("words"))
-    in_order = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)  # 2 * RANGES + 1 rows at most
-    budget = targets.agg(F.sum("source_size").alias("budget"))
-    last = (
-        served.withColumn("upto", F.sum("words").over(in_order)).crossJoin(F.broadcast(budget)).where("upto > budget").agg(F.min_by(F.struct("span", (F.col("upto") - F.col("words")).alias("done"), "budget"), "span").alias("last")).select("last.*")
-    )
-    # Only that range is sorted; the cut is its first entry that does not fit.
-    queue = Window.orderBy("at", "k", "doc_id", "epoch")
-    cut = (
-        entries.withColumn("span", span)
-        .join(F.broadcast(last), "span")  # one row
-        .withColumn("upto", F.col("done") + F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0)))
-        .where("upto > budget")
-        .agg(F.min(F.struct("at", "k", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "epoch")).alias("cut"))
-    )
-    times = sum(
-        (
-            F.when(
-                F.col("cut").isNull() | (F.struct(F.col("finish")[e].alias("at"), F.col("k"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.lit(e).alias("epoch")) < F.col("cut")),
-                F.lit(1),
-            ).otherwise(F.lit(0))
-            for e in range(epochs)
-        ),
-        F.lit(0),
-    )
-    return queued.crossJoin(F.broadcast(cut)).select(  # cut is one row
-        "doc_id",
-        "size",
-        "source_size",
-        F.coalesce("target", F.lit(0.0)).alias("target"),
-        F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken"),
-    )
 
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """Rows of ``docs``, each as many times as the mix takes it; columns as they were.
+
+    Every row goes through the mix under a number of its own, so repeated ids, null ids and
+    repeated rows are taken as often as ``mix_sources`` says, row by row.
 
-def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, each as many times as the mix takes it; columns as they were."""
-    mixed = mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), "size", "taken").where("taken > 0")
-    # Repeated rows of one id are taken alike but for ties at the cut: the most counts.
-    mixed = mixed.groupBy("_id", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times")).withColumnRenamed("size", "_size")
-    rows, at = neutral(docs)
-    joined = rows.withColumn("_words", word_count(at["text"])).join(mixed, F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*at.values()).toDF(*docs.columns)
+    Edge cases: as in ``mix_sources``; rows without words are never taken; an empty table
+    gives an empty result; no column name of ``docs`` clashes with those used here.
+    """
+    with Scratch(docs.sparkSession) as scope:
+        rows, at = neutral(docs)
+        rows = scope.write(_numbered(rows), "numbered", keep=True)
+        known = rows.select("_row", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"))
+        mixed = _mix(scope.write(_sized(known), "sized"), scope, weights, epochs).where("times > 0")
+        taken = scope.write(mixed.select(F.col("row").alias("_row"), "times"), "taken", keep=True, rows=rows.count())
+        each = F.explode(F.sequence(F.lit(1), F.col("times")))
+        return rows.join(taken.hint("merge"), "_row").withColumn("_copy", each).select(*at.values()).toDF(*docs.columns)

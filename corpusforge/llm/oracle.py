@@ -20,7 +20,7 @@ FROM p LEFT JOIN f USING (digest)
 """
 
 OP2 = f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [{", ".join(f"{float(x)}::DOUBLE" for x in WEIGHTS)}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}) + 1] AS w, (source_size * {EPOCHS})::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -69,7 +69,7 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN low ON x = rid
 _BENCH = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, {_BENCH}) AS w FROM documents),
-b AS (SELECT coalesce(item_id, -1) AS item_id, regexp_extract_all({_LOWER}, {_BENCH}) AS w FROM benchmark),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_BENCH}) AS w FROM benchmark),
 i AS (SELECT *, least({WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
 dw AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),

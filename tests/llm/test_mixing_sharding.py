@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.llm import mixing, sharding
+from corpusforge.llm.common import Scratch
 
 
 def fill(sizes, weights, epochs=3):
@@ -44,9 +45,46 @@ def test_mix(spark, docs):
     again = mixing.mix_sources(docs.repartition(7)).toPandas()
     assert rows[["doc_id", "taken"]].sort_values("doc_id").values.tolist() == again[["doc_id", "taken"]].sort_values("doc_id").values.tolist()
     mixed = Counter(r["doc_id"] for r in mixing.take_mix(docs).collect())
-    assert {d: n for d, n in mixed.items()} == {r.doc_id: r.taken // r.size for r in rows[["doc_id", "taken", "size"]].itertuples(index=False) if r.taken} or {
-        d: n for d, n in mixed.items()
-    } == {int(a): int(b // c) for a, b, c in rows[["doc_id", "taken", "size"]].values.tolist() if b}
+    assert dict(mixed) == {int(a): int(b // c) for a, b, c in rows[["doc_id", "taken", "size"]].values.tolist() if b}
+
+
+def test_mix_of_repeated_and_missing_ids(spark):
+    """A third of the rows without id, ids repeated across sources, equal rows."""
+    rows = [(None if i % 3 == 0 else i % 50, f"{'word ' * (5 + i % 7)}{i % 40}", f"s{i % 3 if i < 400 else 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mixed = mixing.mix_sources(df)
+    assert mixed.count() == 3000
+    want = mixed.agg(F.sum("taken"), F.max(F.col("taken") / F.col("size"))).first()
+    taken = mixing.take_mix(df).withColumn("n", mixing.word_count("text"))
+    assert taken.agg(F.sum("n")).first()[0] == want[0] and want[1] <= 3
+    budget = sum(len(t.split()) for _, t, _ in rows)
+    assert budget - 40 <= want[0] <= budget
+    by_source = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    goal = {r["source_size"]: r["target"] for r in mixed.select("source_size", "target").distinct().collect()}
+    for name in ("s0", "s1", "s2"):
+        size = sum(len(t.split()) for _, t, s in rows if s == name)
+        assert abs(by_source[name] - goal[size]) <= 40
+    again = mixing.take_mix(df.repartition(3))
+    assert Counter(map(tuple, again.collect())) == Counter(tuple(r)[:3] for r in taken.collect())
+
+
+def test_mix_divides_the_last_range(spark, docs, monkeypatch):
+    want = Counter(map(tuple, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "SORTED", 2)
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    assert Counter(map(tuple, mixing.mix_sources(docs).collect())) == want
+
+
+def test_rows_without_id_are_spread(spark):
+    """Equal rows are one entry a partition, and rows of equal text and id have different keys."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id"))).otherwise("the same text").alias("text"), F.lit("s").alias("source")).repartition(8)
+    with Scratch(spark) as scope:
+        rows = scope.write(mixing._sized(mixing._numbered(df)), "sized")
+        mixed = mixing._mix(rows, scope, (1,), 3)
+        assert mixed.count() == 6000 and mixed.select("row").distinct().count() == 6000
+    placed = sharding.assign_shards(df).collect()
+    verify(placed, [(r["doc_id"], r["text"]) for r in df.collect()])
+    assert len({r["shard"] for r in placed if r["doc_id"] is None}) > 5
 
 
 def test_mix_odd(spark, odd):
@@ -108,4 +146,4 @@ def test_splitters():
     keys = sharding._pairs(np.array([5] * 90 + list(range(10, 20))), np.arange(100))
     cut = sharding.choose_splitters(keys, 10)
     assert (5, np.iinfo(np.int64).min) in [tuple(x) for x in cut.tolist()] and sum(x[0] == 5 for x in cut.tolist()) > 5
-    assert len(sharding.choose_splitters(keys[:0], 10)) == 0 and F is not None
+    assert len(sharding.choose_splitters(keys[:0], 10)) == 0
