@@ -6,9 +6,10 @@ own.  Exact totals of the ranges then place every record: the shard is where the
 middle of its group falls in the running sum of sizes, so shards have near equal
 sizes (law ``bytes``).
 
-The key is (hash of the text, hash of the id): rows of equal texts are adjacent
-and share a shard, unless the group itself is a sizeable part of one.  Texts are
-read once; what is shuffled are rows of a few numbers.
+The key is (hash of the text, hash of the id and, in its last 16 bits, of the row): rows
+of equal texts are adjacent and share a shard, unless the group itself is a sizeable part
+of one; rows of equal text and id, null ids among them, can still be told apart and so be
+divided.  Texts are read once; what is shuffled are rows of a few numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import Scratch
 
 SHARDS = 40
 #: Bytes that a record has besides its text.
@@ -99,14 +100,20 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANG
     another unless its group exceeds 5% of a shard; an empty table gives an empty
     result; further columns are ignored.
     """
+    with Scratch(docs.sparkSession) as scope:
+        return _assigned(docs, scope, shards, range_bytes, samples)
+
+
+def _assigned(docs: DataFrame, scope: Scratch, shards: int, range_bytes: int, samples: int) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = scratch(
+    tie = F.xxhash64(F.monotonically_increasing_id(), F.lit(5)).bitwiseAND(0xFFFF)
+    rows = scope.write(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
             F.xxhash64(F.col("text").isNull(), raw).alias("a"),
-            F.xxhash64("doc_id", F.lit(11)).alias("b"),
+            F.xxhash64("doc_id", F.lit(11)).bitwiseAND(~0xFFFF).bitwiseOR(tie).alias("b"),
         ),
         "keys",
     )
@@ -151,6 +158,6 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANG
     whole = F.col("group_bytes") <= F.lit(max(1.0, SPLIT_OVER * total / shards))
     middle = F.col("bytes0") + F.when(whole, F.col("group_before") + F.col("group_bytes") / 2).otherwise(F.col("before") + F.col("size") / 2)
     placed = placed.select("doc_id", "size", "text_crc32", "part", (F.col("rows0") + F.col("nth")).alias("nth"), F.least(F.lit(shards - 1), F.floor(middle * shards / max(total, 1))).cast("int").alias("shard"))
-    placed = scratch(placed, "placed")
+    placed = scope.write(placed, "placed", keep=True, rows=rows.count())
     firsts = placed.groupBy("shard").agg(F.min("nth").alias("first"))  # one row a shard
     return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
