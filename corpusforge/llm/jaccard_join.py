@@ -18,15 +18,16 @@ Plan
    many documents have are those lists.  The lists left over name a leader, and
    the documents of one leader form a block.  Any two linked documents meet in
    one block at least.
-3. In a block each document is compared with the leader first; those linked to it
-   are one component and need no comparison among themselves.  The others
-   (stragglers) are queries of a DivideSkip search over the whole block, on full
-   shingle sets, with exact overlap.  A large block is dealt out in chunks of
-   bounded size, and those documents that are not in its leader's component by then
-   are searched in all chunks.  Where they are many (documents that share a long passage
-   but are not alike), the documents of large blocks first go through steps 2 and 3
-   once more with sketches of 512 hashes, of which 289 may be left out (or three
-   quarters, in documents of up to 385 shingles).
+3. A block is searched by DivideSkip on full shingle sets, with exact overlap.  Its
+   leader is the first query; those linked to it are one component and need no
+   comparison among themselves.  The others (stragglers) are the further queries.  A
+   large block is dealt out in chunks of bounded size; documents that are not in its
+   leader's component by then are dealt out in chunks too, and each chunk of them is
+   searched in each chunk of the block, so no task holds more than two chunks.  Where
+   they are many (documents that share a long passage but are not alike), the
+   documents of large blocks first go through steps 2 and 3 once more with sketches of
+   512 hashes, of which 289 may be left out (or three quarters, in documents of up to
+   385 shingles).
 4. Links form components by alternating stars.
 
 No all-pairs output is ever made: a block yields spanning links only.
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_windows, hash_words, mark_possible_members, neutral, scratch, texts_of
+from .common import Scratch, hash_windows, hash_words, mark_possible_members, neutral, texts_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -57,9 +58,11 @@ CHUNK_SHINGLES = 1_500_000
 #: copies of stragglers, for each document of a large block, from which on that is done.
 DEEP_SKETCH, DIRECT_WORK = 512, 8.0
 #: Postings that a heap merges; longer inputs are merged by counting, with equal results.
-SMALL_MERGE = 48
-#: Long lists are merged too if they have fewer postings a candidate than this.
-MERGE_RATIO = 16
+SMALL_MERGE = 512
+#: Binary probes made at once.
+PROBES = 1 << 20
+#: Parts among which the rows of one leader are dealt out where they are joined by it.
+SALTS = 64
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -128,81 +131,77 @@ class _Block:
         self.sets.append(values)
         self.query.append(query)
 
-    def _linked(self, a: int, b: int) -> bool:
-        x, y = self.sets[a], self.sets[b]
-        short, long = sorted((len(x), len(y)))
-        if self.den * short < self.num * long:
-            return False
-        n = _common(x, y)
-        return self.den * n >= self.num * (short + long - n)
-
     def _join(self, a: int, b: int) -> None:
         old, new = self.label[a], self.label[b]
         if old != new:
             self.label[self.label == old] = new
             self.links.append((self.ids[a], self.ids[b]))
 
-    def star(self, leader: int) -> None:
-        for i in range(len(self.ids)):
-            if i != leader and self._linked(i, leader):
-                self._join(i, leader)
+    def _invert(self) -> None:
+        """Inverted lists: postings sorted by shingle, then document."""
+        self.sizes = np.array([len(s) for s in self.sets])
+        tokens = np.concatenate(self.sets)
+        owners = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(tokens, kind="stable")  # owners stay ascending in a list
+        self.owners = owners[order]
+        tokens = tokens[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        self.tokens, self.start = tokens[first], first
+        self.count = np.diff(np.append(first, len(tokens)))
+        # List number and owner as one ascending number, for binary probes of many lists at once.
+        self.probe = np.repeat(np.arange(len(first)), self.count) * len(self.sizes) + self.owners
 
     def search(self, queries: list[int]) -> None:
         """T-occurrence search of each query over the whole chunk (DivideSkip)."""
-        if not queries:
-            return
-        tokens = np.concatenate(self.sets)
-        sizes = np.array([len(s) for s in self.sets])
-        owners = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(tokens, kind="stable")  # owners stay ascending in a list
-        tokens, owners = tokens[order], owners[order]
+        sizes, m = self.sizes, len(self.sizes)
         for q in queries:
             own, n = self.sets[q], int(sizes[q])
             need = max(1, -(-self.num * n // self.den))  # J times the larger set, so T for the smallest partner
-            start = np.searchsorted(tokens, own, "left")
-            count = np.searchsorted(tokens, own, "right") - start
-            listed = np.flatnonzero(count > 1)  # a list of one holds the query alone
-            if len(listed) < need:
+            lists = np.searchsorted(self.tokens, own)
+            count = self.count[lists]
+            lists, count = lists[count > 1], count[count > 1]  # a list of one holds the query alone
+            if len(lists) < need:
                 continue
-            listed = listed[np.argsort(count[listed], kind="stable")]
-            start, count = start[listed], count[listed]
-            cut = len(listed) - need + 1  # a partner is in one of the short lists at least
+            order = np.argsort(count, kind="stable")
+            lists, count = lists[order], count[order]
+            cut = len(lists) - need + 1  # a partner is in one of the short lists at least
+            short, long = lists[:cut], lists[cut:]
+            start, count = self.start[short], count[:cut]
             # Partners of fitting size that are not known to be in the query's component.
             open_ = (self.den * np.minimum(sizes, n) >= self.num * np.maximum(sizes, n)) & (self.label != self.label[q])
-            if int(count[:cut].sum()) <= SMALL_MERGE:
-                lists = [owners[s : s + c].tolist() for s, c in zip(start[:cut].tolist(), count[:cut].tolist(), strict=True)]
-                seen = {i: k for i, k in heap_merge(lists) if open_[i]}
+            if int(count.sum()) <= SMALL_MERGE:
+                merged = heap_merge([self.owners[s : s + c].tolist() for s, c in zip(start.tolist(), count.tolist(), strict=True)])
+                seen = {i: k for i, k in merged if open_[i]}
                 found = np.array(list(seen), dtype=np.int64)
                 hits = np.array(list(seen.values()), dtype=np.int64)
             else:  # the same merge for long inputs, by counting
-                all_hits = np.bincount(owners[_spread(start[:cut], count[:cut])], minlength=len(sizes))
+                all_hits = np.bincount(self.owners[_spread(start, count)], minlength=m)
                 found = np.flatnonzero((all_hits > 0) & open_)
                 hits = all_hits[found]
-            start, count = start[cut:], count[cut:]
-            if len(found) and len(start) and count.sum() <= MERGE_RATIO * len(found) * len(start):
-                hits = hits + np.bincount(owners[_spread(start, count)], minlength=len(sizes))[found]
-            else:
-                for k, (s, c) in enumerate(zip(start.tolist(), count.tolist(), strict=True)):
-                    if not len(found):
-                        break
-                    long = owners[s : s + c]  # binary probes of every candidate at once
-                    p = np.searchsorted(long, found)
-                    p[p == c] = 0
-                    hits = hits + (long[p] == found)
-                    if k % 8 == 7:
-                        alive = hits + (len(start) - k - 1) >= need
-                        found, hits = found[alive], hits[alive]
-            fit = self.den * hits >= self.num * (n + sizes[found] - hits)
-            for other in found[fit].tolist():
+            # Every candidate is looked up in the long lists by binary probes, while it can
+            # still reach the overlap that its own size asks for.
+            at_least = -(-self.num * (n + sizes[found]) // (self.num + self.den))
+            step = max(1, PROBES // max(1, len(found)))
+            for i in range(0, len(long), step):
+                alive = hits + (len(long) - i) >= at_least
+                found, hits, at_least = found[alive], hits[alive], at_least[alive]
+                if not len(found):
+                    break
+                asked = (long[i : i + step, None] * m + found[None, :]).ravel()
+                p = np.searchsorted(self.probe, asked)
+                p[p == len(self.probe)] = 0
+                hits = hits + (self.probe[p] == asked).reshape(-1, len(found)).sum(axis=0)
+            for other in found[hits >= at_least].tolist():
                 self._join(q, other)
 
     def run(self, leader: int | None) -> list[int]:
         """Links of the chunk; returns those that are not in the leader's component then."""
         self.label = np.arange(len(self.ids))
+        self._invert()
         if leader is None:
             self.search([i for i, q in enumerate(self.query) if q])
             return []
-        self.star(leader)
+        self.search([leader])
         self.search(np.flatnonzero(self.label != self.label[leader]).tolist())
         return np.flatnonzero(self.label != self.label[leader]).tolist()
 
@@ -289,13 +288,25 @@ def _search_blocks(num: int, den: int, by_leader: bool):
 
 
 def _blocks_with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lead, chunk, cid, query) with sets, each block whole in one task and in order."""
+    """(lead, chunk, cid, query) with sets, each chunk whole in one task and in order."""
     return rows.join(sets, "cid").select("lead", "chunk", "cid", "query", "values").repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "cid")
 
 
 _LINKS = "lead long, u long, v long"
 
 
+def _salted(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """``rows(lead, cid, ...)`` of the leaders in ``leads(lead, ...)`` with the columns of both.
+
+    ``leads`` has a row for each of some large blocks.  It is repeated SALTS times and the
+    rows of one leader are dealt out among so many parts, so no leader is one task's work.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asked = mark_possible_members(rows, "lead", leads, "_in").where("_in").drop("_in")
+    asked = asked.withColumn("_salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return asked.join(leads.withColumn("_salt", salts).hint("merge"), ["lead", "_salt"]).drop("_salt")
+
+
 def _first_hashes(sketch: int):
     """(cid, values) to (cid, n, sketch)."""
 
@@ -307,7 +318,7 @@ def _first_hashes(sketch: int):
     return run
 
 
-def _route(sketches: DataFrame, num: int, den: int, sketch: int) -> DataFrame:
+def _route(sketches: DataFrame, num: int, den: int, sketch: int, scope: Scratch) -> DataFrame:
     """(cid, n, sketch) to members of blocks: cid, n, lead.  Linked classes share a block."""
     need = required_overlap(num, den, sketch)
     # Sets up to this size have partners that fit a sketch whole, so the exact bound holds.
@@ -324,15 +335,32 @@ def _route(sketches: DataFrame, num: int, den: int, sketch: int) -> DataFrame:
         .where("size(ls) > exempt")
         .select("cid", F.explode(F.array_distinct(F.expr("transform(slice(ls, 1, size(ls) - exempt), x -> x.lead)"))).alias("lead"))
     )
-    return scratch(kept.join(sketches.select("cid", "n"), "cid"), "members")
+    return scope.write(kept.join(sketches.select("cid", "n"), "cid"), "members", rows=sketch * sketches.count())
+
 
+def _place(members: DataFrame, chunk_rows: int, chunk_shingles: int, scope: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (lead, chunk, cid), large blocks (lead, rows, chunks), and the rows of step
+    one: members and, in every chunk, the leader.
 
-def _place(members: DataFrame, chunk_rows: int, chunk_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members by chunk, chunks of each block, and the rows of step one (leaders in every chunk)."""
+    Only counts are shuffled by leader, combined before; members of blocks that are not
+    large need no join.
+    """
+    n = members.count()
     sizes = members.groupBy("lead").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.max("cid").alias("any")).where("rows > 1 or any <> lead")
-    sizes = sizes.select("lead", "rows", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("shingles") / chunk_shingles)).cast("int").alias("chunks"))
-    placed = members.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("cid"), "chunks").cast("int").alias("chunk"), "cid", "chunks")
-    return placed, sizes, placed.select("lead", "chunk", "cid").union(_everywhere(sizes.select("lead", "chunks", F.col("lead").alias("cid"))))
+    sizes = scope.write(sizes.select("lead", "rows", F.ceil(F.greatest(F.col("rows") / chunk_rows, F.col("shingles") / chunk_shingles)).cast("int").alias("chunks")), "sizes", rows=n)
+    large = scope.write(sizes.where("chunks > 1"), "large", rows=sizes.count())
+    # A block of the leader alone has no pairs; few of those get through.
+    some = mark_possible_members(members.select("lead", "cid"), "lead", sizes, "_some").where("_some").drop("_some")
+    if large.isEmpty():
+        placed = some.select("lead", F.lit(0).alias("chunk"), "cid")
+    else:
+        # Only members of large blocks have a salt, and so a partner in the join.
+        salt = F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(SALTS)).cast("int")
+        marked = mark_possible_members(some, "lead", large, "_large").withColumn("_salt", F.when(F.col("_large"), salt))
+        chunks = large.select("lead", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        placed = marked.join(chunks.hint("merge"), ["lead", "_salt"], "left").select("lead", F.coalesce(F.pmod(F.xxhash64("cid"), "chunks"), F.lit(0)).cast("int").alias("chunk"), "cid")
+    placed = scope.write(placed, "placed", rows=n)
+    return placed, large, placed.union(_everywhere(sizes.select("lead", "chunks", F.col("lead").alias("cid"))))
 
 
 def _everywhere(rows: DataFrame) -> DataFrame:
@@ -340,10 +368,26 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     return rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cid")
 
 
-def _stragglers(found: DataFrame, large: DataFrame) -> DataFrame:
+def _stragglers(found: DataFrame, large: DataFrame, scope: Scratch) -> DataFrame:
     """Members of large blocks that their chunk left outside of the leader's component."""
     rest = found.where("v is null").select("lead", F.col("u").alias("cid")).distinct()
-    return scratch(rest.join(large, "lead").select("lead", "cid", "chunks"), "stragglers")
+    return scope.write(_salted(rest, large.select("lead", "chunks")).select("lead", "cid", "chunks"), "stragglers", rows=found.count())
+
+
+def _cells(placed: DataFrame, rest: DataFrame, chunk_rows: int, scope: Scratch) -> DataFrame:
+    """Rows of step two: each chunk of a block with each chunk of its stragglers.
+
+    ``chunk`` numbers the cells of a block; a cell holds one chunk of either, so its size
+    is bounded however many stragglers there are.
+    """
+    parts = rest.groupBy("lead").agg(F.first("chunks").alias("chunks"), F.ceil(F.count("*") / chunk_rows).cast("long").alias("parts"))
+    parts = scope.write(parts, "parts", rows=rest.count())
+    cell = (F.col("chunk") * F.col("parts") + F.col("part")).alias("chunk")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    hosts = _salted(placed, parts.select("lead", "parts")).withColumn("part", every("parts")).select("lead", cell, "cid", F.lit(False).alias("query"))
+    asked = _salted(rest.select("lead", "cid"), parts).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(9)), "parts"))
+    asked = asked.withColumn("chunk", every("chunks")).select("lead", cell, "cid", F.lit(True).alias("query"))
+    return hosts.union(asked)
 
 
 def classes_and_links(
@@ -356,22 +400,25 @@ def classes_and_links(
     chunk_shingles: int = CHUNK_SHINGLES,
     deep_sketch: int = DEEP_SKETCH,
     direct_work: float = DIRECT_WORK,
+    *,
+    scope: Scratch,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs(doc_id, text)`` to three stored tables.
+    """``docs(doc_id, text)`` to three tables of ``scope``.
 
     * one row per document: doc_id, n_shingles, digest (null: no words);
     * one row per class of equal sets: cid, digest, n, first_id;
     * spanning links between classes: u, v (cids).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shingled = scratch(docs.mapInArrow(_sketches(k, sketch), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
-    classes = scratch(
+    shingled = scope.write(docs.mapInArrow(_sketches(k, sketch), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
+    classes = scope.write(
         shingled.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
+        rows=shingled.count(),
     )
-    placed, sizes, rows = _place(_route(classes, num, den, sketch), chunk_rows, chunk_shingles)
+    placed, large, rows = _place(_route(classes, num, den, sketch, scope), chunk_rows, chunk_shingles, scope)
 
-    involved = scratch(rows.select("cid").distinct().join(classes.select("cid", "first_id", "digest"), "cid"), "involved")
+    involved = scope.write(rows.select("cid").distinct().join(classes.select("cid", "first_id", "digest"), "cid"), "involved", rows=classes.count())
     # Most documents have no partner at all; their texts are not dealt out.
     asked = mark_possible_members(docs, "doc_id", involved.select(F.col("first_id").alias("doc_id")), "_asked").where("_asked")
     sets = (
@@ -382,31 +429,27 @@ def classes_and_links(
         .groupBy("cid")
         .agg(F.first("values").alias("values"))
     )
-    sets = scratch(sets, "sets")
+    sets = scope.write(sets, "sets")
 
-    def step_one(rows: DataFrame) -> DataFrame:
-        return scratch(_blocks_with_sets(rows.withColumn("query", F.lit(False)), sets).mapInArrow(_search_blocks(num, den, True), _LINKS), "links")
+    def search(rows: DataFrame, by_leader: bool) -> DataFrame:
+        return scope.write(_blocks_with_sets(rows, sets).mapInArrow(_search_blocks(num, den, by_leader), _LINKS), "links")
 
-    found = step_one(rows)
+    found = search(rows.withColumn("query", F.lit(False)), True)
     links = found.where("v is not null").select("u", "v")
-    large = scratch(sizes.where("chunks > 1"), "large")
     if not large.isEmpty():
-        rest = _stragglers(found, large)
+        rest = _stragglers(found, large, scope)
         total = large.agg(F.sum("rows")).first()[0]
         if (rest.agg(F.sum("chunks")).first()[0] or 0) > direct_work * total:
             # Many stragglers: deal the documents of large blocks out anew, by sketches in
             # which a passage may be most of a document before its lists count.
-            again = placed.join(large, "lead", "left_semi").select("cid").union(large.select(F.col("lead").alias("cid"))).distinct()
-            deep = scratch(sets.join(again, "cid", "left_semi").mapInArrow(_first_hashes(deep_sketch), "cid long, n long, sketch array<long>"), "sketches")
-            placed, sizes, rows = _place(_route(deep, num, den, deep_sketch), chunk_rows, chunk_shingles)
-            found = step_one(rows)
+            again = _salted(placed, large.select("lead")).select("cid").union(large.select(F.col("lead").alias("cid"))).distinct()
+            deep = scope.write(sets.join(again, "cid", "left_semi").mapInArrow(_first_hashes(deep_sketch), "cid long, n long, sketch array<long>"), "sketches")
+            placed, large, rows = _place(_route(deep, num, den, deep_sketch, scope), chunk_rows, chunk_shingles, scope)
+            found = search(rows.withColumn("query", F.lit(False)), True)
             links = links.union(found.where("v is not null").select("u", "v"))
-            large = scratch(sizes.where("chunks > 1"), "large")
-            rest = _stragglers(found, large)
-        queries = _everywhere(rest).withColumn("query", F.lit(True))
-        hosts = placed.join(rest.select("lead").distinct(), "lead", "left_semi").select("lead", "chunk", "cid", F.lit(False).alias("query"))
-        more = scratch(_blocks_with_sets(hosts.union(queries.select("lead", "chunk", "cid", "query")), sets).mapInArrow(_search_blocks(num, den, False), _LINKS), "links")
-        links = links.union(more.select("u", "v"))
+            rest = _stragglers(found, large, scope)
+        if not rest.isEmpty():
+            links = links.union(search(_cells(placed, rest, chunk_rows, scope), False).select("u", "v"))
     return shingled.select("doc_id", "n_shingles", "digest"), classes.select("cid", "digest", "n", "first_id"), links
 
 
@@ -420,14 +463,15 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     row, takes the component's smallest id if its text links with others, else
     null; an empty table gives an empty result; further columns are ignored.
     """
-    return _judged(docs, **options).select("doc_id", "n_shingles", "component_id")
+    with Scratch(docs.sparkSession) as scope:
+        return scope.write(_judged(docs, scope, **options).select("doc_id", "n_shingles", "component_id"), "components", keep=True, rows=docs.count())
 
 
-def _judged(docs: DataFrame, **options) -> DataFrame:
+def _judged(docs: DataFrame, scope: Scratch, **options) -> DataFrame:
     """Rows of ``jaccard_components`` with the digest of each and its component's node, which
     no other component has, whatever the ids (both null without words)."""
-    shingled, classes, links = classes_and_links(docs, **options)
-    comp = connected_components(links)
+    shingled, classes, links = classes_and_links(docs, scope=scope, **options)
+    comp = connected_components(links, scope)
     in_comp = classes.select(F.col("cid").alias("node"), "digest", "first_id").join(comp, "node")
     low = in_comp.groupBy("root").agg(F.min("first_id").alias("low"))
     linked = in_comp.join(low, "root").select("node", "root", "low")
@@ -443,12 +487,17 @@ def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
     no row of their component has one, one of each text; so do rows without words, one of
     each id and text.
     """
-    rows = scratch(_judged(docs, **options), "components")
+    with Scratch(docs.sparkSession) as scope:
+        return _kept(docs, scope, **options)
+
+
+def _kept(docs: DataFrame, scope: Scratch, **options) -> DataFrame:
+    rows = scope.write(_judged(docs, scope, **options), "components", rows=docs.count())
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # Ids that are dropped, and ids that have further rows, need a look; the other texts,
     # most of them, pass through without being dealt out.
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("stays"))
-    look = scratch(ids.where("n > 1 or not stays"), "doubtful")
+    look = scope.write(ids.where("n > 1 or not stays"), "doubtful", keep=True, rows=rows.count())
     table, at = neutral(docs)
     key, names = at["doc_id"], list(at.values())
     marked = mark_possible_members(table, key, look.select(F.col("doc_id").alias(key)), "look")
@@ -462,6 +511,7 @@ def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
     mine = rows.where(own).join(repeated.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     each = F.when(F.col("doc_id").isNull(), F.col("digest"))
     kept = mine.where("digest is not null").groupBy("doc_id", "root", each.alias("each")).agg(F.min("digest").alias("_digest")).select(F.col("doc_id").alias("_id"), "_digest")
+    kept = scope.write(kept, "chosen", keep=True)
     k = options.get("k", SHINGLE)
     digest = F.udf(lambda text: _digest(shingle_set(text, k)), "binary")
     again = mark_possible_members(table, key, repeated.withColumnRenamed("_id", key), "look").where("look").drop("look")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.llm import jaccard_join as J
-from corpusforge.llm.common import mark_possible_members
+from corpusforge.llm.common import Scratch, mark_possible_members
 from corpusforge.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, cid string, look long"
@@ -56,7 +56,7 @@ def corpus(n=120, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_rows": 7}, {"chunk_rows": 7, "direct_work": 1e9}, {"chunk_rows": 7, "direct_work": 0, "deep_sketch": 128}, {"chunk_shingles": 900, "sketch": 32}])
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 7}, {"chunk_rows": 7, "direct_work": 1e9}, {"chunk_rows": 20, "direct_work": 1e9, "sketch": 16}, {"chunk_rows": 7, "direct_work": 0, "deep_sketch": 128}, {"chunk_shingles": 900, "sketch": 32}])
 def test_equals_brute_force(spark, options):
     rows = corpus()
     got = sorted(tuple(r) for r in run(spark, rows, **options).collect())
@@ -94,7 +94,7 @@ def test_keep_one_judges_each_row_by_its_own_component(spark):
 def test_heap_merge_and_search_agree(spark):
     assert list(J.heap_merge([[1, 3, 5], [1, 5], [], [5]])) == [(1, 2), (3, 1), (5, 3)]
     rows = corpus(60)
-    small, J.SMALL_MERGE = J.SMALL_MERGE, 0
+    small, probes, J.SMALL_MERGE = J.SMALL_MERGE, J.PROBES, 0
 
     def links():
         block = J._Block(75, 100)
@@ -118,13 +118,11 @@ def test_heap_merge_and_search_agree(spark):
         by_count = links()
         J.SMALL_MERGE = 10**9
         by_heap = links()
-        J.SMALL_MERGE, ratio = 0, J.MERGE_RATIO
-        J.MERGE_RATIO = 0
-        by_probe = links()
-        J.MERGE_RATIO = ratio
+        J.PROBES = 1
+        by_single_probes = links()
     finally:
-        J.SMALL_MERGE = small
-    assert by_count == by_heap == by_probe
+        J.SMALL_MERGE, J.PROBES = small, probes
+    assert by_count == by_heap == by_single_probes
 
 
 def test_overlap_bound():
@@ -137,22 +135,42 @@ def test_route_at_the_end_of_the_exact_bound(spark):
     sets = {0: [*range(289), *range(1000, 1711)], 1: list(range(385)), 2: list(range(289))}
     rows = spark.createDataFrame([(c, len(v), v[:512]) for c, v in sets.items()], "cid long, n long, sketch array<long>")
     leads = {c: {c} for c in sets}
-    for r in J._route(rows, 75, 100, 512).collect():
-        leads[r["cid"]].add(r["lead"])
+    with Scratch(spark) as scope:
+        for r in J._route(rows, 75, 100, 512, scope).collect():
+            leads[r["cid"]].add(r["lead"])
     assert leads[1] & leads[2]
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 201), (201, 200), (5, 5), (None, 3)] + [(500, 500 + i) for i in range(1, 300)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark)).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[201] == 200 and all(got[500 + i] == 500 for i in range(300)) and len(got) == 61 + 2 + 300
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1 << 16, 1 << 26])
+@pytest.mark.parametrize("bits", [None, 1 << 16, 1 << 26])
 def test_bitmap_never_misses(spark, bits):
     df = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(1).alias("_bits2"))
     members = df.where("k % 7 = 0 or k is null")
     out = mark_possible_members(df, "k", members, "m", bits)
     assert out.where("(k % 7 = 0 or k is null) and not m").count() == 0
-    assert out.count() == 20000 and out.where("m").count() < (4200 if bits > 1 << 20 else 8000)
+    assert out.count() == 20000 and out.where("m").count() < (8000 if bits == 1 << 16 else 4200)
+
+
+def test_no_leader_is_one_task(spark):
+    """Members, stragglers and cells of one hot leader are dealt out by salt."""
+    rows = spark.range(20000).select(F.lit(1).cast("long").alias("lead"), F.col("id").alias("cid"), (F.col("id") % 10).cast("int").alias("chunk"))
+    leads = spark.createDataFrame([(1, 10), (2, 3)], "lead long, chunks int")
+    joined = J._salted(rows, leads)
+    assert joined.count() == 20000 and joined.select("lead", "cid", "chunk", "chunks").distinct().count() == 20000
+    salts = rows.select(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(J.SALTS)).alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+    assert salts < 3 * 20000 / J.SALTS
+
+
+def test_cells_are_bounded(spark):
+    with Scratch(spark) as scope:
+        placed = spark.range(3000).select(F.lit(0).cast("long").alias("lead"), F.pmod("id", F.lit(30)).cast("int").alias("chunk"), F.col("id").alias("cid"))
+        rest = placed.where("cid % 2 = 1").select("lead", "cid", F.lit(30).alias("chunks"))
+        cells = J._cells(placed, rest, 100, scope).groupBy("lead", "chunk").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("h")).collect()
+        assert len(cells) == 30 * 15 and max(r["q"] for r in cells) < 200 and {r["h"] for r in cells} == {100}
+        assert sum(r["q"] for r in cells) == 1500 * 30
