@@ -7,15 +7,14 @@ share a kept fingerprint, so with ``k + w - 1 = window`` every shared window is
 found.  Each common fingerprint is a hit that is extended to the whole windows
 around it.
 
-The item side is a test set and small beside the corpus.  Its fingerprints are
-joined by hash in blocks of at most ``block_words`` item words: each block is one
-broadcast of bounded size, and the documents stream through one block after the
-other in one pass, without a shuffle.  A larger test set only adds blocks.
+A test set of at most ``block_words`` words is one broadcast of bounded size, and the
+documents stream past it without a shuffle.  Of a larger one nothing is broadcast: the
+fingerprints of documents and items are joined by hash in Spark, with salt, after a bitmap
+of fixed size has taken out those that no item has.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_windows, hash_words, neutral
+from .common import Scratch, hash_windows, hash_words, mark_possible_members, neutral
 
 #: Words of a window that counts as shared.
 WINDOW = 10
 #: Words of a fingerprinted k-gram.
 GRAM = 5
-#: Item words of one broadcast block; 40 bytes of tables a word, so 80 MB at most.
+#: Item words that are broadcast; 40 bytes of tables a word, so 80 MB at most.
 BLOCK_WORDS = 2_000_000
+#: Parts among which the rows of one fingerprint are dealt out.
+SALTS = 16
+#: Runs of word characters in a text that is not lower-cased yet.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 # Word characters are ASCII letters and digits and everything beyond ASCII.
 _KEEP = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -73,18 +76,21 @@ class ItemBlock:
     gram: int
     # window length -> (sorted window hashes, start of each one's items, items)
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    names: list[int | None] = field(default_factory=list)  # ids of the items, by number
     prints: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.uint64))
 
     @classmethod
     def build(cls, items: list[tuple[int | None, str | None]], window: int, gram: int) -> ItemBlock:
         out, found, prints = cls(window, gram), {}, []
+        out.names = list(dict.fromkeys(item_id for item_id, _ in items))
+        number = {item_id: i for i, item_id in enumerate(out.names)}
         for item_id, text in items:
             hashes = hash_words(benchmark_words(text))
             if not len(hashes):
                 continue
             length = min(window, len(hashes))
             values = np.unique(hash_windows(hashes, length))
-            found.setdefault(length, []).append((values, np.full(len(values), -1 if item_id is None else item_id, dtype=np.int64)))
+            found.setdefault(length, []).append((values, np.full(len(values), number[item_id], dtype=np.int64)))
             if length == window:
                 grams = hash_windows(hashes, gram)
                 prints.append(grams[winnow(grams, window - gram + 1)])
@@ -98,8 +104,8 @@ class ItemBlock:
             out.prints = np.unique(np.concatenate(prints))
         return out
 
-    def hits(self, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Word spans (start, end) of ``hashes`` that are windows, and their items."""
+    def hits(self, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[int | None]]:
+        """Word spans (start, end) of ``hashes`` that are windows, and the ids of their items."""
         spans, items = [], set()
         for length, (values, start, ids) in self.windows.items():
             if len(hashes) < length:
@@ -122,21 +128,7 @@ class ItemBlock:
             spans += [(int(b), int(b) + length) for b in begins[ok]]
             for p in np.unique(np.searchsorted(values, picked[ok])):
                 items.update(ids[start[p] : start[p + 1]].tolist())
-        return spans, items
-
-
-def _blocks(items: DataFrame, window: int, gram: int, block_words: int) -> Iterator[ItemBlock]:
-    """Item rows come to the driver one at a time and leave in bounded blocks."""
-    held, words = [], 0
-    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        n = len(benchmark_words(row["text"]))
-        if held and words + n > block_words:
-            yield ItemBlock.build(held, window, gram)
-            held, words = [], 0
-        held.append((row["item_id"], row["text"]))
-        words += n
-    if held:
-        yield ItemBlock.build(held, window, gram)
+        return spans, {self.names[i] for i in items}
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,29 +150,110 @@ _ADDED = T.StructType([
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(block, text_at: int, first: bool):
-    """Adds the hits of one block; ``block`` is a broadcast."""
+def _scan(block, text_at: int):
+    """Adds the hits of the broadcast ``block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = block.value
         for batch in batches:
             n_words, spans, items = [], [], []
-            for row, text in enumerate(batch.column(text_at).to_pylist()):
+            for text in batch.column(text_at).to_pylist():
                 hashes = hash_words(benchmark_words(text))
                 hit, found = table.hits(hashes)
-                if not first:
-                    hit = hit + [(s["start"], s["end"]) for s in batch.column(batch.num_columns - 2)[row].as_py()]
-                    found = found | set(batch.column(batch.num_columns - 1)[row].as_py())
                 n_words.append(len(hashes))
                 spans.append([{"start": a, "end": b} for a, b in merge_spans(hit)])
-                items.append(sorted(found))
-            columns = batch.columns if first else batch.columns[:-3]
-            names = batch.schema.names if first else batch.schema.names[:-3]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=[*names, "_n_words", "_hit_spans", "_items"])
+                items.append(sorted(found, key=lambda x: (x is None, x)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=[*batch.schema.names, "_n_words", "_hit_spans", "_items"])
+
+    return run
+
+
+def _item_windows(window: int, gram: int):
+    """(item_id, text) to (item_id, n, seed, window): window hashes of length ``n`` and, as
+    rows without ``window``, the fingerprints that find them; a short window is its own."""
+    schema = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("seed", pa.int64()), ("window", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = hash_words(benchmark_words(text))
+                if not len(hashes):
+                    continue
+                n = min(window, len(hashes))
+                values = np.unique(hash_windows(hashes, n))
+                grams = hash_windows(hashes, gram) if n == window else values
+                seeds = np.unique(grams[winnow(grams, window - gram + 1)]) if n == window else values
+                rows = len(seeds) + len(values)
+                yield pa.RecordBatch.from_arrays([pa.array([item_id] * rows, pa.int64()), pa.array([n] * rows, pa.int32()), pa.array([*seeds.view(np.int64).tolist(), *[None] * len(values)], pa.int64()), pa.array([*[None] * len(seeds), *values.view(np.int64).tolist()], pa.int64())], schema=schema)
+
+    return run
+
+
+def _document_windows(window: int, gram: int, lengths: list[int]):
+    """(_row, text) to (_row, n, seed, begin, windows): each kept fingerprint and the hashes
+    of the windows that hold it, from word ``begin`` on; every n-gram of the short lengths."""
+    schema = pa.schema([("_row", pa.int64()), ("n", pa.int32()), ("seed", pa.int64()), ("begin", pa.int64()), ("windows", pa.list_(pa.int64()))])
+    w = window - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = hash_words(benchmark_words(text))
+                for n in lengths:
+                    if len(hashes) < n:
+                        continue
+                    values = hash_windows(hashes, n).view(np.int64)
+                    if n < window:
+                        seeds, begins, lists = values, np.arange(len(values)), values[:, None].tolist()
+                    else:
+                        grams = hash_windows(hashes, gram)
+                        kept = winnow(grams, w)
+                        begins = np.maximum(kept - w + 1, 0)
+                        seeds, lists = grams[kept].view(np.int64), [values[a : p + 1].tolist() for a, p in zip(begins.tolist(), kept.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(seeds), pa.int64()), pa.array([n] * len(seeds), pa.int32()), pa.array(seeds, pa.int64()), pa.array(begins, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of (start, end) to merged spans."""
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in merge_spans([(s["start"], s["end"]) for s in row])] for row in batch.column(1).to_pylist()]
+        items = [sorted((i["item_id"] for i in row), key=lambda x: (x is None, x)) for row in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=["_hit", "_hit_spans", "_items"])
+
+
+def _join_prints(docs: DataFrame, items: DataFrame, window: int, gram: int, text: str, scope: Scratch) -> DataFrame:
+    """``docs`` with the three columns, by a join of fingerprints in Spark."""
+    table, at = neutral(docs)
+    rows = scope.write(table.withColumn("_row", F.monotonically_increasing_id()), "numbered", keep=True)
+    known = scope.write(items.mapInArrow(_item_windows(window, gram), "item_id long, n int, seed long, window long"), "items")
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # from 1 to ``window``
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = lambda df: df.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+
+    seeds = known.where("seed is not null").select("n", "seed").distinct()
+    made = rows.select("_row", at[text]).mapInArrow(_document_windows(window, gram, lengths), "_row long, n int, seed long, begin long, windows array<long>")
+    asked = mark_possible_members(made.withColumn("key", F.xxhash64("n", "seed")), "key", seeds.select(F.xxhash64("n", "seed").alias("key")), "maybe").where("maybe").drop("maybe", "key")
+    held = salted(asked).join(seeds.select("n", "seed", salts).hint("merge"), ["n", "seed", "_salt"], "left_semi")
+    around = scope.write(held.select("_row", "n", F.posexplode("windows").alias("i", "window"), "begin").select("_row", "n", "window", (F.col("begin") + F.col("i")).alias("begin")), "windows")
+
+    windows = known.where("window is not null").select("n", "window", "item_id")
+    hit = salted(around).join(windows.select("n", "window").distinct().select("n", "window", salts).hint("merge"), ["n", "window", "_salt"], "left_semi")
+    hit = scope.write(hit.select("_row", "n", "window", "begin").distinct(), "hits")
+    spans = hit.groupBy("_row").agg(F.collect_set(F.struct(F.col("begin").alias("start"), (F.col("begin") + F.col("n")).alias("end"))).alias("spans"))
+    named = salted(hit.select("_row", "n", "window").distinct()).join(windows.select("n", "window", "item_id", salts).hint("merge"), ["n", "window", "_salt"]).select("_row", "item_id").distinct()
+    found = spans.join(named.groupBy("_row").agg(F.collect_set(F.struct("item_id")).alias("items")), "_row").select("_row", "spans", "items")
+    found = scope.write(found.mapInArrow(_merged, "_hit long, _hit_spans array<struct<start:long,end:long>>, _items array<long>"), "found", keep=True)
+
+    marked = mark_possible_members(rows, "_row", found.select(F.col("_hit").alias("_row")), "maybe")
+    n_words = F.coalesce(F.regexp_count(F.col(at[text]), F.lit(_WORD)), F.lit(0)).cast("long")
+    no = lambda c: F.coalesce(c, F.array().cast(_ADDED[c].dataType))
+    clean = marked.where("not maybe").select(*at.values(), n_words, F.array().cast(_ADDED["_hit_spans"].dataType), F.array().cast(_ADDED["_items"].dataType))
+    others = marked.where("maybe").join(found.hint("merge"), F.col("_row") == F.col("_hit"), "left").select(*at.values(), n_words, no("_hit_spans"), no("_items"))
+    return clean.union(others).toDF(*docs.columns, *_ADDED.names)
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """``docs`` with three more columns: _n_words, _hit_spans and _items.
 
@@ -190,20 +263,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     all their n-grams are compared.
 
     Edge cases: null and wordless texts have no words and no hits; wordless items
-    match nothing; a null item_id counts as -1; repeated rows and items are kept as
-    they are (equal ids count once); empty tables give no hits; columns of ``docs``
-    are kept, those named like the three new ones are replaced.
+    match nothing; items without an id are found as the id null, all together; repeated
+    rows and items are kept as they are (equal ids count once); empty tables give no hits;
+    columns of ``docs`` are kept, those named like the three new ones are replaced.
     """
-    new = ["_n_words", "_hit_spans", "_items"]
-    docs = docs.drop(*new)
+    docs = docs.drop(*_ADDED.names)
     spark, schema = docs.sparkSession, T.StructType([*docs.schema.fields, *_ADDED.fields])
-    at, out, first = docs.columns.index(text), docs, True
-    for block in _blocks(items, window, gram, block_words):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), at, first), schema)
-        first = False
-    if first:
-        out = docs.mapInArrow(_pass(spark.sparkContext.broadcast(ItemBlock(window, gram)), at, True), schema)
-    return out
+    counted = items.select(F.col("item_id").cast("long").alias("item_id"), "text", F.regexp_count("text", F.lit(_WORD)).alias("words")).where("words > 0")
+    total = counted.agg(F.sum("words")).first()[0] or 0
+    if total > block_words:
+        with Scratch(spark) as scope:
+            return _join_prints(docs, counted.select("item_id", "text"), window, gram, text, scope)
+    held = [(r["item_id"], r["text"]) for r in counted.select("item_id", "text").collect()]  # ``block_words`` words at most
+    return docs.mapInArrow(_scan(spark.sparkContext.broadcast(ItemBlock.build(held, window, gram)), docs.columns.index(text)), schema)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -222,7 +294,11 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` without a shared window; columns as they were."""
+    """Rows of ``docs`` without a shared window; columns as they were.
+
+    Edge cases: rows without words stay, repeated rows are judged alike, empty tables of
+    either kind drop nothing; names of ``docs`` clash with none used here.
+    """
     rows, at = neutral(docs)
     return find_contamination(rows, items, text=at["text"], **options).where("size(_hit_spans) = 0").select(*at.values()).toDF(*docs.columns)
 
@@ -241,8 +317,3 @@ def excise(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(raw[last : bounds[a][0]])
         last = bounds[b - 1][1]
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
-
-
-def items_digest(ids: list[int]) -> str:
-    """The digest that ``contamination_report`` gives for these items."""
-    return hashlib.sha256(",".join(sorted(map(str, set(ids)))).encode()).hexdigest()
