@@ -10,11 +10,11 @@ documents are counted with NumPy and learning sums plain numbers.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +22,13 @@ from .common import crc_bucket, texts_of
 
 #: n-grams of a profile, and the place given to one that a profile lacks.
 PROFILE = 400
-#: Documents that a language is learned from, about (a bounded sample by id hash).
+#: Documents that a language is learned from, about (a bounded sample by hash).
 LEARN_DOCS = 6000
 #: Distinct n-grams held by a learning task before it passes them on.
 HELD = 500_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_docs: int = LEARN
     """Profiles from ``docs(doc_id, text, lang)``; rows without lang are left out.
 
     Each language is learned from about ``learn_docs`` documents, chosen by a hash of
-    the id at a rate that follows the language's row count, whatever the order of rows.
+    id and text at a rate that follows the language's row count, whatever the order of rows.
     The driver gets ``size`` rows a language.
     """
     labelled = docs.where("lang is not null")
@@ -128,7 +128,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_docs: int = LEARN
     if not rows:
         return Profiles({}, size)
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, learn_docs / n)) for k, n in rows.items()], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = labelled.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")  # rates: one row a language
     counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -105,9 +105,11 @@ _AT = "at|arroba|ät|chez"
 _DOT = "dot|punkt|punto|point"
 #: Last labels that a wholly spoken address may have.
 TOP_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev me tv eu us uk ca au nz in ie de at ch fr be lu es mx ar cl co pe it pt br nl se no dk fi pl cz ru ua jp cn kr".split())
+#: Last labels that are everyday words too, as in "at this point in time".
+WORD_LABELS = frozenset("in me it us at de be es no pt".split())
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 
-_BRACKET = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:({_AT}|@)|({_DOT}|\.))[ \t]*[\])}}>][ \t]*", re.I)
+_BRACKET = re.compile(rf"[\[({{<][ \t]*(?:({_AT}|@)|({_DOT}|\.))[ \t]*[\])}}>]", re.I)
 _SPOKEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)([ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_DOT})[ \t]+|\.)[A-Za-z0-9-]+)+", re.I)
 _JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.]+([-_]at[-_])[A-Za-z0-9]+(?:[-_]dot[-_][A-Za-z0-9]+)+(?![A-Za-z0-9_-])", re.I)
 _JOINED_DOT = re.compile(r"[-_]dot[-_]", re.I)
@@ -218,8 +220,10 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPOKEN_MAIL.finditer(text):
         sign, dots = m.group(2), [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text, m.end(2), m.end())]
-        known = re.split(r"[ \t.]", m.group())[-1].lower() in TOP_LABELS
+        label = re.split(r"[ \t.]", m.group())[-1].lower()
         plain_word = m.group(1).isalpha()
+        noun = any(text[a:b].strip().lower() != "dot" for a, b, _ in dots)  # "point" and the like
+        known = label in TOP_LABELS and not (plain_word and noun and label in WORD_LABELS)
         if sign == "@" and dots or known and (dots or sign.strip() == "@" and sign != "@" or sign != "@" and not plain_word):
             edits += ([(*m.span(2), "@")] if sign != "@" else []) + dots
     for m in _JOINED_MAIL.finditer(text):
@@ -229,6 +233,23 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
     return [e for i, e in enumerate(edits) if i == 0 or e[0] >= edits[i - 1][1]]
 
 
+def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn bracketed signs, with the blanks around them, into "@" and ".".
+
+    Blanks are walked from the bracket outwards, each once, so runs of them cost their length.
+    """
+    edits, done = [], 0
+    for m in _BRACKET.finditer(text):
+        start, end = m.span()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        edits.append((start, end, "@" if m.group(1) else "."))
+        done = end
+    return edits
+
+
 def deobfuscate(text: str) -> Rewritten | None:
     """The text rewritten step by step; None if it shows no sign of a disguise."""
     odd = _ODD.search(text) is not None
@@ -239,7 +260,7 @@ def deobfuscate(text: str) -> Rewritten | None:
         edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain_character(m.group())) != m.group()]
         if edits:
             out.rewrite(edits)
-    for edits_of in (lambda t: [(*m.span(), "@" if m.group(1) else ".") for m in _BRACKET.finditer(t)], _mail_edits, _spell, lambda t: [(*m.span(), ".") for m in _NUMBER_DOT.finditer(t)]):
+    for edits_of in (_bracket_edits, _mail_edits, _spell, lambda t: [(*m.span(), ".") for m in _NUMBER_DOT.finditer(t)]):
         edits = edits_of(out.text)
         if edits:
             out.rewrite(edits)
@@ -249,28 +270,31 @@ def deobfuscate(text: str) -> Rewritten | None:
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and the spans that deobfuscation adds.
 
-    An added span is inside no base span of its kind; it may extend base spans, which
-    stay, or overlap those of other kinds.
+    An added span is inside no base span of its kind and inside no added span of a kind
+    listed before its own; it may extend base spans, which stay, or overlap others.
     """
     text = text or ""
     base = detect(text)
     new = deobfuscate(text)
     if new is None:
         return base, []
-    # Base spans of a kind are disjoint and in order.
+    # Spans of a kind, base or added, are disjoint and in order.
     taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     for kind, a, b in base:
         taken[kind].append((a, b))
-    added: list[Span] = []
-    for kind, a, b in detect(new.text):
+    added: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+
+    def inside(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+        i = bisect_right(spans, start, key=lambda s: s[0])
+        return i > 0 and end <= spans[i - 1][1]
+
+    for kind, a, b in detect(new.text):  # by kind as listed
         if not new.changed(a, b):
             continue
         start, end = new.back(a)[0], new.back(b - 1)[1]
-        i = bisect_right(taken[kind], start, key=lambda s: s[0])
-        if i and end <= taken[kind][i - 1][1]:
-            continue
-        added.append((kind, start, end))
-    return base, added
+        if not inside(taken[kind], start, end) and not any(inside(added[k], start, end) for k in KINDS[: KINDS.index(kind)]):
+            added[kind].append((start, end))
+    return base, [(k, a, b) for k in KINDS for a, b in added[k]]
 
 
 def spell_spans(spans: list[Span]) -> str:
