@@ -82,7 +82,11 @@ def preference_examples(conversations: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def preference_digest(conversations: DataFrame) -> DataFrame:
-    """Examples of adjacent conversations, masks as text ``start:end`` comma-joined."""
+    """Examples of adjacent conversations, masks as text ``start:end`` comma-joined.
+
+    Edge cases: as in ``preference_examples``; a conversation whose neighbour is missing
+    gives no row; an empty mask is the empty text.
+    """
     spans = lambda c: F.array_join(F.transform(F.col(c), lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
     made = preference_examples(conversations, adjacent_pairs(conversations.where("conv_id is not null")))
     return made.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
