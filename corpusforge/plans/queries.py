@@ -141,11 +141,14 @@ def ann_add(spark, d):
     return spark.createDataFrame([tuple(counts)], "before long, after long, again long")
 
 
-@query("""SELECT k, n, least(n, greatest(k, least(200, greatest(50, ceil(k * 20.0)::BIGINT)))) AS candidates, greatest(n, ceil(n * 1.2)::BIGINT, n + 1024) AS capacity,
-  CASE WHEN n > 5000 THEN 500 WHEN n > 1000 THEN 100 WHEN n > 500 THEN 50 ELSE 10 END AS batch, floor(10 + 85 * k / n)::INTEGER AS percent
-FROM (SELECT k::BIGINT AS k FROM range(1, 300, 7) r(k)), (SELECT (n * n)::BIGINT AS n FROM range(1, 150, 3) s(n)) WHERE k <= n""")
+_NUMBERS = "SELECT DISTINCT (l_partkey % 300 + 1)::BIGINT AS k, (l_orderkey % 150 * (l_orderkey % 150) + l_partkey % 300 + 1)::BIGINT AS n FROM lineitem"
+
+
+@query(f"""SELECT k, n, least(n, greatest(k, least(200, greatest(50, ceil(k * 20.0)::BIGINT)))) AS candidates, greatest(n, ceil(n * 1.2)::BIGINT, n + 1024) AS capacity,
+  CASE WHEN n > 5000 THEN 500 WHEN n > 1000 THEN 100 WHEN n > 500 THEN 50 ELSE 10 END AS batch, floor(10 + 85 * k / n)::INTEGER AS percent FROM ({_NUMBERS})""")
 def candidate_count(spark, d):
-    grid = spark.range(1, 300, 7).withColumnRenamed("id", "k").crossJoin(F.broadcast(spark.range(1, 150, 3).select((F.col("id") * F.col("id")).alias("n")))).where("k <= n")
+    side = F.col("l_orderkey") % 150
+    grid = table(spark, d, "lineitem").select((F.col("l_partkey") % 300 + 1).cast("long").alias("k"), (side * side + F.col("l_partkey") % 300 + 1).cast("long").alias("n")).distinct()
     return grid.select("k", "n", V.candidate_count(F.col("k"), F.col("n")).alias("candidates"), V.capacity(F.col("n")).alias("capacity"), V.batch_size(F.col("n")).alias("batch"), V.progress_percent(F.col("k"), F.col("n")).alias("percent"))
 
 
@@ -256,7 +259,18 @@ def content_hash_dups(spark, d):
     return hashed.groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query()
+def _crc_table() -> list[int]:
+    """Checksum of each byte, by the rule of the polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+@query(f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), t AS (SELECT {_crc_table()}::BIGINT[] AS t)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: (position(h[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(h[2 * i + 2] IN '0123456789ABCDEF') - 1)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM h, t""")
 def crc_check(spark, d):
     return table(spark, d, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
 
@@ -510,66 +524,85 @@ def store_pieces(spark, d):
     return back.agg(F.count("*").alias("chunks"), F.sum("end_line").alias("chars"), F.sum("start_line").alias("ids"))
 
 
-PROJECT_FILES = ["package.json", "src/app/App.csproj", "a/b/c/go.mod", "node_modules/x/Cargo.toml", "sub/requirements.txt", "deep/er/pom.xml"]
+_MARKED = ["package.json", "go.mod", "App.csproj", "pom.xml", "notes.txt", "Cargo.toml", "setup.py", "Podfile", "x.json"]
+_FOLDERS = ["", "src/", "a/b/", "a/b/c/", "node_modules/x/", ".hidden/", "vendor/"]
+_FILES_SQL = f"(SELECT s_suppkey AS k, [{', '.join(repr(x) for x in _FOLDERS)}][s_suppkey % {len(_FOLDERS)} + 1] AS folder, [{', '.join(repr(x) for x in _MARKED)}][s_suppkey % {len(_MARKED)} + 1] AS name FROM supplier WHERE s_suppkey % 11 = 3)"
+_TYPES_SQL = f"""(SELECT DISTINCT CASE name WHEN 'package.json' THEN 'javascript' WHEN 'go.mod' THEN 'go' WHEN 'App.csproj' THEN 'dotnet' WHEN 'pom.xml' THEN 'java' WHEN 'Cargo.toml' THEN 'rust' WHEN 'setup.py' THEN 'python' WHEN 'Podfile' THEN 'ios' END AS type
+  FROM {_FILES_SQL} WHERE folder IN ('', 'src/', 'a/b/'))"""
+_PATTERNS_SQL = "(VALUES " + ", ".join(f"('{k}', '{g}')" for k, listed in projects.PATTERNS.items() for g in listed) + ") p(type, pattern)"
 
 
-@query(f"SELECT unnest(list_distinct([{', '.join(chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) for p in [*projects.COMMON_PATTERNS, *(p for k in ('javascript', 'dotnet', 'python', 'java') for p in projects.PATTERNS[k])])}])) AS pattern")
+@query(f"SELECT pattern FROM (SELECT unnest([{', '.join(repr(g) for g in projects.COMMON_PATTERNS)}]) AS pattern UNION SELECT pattern FROM {_PATTERNS_SQL} JOIN {_TYPES_SQL} t ON t.type = p.type)")
 def project_detect_union(spark, d):
-    return projects.smart_patterns(projects.detect_projects(spark.createDataFrame([(p,) for p in PROJECT_FILES], "path string")))
+    k = F.col("s_suppkey")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (k % len(values) + 1).cast("int"))
+    listed = table(spark, d, "supplier").where(k % 11 == 3).select(F.concat(pick(_FOLDERS), pick(_MARKED)).alias("path"))
+    return projects.smart_patterns(projects.detect_projects(listed))
 
 
 # --- registries -----------------------------------------------------------------------------------
 
+#: How a name is asked for, and the registry, package and URL that it means; {w} is a word.
 PACKAGES = [
-    ("lodash", "npm", "lodash", "https://registry.npmjs.org/lodash/latest"),
-    ("npm:express", "npm", "express", "https://registry.npmjs.org/express/latest"),
-    ("@types/node", "npm", "@types/node", "https://registry.npmjs.org/%40types%2Fnode/latest"),
-    ("pip:requests", "pypi", "requests", "https://pypi.org/pypi/requests/json"),
-    ("cargo:serde", "crates", "serde", "https://crates.io/api/v1/crates/serde"),
-    ("github.com/gin-gonic/gin", "go", "github.com/gin-gonic/gin", "https://proxy.golang.org/github.com%2Fgin-gonic%2Fgin/@latest"),
-    ("symfony/console", "packagist", "symfony/console", "https://repo.packagist.org/p2/symfony%2Fconsole.json"),
-    ("com.google.guava:guava", "maven", "com.google.guava:guava", "https://search.maven.org/solrsearch/select?q=g:com.google.guava+AND+a:guava&rows=1&wt=json"),
-    ("nuget:Newtonsoft.Json", "nuget", "Newtonsoft.Json", "https://api.nuget.org/v3-flatcontainer/newtonsoft.json/index.json"),
-    ("gem:rails", "rubygems", "rails", "https://rubygems.org/api/v1/gems/rails.json"),
-    ("hex:phoenix", "hex", "phoenix", "https://hex.pm/api/packages/phoenix"),
-    ("brew:wget", "homebrew", "wget", "https://formulae.brew.sh/api/formula/wget.json"),
-    ("conda:numpy", "conda", "numpy", "https://api.anaconda.org/package/conda-forge/numpy"),
-    ("flutter:http", "pub", "http", "https://pub.dev/api/packages/http"),
-    ("a b!", "npm", "a b!", "https://registry.npmjs.org/a%20b!/latest"),
+    ("{w}", "npm", "{w}", "https://registry.npmjs.org/{w}/latest"),
+    ("npm:{w}", "npm", "{w}", "https://registry.npmjs.org/{w}/latest"),
+    ("@types/{w}", "npm", "@types/{w}", "https://registry.npmjs.org/%40types%2F{w}/latest"),
+    ("pip:{w}", "pypi", "{w}", "https://pypi.org/pypi/{w}/json"),
+    ("cargo:{w}", "crates", "{w}", "https://crates.io/api/v1/crates/{w}"),
+    ("github.com/{w}/gin", "go", "github.com/{w}/gin", "https://proxy.golang.org/github.com%2F{w}%2Fgin/@latest"),
+    ("{w}/console", "packagist", "{w}/console", "https://repo.packagist.org/p2/{w}%2Fconsole.json"),
+    ("com.{w}.guava:guava", "maven", "com.{w}.guava:guava", "https://search.maven.org/solrsearch/select?q=g:com.{w}.guava+AND+a:guava&rows=1&wt=json"),
+    ("nuget:{w}.Json", "nuget", "{w}.Json", "https://api.nuget.org/v3-flatcontainer/{w}.json/index.json"),
+    ("gem:{w}", "rubygems", "{w}", "https://rubygems.org/api/v1/gems/{w}.json"),
+    ("hex:{w}", "hex", "{w}", "https://hex.pm/api/packages/{w}"),
+    ("brew:{w}", "homebrew", "{w}", "https://formulae.brew.sh/api/formula/{w}.json"),
+    ("conda:{w}", "conda", "{w}", "https://api.anaconda.org/package/conda-forge/{w}"),
+    ("flutter:{w}", "pub", "{w}", "https://pub.dev/api/packages/{w}"),
+    ("{w} b!", "npm", "{w} b!", "https://registry.npmjs.org/{w}%20b!/latest"),
 ]
-_PACKAGE_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in p) + ")" for p in PACKAGES) + ") t(name, registry, package, url)"
+_WORD_SQL = "regexp_extract(lower(p_name), '[a-z]+')"
 
 
-def packages(spark) -> DataFrame:
-    return spark.createDataFrame([(p[0],) for p in PACKAGES], "name string").select("name", registry.detect_registry("name").alias("r")).select("name", "r.registry", "r.package")
+def _ask_sql(column: int) -> str:
+    return f"replace([{', '.join(repr(p[column]) for p in PACKAGES)}][p_partkey % {len(PACKAGES)} + 1], '{{w}}', {_WORD_SQL})"
 
 
-@query(f"SELECT name, registry, package FROM {_PACKAGE_SQL}")
+def packages(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    asked = F.element_at(F.array(*[F.lit(p[0]) for p in PACKAGES]), (k % len(PACKAGES) + 1).cast("int"))
+    named = table(spark, d, "part").select("p_partkey", F.replace(asked, F.lit("{w}"), F.regexp_extract(F.lower("p_name"), "[a-z]+", 0)).alias("name"))
+    return named.select("p_partkey", "name", registry.detect_registry("name").alias("r")).select("p_partkey", "name", "r.registry", "r.package")
+
+
+@query(f"SELECT p_partkey, {_ask_sql(0)} AS name, {_ask_sql(1)} AS registry, {_ask_sql(2)} AS package FROM part")
 def registry_detect(spark, d):
-    return packages(spark)
+    return packages(spark, d)
 
 
-@query(f"SELECT name, url FROM {_PACKAGE_SQL}")
+@query(f"SELECT p_partkey, {_ask_sql(3)} AS url FROM part")
 def registry_url(spark, d):
-    return packages(spark).select("name", registry.registry_url("registry", "package").alias("url"))
+    return packages(spark, d).select("p_partkey", registry.registry_url("registry", "package").alias("url"))
 
 
+#: Answers of registries by kind; {v} is a version.
 ANSWERS = [
-    ("npm", '{"version":"1.2.3"}', "1.2.3"),
-    ("pypi", '{"info":{"version":"2.0"}}', "2.0"),
-    ("nuget", '{"versions":["1.0","2.0","3.1"]}', "3.1"),
-    ("packagist", '{"packages":{"a/b":[{"version":"dev-main"},{"version":"v5.1"}]}}', "v5.1"),
-    ("packagist", '{"packages":{"a/b":[{"version":"dev-main"}]}}', "dev-main"),
-    ("hex", '{"releases":[{"version":"1.7.0"}]}', "1.7.0"),
-    ("maven", '{"response":{"docs":[{"latestVersion":"33.0"}]}}', "33.0"),
-    ("homebrew", '{"versions":{"stable":"1.24"}}', "1.24"),
+    ("npm", '{"version":"{v}"}'),
+    ("pypi", '{"info":{"version":"{v}"}}'),
+    ("nuget", '{"versions":["1.0","2.0","{v}"]}'),
+    ("packagist", '{"packages":{"a/b":[{"version":"dev-main"},{"version":"{v}"}]}}'),
+    ("hex", '{"releases":[{"version":"{v}"}]}'),
+    ("maven", '{"response":{"docs":[{"latestVersion":"{v}"}]}}'),
+    ("homebrew", '{"versions":{"stable":"{v}"}}'),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a[0]}', '{a[2]}')" for i, a in enumerate(ANSWERS)) + ") t(n, registry, version)")
+@query("SELECT o_orderkey, (o_orderkey % 9) || '.' || (o_orderkey % 31) || '.' || (o_orderkey % 7) AS version FROM orders")
 def registry_version(spark, d):
-    rows = spark.createDataFrame([(i, r, body) for i, (r, body, _) in enumerate(ANSWERS)], "n int, registry string, body string")
-    return rows.select("n", "registry", registry.registry_version("registry", "body").alias("version"))
+    k = F.col("o_orderkey")
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in ANSWERS]), (k % len(ANSWERS) + 1).cast("int"))
+    version = F.concat_ws(".", (k % 9).cast("string"), (k % 31).cast("string"), (k % 7).cast("string"))
+    rows = table(spark, d, "orders").select("o_orderkey", pick(0).alias("registry"), F.replace(pick(1), F.lit("{v}"), version).alias("body"))
+    return rows.select("o_orderkey", registry.registry_version("registry", "body").alias("version"))
 
 
 # --- retention ---------------------------------------------------------------------------------------
@@ -696,21 +729,53 @@ def latency_percentile(spark, d):
     return means.join(indexing.nearest_rank(e, "event_type", "value", 95, "p95_ms"), "event_type")
 
 
-MESSAGES = [("Indexed 5 / 20 files", 5, 20), ("Complete: 70 chunks from 12 files", 12, 12), ("Processing 3 changed files", None, 3), ("idle", None, None), ("indexed 7/9 FILES (x)", 7, 9)]
+_MESSAGE = """CASE o_orderkey % 5 WHEN 0 THEN 'Indexed ' || a || ' / ' || b || ' files' WHEN 1 THEN 'Complete: 70 chunks from ' || a || ' files' WHEN 2 THEN 'Processing ' || b || ' changed files' WHEN 3 THEN 'indexed ' || a || '/' || b || ' FILES (x)' ELSE 'idle ' || a END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', {'NULL' if a is None else a}::BIGINT, {'NULL' if b is None else b}::BIGINT)" for m, a, b in MESSAGES) + ") t(message, indexed, total)")
+@query("""WITH m AS (SELECT o_orderkey, o_custkey::BIGINT AS a, (o_orderkey % 977)::BIGINT AS b FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN a END AS indexed, CASE o_orderkey % 5 WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN b END AS total FROM m""")
 def progress_parse(spark, d):
-    rows = spark.createDataFrame([(m,) for m, _, _ in MESSAGES], "message string")
-    return rows.select("message", logs.progress("message").alias("p")).select("message", "p.indexed", "p.total")
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", "string(o_custkey) AS a", "string(o_orderkey % 977) AS b").selectExpr("o_orderkey", f"{_MESSAGE} AS message")
+    return rows.select("o_orderkey", logs.progress("message").alias("p")).select("o_orderkey", "p.indexed", "p.total")
 
 
-@query("""SELECT ms, CASE WHEN ms >= 86400000 THEN (ms // 86400000) || 'd ' || (ms // 3600000 % 24) || 'h' WHEN ms >= 3600000 THEN (ms // 3600000) || 'h ' || (ms // 60000 % 60) || 'm' WHEN ms >= 60000 THEN (ms // 60000) || 'm' ELSE (ms // 1000) || 's' END AS age
-FROM (SELECT n * n * 1000 AS ms FROM range(0, 2000, 7) r(n))""")
+@query("""SELECT o_orderkey, CASE WHEN ms >= 86400000 THEN (ms // 86400000) || 'd ' || (ms // 3600000 % 24) || 'h' WHEN ms >= 3600000 THEN (ms // 3600000) || 'h ' || (ms // 60000 % 60) || 'm' WHEN ms >= 60000 THEN (ms // 60000) || 'm' ELSE (ms // 1000) || 's' END AS age
+FROM (SELECT o_orderkey, ((o_orderkey * 7919 % 100000) * (o_orderkey % 1000) * (o_custkey % 10))::BIGINT AS ms FROM orders)""")
 def human_age(spark, d):
-    return spark.range(0, 2000, 7).select((F.col("id") * F.col("id") * 1000).alias("ms")).select("ms", logs.human_age("ms").alias("age"))
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", "bigint((o_orderkey * 7919 % 100000) * (o_orderkey % 1000) * (o_custkey % 10)) AS ms")
+    return rows.select("o_orderkey", logs.human_age("ms").alias("age"))
+
+
+_KEY_SQL = "CASE WHEN c_custkey % 2 = 0 THEN 'workspace' ELSE 'home' END || CASE WHEN c_custkey % 3 = 0 THEN '_PROJECT' ELSE '_x' END || CASE WHEN c_custkey % 5 = 0 THEN '_Root' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN '_CWD' ELSE '' END || CASE WHEN c_custkey % 11 = 0 THEN '_dir' ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES ('PROJECT_ROOT', 7), ('workspace_dir', 9), ('HOME', 0), ('INIT_CWD', 2)) t(key, score)")
+@query("SELECT c_custkey, (CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END)::INTEGER AS score FROM customer")
 def key_score(spark, d):
-    return spark.createDataFrame([("PROJECT_ROOT",), ("workspace_dir",), ("HOME",), ("INIT_CWD",)], "key string").select("key", logs.key_score("key").alias("score"))
+    return table(spark, d, "customer").selectExpr("c_custkey", f"{_KEY_SQL} AS key").select("c_custkey", logs.key_score("key").alias("score"))
+
+
+@query("""SELECT user_id AS name, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors, count(*) AS events FROM events GROUP BY user_id""")
+def telemetry_sums(spark, d):
+    e = table(spark, d, "events")
+    each = lambda name, value: stores.add_telemetry(e.select(F.col("user_id").alias("name"), value.alias("value"))).withColumnRenamed("value", name)
+    return each("errors", (F.col("event_type") == "error").cast("long")).join(each("events", F.lit(1).cast("long")), "name")
+
+
+@query("""SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 0""")
+def iso_times(spark, d):
+    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"))
+    return e.select("event_id", logs.iso_millis(F.when(F.col("event_id") % 3 == 0, "not a time").otherwise(F.col("iso"))).alias("ms"))
+
+
+@query("""WITH m AS (SELECT event_id, 'x Memory (' || event_type || ') rss=' || event_id || CASE WHEN event_type = 'view' THEN ' after cache load' ELSE '' END AS line, event_type FROM events WHERE event_type <> 'error')
+SELECT 'idle' AS kind, arg_max(line, event_id) AS line FROM m WHERE event_type = 'view' UNION ALL SELECT 'latest', arg_max(line, event_id) FROM m""")
+def memory_lines(spark, d):
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("x Memory ("), "event_type", F.lit(") rss="), F.col("event_id").cast("string"), F.when(F.col("event_type") == "view", " after cache load").otherwise(""))
+    return logs.memory_snapshots(e.select(F.col("event_id").alias("n"), F.when(F.col("event_type") == "error", "no figure").otherwise(line).alias("line")))
+
+
+@query("SELECT event_id AS n, event_type AS line FROM (SELECT * FROM events WHERE event_type <> 'view' ORDER BY event_id DESC LIMIT 25)")
+def log_tail(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("n"), F.when(F.col("event_type") == "view", "  ").otherwise(F.col("event_type")).alias("line"))
+    return logs.tail(e, 25)
