@@ -281,6 +281,38 @@ def smart_chunk(spark, d):
     return chunking.chunk_files(docs).select("file", "chunk_no", "start_line", "end_line", "token_count", F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
+@query(f"""WITH b AS (SELECT vec_id, label::VARCHAR AS file, {_DOT} AS s FROM embeddings, {_Q}),
+r AS (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM b QUALIFY rank <= 7)
+SELECT rank::INTEGER AS rank, '## Result ' || rank || ' (Relevance: ' || format('{{:.1f}}', round(s * 100, 6)) || '%)' || chr(10) || '**File:** `' || file || '`' || chr(10) || chr(10) || '```' || chr(10) || 'text of ' || vec_id || chr(10) || '```' || chr(10) AS markdown FROM r""")
+def result_markdown(spark, d):
+    e = table(spark, d, "embeddings")
+    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("file"), F.concat(F.lit("text of "), F.col("vec_id").cast("string")).alias("content"), F.col("embedding").alias("vector"))
+    config = search.SearchConfig(semantic_weight=1.0, recency_boost=0.0)
+    return search.format_results(search.hybrid_search(chunks, "?", query_vector(spark, d), k=7, config=config)).select("rank", "markdown")
+
+
+@query("SELECT doc_id AS chunk_id, text AS content FROM documents WHERE doc_id = 17")
+def chunk_lookup(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.col("text").alias("content"), F.array(F.lit(0.0)).alias("vector"))
+    return stores.lookup(stores.view(chunks, vector=False), 17).select("chunk_id", "content")
+
+
+@query("SELECT doc_id, NOT contains(coalesce(text, ''), 'the') AS success, CASE WHEN contains(coalesce(text, ''), 'the') THEN 'refused' END AS error FROM documents")
+def embed_status(spark, d):
+    """A model that refuses some texts: each of them costs its own row, whatever its batch."""
+
+    def make():
+        def model(texts):
+            if any("the" in t for t in texts):
+                raise ValueError("refused")
+            return [[float(len(t))] for t in texts]
+
+        return model
+
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return embedding.embed_with_status(docs, make).select("doc_id", "embedding.success", "embedding.error")
+
+
 # --- index maintenance --------------------------------------------------------------------------
 
 _SNAP = "(SELECT doc_id::VARCHAR AS file, n_chars AS size, 1000.0 * doc_id AS mtime_ms FROM documents)"
@@ -447,6 +479,22 @@ def hybrid_search_index(spark, d):
     return found.select("chunk_id", F.round("score", 4).alias("score"))
 
 
+@query(f"""WITH {_EDGES} SELECT (SELECT count(*) FROM c WHERE file::BIGINT % 3 = 0) AS kept, (SELECT count(*) FROM c WHERE file::BIGINT % 3 <> 0) AS pruned""")
+def prune_calls(spark, d):
+    kept, pruned = graph.prune_call_data(page_calls(spark, d), page_calls(spark, d).where("cast(file as long) % 3 = 0"))
+    return kept.agg(F.count("*").alias("kept")).crossJoin(pruned)  # one row each
+
+
+@query("""WITH n AS (SELECT user_id % 40 AS chunk_id, event_id FROM events) SELECT vec_id AS chunk_id, label FROM embeddings WHERE vec_id IN (SELECT chunk_id FROM n)""")
+def candidate_chunks(spark, d):
+    """Rows that an index names, named twice or not in the table."""
+    ids = table(spark, d, "events").select((F.col("user_id") % 40).alias("chunk_id")).union(spark.createDataFrame([(-5,), (None,)], "chunk_id long"))
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", F.lit("x").alias("content"), F.col("embedding").alias("vector"))
+    found = search.find_similar(chunks, query_vector(spark, d), k=10**6, min_similarity=0.0, candidates=ids, n_chunks=10**9)
+    low = search.comparable(chunks, 64).join(ids.distinct(), "chunk_id", "left_semi").join(found.select("chunk_id"), "chunk_id", "left_anti")
+    return found.select("chunk_id", "label").union(low.select("chunk_id", "label"))
+
+
 # --- paths and resources ----------------------------------------------------------------------------
 
 _PATH = r"regexp_replace(url, '^[a-z]+://', '')"
@@ -498,6 +546,23 @@ def path_tests(spark, d):
     return p.select("n", paths.allowed_file("path", ["java", ".py", "html"], [".env"]).alias("allowed"), paths.in_pruned_directory("path", ("src", "b")).alias("pruned"), paths.is_inside("path", "/abs/dir.d").alias("inside"))
 
 
+IGNORED = ["# comment", "", "*.html", "!keep_*.html", "/src/", "b/", ".hidden/**", "**/*.xyz", "trailing  "]
+_IGNORE_SQL = """CASE WHEN regexp_matches(path, '(^|/)[^/]*\\.xyz(/.*)?$') THEN true WHEN regexp_matches(path, '^\\.hidden/.*') THEN true WHEN regexp_matches(path, '(^|/)b/') THEN true WHEN starts_with(path, 'src/') THEN true
+  WHEN regexp_matches(path, '(^|/)keep_[^/]*\\.html(/.*)?$') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.html(/.*)?$') THEN true ELSE false END"""
+
+
+@query(f"SELECT n, {_IGNORE_SQL} AS ignored FROM (SELECT n, CASE WHEN n % 4 = 0 THEN 'keep_' || replace(path, '\\', '/') ELSE replace(path, '\\', '/') END AS path FROM {_PATHS_SQL})")
+def gitignore(spark, d):
+    p = name_table(spark, d).select("n", F.concat(F.when(F.col("n") % 4 == 0, "keep_").otherwise(""), paths.normalize_path("path")).alias("path"))
+    return p.select("n", paths.gitignore_predicate("path", IGNORED).alias("ignored"))
+
+
+@query(f"SELECT n, 'file:///w/' || replace(url_encode(path), '%2F', '/') AS uri, '/w/' || path AS back FROM (SELECT n, replace(path, '_', ' ') || 'é' AS path FROM {_PATHS_SQL})")
+def file_uris(spark, d):
+    p = name_table(spark, d).select("n", F.concat(F.lit("/w/"), F.replace("path", F.lit("_"), F.lit(" ")), F.lit("é")).alias("path"))
+    return p.select("n", paths.path_to_uri("path").alias("uri")).select("n", "uri", paths.uri_to_path("uri").alias("back"))
+
+
 _URL_NAME = f"{_PATH} || '.' || page_id || '.html'"
 
 
@@ -694,6 +759,28 @@ def watch_debounce(spark, d):
     return watch.debounce(watch_events(spark, d), "30 minutes").select("path", "first_ts", "last_ts", "event_type", "n_events")
 
 
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id)
+SELECT user_id::VARCHAR AS file, 'new' AS content FROM l WHERE last <> 'error' UNION ALL SELECT 'f' || r_regionkey, 'old' FROM region""")
+def watch_apply(spark, d):
+    """The events as a stream, applied to a table by foreachBatch, from a checkpoint of its own."""
+    folder = f"{shared_root(spark)}/corpusforge/watch-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.when(F.col("event_type") == "error", "unlink").otherwise("change").alias("event_type"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    events.coalesce(1).write.parquet(f"{folder}/log")
+    old = table(spark, d, "region").select(F.concat(F.lit("f"), "r_regionkey").alias("file"), F.lit("old").alias("content"))
+    stale = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.lit("old").alias("content")).distinct()
+    state = [old.union(stale)]
+
+    def save(df):
+        path = f"{folder}/table-{len(state)}"
+        df.write.parquet(path)
+        state.append(spark.read.parquet(path))
+
+    stream = spark.readStream.schema(watch.EVENT_SCHEMA + ", seq long").parquet(f"{folder}/log")
+    done = watch.run_watcher(stream, lambda: state[-1], save, lambda f: f.select("file", F.lit("new").alias("content")), f"{folder}/checkpoint")
+    done.awaitTermination(600)
+    return state[-1]
+
+
 @query("""WITH l AS (SELECT user_id::VARCHAR AS path, floor(value / 10)::BIGINT AS size, epoch_ms(ts) AS seen_ms, event_id FROM events WHERE value IS NOT NULL),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY path, seen_ms ORDER BY event_id) = 1),
 c AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY seen_ms) AS before FROM o),
