@@ -7,6 +7,7 @@ will do.  The default hashes tokens into buckets and needs no model.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,13 +82,15 @@ class BreakerOpen(RuntimeError):
     """Too many texts failed one after the other; the model is at fault, not a text."""
 
 
-def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], text: str = "text", batch: int = 64, fail_fast: int | None = None) -> DataFrame:
+def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], text: str = "text", batch: int = 64, fail_fast: int | None = None, retries: int = 0, wait_s: float = 0.1) -> DataFrame:
     """``df`` with a struct column ``embedding(vector, error, success)``.
 
     ``make`` is called once a Python worker (that is where a model is loaded) and gives a
     function of a list of texts.  A batch that fails is repeated text by text, so one bad
     text costs its own row only.  With ``fail_fast`` the task fails after so many failures
     without a success between them, instead of going through all texts with a dead model.
+    A text that fails is tried ``retries`` times more, each after twice the wait; a task that
+    dies is repeated by Spark (``spark.task.maxFailures``).
     """
     shape = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType(), False)), T.StructField("error", T.StringType()), T.StructField("success", T.BooleanType())])
 
@@ -99,15 +102,19 @@ def embed_with_status(df: DataFrame, make: Callable[[], Callable[[list[str]], li
 
         def one(t: str) -> tuple:
             nonlocal failures
-            try:
-                made = [float(x) for x in model([t])[0]], None, True
-            except Exception as e:  # the row carries the error
-                failures += 1
-                if fail_fast and failures >= fail_fast:
-                    raise BreakerOpen(f"{failures} failures one after the other: {e}") from e
-                return None, str(e), False
-            failures = 0
-            return made
+            for again in range(retries + 1):
+                try:
+                    made = [float(x) for x in model([t])[0]], None, True
+                except Exception as e:  # the row carries the error
+                    if again < retries:
+                        time.sleep(wait_s * 2**again)
+                        continue
+                    failures += 1
+                    if fail_fast and failures >= fail_fast:
+                        raise BreakerOpen(f"{failures} failures one after the other: {e}") from e
+                    return None, str(e), False
+                failures = 0
+                return made
 
         for texts in batches:
             rows, all_texts = [], texts.tolist()

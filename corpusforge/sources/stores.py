@@ -218,6 +218,65 @@ def unpack_binary_store(files: dict[str, bytes]) -> list[dict]:
     return out
 
 
+class BinaryStoreFile:
+    """A binary store on disk, read by byte ranges: one record, vector or text at a time.
+
+    Headers are checked as ``unpack_binary_store`` does, checksums of whole files only on
+    ``verify``; an id that is out of range gives None.
+    """
+
+    def __init__(self, folder: str):
+        self.fs, self.base = open_path(folder.rstrip("/"))
+        v, r, t = (self._header(name, header) for name, header in (("vectors.bin", VECTORS_HEADER), ("records.bin", RECORDS_HEADER), ("content.bin", CONTENT_HEADER)))
+        with self.fs.open_input_stream(f"{self.base}/files.json", compression=None) as source:
+            self.files = json.loads(source.read())
+        if (v[0], r[0], t[0]) != MAGICS:
+            raise StoreCorrupt("magic")
+        if {v[1], r[1], t[1]} != {BINARY_VERSION}:
+            raise StoreCorrupt("version")
+        if len({v[4], r[4], t[3]}) > 1:
+            raise StoreCorrupt("write id")
+        self.dim, self.count = v[2], v[3]
+        if (self.count, len(self.files)) != (r[2], r[3]):
+            raise StoreCorrupt("size")
+
+    def _read(self, name: str, at: int, size: int) -> bytes:
+        with self.fs.open_input_file(f"{self.base}/{name}") as source:
+            return source.read_at(size, at)
+
+    def _header(self, name: str, header: struct.Struct) -> tuple:
+        raw = self._read(name, 0, header.size)
+        if len(raw) < header.size:
+            raise StoreCorrupt("size")
+        return header.unpack(raw)
+
+    def record(self, chunk_id: int) -> dict | None:
+        if not 0 <= chunk_id < self.count:
+            return None
+        f, a, b, at, n = RECORD.unpack(self._read("records.bin", RECORDS_HEADER.size + chunk_id * RECORD.size, RECORD.size))
+        return {"chunk_id": chunk_id, "file": self.files[f], "start_line": a, "end_line": b, "offset": at, "length": n}
+
+    def vector(self, chunk_id: int) -> list[float] | None:
+        if not 0 <= chunk_id < self.count:
+            return None
+        return list(struct.unpack(f"<{self.dim}f", self._read("vectors.bin", VECTORS_HEADER.size + chunk_id * self.dim * 4, self.dim * 4)))
+
+    def content(self, chunk_id: int) -> str | None:
+        found = self.record(chunk_id)
+        return None if found is None else self._read("content.bin", CONTENT_HEADER.size + found["offset"], found["length"]).decode()
+
+    def verify(self, block: int = 1 << 20) -> None:
+        """Checksums, block by block."""
+        for name, header, place in (("vectors.bin", VECTORS_HEADER, 5), ("records.bin", RECORDS_HEADER, 5), ("content.bin", CONTENT_HEADER, 4)):
+            want, crc = self._header(name, header)[place], 0
+            with self.fs.open_input_stream(f"{self.base}/{name}", compression=None) as source:
+                source.read(header.size)
+                while part := source.read(block):
+                    crc = zlib.crc32(part, crc)
+            if crc != want:
+                raise StoreCorrupt("checksum")
+
+
 #: Chunks of one piece of a store that is written or read by a task at once.
 PIECE_ROWS = 20_000
 

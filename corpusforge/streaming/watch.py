@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.indexing import coalesce_events, replace_by_file
 
@@ -81,3 +82,26 @@ def run_watcher(events: DataFrame, load: Callable[[], DataFrame], save: Callable
 def progress_events(query) -> list[dict]:
     """Rows and times of the query's recent batches."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ts": p["timestamp"], "ms": p["durationMs"].get("triggerExecution", 0)} for p in (x if isinstance(x, dict) else json.loads(x.json) for x in query.recentProgress)]
+
+
+class ProgressListener(StreamingQueryListener):
+    """Passes each batch and the end of a query on to ``tell`` as a dictionary.
+
+    Register it with ``spark.streams.addListener``; it sees every query of the session.
+    """
+
+    def __init__(self, tell: Callable[[dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell({"phase": "started", "run": str(event.runId)})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell({"phase": "batch", "run": str(p.runId), "batch": p.batchId, "rows": p.numInputRows, "ms": p.durationMs.get("triggerExecution", 0)})
+
+    def onQueryIdle(self, event) -> None:
+        self.tell({"phase": "idle", "run": str(event.runId)})
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell({"phase": "failed" if event.exception else "ended", "run": str(event.runId), "error": event.exception})

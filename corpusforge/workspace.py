@@ -220,4 +220,13 @@ class Workspace:
             F.col("files").alias("files_indexed"), F.col("chunks").alias("chunks_stored"), F.lit(meta is not None).alias("has_meta"), F.lit(False).alias("is_active"),
             F.coalesce(saved, F.lit(0)).alias("last_activity_ms"), F.coalesce(saved, F.lit(0)).alias("dir_mtime_ms"), F.lit(None).cast("long").alias("progress_ms"),
         )
-        return retention.decide(facts, now).select("workspace", "model", "dimension", "files_indexed", "chunks_stored", "age_ms", "action", "reason")
+        decided = retention.decide(facts, now).select("workspace", "model", "dimension", "files_indexed", "chunks_stored", "age_ms", "action", "reason")
+        held = self.index_.meta if self.index_ is not None else None
+        return decided.select(
+            "*",
+            F.lit(meta.write_id if meta else None).cast("string").alias("snapshot"),
+            F.lit(meta.last_save_time if meta else None).cast("string").alias("saved_at"),
+            F.lit(held.count if held else None).cast("long").alias("ann_rows"),
+            F.lit(held.lists if held else None).cast("int").alias("ann_lists"),
+            F.lit(len(self.errors)).alias("errors"),
+        )

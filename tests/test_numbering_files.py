@@ -218,3 +218,62 @@ def test_workspace_with_a_model(spark, tmp_path):
     assert w.chunks().where("file like '%bad.py' or file like '%huge.py'").count() == 0
     assert {(os.path.basename(e["scope"]), e["stage"], e["message"]) for e in w.errors} == {("bad.py", "embed", "refused"), ("huge.py", "read", "too_large")}
     assert w.index().processed == 2  # both are tried again
+
+
+def test_a_store_read_by_ranges(tmp_path):
+    rows = [{"file": f"f{i % 3}", "start_line": i, "end_line": i + 2, "content": f"é {i}" * i, "vector": [i / 8, 0.5]} for i in range(40)]
+    for name, raw in stores.pack_binary_store(rows, 9).items():
+        (tmp_path / name).write_bytes(raw)
+    held = stores.BinaryStoreFile(str(tmp_path))
+    held.verify()
+    for i in (0, 7, 39):
+        r = held.record(i)
+        assert (r["file"], r["start_line"], held.content(i), held.vector(i)) == (rows[i]["file"], i, rows[i]["content"], rows[i]["vector"])
+    assert held.record(40) is held.vector(-1) is held.content(10**9) is None
+    raw = (tmp_path / "content.bin").read_bytes()
+    (tmp_path / "content.bin").write_bytes(raw[:-1] + b"?")
+    with pytest.raises(stores.StoreCorrupt):
+        held.verify()
+    (tmp_path / "content.bin").write_bytes(stores.pack_binary_store(rows, 8)["content.bin"])
+    with pytest.raises(stores.StoreCorrupt):
+        stores.BinaryStoreFile(str(tmp_path))
+
+
+def test_a_text_that_fails_once_is_tried_again(spark):
+    def make():
+        seen = set()
+
+        def model(texts):
+            for t in texts:
+                if t.startswith("slow") and t not in seen:
+                    seen.add(t)
+                    raise RuntimeError("busy")
+                if t == "bad":
+                    raise RuntimeError("never")
+            return [[1.0] for _ in texts]
+
+        return model
+
+    texts = spark.createDataFrame([("slow1",), ("slow2",), ("bad",), ("ok",)], "text string").coalesce(1)
+    done = {r["text"]: r["embedding"]["success"] for r in embedding.embed_with_status(texts, make, retries=2, wait_s=0.01).collect()}
+    assert done == {"slow1": True, "slow2": True, "bad": False, "ok": True}
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    told = []
+    listener = watch.ProgressListener(told.append)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).select(F.col("id").cast("string").alias("path"), F.lit("add").alias("event_type"), F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/log")
+        q = watch.read_events(spark, f"{tmp_path}/log").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if any(t["phase"] == "ended" for t in told):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [t["phase"] for t in told][0] == "started" and sum(t.get("rows", 0) for t in told) == 7 and told[-1]["phase"] == "ended"
+    assert sum(p["rows"] for p in watch.progress_events(q)) == 7
