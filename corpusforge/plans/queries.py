@@ -269,10 +269,10 @@ def _crc_table() -> list[int]:
     return out
 
 
-@query(f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), t AS (SELECT {_crc_table()}::BIGINT[] AS t)
-SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: (position(h[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(h[2 * i + 2] IN '0123456789ABCDEF') - 1)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM h, t""")
+@query(f"""WITH h AS (SELECT page_id, hex(encode(coalesce(url, ''))) AS h FROM pages), t AS (SELECT {_crc_table()}::BIGINT[] AS t)
+SELECT page_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: (position(h[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(h[2 * i + 2] IN '0123456789ABCDEF') - 1)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM h, t""")
 def crc_check(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    return table(spark, d, "pages").select("page_id", F.crc32(F.coalesce("url", F.lit("")).cast("binary")).alias("crc"))
 
 
 @query()
@@ -781,7 +781,7 @@ def watch_apply(spark, d):
     return state[-1]
 
 
-@query("""WITH l AS (SELECT user_id::VARCHAR AS path, floor(value / 10)::BIGINT AS size, epoch_ms(ts) AS seen_ms, event_id FROM events WHERE value IS NOT NULL),
+@query("""WITH l AS (SELECT user_id::VARCHAR AS path, floor(value / 10)::BIGINT AS size, epoch_us(ts) // 1000 AS seen_ms, event_id FROM events WHERE value IS NOT NULL),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY path, seen_ms ORDER BY event_id) = 1),
 c AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY seen_ms) AS before FROM o),
 f AS (SELECT path, arg_max(size, seen_ms) AS size, max(CASE WHEN before IS NULL OR before <> size THEN seen_ms END) AS since FROM c GROUP BY path)
