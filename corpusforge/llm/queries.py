@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontam, jaccard_join, language_id, mixing, oracle, pii, quality_classifier, quality_rules, sharding, warc
 from .common import read_table
@@ -50,8 +51,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express: base matches of each kind."""
+    return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def shard_law_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of op6 promises, as one row: totals, gapless slots, near equal sizes, and
+    groups of equal texts in one shard each unless they are a twentieth of it."""
+    placed = op6_sharding(spark, sf_dir)
+    shards = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.max("size").alias("largest"))
+    mean = F.sum("bytes") / sharding.SHARDS
+    even = F.greatest(F.max("bytes") - mean, mean - F.min("bytes")) <= F.max("largest") + (sharding.SPLIT_OVER + 0.01) * mean
+    totals = shards.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bool_and((F.col("n") == F.col("slots")) & (F.col("last") + 1 == F.col("n"))).alias("gapless"), (even | (F.count("*") < sharding.SHARDS)).alias("near_equal"), mean.alias("mean"))
+    groups = placed.groupBy("text_crc32", "size").agg(F.sum("size").alias("bytes"), F.count_distinct("shard").alias("held"))
+    split = groups.where("held > 1").agg(F.min("bytes").alias("least"))
+    whole = F.coalesce(F.col("least") > sharding.SPLIT_OVER * F.col("mean"), F.lit(True))
+    return totals.crossJoin(split).select("n", "bytes", "gapless", "near_equal", whole.alias("groups_whole"))  # one row each
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_warc, op2_mixing, op3_chat_formatting, op4_quality_classifier, op5_ngram_jaccard_join, op6_sharding, op7_decontamination, op8_language_id, op9_pii, op10_quality_rules)
+    made = (op1_warc, op2_mixing, op3_chat_formatting, op4_quality_classifier, op5_ngram_jaccard_join, op6_sharding, op7_decontamination, op8_language_id, op9_pii, op10_quality_rules, pii_base_counts, shard_law_holds)
     return {f.__name__: f for f in made}
 
 
@@ -63,4 +83,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": oracle.OP5,
         "op7_decontamination": oracle.OP7,
         "op10_quality_rules": oracle.OP10,
+        "pii_base_counts": oracle.PII_BASE,
+        "shard_law_holds": oracle.SHARD_LAW,
     }
