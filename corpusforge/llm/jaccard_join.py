@@ -162,13 +162,17 @@ class _Block:
             lists, count = lists[count > 1], count[count > 1]  # a list of one holds the query alone
             if len(lists) < need:
                 continue
+            # Partners of fitting size that are not known to be in the query's component, and
+            # whose own overlap the shared lists can reach.
+            open_ = (self.den * np.minimum(sizes, n) >= self.num * np.maximum(sizes, n)) & (self.label != self.label[q])
+            open_ &= self.num * (n + sizes) <= (self.num + self.den) * len(lists)
+            if not open_.any():
+                continue
             order = np.argsort(count, kind="stable")
             lists, count = lists[order], count[order]
             cut = len(lists) - need + 1  # a partner is in one of the short lists at least
             short, long = lists[:cut], lists[cut:]
             start, count = self.start[short], count[:cut]
-            # Partners of fitting size that are not known to be in the query's component.
-            open_ = (self.den * np.minimum(sizes, n) >= self.num * np.maximum(sizes, n)) & (self.label != self.label[q])
             if int(count.sum()) <= SMALL_MERGE:
                 merged = heap_merge([self.owners[s : s + c].tolist() for s, c in zip(start.tolist(), count.tolist(), strict=True)])
                 seen = {i: k for i, k in merged if open_[i]}
