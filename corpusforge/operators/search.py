@@ -119,30 +119,39 @@ def hybrid_search(
                 ids = augment_exact(ids, chunks, query, k)
             # The index returns some hundreds of ids, whatever the table's size.
             rows = chunks.join(ids, "chunk_id", "left_semi")
-    rows = comparable(rows, len(vector))
+    # Ranking sees ids, files and numbers; contents are fetched for bounded sets of ids only.
+    base = comparable(rows, len(vector)).select("chunk_id", "file", semantic_score(vector, config.semantic_weight).alias("dot"))
     if mtimes is not None and config.recency_boost > 0:
-        rows = with_recency(rows, mtimes, as_of_ms, config.recency_boost, config.recency_days)
+        base = with_recency(base, mtimes, as_of_ms, config.recency_boost, config.recency_days)
     else:
-        rows = rows.withColumn("recency", F.lit(0.0))
+        base = base.withColumn("recency", F.lit(0.0))
+    scored = base.select("chunk_id", "file", (F.col("dot") + F.col("recency")).alias("score"))
     text = T.text_score("content", query, config.exact_boost, config.partial_boost)
-    base = semantic_score(vector, config.semantic_weight) + F.col("recency")
     total = n_chunks if n_chunks is not None and candidates is None else rows.count() if len(query) > 1 else 0
     if total > config.text_candidates:
-        scored = deferred_text_boost(rows.withColumn("score", base), text, config.text_candidates)
+        # Only the first ``text_candidates`` rows are looked at; the others keep their score.
+        head = scored.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(config.text_candidates)
+        boosts = fetch(head.select("chunk_id"), rows).select("chunk_id", text.alias("boost"))
+        scored = scored.join(F.broadcast(boosts), "chunk_id", "left")  # ``text_candidates`` rows
+        scored = scored.select("chunk_id", "file", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
     else:
-        scored = rows.withColumn("score", base + text)
-    scored = scored.drop("recency")
+        texts = rows.select("chunk_id", text.alias("boost"))
+        scored = scored.join(texts, "chunk_id").select("chunk_id", "file", (F.col("score") + F.col("boost")).alias("score"))
     if call_edges is not None and config.call_graph and config.call_graph_boost > 0:
-        scored = call_graph_boost(scored, call_edges, config)
-    # Rank on ids, then fetch the winners' other columns.
-    best = top_k(scored.select("chunk_id", "score"), k)
-    kept = chunks.drop("vector")
-    return best.join(kept, "chunk_id").orderBy("rank")
+        scored = call_graph_boost(scored, rows, call_edges, config)
+    return fetch(top_k(scored.select("chunk_id", "score"), k), chunks.drop("vector")).orderBy("rank")
 
 
-def call_graph_boost(scored: DataFrame, call_edges: tuple[DataFrame, DataFrame], config: SearchConfig) -> DataFrame:
+def fetch(ids: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``chunks`` of some ``ids``, which are as few as a limit says: they go to the chunks, so
+    no content is dealt out."""
+    return chunks.join(F.broadcast(ids), key)
+
+
+def call_graph_boost(scored: DataFrame, chunks: DataFrame, call_edges: tuple[DataFrame, DataFrame], config: SearchConfig) -> DataFrame:
     """Boost rows whose file is near the symbols of the five best rows; of all rows."""
-    seeds = scored.orderBy(F.desc("score"), "chunk_id").limit(5).select(F.explode(symbols("content")).alias("symbol")).distinct()
+    best = scored.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(5)
+    seeds = fetch(best.select("chunk_id"), chunks).select(F.explode(symbols("content")).alias("symbol")).distinct()
     related = graph.related_files(*call_edges, seeds, config.max_hops)
     near = scored.join(related.select("file", "proximity"), "file", "left")
     return near.withColumn("score", F.col("score") + F.lit(config.call_graph_boost) * F.coalesce("proximity", F.lit(0.0))).drop("proximity")
