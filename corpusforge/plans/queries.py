@@ -390,6 +390,41 @@ def lru_evict(spark, d):
     return indexing.lru_keep(table(spark, d, "events").select("event_id", "ts"), time="ts", key="event_id").select("event_id")
 
 
+def document_files(spark, d) -> str:
+    """A folder with a file for each document that has a text, made once."""
+
+    def make(path: str) -> None:
+        def put(batches):
+            fs, base = files.open_path(path)
+            fs.create_dir(base, recursive=True)
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    with fs.open_output_stream(f"{base}/{doc_id}.md", compression=None) as out:
+                        out.write(text.encode())
+                yield batch.select([0])
+
+        table(spark, d, "documents").where("text is not null").select("doc_id", "text").mapInArrow(put, "doc_id long").count()
+
+    return stored_path(spark, f"{d} files", make)
+
+
+@query("SELECT count(*) AS files, count(*) AS processed, 0::BIGINT AS again, true AS gapless, count(*) FILTER (length(text) >= 200) AS long_files FROM documents WHERE text IS NOT NULL")
+def workspace_index(spark, d):
+    """A workspace over one file a document: a first run, a run without changes, its chunk ids."""
+    from ..workspace import Workspace
+
+    root = document_files(spark, d)
+    w = Workspace(spark, root, f"{shared_root(spark)}/corpusforge/index-{uuid.uuid4().hex}", extensions=["md"])
+    later = 1 << 42  # no file is fresh then
+    first, second = w.index(now_ms=later), w.index(now_ms=later)
+    chunks = w.chunks()
+    ids = chunks.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("d"), F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b"))
+    held = chunks.select(F.regexp_extract("file", "([0-9]+)[.]md$", 1).cast("long").alias("doc_id")).distinct()
+    long = table(spark, d, "documents").where(F.length("text") >= 200).join(held, "doc_id", "left_semi").agg(F.count("*").alias("long_files"))
+    gapless = (F.col("n") == F.col("d")) & (F.col("b") - F.col("a") + 1 == F.col("n"))
+    return ids.crossJoin(long).select(F.lit(first.files).cast("long").alias("files"), F.lit(first.processed).cast("long").alias("processed"), F.lit(second.processed).cast("long").alias("again"), gapless.alias("gapless"), "long_files")  # one row each
+
+
 # --- call graph ------------------------------------------------------------------------------------
 
 
