@@ -17,7 +17,7 @@ from ..functions import code, embedding, logs, paths, registry
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ann, chunking, graph, indexing, projects, retention, search
-from ..sources import files, stores
+from ..sources import caches, files, stores
 from ..sources.shared import shared_root, stored, stored_path
 from ..streaming import watch
 
@@ -767,6 +767,52 @@ def attachable(orders) -> DataFrame:
     return orders.select(F.col("o_custkey").cast("string").alias("workspace"), F.lit("meta").alias("source"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("rank"))
 
 
+def cache_folders(spark, d) -> str:
+    """A cache folder for each customer: metadata, progress and locks of various ages, made once."""
+    import datetime
+    import json
+
+    def make(path: str) -> None:
+        iso = lambda hours: datetime.datetime.fromtimestamp(AS_OF / 1000 - hours * 3600, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+        def put(batches):
+            fs, base = files.open_path(path)
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    parts = {"notes.txt": "x"}
+                    if k % 9:
+                        workspace = "/usr" if k % 5 else "/none/such"
+                        parts["meta.json"] = json.dumps({"workspace": workspace, "lastSaveTime": iso(k % 1000), "embeddingModel": "m", "embeddingDimension": 64, "filesIndexed": k % 7, "chunksStored": k % 6})
+                    elif k % 2:
+                        parts["meta.json"] = "{broken"
+                    if k % 4 == 0:
+                        parts["progress.json"] = json.dumps({"updatedAt": iso(k % 12)})
+                    if k % 19 == 0:
+                        parts["server.lock.json"] = json.dumps({"pid": k, "startedAt": iso(1)})
+                    fs.create_dir(f"{base}/c{k}", recursive=True)
+                    for name, body in parts.items():
+                        with fs.open_output_stream(f"{base}/c{k}/{name}", compression=None) as out:
+                            out.write(body.encode())
+                yield batch.select([0])
+
+        table(spark, d, "customer").select("c_custkey").mapInArrow(put, "c_custkey long").count()
+
+    return stored_path(spark, f"{d} caches", make)
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 <> 0 THEN least(c_custkey % 1000, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 12 ELSE 100000 END) WHEN c_custkey % 4 = 0 THEN c_custkey % 12 END AS h FROM customer)
+SELECT k, k % 38 = 0 AS active,
+  CASE WHEN k % 38 = 0 THEN 'active_lock' WHEN g IS NULL OR g = 0 THEN 'recent_activity' WHEN k % 9 = 0 THEN 'initializing'
+    WHEN (k % 7 = 0 OR k % 6 = 0) AND g > 24 THEN 'empty_cache' WHEN k % 7 = 0 OR k % 6 = 0 THEN 'recent_empty' WHEN k % 5 = 0 AND g > 168 THEN 'workspace_missing' WHEN k % 5 = 0 THEN 'workspace_grace_period'
+    WHEN k % 4 = 0 AND k % 12 > 6 THEN 'stuck_indexing' WHEN g > 720 THEN 'long_unused' ELSE 'valid_cache' END AS reason
+FROM (SELECT *, CASE WHEN k % 19 = 0 THEN least(coalesce(h, 1), 1) ELSE h END AS g FROM f)""")
+def cache_scan(spark, d):
+    """Facts read from cache folders, and what retention says of them; odd locks are of dead processes."""
+    facts = caches.scan_caches(spark, cache_folders(spark, d), lambda pid: pid % 2 == 0)
+    found = retention.decide(facts, AS_OF)
+    return found.select(F.substr("cache_id", F.lit(2)).cast("long").alias("k"), F.col("is_active").alias("active"), "reason")
+
+
 # --- events, logs ---------------------------------------------------------------------------------------
 
 
