@@ -74,9 +74,11 @@ def token_estimate(text: Column | str, special_tokens: bool = True) -> Column:
     runs = F.aggregate(
         F.regexp_extract_all(t, F.lit(_RUN), F.lit(0)),
         F.lit(0),
-        lambda n, r: n + F.when(F.length(r) <= 4, 1).when(F.length(r) <= 10, 2).otherwise(F.ceil(F.length(r) / 4).cast("int")),
+        lambda n, r: n + F.when(F.length(r) <= 4, 1).when(F.length(r) <= 10, 2).otherwise(F.shiftright(F.length(r) + 3, 2)),
     )
-    wide = F.regexp_count(t, F.lit(_WIDE)) + F.regexp_count(t, F.lit(_ASTRAL))
+    # What is not ASCII is little in most texts, and counted by itself.
+    beyond = F.regexp_replace(t, F.lit(r"[\x00-\x7F]+"), F.lit(""))
+    wide = F.regexp_count(beyond, F.lit(_WIDE)) + F.regexp_count(beyond, F.lit(_ASTRAL))
     extra = F.floor(F.regexp_count(t, F.lit(_SPECIAL_CLASS)) / 2).cast("int")
     made = runs + wide + extra + F.lit(2 if special_tokens else 0)
     return F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.lit(0)).otherwise(made).cast("int")
