@@ -23,7 +23,8 @@ _TOKEN = re.compile(r"[a-z0-9_]{2,}")
 
 def fnv1a(token: Column) -> Column:
     """32-bit FNV-1a of an ASCII token."""
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(_BASIS).cast("long"), lambda h, i: F.pmod(h.bitwiseXOR(F.ascii(F.substr(token, i, F.lit(1))).cast("long")) * F.lit(_PRIME), F.lit(1 << 32)))
+    step = lambda h, c: (h.bitwiseXOR(F.ascii(c)) * F.lit(_PRIME)).bitwiseAND(F.lit(_MASK))
+    return F.aggregate(F.split(token, ""), F.lit(_BASIS).cast("long"), step)
 
 
 def token_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM) -> DataFrame:

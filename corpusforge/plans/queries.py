@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ann, chunking, graph, indexing, projects, retention, search
 from ..sources import caches, files, stores
-from ..sources.shared import shared_root, stored, stored_path
+from ..sources.shared import shared_root, spread, stored, stored_path
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,7 +162,7 @@ emb AS (SELECT doc_id, bucket::INTEGER AS bucket, sum(n * (1 + least(4, len(t) /
 
 @query(f"WITH {_EMB.format(src='documents')} SELECT doc_id, bucket, weight FROM emb")
 def fnv_embed(spark, d):
-    return embedding.token_weights(table(spark, d, "documents"))
+    return embedding.token_weights(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 _UNIT = """unit AS (SELECT doc_id, bucket, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS v FROM emb)"""
@@ -171,7 +171,7 @@ _TEXT = f"""CASE WHEN contains(lower(text), '{QUERY}') THEN 1.5 ELSE 0.3 * (cont
 
 def chunk_table(spark, d) -> DataFrame:
     """Chunks of the documents with their vectors, stored once as an index is."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     made = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.col("text").alias("content"), embedding.hashing_provider()(F.col("text")).alias("vector"))
     return stored(spark, f"{d} chunks", lambda: made)
 
@@ -194,7 +194,7 @@ def hybrid_search(spark, d):
 
 
 def page_chunks(spark, d) -> DataFrame:
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages").select("page_id", "html"))
     made = pages.select(F.col("page_id").alias("chunk_id"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("content"), embedding.hashing_provider()(F.col("html")).alias("vector"))
     return stored(spark, f"{d} page chunks", lambda: made)
 
@@ -211,7 +211,7 @@ def similar_text_excluding_input(spark, d):
 
 @query(f"SELECT doc_id, round({_TEXT}, 6) AS score FROM documents")
 def text_match_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.text_score("text", QUERY), 6).alias("score"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.round(T.text_score("text", QUERY), 6).alias("score"))
 
 
 @query(f"""WITH b AS (SELECT doc_id, text, 1.0::DOUBLE / (1 + n_chars) AS s FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM b),
@@ -250,7 +250,7 @@ _RUNS = r"regexp_extract_all(text, '[\x00-\x08\x0E-\x1F\x21-\x7F]+')"
   + len(regexp_extract_all(text, '[\x{{10000}}-\x{{10FFFF}}]'))
   + len(regexp_extract_all(text, '[{{}}()\[\];:,.<>!=+\-*/%&|^~@#$"''`\\]')) // 2 END)::INTEGER AS tokens FROM documents""")
 def token_estimate(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.token_estimate("text").alias("tokens"))
 
 
 @query("SELECT md5(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
@@ -277,7 +277,7 @@ def crc_check(spark, d):
 
 @query()
 def smart_chunk(spark, d):
-    docs = table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.col("text").alias("content"))
+    docs = spread(table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.col("text").alias("content")))
     return chunking.chunk_files(docs).select("file", "chunk_no", "start_line", "end_line", "token_count", F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
@@ -444,17 +444,17 @@ ed AS (SELECT DISTINCT unnest(defs) AS symbol, file FROM c), ec AS (SELECT DISTI
 
 @query(f"SELECT page_id, array_to_string(list_sort({_CALLS}), ',') AS calls FROM pages")
 def call_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(code.calls("html")), ",").alias("calls"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.array_join(F.array_sort(code.calls("html")), ",").alias("calls"))
 
 
 @query(f"SELECT page_id, array_to_string(list_sort({_SYMS}), ',') AS symbols FROM pages")
 def symbol_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(code.symbols("html")), ",").alias("symbols"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.array_join(F.array_sort(code.symbols("html")), ",").alias("symbols"))
 
 
 def page_calls(spark, d) -> DataFrame:
     """The side table of call data, stored once."""
-    return stored(spark, f"{d} calls", lambda: page_code(spark, d).select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"))
+    return stored(spark, f"{d} calls", lambda: spread(page_code(spark, d)).select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"))
 
 
 def page_edges(spark, d) -> tuple[DataFrame, DataFrame]:

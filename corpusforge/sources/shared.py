@@ -43,3 +43,13 @@ def stored_path(spark: SparkSession, name: str, make: Callable[[str], None]) ->
 def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name``, written by the first caller of this application."""
     return spark.read.parquet(stored_path(spark, name, lambda path: make().write.parquet(path)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer pieces than there are, as a small file or one
+    of a single row group does; else as it is, without a shuffle.
+
+    For expensive expressions over small tables: what is dealt out is less than a piece a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
