@@ -29,10 +29,11 @@ def fnv1a(token: Column) -> Column:
 
 def token_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM) -> DataFrame:
     """(key, bucket, weight) before normalising, by built-in functions only."""
-    tokens = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda t: F.length(t) > 1)
-    counted = docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    weighted = counted.select(key, F.pmod(fnv1a(F.col("token")), F.lit(dim)).cast("int").alias("bucket"), (F.col("n") * (1 + F.least(F.lit(4), F.floor(F.length("token") / 4)))).alias("w"))
-    return weighted.groupBy(key, "bucket").agg(F.sum("w").cast("long").alias("weight"))
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    # Each occurrence adds its weight to its bucket before the shuffle, which sees no token.
+    each = docs.select(key, F.explode(tokens).alias("token"))
+    placed = each.select(key, F.pmod(fnv1a(F.col("token")), F.lit(dim)).cast("int").alias("bucket"), (1 + F.least(F.lit(4), F.floor(F.length("token") / 4))).alias("w"))
+    return placed.groupBy(key, "bucket").agg(F.sum("w").cast("long").alias("weight"))
 
 
 def _hash(token: str) -> int:

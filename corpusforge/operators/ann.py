@@ -23,8 +23,8 @@ from .search import comparable, semantic_score
 SAMPLE, ROUNDS = 20_000, 12
 #: Share of the exact neighbours that the default effort finds in the sample.
 RECALL = 0.95
-#: Rows of a list that one file holds, about.
-LIST_ROWS = 1_000_000
+#: Rows of a list at least, on average, and of one file of a list, about.
+LEAST_ROWS, LIST_ROWS = 500, 1_000_000
 VERSION = 1
 
 
@@ -101,7 +101,7 @@ class IvfIndex:
         vectors = np.array([r["vector"] for r in part.select("vector").toLocalIterator()], dtype=np.float64)
         if not len(vectors):
             vectors = np.zeros((1, max(1, dim)))
-        lists = lists or max(1, min(4096, int(round(count**0.5))))
+        lists = lists or max(1, min(4096, int(round(count**0.5)), -(-count // LEAST_ROWS)))
         centers = train_centroids(vectors, lists)
         meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers), capacity(count))
         return cls(cls._placed(rows, centers), centers, meta)._stored(path)
