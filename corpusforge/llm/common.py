@@ -129,6 +129,24 @@ def mark_possible_members(df: DataFrame, key: str, members: DataFrame, flag: str
     return held.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__p", "__bucket", "__bits")
 
 
+#: Keys with more than a HEAVY-th of all rows go to the rows: at most HEAVY of them can exist.
+HEAVY = 1024
+
+
+def join_skewed(rows: DataFrame, values: DataFrame, keys: list[str], count: str = "n_rows") -> DataFrame:
+    """Inner join of ``rows`` with ``values``, one row a key, whose column ``count`` says how
+    many of ``rows`` have it.
+
+    A key with more than a HEAVY-th of all rows is broadcast, so its rows stay where they are;
+    fewer than HEAVY keys can be as frequent.  The others are dealt out by key.  Give stored
+    tables: both are read twice.  Keys must not be null.
+    """
+    total = values.agg(F.sum(count).alias("n")).first()["n"] or 0
+    frequent = F.col(count) > total // HEAVY
+    heavy, light = values.where(frequent), values.where(~frequent)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+
+
 def crc_bucket(column, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import TURN_END, TURN_START
 from .decontam import WINDOW
 from .mixing import EPOCHS, WEIGHTS
+from .prefix_trie import MOST_SHARED, SHARED_BY
 from .quality_rules import STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -114,3 +115,33 @@ FROM m
 SHARD_LAW = """
 SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS bytes, true AS gapless, true AS near_equal, true AS groups_whole FROM documents
 """
+
+# crc32 of a decimal id, which DuckDB lacks: bit by bit over the bytes of the text.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len({0}::VARCHAR)), lambda i: ascii(({0}::VARCHAR)[i + 1])::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)"
+
+OP13 = f"""
+WITH d AS (SELECT conv_id::BIGINT AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, md5(len(role) || ':' || role || ':' || text) AS g, len(text) AS size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || ':' || text)) AS p FROM d),
+h AS (SELECT c, ({_CRC32.format("c")}) % {MOST_SHARED} AS h FROM (SELECT DISTINCT c FROM t)),
+b AS (SELECT h.c, b.p, b.g, b.size FROM h JOIN t b ON b.c = h.c - h.c % {SHARED_BY} AND b.p <= h),
+r AS (SELECT * FROM b UNION ALL SELECT t.c, t.p - h + (SELECT count(*) FROM b WHERE b.c = t.c), t.g, t.size FROM t JOIN h USING (c) WHERE t.p > h),
+o AS (SELECT c, p AS depth, md5(string_agg(g, '' ORDER BY p) OVER (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)) AS k,
+  md5(coalesce(string_agg(g, '' ORDER BY p) OVER (PARTITION BY c ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS parent, size FROM r
+  UNION ALL SELECT c, 0, md5(''), NULL, 0 FROM h),
+n AS (SELECT k, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM o GROUP BY k, depth),
+ch AS (SELECT parent AS k, count(*) AS n_children FROM n GROUP BY parent),
+e AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM (SELECT c, arg_max(k, depth) AS k FROM o GROUP BY c) GROUP BY k),
+below AS (SELECT DISTINCT a.k, x.k AS under FROM o a JOIN o x ON a.c = x.c AND x.depth >= a.depth),
+s AS (SELECT below.k, count(*) FILTER (WHERE ch.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens FROM below JOIN n ON n.k = below.under LEFT JOIN ch ON ch.k = n.k GROUP BY below.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN ch ON ch.k = n.k LEFT JOIN e ON e.k = n.k LEFT JOIN n u ON u.k = n.parent
+"""
+
+LM_BASE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, ({_CRC32.format("coalesce(doc_id::VARCHAR, '')")}) % 10 AS m, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), '') AS w FROM documents),
+t AS (SELECT r, doc_id, m, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE m <> 0 GROUP BY w),
+a AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, m = 0 AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (w), a GROUP BY r, doc_id, m
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard_join, language_id, mixing, oracle, pii, quality_classifier, quality_rules, sharding, warc
+from . import chat, decontam, jaccard_join, language_id, lm_scoring, mixing, oracle, pii, prefix_trie, quality_classifier, quality_rules, runs, sharding, warc
 from .common import read_table
 
 
@@ -51,6 +51,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.corpus_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op11 that SQL can express: counts and the base score."""
+    return op11_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op9 that SQL can express: base matches of each kind."""
     return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -71,7 +88,7 @@ def shard_law_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_warc, op2_mixing, op3_chat_formatting, op4_quality_classifier, op5_ngram_jaccard_join, op6_sharding, op7_decontamination, op8_language_id, op9_pii, op10_quality_rules, pii_base_counts, shard_law_holds)
+    made = (op1_warc, op2_mixing, op3_chat_formatting, op4_quality_classifier, op5_ngram_jaccard_join, op6_sharding, op7_decontamination, op8_language_id, op9_pii, op10_quality_rules, op11_lm_scoring, op12_periodic_runs, op13_prefix_trie, lm_base_scores, pii_base_counts, shard_law_holds)
     return {f.__name__: f for f in made}
 
 
@@ -83,6 +100,8 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": oracle.OP5,
         "op7_decontamination": oracle.OP7,
         "op10_quality_rules": oracle.OP10,
+        "op13_prefix_trie": oracle.OP13,
+        "lm_base_scores": oracle.LM_BASE,
         "pii_base_counts": oracle.PII_BASE,
         "shard_law_holds": oracle.SHARD_LAW,
     }
