@@ -425,6 +425,34 @@ def workspace_index(spark, d):
     return ids.crossJoin(long).select(F.lit(first.files).cast("long").alias("files"), F.lit(first.processed).cast("long").alias("processed"), F.lit(second.processed).cast("long").alias("again"), gapless.alias("gapless"), "long_files")  # one row each
 
 
+_TREE = ["", "src/", "_private/", ".config/", "pkg/__tests__/", "node_modules/dep/", "a/b/c/d/e/f/g/", "src/.git/", "dist/out/", "gen/"]
+_NAMED = ["app{}.js", "_app{}.js", ".app{}.js", "__init__{}.py", "read{}.md", "{}.bin", "x y{}.py"]
+_TREE_SQL = f"""(SELECT p_partkey AS k, [{", ".join(repr(x) for x in _TREE)}][p_partkey % {len(_TREE)} + 1] || replace([{", ".join(repr(x) for x in _NAMED)}][p_partkey % {len(_NAMED)} + 1], '{{}}', p_partkey::VARCHAR) AS relative FROM part)"""
+
+
+@query(f"""SELECT relative, k::BIGINT AS size FROM {_TREE_SQL} WHERE regexp_matches(relative, '[.](js|py|md)$') AND NOT regexp_matches(relative, '(^|/)(node_modules|[.]git|dist)/') AND NOT regexp_matches(relative, '^gen/')""")
+def crawl_tree(spark, d):
+    """A folder with a file a part, of as many bytes as its key, in folders and under names that
+    a listing may not lose, or may not enter."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    listed = table(spark, d, "part").select(F.concat(pick(_TREE), F.replace(pick(_NAMED), F.lit("{}"), F.col("p_partkey").cast("string"))).alias("relative"), F.col("p_partkey").cast("long").alias("size"))
+
+    def put(top: str):
+        def run(batches):
+            fs, base = files.open_path(top)
+            for batch in batches:
+                for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    fs.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                    with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                        out.write(b"x" * size)
+                yield batch.select([0])
+
+        return run
+
+    root = stored_path(spark, f"{d} tree", lambda path: spread(listed).mapInArrow(put(path), "relative string").count())
+    return files.discover(spark, root, ["js", "py", "md"], exclude=["dist/**"], ignore_lines=["/gen/"]).select("relative", "size")
+
+
 # --- call graph ------------------------------------------------------------------------------------
 
 

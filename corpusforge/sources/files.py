@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators.indexing import read_status
+from .crawl import crawl, open_path
 
 MAX_FILE_SIZE = 1 << 20
 #: Resources listed at most, and folders below the root.
@@ -26,21 +26,14 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(file, relative, size, mtime_ms[, content]) of all files below ``root``.
-
-    Without ``content`` only the listing is read.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    top = root.rstrip("/").removeprefix("file://")
-    file = _plain(F.col("path"))
-    columns = [file.alias("file"), F.regexp_replace(file, f"^{re.escape(top)}/", "").alias("relative"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime_ms")]
-    return raw.select(*columns, *([F.col("content")] if content else []))
+def scan(spark: SparkSession, root: str, exclude: list[str] = (), ignore_lines: list[str] = ()) -> DataFrame:
+    """(file, relative, size, mtime_ms) of the files below ``root``; see ``crawl``."""
+    return crawl(spark, root, exclude, ignore_lines)
 
 
-def discover(spark: SparkSession, root: str, extensions: list[str], names: list[str] = (), exclude: list[str] = (), ignore_lines: list[str] = (), content: bool = False) -> DataFrame:
+def discover(spark: SparkSession, root: str, extensions: list[str], names: list[str] = (), exclude: list[str] = (), ignore_lines: list[str] = ()) -> DataFrame:
     """Files with a listed extension or name that nothing excludes."""
-    found = scan(spark, root, content)
+    found = scan(spark, root, exclude, ignore_lines)
     keep = P.allowed_file("relative", list(extensions), list(names)) & ~P.in_pruned_directory("relative")
     if exclude:
         keep = keep & ~P.exclude_predicate("relative", list(exclude))
@@ -50,15 +43,8 @@ def discover(spark: SparkSession, root: str, extensions: list[str], names: list[
 
 
 def read_texts(files: DataFrame, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """``files`` with content as text, its md5 and a status; refused files have no content."""
-    status = read_status(F.col("size"), F.lit(False), F.octet_length("content"), F.lit(None), max_size)
-    out = files.withColumn("status", status)
-    return out.withColumn("content_hash", F.when(F.col("status") == "", F.md5("content"))).withColumn("content", F.when(F.col("status") == "", F.decode("content", "UTF-8")))
-
-
-def open_path(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and name of a path or URI."""
-    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (pafs.LocalFileSystem(), path)
+    """``files(file, relative, ...)`` with status, content as text and its md5."""
+    return files.select("file", "relative").join(read_files(files, max_size), "file")
 
 
 def _read_one(path: str, max_size: int) -> tuple[str, int | None, float | None, bytes | None]:

@@ -69,7 +69,7 @@ def test_files(spark, tmp_path):
     for name, body in {"a.py": "def f(): pass\n" * 5, "sub/b.js": "x", "node_modules/c.js": "y", "big.py": "z" * 200, "Makefile": "all:", "n.bin": "q"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text(body)
-    found = files.discover(spark, str(tmp_path), ["py", ".js"], ["Makefile"], ["sub/**"], content=True)
+    found = files.discover(spark, str(tmp_path), ["py", ".js"], ["Makefile"], ["sub/**"])
     read = {r["relative"]: r for r in files.read_texts(found, 100).collect()}
     assert set(read) == {"a.py", "big.py", "Makefile"}
     assert read["big.py"]["status"] == "too_large" and read["big.py"]["content"] is None and read["a.py"]["status"] == ""
