@@ -8,8 +8,9 @@ pruning where the table is stored by list) and ranks their vectors exactly.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,15 @@ from .search import comparable, semantic_score
 
 #: Vectors that centroids are trained on, at most about; rounds of training.
 SAMPLE, ROUNDS = 20_000, 12
+#: Sampled vectors a list, where that is more; it bounds the sample at 65,536.
+SAMPLE_A_LIST = 16
+#: Parts that additions may leave before the lists are built anew.
+MOST_PARTS = 32
 #: Share of the exact neighbours that the default effort finds in the sample.
 RECALL = 0.95
 #: Rows of a list at least, on average, and of one file of a list, about.
 LEAST_ROWS, LIST_ROWS = 500, 1_000_000
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
@@ -38,6 +43,10 @@ class AnnMeta:
     lists: int
     nprobe: int
     capacity: int = 0
+    #: Folders of the stored lists: the build's and one an addition.
+    parts: list = field(default_factory=list)
+    #: Greatest chunk id that the index has.
+    last_id: int = -1
 
 
 def capacity(count: int) -> int:
@@ -69,6 +78,22 @@ def enough_probes(vectors: np.ndarray, centers: np.ndarray, k: int = 10, recall:
     return int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))))]) + 1
 
 
+def _pointers(spark, path: str):
+    """File system, path maker and names of the pointers below an index's folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    top = where(f"{path}/pointers")
+    return fs, where, sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+
+
+def _read_parts(spark, path: str, parts: list[str]) -> DataFrame:
+    read = [spark.read.schema("chunk_id long, vector array<float>, list_no int").parquet(f"{path}/{p}") for p in parts]
+    out = read[0]
+    for df in read[1:]:
+        out = out.union(df)
+    return out
+
+
 def _assign(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = shared.value
@@ -97,13 +122,15 @@ class IvfIndex:
         dim = first["d"] if first else 0
         rows = comparable(chunks, dim).select("chunk_id", "vector")
         count = rows.count()
+        lists = lists or max(1, min(4096, int(round(count**0.5)), -(-count // LEAST_ROWS)))
+        sample = max(sample, SAMPLE_A_LIST * lists)
         part = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, sample / max(1, count))) + 1))
         vectors = np.array([r["vector"] for r in part.select("vector").toLocalIterator()], dtype=np.float64)
         if not len(vectors):
             vectors = np.zeros((1, max(1, dim)))
-        lists = lists or max(1, min(4096, int(round(count**0.5)), -(-count // LEAST_ROWS)))
         centers = train_centroids(vectors, lists)
-        meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers), capacity(count))
+        last = rows.agg(F.max("chunk_id")).first()[0]
+        meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers), capacity(count), [], -1 if last is None else last)
         return cls(cls._placed(rows, centers), centers, meta)._stored(path)
 
     @staticmethod
@@ -111,41 +138,54 @@ class IvfIndex:
         shared = rows.sparkSession.sparkContext.broadcast(centers)  # at most 4096 centroids
         return rows.select("chunk_id", "vector").mapInArrow(_assign(shared, 1), "chunk_id long, vector array<float>, list_no int")
 
-    def _stored(self, path: str | None, mode: str = "overwrite") -> IvfIndex:
+    def _stored(self, path: str | None) -> IvfIndex:
         """Lists as partitions below ``path``: a list's rows are brought together before, in
-        as many tasks as a large list needs, so there are few files a list."""
+        as many tasks as a large list needs, so there are few files a list.
+
+        The rows are a part of their own; metadata and centroids follow, and at last a pointer
+        names them.  Readers see the index before or after, never between.
+        """
         if path is None:
             return self
+        spark, name = self.rows.sparkSession, uuid.uuid4().hex
         parts = 1 + self.meta.count // (self.meta.lists * LIST_ROWS)
         placed = self.rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).repartition("list_no", "_part").drop("_part")
-        placed.write.mode(mode).partitionBy("list_no").parquet(f"{path}/lists")
-        spark = self.rows.sparkSession
-        spark.createDataFrame([(json.dumps(asdict(self.meta)), [[float(x) for x in c] for c in self.centroids])], "meta string, centroids array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-        return IvfIndex(spark.read.parquet(f"{path}/lists"), self.centroids, self.meta, path)
+        placed.write.partitionBy("list_no").parquet(f"{path}/lists-{name}")
+        meta = AnnMeta(**asdict(self.meta) | {"parts": [*self.meta.parts, f"lists-{name}"]})
+        spark.createDataFrame([(json.dumps(asdict(meta)), [[float(x) for x in c] for c in self.centroids])], "meta string, centroids array<array<double>>").coalesce(1).write.parquet(f"{path}/meta-{name}")
+        fs, where, names = _pointers(spark, path)
+        number = 1 + (int(names[-1].split("-")[0]) if names else 0)
+        fs.mkdirs(where(f"{path}/pointers/{number:012d}-{name}"))  # one atomic step
+        return IvfIndex(_read_parts(spark, path, meta.parts), self.centroids, meta, path)
 
     @classmethod
     def load(cls, spark, path: str, model: str, dim: int) -> IvfIndex | None:
-        """The stored index, or None if version, model or dimension differ."""
-        row = spark.read.parquet(f"{path}/meta").first()
-        meta = AnnMeta(**json.loads(row["meta"]))
-        if (meta.version, meta.model, meta.dim, meta.metric) != (VERSION, model, dim, "cosine"):
+        """The stored index, or None if there is none, or version, model or dimension differ."""
+        names = _pointers(spark, path)[2]
+        if not names:
             return None
-        return cls(spark.read.parquet(f"{path}/lists"), np.array(row["centroids"]), meta, path)
+        row = spark.read.parquet(f"{path}/meta-{names[-1].split('-', 1)[1]}").first()
+        found = json.loads(row["meta"])
+        if (found["version"], found["model"], found["dim"], found["metric"]) != (VERSION, model, dim, "cosine"):
+            return None
+        meta = AnnMeta(**found)
+        return cls(_read_parts(spark, path, meta.parts), np.array(row["centroids"]), meta, path)
 
     def add(self, chunks: DataFrame) -> IvfIndex | None:
         """Further rows go to their nearest lists; centroids stay.  Ids that the index has
-        already are left out.  None if the rows go beyond the index's capacity: build anew."""
+        already are left out.  None if the rows go beyond the index's capacity, or additions
+        have left many parts: build anew."""
         rows = comparable(chunks, self.meta.dim).select("chunk_id", "vector").dropDuplicates(["chunk_id"]).join(self.rows.select("chunk_id"), "chunk_id", "left_anti")
-        n = rows.count()
-        if self.meta.count + n > self.meta.capacity:
+        n, last = rows.agg(F.count("*"), F.max("chunk_id")).first()
+        if self.meta.count + n > self.meta.capacity or len(self.meta.parts) >= MOST_PARTS:
             return None
+        if n == 0:
+            return self
         placed = self._placed(rows, self.centroids)
-        self.meta.count += n
+        meta = AnnMeta(**asdict(self.meta) | {"count": self.meta.count + n, "last_id": max(self.meta.last_id, last)})
         if self.path:
-            if n == 0:
-                return self
-            return IvfIndex(placed, self.centroids, self.meta)._stored(self.path, "append")
-        return IvfIndex(self.rows.unionByName(placed), self.centroids, self.meta)
+            return IvfIndex(placed, self.centroids, meta)._stored(self.path)
+        return IvfIndex(self.rows.unionByName(placed), self.centroids, meta)
 
     def set_effort(self, nprobe: int) -> None:
         """Lists read by a search, 1 to 1000 and no more than there are."""
@@ -169,7 +209,7 @@ class IvfIndex:
     def stats(self) -> DataFrame:
         """One row: the metadata with rows of the smallest and largest list."""
         sizes = self.rows.groupBy("list_no").agg(F.count("*").alias("n")).agg(F.min("n").alias("smallest_list"), F.max("n").alias("largest_list"))
-        return sizes.select(*[F.lit(v).alias(k) for k, v in asdict(self.meta).items()], "smallest_list", "largest_list")
+        return sizes.select(*[F.lit(v).alias(k) for k, v in asdict(self.meta).items() if k != "parts"], "smallest_list", "largest_list")
 
 
 def should_build(count: int, dim: int, enabled: bool = True, least: int = 5000) -> bool:

@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ann, chunking, graph, indexing, projects, retention, search
 from ..sources import caches, files, stores
-from ..sources.shared import shared_root, spread, stored, stored_path
+from ..sources.shared import Scratch, shared_root, spread, stored, stored_path
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,6 +453,33 @@ def crawl_tree(spark, d):
     return files.discover(spark, root, ["js", "py", "md"], exclude=["dist/**"], ignore_lines=["/gen/"]).select("relative", "size")
 
 
+_STATE = """CASE WHEN o_orderdate >= DATE '2001-07-20' THEN 'gone' WHEN o_orderdate >= DATE '2001-07-10' THEN 'second' WHEN o_orderdate >= DATE '2001-06-20' THEN 'first' ELSE 'old' END"""
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {_STATE} AS state FROM orders),
+c AS (SELECT l_orderkey::VARCHAR AS file, l_orderkey * 8 + l_linenumber AS id, CASE state WHEN 'old' THEN l_returnflag ELSE state END AS content FROM lineitem JOIN f ON o_orderkey = l_orderkey WHERE state <> 'gone' AND (state <> 'second' OR l_linenumber < 3)),
+t AS (SELECT count(*) AS stored FROM c)
+SELECT file, count(*) AS chunks, sum(id)::BIGINT AS ids, min(content) AS first, max(content) AS last, any_value(stored) AS stored, true AS small FROM c, t GROUP BY file""")
+def store_layers(spark, d):
+    """A file an order, a chunk a line; three runs change some files, drop chunks of some and
+    delete others.  ``small``: each run wrote fewer bytes than a fifth of the base."""
+    store = stores.VersionedStore(spark, Scratch(spark).path("store", keep=True))
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("int").alias("start_line"), F.col("l_linenumber").cast("int").alias("end_line"), F.col("l_returnflag").alias("content"), F.lit(None).cast("array<float>").alias("vector"))
+    dates = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.expr(_STATE).alias("state"))
+    hashes = lambda c: c.groupBy("file").agg(F.count("*").alias("chunks")).select("file", F.lit("h").alias("hash"), F.lit(0.0).alias("mtime_ms"), F.lit(0).cast("long").alias("size"), "chunks")
+    lines = lines.join(dates.select("file"), "file", "left_semi").select(*stores.CHUNK_SCHEMA.names)
+    store.save(stores.StoreMeta(), chunks=lines, file_hashes=hashes(lines))
+    wrote = []
+    for state in ("first", "second", "gone"):
+        touched = dates.where(F.col("state") == state).select("file")
+        new = lines.join(touched, "file", "left_semi").withColumn("content", F.lit(state)).where(F.lit(state != "gone") & (F.lit(state != "second") | (F.col("start_line") < 3))).select(*stores.CHUNK_SCHEMA.names)
+        before = {name for name, _ in store.meta().layers}
+        store.apply(stores.StoreMeta(), touched, chunks=new, file_hashes=hashes(new))
+        wrote += [size for name, size in store.meta().layers if name not in before]
+    base = max(size for _, size in store.meta().layers)
+    return store.read("chunks").groupBy("file").agg(F.count("*").alias("chunks"), F.sum("chunk_id").alias("ids"), F.min("content").alias("first"), F.max("content").alias("last")).withColumns({"stored": F.lit(store.meta().chunks_stored).cast("long"), "small": F.lit(all(5 * x < base for x in wrote))})
+
+
 # --- call graph ------------------------------------------------------------------------------------
 
 

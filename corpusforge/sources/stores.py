@@ -1,8 +1,9 @@
 """Chunk stores: versioned Parquet, JSON, and readers of the compatible formats.
 
-A versioned store is a folder of immutable snapshots and a pointer to the current one.  A
-snapshot is complete before the pointer names it, so readers see the old version or the
-new one, and a writer that dies leaves an unnamed folder.  One writer a table is assumed.
+A versioned store is a folder of immutable layers, snapshots that list them, and a pointer to
+the current snapshot.  A snapshot is complete before the pointer names it, so readers see the
+old version or the new one, and a writer that dies leaves an unnamed folder.  One writer a
+table is assumed.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ CHUNK_SCHEMA = T.StructType([
 ])
 FILE_HASH_SCHEMA = "file string, hash string, mtime_ms double, size long"
 CALL_DATA_SCHEMA = "file string, definitions array<string>, calls array<string>"
-STORE_VERSION = 1
+STORE_VERSION = 2
 
 
 @dataclass
@@ -43,14 +44,31 @@ class StoreMeta:
     last_save_time: str = ""
     files_indexed: int = 0
     chunks_stored: int = 0
+    next_chunk_id: int = 0
     write_id: str = ""
+    #: Names and bytes of the layers, oldest first; the store fills this in.
+    layers: list = field(default_factory=list)
     extra: dict = field(default_factory=dict)
 
 
+#: Newer layers are merged into the one before them once they come to a GROWTH-th of its bytes,
+#: so there are few layers, and a row is written again about once each time the store grows
+#: GROWTH times.
+GROWTH = 4
+
+
 class VersionedStore:
-    """Chunks, file hashes and call data of one workspace, in snapshots below ``root``."""
+    """Chunks, file hashes and call data of one workspace, in layers below ``root``.
+
+    The oldest layer is a base; each further one has the new rows of some files, and the names of
+    the files whose older rows it voids.  Readers take of each layer what no newer one voids.
+    Saving a change thus writes what changed, not the rest.  A snapshot is a list of layers; it is
+    complete before a pointer names it.
+    """
 
-    TABLES = {"chunks": CHUNK_SCHEMA, "file_hashes": FILE_HASH_SCHEMA, "call_data": CALL_DATA_SCHEMA}
+    TABLES = {"chunks": CHUNK_SCHEMA, "file_hashes": FILE_HASH_SCHEMA + ", chunks long", "call_data": CALL_DATA_SCHEMA}
+    #: Touched files: ``scope`` is "all", or "hashes" where only the file's hash row is replaced.
+    TOUCHED = "file string, scope string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -61,43 +79,133 @@ class VersionedStore:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}"))) if self._exists(folder) else []
+
     def current(self) -> str | None:
         """Newest complete snapshot: the greatest pointer name."""
-        if not self._exists("pointers"):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/pointers")))
+        names = self._names("pointers")
         return names[-1].split("-", 1)[1] if names else None
 
-    def save(self, meta: StoreMeta, **tables: DataFrame) -> str:
-        """Write a snapshot and publish it; tables that are not given carry over."""
-        old, write_id = self.current(), uuid.uuid4().hex
-        folder = f"{self.root}/snapshots/{write_id}"
-        for name in self.TABLES:
-            df = tables.get(name)
-            if df is None and old is not None:
-                df = self.read(name)
-            if df is None:
-                continue
-            if name == "chunks":
-                df = df.repartition("file").sortWithinPartitions("file", "chunk_id")
-            df.write.parquet(f"{folder}/{name}")
-        meta.write_id = write_id
-        self.spark.createDataFrame([(json.dumps(asdict(meta)),)], "meta string").coalesce(1).write.json(f"{folder}/meta")
-        number = 1 + (int(sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/pointers")))[-1].split("-")[0]) if old else 0)
-        self._fs.mkdirs(self._path(f"{self.root}/pointers/{number:012d}-{write_id}"))  # one atomic step
-        return write_id
-
     def meta(self) -> StoreMeta | None:
         name = self.current()
         if name is None:
             return None
         return StoreMeta(**json.loads(self.spark.read.schema("meta string").json(f"{self.root}/snapshots/{name}/meta").first()["meta"]))
 
-    def read(self, table: str) -> DataFrame | None:
-        name = self.current()
-        if name is None or not self._exists(f"snapshots/{name}/{table}"):
+    # --- writing ---------------------------------------------------------------------
+
+    def _write_layer(self, tables: dict[str, DataFrame | None], touched: DataFrame | None = None) -> list:
+        """A new layer, named by nobody yet: its name and bytes."""
+        name = uuid.uuid4().hex
+        folder = f"{self.root}/layers/{name}"
+        for table, df in tables.items():
+            if df is None:
+                continue
+            if table == "chunks":
+                df = df.repartition("file").sortWithinPartitions("file", "chunk_id")
+            df.select(*(c.name for c in self._schema(table) if c.name in df.columns)).write.parquet(f"{folder}/{table}")
+        if touched is not None:
+            touched.write.parquet(f"{folder}/touched")
+        return [name, self._fs.getContentSummary(self._path(folder)).getLength() if self._exists(f"layers/{name}") else 0]
+
+    def _schema(self, table: str) -> T.StructType:
+        kind = self.TABLES[table]
+        return kind if isinstance(kind, T.StructType) else T.StructType.fromDDL(kind)
+
+    def _publish(self, meta: StoreMeta, layers: list) -> str:
+        meta.write_id, meta.layers = uuid.uuid4().hex, layers
+        self.spark.createDataFrame([(json.dumps(asdict(meta)),)], "meta string").coalesce(1).write.json(f"{self.root}/snapshots/{meta.write_id}/meta")
+        names = self._names("pointers")
+        number = 1 + (int(names[-1].split("-")[0]) if names else 0)
+        self._fs.mkdirs(self._path(f"{self.root}/pointers/{number:012d}-{meta.write_id}"))  # one atomic step
+        return meta.write_id
+
+    def save(self, meta: StoreMeta, **tables: DataFrame) -> str:
+        """Write a base and publish it as the only layer; tables that are not given carry over."""
+        old = self.current()
+        given = {name: tables.get(name) if tables.get(name) is not None or old is None else self.read(name) for name in self.TABLES}
+        layer = self._write_layer(given)
+        self._count(meta, [layer])
+        return self._publish(meta, [layer])
+
+    def _count(self, meta: StoreMeta, layers: list, removed: int = 0, before: int = 0) -> None:
+        """Chunk numbers of the snapshot, from what its newest layer holds."""
+        new = self._layer_rows("chunks", [layers[-1]])
+        n, most = new.agg(F.count("*"), F.max("chunk_id")).first() if new is not None else (0, None)
+        meta.chunks_stored, meta.next_chunk_id = before - removed + n, max(meta.next_chunk_id, 0 if most is None else most + 1)
+
+    def apply(self, meta: StoreMeta, touched: DataFrame, hashes_of: DataFrame | None = None, **tables: DataFrame) -> str:
+        """Add a layer: the rows of the files in ``touched(file)`` are replaced by the given ones,
+        and of those in ``hashes_of(file)`` the hash rows only.  Written is what is given.
+
+        Without a snapshot it becomes the base.  Layers are merged afterwards if they are small.
+        """
+        old = self.meta()
+        if old is None:
+            return self.save(meta, **tables)
+        marks = touched.select("file", F.lit("all").alias("scope"))
+        if hashes_of is not None:
+            marks = marks.union(hashes_of.select("file", F.lit("hashes").alias("scope")))
+        layer = self._write_layer(tables, marks.distinct())
+        hashes = self.read("file_hashes")
+        voided = self.spark.read.schema(self.TOUCHED).parquet(f"{self.root}/layers/{layer[0]}/touched").where("scope = 'all'")
+        removed = hashes.join(voided.select("file"), "file", "left_semi").agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0] if hashes is not None else 0
+        meta.next_chunk_id = max(meta.next_chunk_id, old.next_chunk_id)
+        self._count(meta, [*old.layers, layer], removed, old.chunks_stored)
+        self._publish(meta, [*old.layers, layer])
+        return self.compact() or meta.write_id
+
+    def compact(self, all_layers: bool = False) -> str | None:
+        """Merge the newest layers while they come to a GROWTH-th of the one before them, or all;
+        publishes a snapshot of equal content, or returns None if there is nothing to do."""
+        meta = self.meta()
+        if meta is None:
+            return None
+        layers, first, size = meta.layers, len(meta.layers) - 1, meta.layers[-1][1]
+        while first > 0 and (all_layers or layers[first - 1][1] <= GROWTH * size):
+            first -= 1
+            size += layers[first][1]
+        if first == len(layers) - 1:
+            return None
+        merged = layers[first:]
+        touched = self._touched(merged).groupBy("file").agg(F.min("scope").alias("scope")) if first else None  # "all" < "hashes"
+        layer = self._write_layer({t: self._layer_rows(t, merged) for t in self.TABLES}, touched)
+        return self._publish(meta, [*layers[:first], layer])
+
+    # --- reading -----------------------------------------------------------------------
+
+    def _touched(self, layers: list) -> DataFrame:
+        """(file, scope, layer) of the layers' marks, ``layer`` their place in the list."""
+        out = self.spark.createDataFrame([], self.TOUCHED + ", layer int")
+        for k, (name, _) in enumerate(layers):
+            if self._exists(f"layers/{name}/touched"):
+                out = out.union(self.spark.read.schema(self.TOUCHED).parquet(f"{self.root}/layers/{name}/touched").withColumn("layer", F.lit(k)))
+        return out
+
+    def _layer_rows(self, table: str, layers: list) -> DataFrame | None:
+        """What is left of ``table`` in the layers, of each what no newer one voids."""
+        parts = [(k, self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/layers/{name}/{table}")) for k, (name, _) in enumerate(layers) if self._exists(f"layers/{name}/{table}")]
+        if not parts:
             return None
-        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/snapshots/{name}/{table}")
+        newest = len(layers) - 1
+        older = [df.withColumn("_layer", F.lit(k)) for k, df in parts if k < newest]
+        out = next((df for k, df in parts if k == newest), None)
+        if older:
+            marks = self._touched(layers)
+            if table != "file_hashes":
+                marks = marks.where("scope = 'all'")
+            void = marks.groupBy("file").agg(F.max("layer").alias("_void"))
+            rows = older[0]
+            for df in older[1:]:
+                rows = rows.union(df)
+            rows = rows.join(void, "file", "left").where("_void is null or _layer >= _void").drop("_void", "_layer").select(*self._schema(table).names)
+            out = rows if out is None else rows.union(out)
+        return out
+
+    def read(self, table: str) -> DataFrame | None:
+        meta = self.meta()
+        return None if meta is None else self._layer_rows(table, meta.layers)
 
     def load(self, model: str, dimension: int | None = None, extensions: list[str] | None = None) -> DataFrame | None:
         """Current chunks; None if version, model or dimension differ from what is stored."""
@@ -106,23 +214,28 @@ class VersionedStore:
         meta = self.meta()
         if meta is None or meta.version != STORE_VERSION or meta.model != model or (dimension and meta.dimension and meta.dimension != dimension):
             return None
-        chunks = self.read("chunks")
+        chunks = self._layer_rows("chunks", meta.layers)
         if chunks is not None and extensions:
             chunks = chunks.where(extension("file").isin([f".{e.lstrip('.').lower()}" for e in extensions]))
         return chunks
 
     def rollback(self) -> None:
         """Unpublish the current snapshot."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/pointers")))
+        names = self._names("pointers")
         if names:
             self._fs.delete(self._path(f"{self.root}/pointers/{names[-1]}"), True)
 
     def vacuum(self) -> None:
-        """Delete every snapshot but the current one."""
-        keep = self.current()
-        for s in self._fs.listStatus(self._path(f"{self.root}/snapshots")) if self._exists("snapshots") else []:
-            if s.getPath().getName() != keep:
-                self._fs.delete(s.getPath(), True)
+        """Delete every snapshot but the current one, and every layer that it doesn't name."""
+        meta = self.meta()
+        keep = {meta.write_id, *(name for name, _ in meta.layers)} if meta else set()
+        for folder in ("snapshots", "layers"):
+            for name in self._names(folder):
+                if name not in keep:
+                    self._fs.delete(self._path(f"{self.root}/{folder}/{name}"), True)
+        for name in self._names("pointers"):
+            if name.split("-", 1)[1] not in keep:
+                self._fs.delete(self._path(f"{self.root}/pointers/{name}"), True)
 
     def clear(self) -> None:
         self._fs.delete(self._path(self.root), True)

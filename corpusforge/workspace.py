@@ -19,10 +19,11 @@ from .functions.vector import slice_normalize
 from .operators import ann, chunking, graph, indexing, retention, search
 from .operators.chunking import count_tokens, smart_chunk
 from .sources import files, stores
+from .sources.shared import Scratch, owning
 
-
-#: Files that a task reads when an index is brought up to date; errors that are listed.
-FILES_A_TASK, MOST_ERRORS = 200, 100
+#: Files that a task reads when an index is brought up to date, that are committed at once,
+#: and errors that are listed.
+FILES_A_TASK, FILES_A_BATCH, MOST_ERRORS = 200, 50_000, 100
 
 
 @dataclass(frozen=True)
@@ -82,15 +83,20 @@ class Workspace:
         """Bring the index up to date; ``only`` restricts it to some files (full paths).
 
         A file is committed if every chunk of it was embedded; otherwise its old chunks and
-        hash stay, so the next run tries again.
+        hash stay, so the next run tries again.  Files are committed in batches of about
+        FILES_A_BATCH, each a layer of the store that names what it replaces: a run that dies
+        leaves its committed batches, whose files the next run finds unchanged.
         """
-        now_ms = now_ms if now_ms is not None else int(time.time() * 1000)
-        compatible = force or self.store.current() is None or self.store.load(self.model, self.dimension) is not None
-        known, calls, chunks = self._table("file_hashes"), self._table("call_data"), self._table("chunks")
-        if force or not compatible:
-            known, calls, chunks = known.limit(0), calls.limit(0), chunks.limit(0)
-        found = files.discover(self.spark, self.root, self.extensions, self.names, self.exclude, self.ignore_lines)
-        listed = found.select("file", "size", "mtime_ms")
+        with owning(self.spark):
+            return self._index(force, now_ms if now_ms is not None else int(time.time() * 1000), only)
+
+    def _index(self, force: bool, now_ms: int, only: list[str] | None) -> IndexReport:
+        meta = self.store.meta()
+        renew = force or meta is None or self.store.load(self.model, self.dimension) is None
+        known, calls = self._table("file_hashes"), self._table("call_data")
+        if renew:
+            known, calls = known.limit(0), calls.limit(0)
+        listed = files.discover(self.spark, self.root, self.extensions, self.names, self.exclude, self.ignore_lines).select("file", "size", "mtime_ms")
         if only is not None:
             listed = listed.where(F.col("file").isin(only))
             gone = known.where(F.col("file").isin(only)).join(listed.select("file"), "file", "left_anti").select("file")
@@ -98,45 +104,71 @@ class Workspace:
             gone = indexing.prune_deleted(known, listed).select("file")
         without_calls = indexing.missing_call_data(known, calls, listed).withColumn("again", F.lit(True))
         changes = indexing.detect_changes(listed, known, now_ms, force).join(without_calls, "file", "left")
-        todo = changes.where(~F.col("unchanged") | F.col("again")).cache()
-        n_files, n_todo, missing, n_gone = listed.count(), todo.count(), todo.where("expected_hash is null").count(), gone.count()
-        how = indexing.index_mode(force or not compatible, chunks.count(), n_todo, n_files, missing)
-        if n_todo == 0 and n_gone == 0:
-            todo.unpersist()
-            return IndexReport(how.mode, how.reason, n_files, 0, 0, chunks.count())
-
-        wanted = todo.select("file", "expected_hash", "again", F.col("mtime_ms").alias("found_ms"))
-        looked = files.read_files(todo.select("file").repartition(max(1, -(-n_todo // FILES_A_TASK)))).join(wanted, "file").withColumn("mtime_ms", F.col("found_ms")).drop("found_ms").cache()
-        read = looked.where("status = ''")
-        fresh = read.where(~F.col("content_hash").eqNullSafe(F.col("expected_hash")) | F.col("again"))
-        made = chunking.chunk_files(fresh.select("file", "content"))
-        if self.make_model is not None:
-            made = embedding.embed_with_status(made, self.make_model).select("*", "embedding.vector", "embedding.error").drop("embedding")
-        else:
-            made = made.withColumn("vector", self.provider(F.col("text"))).withColumn("error", F.lit(None).cast("string"))
-        made = made.withColumn("success", F.coalesce(F.size("vector") == self.dimension, F.lit(False))).cache()
-        unread = looked.where("status <> ''").select(F.lit("read").alias("stage"), F.col("file").alias("scope"), F.lit(0).alias("at"), F.col("status").alias("message"))
-        self.errors = [r.asDict() for r in unread.union(indexing.error_list(made, "embed", "file", "chunk_no")).orderBy("scope", "at").limit(MOST_ERRORS).collect()]
-        totals = fresh.select("file").join(made.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("total"))
-        done = indexing.commit_guard(made, totals).select("file").cache()
-
-        first_id = (chunks.agg(F.max("chunk_id")).first()[0] or 0) + 1
-        numbered = indexing.dense_index(made.join(done, "file", "left_semi").withColumn("place", F.struct("file", "chunk_no")), "place", "n")
-        new = numbered.select((F.col("n") + first_id).alias("chunk_id"), "file", "start_line", "end_line", F.col("text").alias("content"), "vector")
-        after = indexing.replace_by_file(chunks, done.union(gone), new)
-        hashes = read.select("file", F.col("content_hash").alias("hash"), "mtime_ms", "size").join(done.union(read.where(F.col("content_hash").eqNullSafe(F.col("expected_hash"))).select("file")).distinct(), "file", "left_semi")
-        data = fresh.join(done, "file", "left_semi").select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls")
-        self.store.save(
-            stores.StoreMeta(model=self.model, dimension=self.dimension, workspace=self.root, last_save_time=time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now_ms / 1000)), files_indexed=n_files),
-            chunks=after,
-            file_hashes=indexing.replace_by_file(known, hashes.union(gone.select("file", F.lit(""), F.lit(0.0), F.lit(0))).select("file"), hashes),
-            call_data=indexing.replace_by_file(calls, done.union(gone), data),
-        )
-        report = IndexReport(how.mode, how.reason, n_files, n_todo, n_gone, self._table("chunks").count())
-        for held in (todo, looked, made, done):
-            held.unpersist()
+        with Scratch(self.spark) as scope:
+            todo = scope.write(changes.where(~F.col("unchanged") | F.col("again")), "todo")
+            gone = scope.write(gone, "gone")
+            n_files, n_gone = listed.count(), gone.count()
+            n_todo, missing = todo.agg(F.count("*"), F.count_if(F.col("expected_hash").isNull())).first()
+            stored_chunks = 0 if renew else meta.chunks_stored
+            how = indexing.index_mode(renew and meta is not None, stored_chunks, n_todo, n_files, missing)
+            self.errors = []
+            if n_todo == 0 and n_gone == 0 and not (renew and meta is not None):
+                return IndexReport(how.mode, how.reason, n_files, 0, 0, stored_chunks)
+            batches = max(1, -(-n_todo // FILES_A_BATCH))
+            for k in range(batches):
+                part = todo.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == k)
+                self._commit(part, gone if k == 0 else gone.limit(0), renew and k == 0, n_files, now_ms, -(-n_todo // batches))
+        self._update_ann(renew)
+        return IndexReport(how.mode, how.reason, n_files, n_todo, n_gone, self.store.meta().chunks_stored)
+
+    def _commit(self, todo: DataFrame, gone: DataFrame, base: bool, n_files: int, now_ms: int, n_todo: int) -> None:
+        """Read, chunk and embed the files of ``todo`` and commit those that came through."""
+        with Scratch(self.spark) as scope:
+            wanted = todo.select("file", "expected_hash", "again", F.col("mtime_ms").alias("found_ms"))
+            looked = scope.write(files.read_files(todo.select("file").repartition(max(1, -(-n_todo // FILES_A_TASK)))).join(wanted, "file").withColumn("mtime_ms", F.col("found_ms")).drop("found_ms"), "looked")
+            read = looked.where("status = ''")
+            fresh = read.where(~F.col("content_hash").eqNullSafe(F.col("expected_hash")) | F.col("again"))
+            made = chunking.chunk_files(fresh.select("file", "content"))
+            if self.make_model is not None:
+                made = embedding.embed_with_status(made, self.make_model).select("*", "embedding.vector", "embedding.error").drop("embedding")
+            else:
+                made = made.withColumn("vector", self.provider(F.col("text"))).withColumn("error", F.lit(None).cast("string"))
+            made = scope.write(made.withColumn("success", F.coalesce(F.size("vector") == self.dimension, F.lit(False))), "made")
+            unread = looked.where("status <> ''").select(F.lit("read").alias("stage"), F.col("file").alias("scope"), F.lit(0).alias("at"), F.col("status").alias("message"))
+            self.errors = (self.errors + [r.asDict() for r in unread.union(indexing.error_list(made, "embed", "file", "chunk_no")).orderBy("scope", "at").limit(MOST_ERRORS).collect()])[:MOST_ERRORS]
+            totals = fresh.select("file").join(made.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("total"))
+            done = scope.write(indexing.commit_guard(made, totals), "done")
+            before = self.store.meta()
+            first_id = 0 if base or before is None else before.next_chunk_id
+            numbered = indexing.dense_index(made.join(done.select("file"), "file", "left_semi").withColumn("place", F.struct("file", "chunk_no")), "place", "n")
+            same = read.where(F.col("content_hash").eqNullSafe(F.col("expected_hash")) & F.col("again").isNull())
+            kept = same.join(self._table("file_hashes").select("file", "chunks"), "file", "left").select("file", "chunks")
+            hashes = read.select("file", F.col("content_hash").alias("hash"), "mtime_ms", "size").join(done.select("file", F.col("total").alias("chunks")).union(kept), "file")
+            tables = {
+                "chunks": numbered.select((F.col("n") + first_id).alias("chunk_id"), "file", "start_line", "end_line", F.col("text").alias("content"), "vector"),
+                "file_hashes": hashes,
+                "call_data": fresh.join(done.select("file"), "file", "left_semi").select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"),
+            }
+            meta = stores.StoreMeta(model=self.model, dimension=self.dimension, workspace=self.root, last_save_time=time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now_ms / 1000)), files_indexed=n_files)
+            if base:
+                self.store.save(meta, **tables)
+            else:
+                self.store.apply(meta, done.select("file").union(gone), same.select("file"), **tables)
+
+    def _ann_path(self) -> str:
+        return f"{self.store.root}/ann"
+
+    def _update_ann(self, renew: bool) -> None:
+        """Keep the stored approximate index: made where it is worth it, then added to by id;
+        rows that are gone stay in it and find no chunk.  Made anew once it has no room."""
         self.index_ = None
-        return report
+        meta = self.store.meta()
+        if not ann.should_build(meta.chunks_stored, self.dimension, least=self.config.ann_min_chunks):
+            return
+        held = None if renew else ann.IvfIndex.load(self.spark, self._ann_path(), self.model, self.dimension)
+        if held is not None and held.meta.last_id < meta.next_chunk_id - 1:
+            held = held.add(self.chunks().where(F.col("chunk_id") > held.meta.last_id))
+        self.index_ = held or ann.IvfIndex.build(self.chunks(), model=self.model, path=self._ann_path())
 
     def clear(self) -> None:
         """Drop the stored index."""
@@ -163,14 +195,20 @@ class Workspace:
         if not ann.should_build(total, self.dimension, least=self.config.ann_min_chunks):
             return None
         if self.index_ is None:
-            self.index_ = ann.IvfIndex.build(self.chunks(), model=self.model)
+            self.index_ = ann.IvfIndex.load(self.spark, self._ann_path(), self.model, self.dimension)
+        if self.index_ is None or self.index_.meta.dim != self.dimension:
+            return None  # not built: every vector is compared
         c = self.config
         return self.index_.candidates(vector, k, c.ann_min_candidates, c.ann_max_candidates, c.ann_multiplier)
 
+    def _total(self) -> int:
+        meta = self.store.meta()
+        return meta.chunks_stored if meta else 0
+
     def search(self, query: str, k: int | None = None, as_of_ms: int | None = None) -> DataFrame:
         """Hybrid search with recency and call graph."""
         chunks, k = self.chunks(), k or self.config.max_results
-        total, vector = chunks.count(), self.embed(query) if query.strip() else []
+        total, vector = self._total(), self.embed(query) if query.strip() else []
         calls = self._table("call_data")
         return search.hybrid_search(
             chunks, query, vector, as_of_ms if as_of_ms is not None else int(time.time() * 1000), k, self.config, self._table("file_hashes").select("file", "mtime_ms"), graph.call_edges(calls), self._candidates(vector, k, total) if query.strip() else None, total
@@ -185,7 +223,7 @@ class Workspace:
         if count_tokens(text) + 2 > model_token_limit(self.model):
             text = next((c["text"] for c in smart_chunk(text, "input.js")), text)
         chunks, vector = self.chunks(), self.embed(text)
-        total = chunks.count()
+        total = self._total()
         return search.find_similar(chunks, vector, text, k, min_similarity, self._candidates(vector, int(k or 5), total), total)
 
     def truncated(self, dim: int) -> DataFrame:
@@ -196,8 +234,10 @@ class Workspace:
         """Approximate index: ``stats``, ``set`` its effort, or ``rebuild`` it."""
         if action not in ("stats", "set", "rebuild"):
             raise ValueError("action must be stats, set or rebuild")
+        if self.index_ is None and action != "rebuild":
+            self.index_ = ann.IvfIndex.load(self.spark, self._ann_path(), self.model, self.dimension)
         if self.index_ is None or action == "rebuild":
-            self.index_ = ann.IvfIndex.build(self.chunks(), model=self.model)
+            self.index_ = ann.IvfIndex.build(self.chunks(), model=self.model, path=self._ann_path())
         if action == "set":
             self.index_.set_effort(effort or 0)
         return self.index_.stats()

@@ -185,7 +185,7 @@ def test_index_adds_once_and_within_its_capacity(spark, tmp_path):
     assert capacity(1000) == 2024 and grown.add(df.selectExpr("chunk_id + 5000 as chunk_id", "vector")) is None
     again = IvfIndex.build(df.where("chunk_id < 900"), path=f"file://{tmp_path}/i")
     assert again.rows.count() == 900
-    assert len(list((tmp_path / "i" / "lists").glob("list_no=*/*.parquet"))) == again.rows.select("list_no").distinct().count()
+    assert len(list((tmp_path / "i" / again.meta.parts[-1]).glob("list_no=*/*.parquet"))) == again.rows.select("list_no").distinct().count()
 
 
 @pytest.mark.parametrize(("name", "want"), [(".env", ""), (".env.local", ".local"), (".23.html", ".html"), ("a.", "."), ("..", ""), ("x.PY", ".py"), ("d.e/f", ""), ("..a", ".a"), ("a.b/", ".b")])
