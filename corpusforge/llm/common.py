@@ -1,95 +1,24 @@
 """Shared helpers of the training-data operators.
 
-Scratch tables
---------------
-Operators that reuse an expensive intermediate write it once as Parquet below
-the folder named in ``spark.checkpoint.dir`` and read it back.  That folder is
-shared by driver and executors, so a lost executor costs only a re-read.
-
-Each call of an operator has a ``Scratch`` of its own and deletes its tables when it
-returns, but for the small ones that its lazy result still reads.  Those belong to
-whoever uses the result: a caller that works inside ``owning(spark)`` gets them deleted
-at the end of that block.  Nobody deletes tables of another call.
+Scratch tables and their owners are those of ``sources.shared``.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_root
+from ..sources.shared import FILE_ROWS, Scratch, drop_path, owning
+
+__all__ = ["FILE_ROWS", "Scratch", "drop_path", "owning"]
 
 #: Words of a text: runs of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Rows of one file of a scratch table of numbers, about.
-FILE_ROWS = 1_000_000
-
-
-class Scratch:
-    """Scratch tables of one call; leaving the ``with`` block deletes those not kept."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def path(self, label: str, keep: bool = False) -> str:
-        """A new path; with ``keep`` it goes to the owner of the result, if there is one."""
-        path = f"{shared_root(self.spark)}/corpusforge/{label}-{uuid.uuid4().hex}"
-        holder = _OWNER.get() if keep else self
-        if holder is not None:
-            holder.paths.append(path)
-        return path
-
-    def write(self, df: DataFrame, label: str, keep: bool = False, rows: int | None = None) -> DataFrame:
-        """Write ``df`` once as Parquet and return the table read back.
-
-        ``rows`` is a bound of the rows of a table of numbers, where one is known; it is
-        then written in files of some size, at least two a core, not in one a partition.
-        """
-        path = self.path(label, keep)
-        if rows is not None:
-            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def release(self) -> None:
-        while self.paths:
-            drop_path(self.spark, self.paths.pop())
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.release()
-
-
-_OWNER: ContextVar[Scratch | None] = ContextVar("owner", default=None)
-
-
-@contextmanager
-def owning(spark: SparkSession) -> Iterator[Scratch]:
-    """Owns the tables that results of operators called in the block still read, and
-    deletes them at its end; store the results before that."""
-    with Scratch(spark) as owner:
-        token = _OWNER.set(owner)
-        try:
-            yield owner
-        finally:
-            _OWNER.reset(token)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -32,6 +32,8 @@ WINDOW = 10
 GRAM = 5
 #: Item words that are broadcast; 40 bytes of tables a word, so 80 MB at most.
 BLOCK_WORDS = 2_000_000
+#: Bytes of their texts at most; a word, as one without blanks, may be of any length.
+BLOCK_BYTES = 32 << 20
 #: Parts among which the rows of one fingerprint are dealt out.
 SALTS = 16
 #: Runs of word characters in a text that is not lower-cased yet.
@@ -254,7 +256,7 @@ def _join_prints(docs: DataFrame, items: DataFrame, window: int, gram: int, text
     return clean.union(others).toDF(*docs.columns, *_ADDED.names)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """``docs`` with three more columns: _n_words, _hit_spans and _items.
 
     ``_hit_spans`` are merged word spans that occur in items of ``items(item_id,
@@ -270,11 +272,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     docs = docs.drop(*_ADDED.names)
     spark, schema = docs.sparkSession, T.StructType([*docs.schema.fields, *_ADDED.fields])
     counted = items.select(F.col("item_id").cast("long").alias("item_id"), "text", F.regexp_count("text", F.lit(_WORD)).alias("words")).where("words > 0")
-    total = counted.agg(F.sum("words")).first()[0] or 0
-    if total > block_words:
+    total, size = (x or 0 for x in counted.agg(F.sum("words"), F.sum(F.octet_length("text"))).first())
+    if total > block_words or size > block_bytes:
         with Scratch(spark) as scope:
             return _join_prints(docs, counted.select("item_id", "text"), window, gram, text, scope)
-    held = [(r["item_id"], r["text"]) for r in counted.select("item_id", "text").collect()]  # ``block_words`` words at most
+    held = [(r["item_id"], r["text"]) for r in counted.select("item_id", "text").collect()]  # ``block_words`` words and ``block_bytes`` bytes at most
     return docs.mapInArrow(_scan(spark.sparkContext.broadcast(ItemBlock.build(held, window, gram)), docs.columns.index(text)), schema)
 
 

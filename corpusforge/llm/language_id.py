@@ -119,16 +119,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_docs: int = LEARN_DOCS) -> Profiles:
     """Profiles from ``docs(doc_id, text, lang)``; rows without lang are left out.
 
-    Each language is learned from about ``learn_docs`` documents, chosen by a hash of
-    id and text at a rate that follows the language's row count, whatever the order of rows.
+    Each language is learned from about ``learn_docs`` documents, drawn row by row at a rate
+    that follows the language's row count: by a hash of id, text and the row's number in the
+    scan, so rows that are equal are drawn one by one.  The same files give the same draw.
     The driver gets ``size`` rows a language.
     """
-    labelled = docs.where("lang is not null")
+    labelled = docs.where("lang is not null").withColumn("_nth", F.monotonically_increasing_id())
     rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not rows:
         return Profiles({}, size)
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, learn_docs / n)) for k, n in rows.items()], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("doc_id", "text", "_nth", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = labelled.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")  # rates: one row a language
     counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

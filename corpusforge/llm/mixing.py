@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.indexing import running_total
 from .common import WORD_PATTERN, Scratch, neutral
 
 #: Fixed by contract: weights of the sources in code point order, repeating.
@@ -39,20 +40,21 @@ def word_count(text: str | Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size) with target: shares by weight, excess reshared.
 
-    One row per source, so windows over all of them stay small.  Sources that would
-    exceed ``epochs`` times their size stop there; what they leave is reshared by
-    weight among the others until none is above.  In closed form: with sources
-    ordered by cap per weight, the first level that is not above its own cap.
+    Sources that would exceed ``epochs`` times their size stop there; what they leave is
+    reshared by weight among the others until none is above.  In closed form: with sources
+    ordered by cap per weight, the first level that is not above its own cap.  Places and sums
+    in both orders are running totals over ranges, so sources may be many.  Give a stored table.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", (F.col("source_size") * epochs).cast("double"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    whole = by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    ranked = ranked.withColumn("level", level)
-    open_level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole)
-    return ranked.select("q", "source", "source_size", F.least(F.col("cap"), F.coalesce(open_level, F.lit(0.0)) * F.col("w")).alias("target"))
+    key = F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("source"))
+    ranked = running_total(sizes.withColumn("_key", key), "_key", None, "_place").drop("_key")
+    ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("_place") - 1, F.lit(len(weights))) + 1).cast("int")))
+    ranked = ranked.withColumn("cap", F.col("source_size") * epochs).withColumn("_key", F.struct((F.col("cap") / F.col("w")).alias("level"), F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("source")))
+    summed = running_total(running_total(ranked, "_key", "cap", "_caps"), "_key", "w", "_weights")
+    whole = sizes.agg(F.sum("source_size").alias("_size")).crossJoin(ranked.agg(F.sum("w").alias("_all")))  # one row each
+    level = (F.col("_size") - (F.col("_caps") - F.col("cap"))) / (F.col("_all") - (F.col("_weights") - F.col("w")))
+    levelled = summed.crossJoin(F.broadcast(whole)).withColumn("level", level)  # one row
+    open_level = levelled.agg(F.coalesce(F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))), F.lit(0.0)).alias("_open"))
+    return levelled.crossJoin(F.broadcast(open_level)).select("q", "source", "source_size", F.least(F.col("cap").cast("double"), F.col("_open") * F.col("w")).alias("target"))  # one row
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def _mix(rows: DataFrame, scope: Scratch, weights: tuple[int, ...], epochs: int)
     entries = scope.write(entries.withColumn("bucket", F.substring("k", 1, 3)).withColumn("words", F.col("size") * F.size("copies")), "entries", rows=n)
 
     buckets = entries.groupBy("q", "bucket").agg(F.sum("words").alias("bucket_size"))
-    sources = rows.groupBy("q").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    sources = scope.write(rows.groupBy("q").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "sources", rows=n)
     targets = scope.write(source_targets(sources, weights, epochs), "targets", rows=n)
     upto = Window.partitionBy("q").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("q", "bucket", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("skip"))
