@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..sources.shared import pointer_names, publish_pointer
 from .search import comparable, semantic_score
 
 #: Vectors that centroids are trained on, at most about; rounds of training.
@@ -78,14 +79,6 @@ def enough_probes(vectors: np.ndarray, centers: np.ndarray, k: int = 10, recall:
     return int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))))]) + 1
 
 
-def _pointers(spark, path: str):
-    """File system, path maker and names of the pointers below an index's folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path
-    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    top = where(f"{path}/pointers")
-    return fs, where, sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
-
-
 def _read_parts(spark, path: str, parts: list[str]) -> DataFrame:
     read = [spark.read.schema("chunk_id long, vector array<float>, list_no int").parquet(f"{path}/{p}") for p in parts]
     out = read[0]
@@ -153,15 +146,13 @@ class IvfIndex:
         placed.write.partitionBy("list_no").parquet(f"{path}/lists-{name}")
         meta = AnnMeta(**asdict(self.meta) | {"parts": [*self.meta.parts, f"lists-{name}"]})
         spark.createDataFrame([(json.dumps(asdict(meta)), [[float(x) for x in c] for c in self.centroids])], "meta string, centroids array<array<double>>").coalesce(1).write.parquet(f"{path}/meta-{name}")
-        fs, where, names = _pointers(spark, path)
-        number = 1 + (int(names[-1].split("-")[0]) if names else 0)
-        fs.mkdirs(where(f"{path}/pointers/{number:012d}-{name}"))  # one atomic step
+        publish_pointer(spark, f"{path}/pointers", name)
         return IvfIndex(_read_parts(spark, path, meta.parts), self.centroids, meta, path)
 
     @classmethod
     def load(cls, spark, path: str, model: str, dim: int) -> IvfIndex | None:
         """The stored index, or None if there is none, or version, model or dimension differ."""
-        names = _pointers(spark, path)[2]
+        names = pointer_names(spark, f"{path}/pointers")
         if not names:
             return None
         row = spark.read.parquet(f"{path}/meta-{names[-1].split('-', 1)[1]}").first()

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..functions.code import symbols
 from . import graph
+from .substring import SubstringIndex
 
 
 @dataclass(frozen=True)
@@ -75,12 +76,13 @@ def deferred_text_boost(scored: DataFrame, boost: Column, cap: int, key: str = "
     return joined.withColumn("score", F.when(here >= F.col("last"), F.col("score") + boost).otherwise(F.col("score"))).drop("last")
 
 
-def augment_exact(candidates: DataFrame, chunks: DataFrame, query: str, needed: int, key: str = "chunk_id") -> DataFrame:
-    """Candidates and, in order of key, further chunks that hold the query, ``needed`` matches in all."""
-    hit = T.exact_match("content", F.lit(query))
+def augment_exact(candidates: DataFrame, chunks: DataFrame, query: str, needed: int, key: str = "chunk_id", index: SubstringIndex | None = None) -> DataFrame:
+    """Candidates and, in order of key, further chunks that hold the query, ``needed`` matches in
+    all; found by ``index``, or without one by a scan of the contents."""
     ids = candidates.select(key).distinct()
-    have = chunks.join(ids, key, "left_semi").where(hit).agg(F.count("*").alias("have"))
-    rest = chunks.join(ids, key, "left_anti").where(hit).select(key).orderBy(key).limit(needed)
+    held = (index.search(query, chunks) if index is not None else chunks.where(T.exact_match("content", F.lit(query)))).select(key)
+    have = held.join(ids, key, "left_semi").agg(F.count("*").alias("have"))
+    rest = held.join(ids, key, "left_anti").orderBy(key).limit(needed)
     from pyspark.sql import Window
 
     more = rest.withColumn("n", F.row_number().over(Window.orderBy(key))).crossJoin(F.broadcast(have)).where(F.col("n") <= needed - F.col("have")).select(key)  # at most ``needed`` rows
@@ -98,12 +100,14 @@ def hybrid_search(
     call_edges: tuple[DataFrame, DataFrame] | None = None,
     candidates: DataFrame | None = None,
     n_chunks: int | None = None,
+    exact: SubstringIndex | None = None,
 ) -> DataFrame:
     """The ``k`` best chunks: rank, score and all columns of ``chunks`` but the vector.
 
     ``mtimes(file, mtime_ms)`` adds recency, ``call_edges`` (definitions and calls as
     ``(symbol, file)``) proximity to the five best rows, ``candidates(chunk_id)`` of an
     approximate index restrict the rows; they count only if there are ``k`` distinct ones.
+    ``exact`` finds the chunks that hold the query without a scan of the contents.
     A blank query is an error; an empty table gives no rows.
     """
     if not query or not query.strip():
@@ -116,7 +120,7 @@ def hybrid_search(
         if len(ids.limit(k).collect()) >= k:
             total = n_chunks if n_chunks is not None else chunks.count()
             if total <= config.text_candidates and len(query) > 1:
-                ids = augment_exact(ids, chunks, query, k)
+                ids = augment_exact(ids, chunks, query, k, index=exact)
             # The index returns some hundreds of ids, whatever the table's size.
             rows = chunks.join(ids, "chunk_id", "left_semi")
     # Ranking sees ids, files and numbers; contents are fetched for bounded sets of ids only.

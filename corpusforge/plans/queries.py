@@ -17,6 +17,7 @@ from ..functions import code, embedding, logs, paths, registry
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ann, chunking, graph, indexing, projects, retention, search
+from ..operators.substring import SubstringIndex
 from ..sources import caches, files, stores
 from ..sources.shared import Scratch, shared_root, spread, stored, stored_path
 from ..streaming import watch
@@ -480,6 +481,30 @@ def store_layers(spark, d):
     return store.read("chunks").groupBy("file").agg(F.count("*").alias("chunks"), F.sum("chunk_id").alias("ids"), F.min("content").alias("first"), F.max("content").alias("last")).withColumns({"stored": F.lit(store.meta().chunks_stored).cast("long"), "small": F.lit(all(5 * x < base for x in wrote))})
 
 
+#: Common, short, beyond ASCII, of mixed case, and absent.
+NEEDLES = ["the thing", "qu", "é", "LICENSE", ", and", "x", "no text holds this 0qz"]
+
+
+def substring_index(spark, d) -> SubstringIndex:
+    path = stored_path(spark, f"{d} postings", lambda p: SubstringIndex.build(spread(document_texts(spark, d)), p))
+    return SubstringIndex.load(spark, path)
+
+
+def document_texts(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+
+
+@query("SELECT needle, doc_id AS chunk_id FROM documents, (VALUES " + ", ".join(f"('{n}')" for n in NEEDLES) + ") q(needle) WHERE contains(lower(coalesce(text, '')), lower(needle))")
+def substring_search(spark, d):
+    """Documents that hold a text, by postings of trigrams."""
+    index, texts = substring_index(spark, d), document_texts(spark, d)
+    found = [index.search(n, texts).select(F.lit(n).alias("needle"), "chunk_id") for n in NEEDLES]
+    out = found[0]
+    for df in found[1:]:
+        out = out.union(df)
+    return out
+
+
 # --- call graph ------------------------------------------------------------------------------------
 
 

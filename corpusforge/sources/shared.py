@@ -54,6 +54,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def pointer_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names ``number-id`` of the pointers in ``folder``, oldest first."""
+    fs, where = _hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where(folder))) if fs.exists(where(folder)) else []
+
+
+def publish_pointer(spark: SparkSession, folder: str, name: str) -> None:
+    """Make ``name`` the newest pointer: one atomic step, after all that it names is complete."""
+    names = pointer_names(spark, folder)
+    number = 1 + (int(names[-1].split("-")[0]) if names else 0)
+    fs, where = _hadoop(spark, folder)
+    fs.mkdirs(where(f"{folder}/{number:012d}-{name}"))
+
+
 class Scratch:
     """Scratch tables of one call; leaving the ``with`` block deletes those not kept."""
 

@@ -55,6 +55,8 @@ class StoreMeta:
 #: so there are few layers, and a row is written again about once each time the store grows
 #: GROWTH times.
 GROWTH = 4
+#: Rows of a row group of chunks at most, and what their Bloom filters are sized for.
+GROUP_ROWS = 20_000
 
 
 class VersionedStore:
@@ -104,7 +106,10 @@ class VersionedStore:
                 continue
             if table == "chunks":
                 df = df.repartition("file").sortWithinPartitions("file", "chunk_id")
-            df.select(*(c.name for c in self._schema(table) if c.name in df.columns)).write.parquet(f"{folder}/{table}")
+            writer = df.select(*(c.name for c in self._schema(table) if c.name in df.columns)).write
+            if table == "chunks":  # in order of the file; the filters find ids
+                writer = writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.expected.ndv#chunk_id", str(GROUP_ROWS)).option("parquet.block.row.count.limit", str(GROUP_ROWS))
+            writer.parquet(f"{folder}/{table}")
         if touched is not None:
             touched.write.parquet(f"{folder}/touched")
         return [name, self._fs.getContentSummary(self._path(folder)).getLength() if self._exists(f"layers/{name}") else 0]

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import code, embedding, paths, registry
-from .functions.text import model_token_limit
+from .functions.text import exact_match, model_token_limit
 from .functions.vector import slice_normalize
 from .operators import ann, chunking, graph, indexing, retention, search
 from .operators.chunking import count_tokens, smart_chunk
+from .operators.substring import SubstringIndex, by_id
 from .sources import files, stores
 from .sources.shared import Scratch, owning
 
@@ -64,6 +65,7 @@ class Workspace:
         self.provider = self.provider or embedding.hashing_provider(self.dimension)
         self.embed = self.embed or embedding.HashingEmbedder(self.dimension)
         self.index_: ann.IvfIndex | None = None
+        self.exact_: SubstringIndex | None = None
         #: Errors of the last run, the first MOST_ERRORS by file: stage, scope, at, message.
         self.errors: list[dict] = []
         self._open()
@@ -119,6 +121,7 @@ class Workspace:
                 part = todo.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == k)
                 self._commit(part, gone if k == 0 else gone.limit(0), renew and k == 0, n_files, now_ms, -(-n_todo // batches))
         self._update_ann(renew)
+        self._update_exact(renew)
         return IndexReport(how.mode, how.reason, n_files, n_todo, n_gone, self.store.meta().chunks_stored)
 
     def _commit(self, todo: DataFrame, gone: DataFrame, base: bool, n_files: int, now_ms: int, n_todo: int) -> None:
@@ -170,17 +173,29 @@ class Workspace:
             held = held.add(self.chunks().where(F.col("chunk_id") > held.meta.last_id))
         self.index_ = held or ann.IvfIndex.build(self.chunks(), model=self.model, path=self._ann_path())
 
+    def _update_exact(self, renew: bool) -> None:
+        """Keep the stored postings of trigrams: added to by id, made anew after many additions;
+        a stale id finds no chunk."""
+        path = f"{self.store.root}/exact"
+        held = None if renew else SubstringIndex.load(self.spark, path)
+        self.exact_ = (held.add(self.chunks()) if held is not None else None) or SubstringIndex.build(self.chunks(), path)
+
+    def _exact(self) -> SubstringIndex | None:
+        if self.exact_ is None and self.store.current() is not None:
+            self.exact_ = SubstringIndex.load(self.spark, f"{self.store.root}/exact")
+        return self.exact_
+
     def clear(self) -> None:
         """Drop the stored index."""
         self.store.clear()
-        self.index_ = None
+        self.index_ = self.exact_ = None
 
     def set_workspace(self, root: str, reindex: bool = True) -> IndexReport | None:
         """Switch to another folder."""
         if self.spark.sql("select 1").select(paths.is_non_project(F.lit(root)).alias("x")).first()["x"]:
             raise ValueError("not a project folder")
         self.root = root
-        self.index_ = None
+        self.index_ = self.exact_ = None
         self._open()
         return self.index() if reindex else None
 
@@ -211,7 +226,7 @@ class Workspace:
         total, vector = self._total(), self.embed(query) if query.strip() else []
         calls = self._table("call_data")
         return search.hybrid_search(
-            chunks, query, vector, as_of_ms if as_of_ms is not None else int(time.time() * 1000), k, self.config, self._table("file_hashes").select("file", "mtime_ms"), graph.call_edges(calls), self._candidates(vector, k, total) if query.strip() else None, total
+            chunks, query, vector, as_of_ms if as_of_ms is not None else int(time.time() * 1000), k, self.config, self._table("file_hashes").select("file", "mtime_ms"), graph.call_edges(calls), self._candidates(vector, k, total) if query.strip() else None, total, self._exact()
         )
 
     def search_markdown(self, query: str, k: int | None = None) -> str:
@@ -226,6 +241,15 @@ class Workspace:
         total = self._total()
         return search.find_similar(chunks, vector, text, k, min_similarity, self._candidates(vector, int(k or 5), total), total)
 
+    def find_exact(self, text: str) -> DataFrame:
+        """Chunks that hold ``text``, letter case ignored, without their vectors."""
+        chunks, index = self.chunks().drop("vector"), self._exact()
+        return index.search(text, chunks) if index is not None else chunks.where(exact_match("content", F.lit(text)))
+
+    def lookup(self, ids: list[int]) -> DataFrame:
+        """Chunks of some ids; the store's Bloom filters tell which row groups to read."""
+        return by_id(self.chunks(), ids)
+
     def truncated(self, dim: int) -> DataFrame:
         """Chunks with vectors cut to ``dim`` and at unit length again."""
         return self.chunks().withColumn("vector", slice_normalize("vector", dim))
