@@ -51,11 +51,12 @@ class StoreMeta:
     extra: dict = field(default_factory=dict)
 
 
-#: Newer layers are merged into the one before them once they come to a GROWTH-th of its bytes,
-#: so there are few layers, and a row is written again about once each time the store grows
-#: GROWTH times.
-GROWTH = 4
-#: Rows of a row group of chunks at most, and what their Bloom filters are sized for.
+#: Beyond LAYERS layers, newer ones are merged into the one before them once they come to a
+#: GROWTH-th of its bytes, so there are few layers, and a row is written again about once each
+#: time the store grows GROWTH times.
+LAYERS, GROWTH = 8, 4
+#: Rows of a row group of chunks at most, and what its Bloom filter is sized for.  Layers of one
+#: change have none: they are small.
 GROUP_ROWS = 20_000
 
 
@@ -97,7 +98,7 @@ class VersionedStore:
 
     # --- writing ---------------------------------------------------------------------
 
-    def _write_layer(self, tables: dict[str, DataFrame | None], touched: DataFrame | None = None) -> list:
+    def _write_layer(self, tables: dict[str, DataFrame | None], touched: DataFrame | None = None, merged: bool = False) -> list:
         """A new layer, named by nobody yet: its name and bytes."""
         name = uuid.uuid4().hex
         folder = f"{self.root}/layers/{name}"
@@ -107,7 +108,7 @@ class VersionedStore:
             if table == "chunks":
                 df = df.repartition("file").sortWithinPartitions("file", "chunk_id")
             writer = df.select(*(c.name for c in self._schema(table) if c.name in df.columns)).write
-            if table == "chunks":  # in order of the file; the filters find ids
+            if table == "chunks" and (touched is None or merged):  # in order of the file; the filters find ids
                 writer = writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.expected.ndv#chunk_id", str(GROUP_ROWS)).option("parquet.block.row.count.limit", str(GROUP_ROWS))
             writer.parquet(f"{folder}/{table}")
         if touched is not None:
@@ -162,20 +163,20 @@ class VersionedStore:
         return self.compact() or meta.write_id
 
     def compact(self, all_layers: bool = False) -> str | None:
-        """Merge the newest layers while they come to a GROWTH-th of the one before them, or all;
+        """If there are many layers, merge the newest ones while they come to a GROWTH-th of the one before them, or all;
         publishes a snapshot of equal content, or returns None if there is nothing to do."""
         meta = self.meta()
         if meta is None:
             return None
         layers, first, size = meta.layers, len(meta.layers) - 1, meta.layers[-1][1]
-        while first > 0 and (all_layers or layers[first - 1][1] <= GROWTH * size):
+        while first > 0 and (all_layers or (len(layers) > LAYERS and layers[first - 1][1] <= GROWTH * size)):
             first -= 1
             size += layers[first][1]
         if first == len(layers) - 1:
             return None
         merged = layers[first:]
         touched = self._touched(merged).groupBy("file").agg(F.min("scope").alias("scope")) if first else None  # "all" < "hashes"
-        layer = self._write_layer({t: self._layer_rows(t, merged) for t in self.TABLES}, touched)
+        layer = self._write_layer({t: self._layer_rows(t, merged) for t in self.TABLES}, touched, merged=True)
         return self._publish(meta, [*layers[:first], layer])
 
     # --- reading -----------------------------------------------------------------------

@@ -55,6 +55,7 @@ def test_layers_in_any_order_equal_a_dictionary(spark, tmp_path, monkeypatch):
     rng, state, next_id = random.Random(4), {}, 0
     store = stores.VersionedStore(spark, f"file://{tmp_path}/s")
     monkeypatch.setattr(stores, "GROWTH", 1)
+    monkeypatch.setattr(stores, "LAYERS", 2)
     for step in range(7):
         touched = rng.sample("abcdefgh", rng.randint(1, 4))
         kept, only_hash = touched[: len(touched) // 2 + 1], [f for f in state if f not in touched][:1]
