@@ -17,6 +17,7 @@ from ..functions import code, embedding, logs, paths, registry
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ann, chunking, graph, indexing, projects, retention, search
+from ..operators.pq import PqIndex
 from ..operators.substring import SubstringIndex
 from ..sources import caches, files, stores
 from ..sources.shared import Scratch, shared_root, spread, stored, stored_path
@@ -505,6 +506,34 @@ def substring_search(spark, d):
     return out
 
 
+#: Copies of each vector, turned a little in planes of neighbouring dimensions, and lists of them.
+TURNS, LISTS = 20, 64
+
+
+def turned_vectors(spark, d) -> DataFrame:
+    """TURNS vectors near each of the table, at unit length: mixed with shifted ones of itself by
+    angles of up to 0.2."""
+    angle = (0.01 * (1 + F.pmod(F.col("vec_id") * 7 + F.col("t") * 3, F.lit(20)))).alias("a")
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("t")).select("vec_id", "t", "embedding", angle)
+    turn = F.transform("embedding", lambda x, i: x * F.cos("a") + F.get("embedding", F.pmod(i + 1 + F.col("t"), F.size("embedding"))) * F.sin("a"))
+    return rows.select((F.col("vec_id") * TURNS + F.col("t")).alias("chunk_id"), V.slice_normalize(F.transform(turn, lambda x: x.cast("float")), 64).alias("vector"))
+
+
+@query(f"SELECT count(*) * {TURNS} AS vectors, {LISTS}::BIGINT AS lists, true AS few_probed, true AS recalled FROM embeddings")
+def ann_compressed(spark, d):
+    """Recall of the ten nearest by product-quantised codes in many lists, few of them probed,
+    against the exact scan, over 20 queries: 0.95 or more."""
+    rows = stored(spark, f"{d} turned", lambda: turned_vectors(spark, d))
+    path = stored_path(spark, f"{d} codes", lambda p: PqIndex.build(rows, p, lists=LISTS))
+    index = PqIndex.load(spark, path, "hashing", 64)
+    asked = [r["embedding"] for r in table(spark, d, "embeddings").orderBy("vec_id").limit(20).collect()]
+    hits = 0
+    for q in asked:
+        exact = {r["chunk_id"] for r in search.top_k(rows.select("chunk_id", search.semantic_score(q).alias("score")), 10).collect()}
+        hits += len(exact & {r["chunk_id"] for r in index.search(q, 10, rows).collect()})
+    return rows.agg(F.count("*").alias("vectors")).select("vectors", F.lit(index.meta.lists).cast("long").alias("lists"), F.lit(index.meta.nprobe <= LISTS // 3).alias("few_probed"), F.lit(hits >= 0.95 * 10 * len(asked)).alias("recalled"))
+
+
 # --- call graph ------------------------------------------------------------------------------------
 
 
