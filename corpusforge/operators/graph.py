@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
+
 
 def call_edges(call_data: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``call_data(file, definitions, calls)``, best a stored table, to the two edge tables."""
@@ -35,20 +37,29 @@ def related_files(defines: DataFrame, called_by: DataFrame, symbols: DataFrame,
     """(file, proximity) of files within ``max_hops`` of ``symbols(symbol)``.
 
     Hop 0: files that define or call a symbol.  The next symbols are what the last hop's
-    files call.  A negative ``max_hops`` gives no rows.
+    files call.  A negative ``max_hops`` gives no rows.  Beyond one hop, the files that are new
+    in each hop are stored, so a hop is computed once, from the new ones only, and the search
+    ends when there are none; the result is a stored table that belongs to the caller.
     """
     spark = symbols.sparkSession
     if max_hops < 0:
         return spark.createDataFrame([], "file string, proximity double")
     edges = defines.select("symbol", "file").union(called_by.select("symbol", "file"))
-    front, found = symbols.select("symbol").distinct(), None
-    for hop in range(max_hops + 1):
-        files = edges.join(front, "symbol", "left_semi").select("file").distinct()
-        reached = files.withColumn("proximity", F.lit(1.0 / (hop + 1)))
-        found = reached if found is None else found.union(reached)
-        if hop < max_hops:
-            front = called_by.join(files, "file", "left_semi").select("symbol").distinct()
-    return found.groupBy("file").agg(F.max("proximity").alias("proximity"))
+    reach = lambda front, hop: edges.join(front, "symbol", "left_semi").select("file").distinct().withColumn("proximity", F.lit(1.0 / (hop + 1)))
+    calls = lambda files: called_by.join(files.select("file"), "file", "left_semi").select("symbol").distinct()
+    found = reach(symbols.select("symbol").distinct(), 0)
+    if max_hops == 0:
+        return found
+    if max_hops == 1:
+        return found.union(reach(calls(found), 1)).groupBy("file").agg(F.max("proximity").alias("proximity"))
+    scope = Scratch(spark)
+    new = visited = scope.write(found, "hop", keep=True)
+    for hop in range(1, max_hops + 1):
+        new = scope.write(reach(calls(new), hop).join(visited.select("file"), "file", "left_anti"), "hop", keep=True)
+        if new.isEmpty():
+            break
+        visited = visited.union(new)
+    return visited
 
 
 def prune_call_data(call_data: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:

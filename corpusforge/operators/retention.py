@@ -76,7 +76,8 @@ def mark_duplicates(facts: DataFrame) -> DataFrame:
     """``facts`` with ``duplicate``: of one workspace, model and dimension all but the latest,
     unless in use.  Rows without a workspace are no duplicates."""
     w = Window.partitionBy("workspace", F.coalesce("model", F.lit("default")), F.coalesce(F.col("dimension").cast("string"), F.lit("default"))).orderBy(F.desc("last_activity_ms"), "cache_id")
-    return facts.withColumn("duplicate", F.col("workspace").isNotNull() & (F.row_number().over(w) > 1) & ~F.col("is_active"))
+    named, others = facts.where("workspace is not null"), facts.where("workspace is null")
+    return named.withColumn("duplicate", (F.row_number().over(w) > 1) & ~F.col("is_active")).unionByName(others.withColumn("duplicate", F.lit(False)))
 
 
 def retention(facts: DataFrame, as_of_ms: int, remove_duplicates: bool = True, **options) -> DataFrame:

@@ -583,6 +583,17 @@ def related_files(spark, d):
     return graph.related_files(*page_edges(spark, d), spark.createDataFrame([("track",)], "symbol string"))
 
 
+_HOPS = 4
+
+
+@query("WITH e AS (SELECT l_partkey AS s, l_orderkey AS f, l_linenumber AS n FROM lineitem), f0 AS (SELECT DISTINCT f, 0 AS hop FROM e WHERE s = 1), " + ", ".join(f"f{h} AS (SELECT DISTINCT f, {h} AS hop FROM e WHERE s IN (SELECT s FROM e WHERE n > 1 AND f IN (SELECT f FROM f{h - 1})))" for h in range(1, _HOPS + 1)) + " SELECT f::VARCHAR AS file, round(1.0 / (1 + min(hop)), 9)::DOUBLE AS proximity FROM (" + " UNION ALL ".join(f"SELECT * FROM f{h}" for h in range(_HOPS + 1)) + ") GROUP BY f")
+def related_far(spark, d):
+    """Orders as files: each defines the part of its first line and calls those of the others."""
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_orderkey").cast("string").alias("file"), "l_linenumber")
+    found = graph.related_files(edges.where("l_linenumber = 1").drop("l_linenumber"), edges.where("l_linenumber > 1").drop("l_linenumber"), spark.createDataFrame([("1",)], "symbol string"), _HOPS)
+    return found.select("file", F.round("proximity", 9).alias("proximity"))
+
+
 @query(f"WITH {_EDGES} SELECT (SELECT count(DISTINCT symbol) FROM ed) AS definitions, (SELECT count(DISTINCT symbol) FROM ec) AS call_targets")
 def graph_stats(spark, d):
     return graph.graph_stats(*page_edges(spark, d))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import store_round
+from ..operators.indexing import dense_index
 from .files import open_path
 
 CHUNK_SCHEMA = T.StructType([
@@ -269,9 +270,10 @@ def write_json_store(chunks: DataFrame, path: str, digits: int | None = None) ->
 
 
 def read_json_store(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Chunks of a JSON store; ``array`` reads files that are one JSON array."""
-    raw = spark.read.schema(_JSON_SCHEMA).option("multiLine", array).json(path)
-    return raw.select(F.monotonically_increasing_id().alias("chunk_id"), "file", F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"), "content", F.col("vector").cast("array<float>").alias("vector"))
+    """Chunks of a JSON store, ids from 0 to n - 1 in the order of its files and lines; ``array``
+    reads files that are one JSON array."""
+    raw = dense_index(spark.read.schema(_JSON_SCHEMA).option("multiLine", array).json(path).withColumn("_nth", F.monotonically_increasing_id()), "_nth", "chunk_id")
+    return raw.select("chunk_id", "file", F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"), "content", F.col("vector").cast("array<float>").alias("vector"))
 
 
 # --- compatible binary store ----------------------------------------------------------
