@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import MIN_CHUNK_CHARS, OVERLAP_SHARE, SPECIALS, TARGET_SHARE, TOKEN_LIMIT
 
@@ -154,8 +155,28 @@ class _Lexer:
 
     @property
     def top(self) -> bool:
+        """Outside of everything."""
         return not (any(self.depth) or self.quote or self.comment)
 
+    @property
+    def loose(self) -> bool:
+        """Where a chunk may end at all: in no string, and in one block at most."""
+        return self.depth[0] <= 1 and not self.quote
+
+
+#: A chunk of so few lines, or below this share of its target, isn't ended for a new part's sake.
+LEAST_LINES, RIPE = 3, 0.6
+
+
+def _begins_part(line: str, before: str, construct: re.Pattern, lexer: _Lexer) -> bool:
+    """Whether a line begins something new: a construct, a text at the margin outside of
+    everything, or a banner after a blank line."""
+    if construct.search(line.strip(_SPACE_CHARS)):
+        return True
+    if lexer.top and line[:1].strip(_SPACE_CHARS):
+        return True
+    return not before.strip(_SPACE_CHARS) and _BANNER.match(line) is not None
+
 
 def construct_pattern(path: str) -> re.Pattern:
     name = path.rsplit("/", 1)[-1].lower()
@@ -201,15 +222,9 @@ def smart_chunk(content: str, path: str, max_tokens: int | None = None, target_t
                 emit(line[at : at + step], i + 1, i + 1, count(line[at : at + step]) + EXTRA)
             held, tokens, first = [], 0, i + 1
             continue
-        bare = rest.strip(_SPACE_CHARS)
         full = tokens + n + EXTRA > target
-        construct = bool(begins.search(bare))
-        natural = len(held) > 3 and (
-            (construct and (lexer.top or lexer.depth[0] <= 1))
-            or (lexer.top and bare != "" and rest[0] not in _SPACE_CHARS)
-            or (held[-1][0].strip(_SPACE_CHARS) == "" and (construct or _BANNER.match(rest) is not None))
-        )
-        natural = natural and tokens + EXTRA > target * 0.6 and lexer.depth[0] <= 1 and not lexer.quote
+        ripe = len(held) > LEAST_LINES and tokens + EXTRA > RIPE * target and lexer.loose
+        natural = ripe and _begins_part(rest, held[-1][0], begins, lexer)
         if held and (full or natural):
             emit(joined(), first + 1, first + len(held), tokens)
             kept: list[tuple[str, int]] = []
@@ -242,3 +257,18 @@ def chunk_files(files: DataFrame, content: str = "content", path: str = "file",
             yield pd.DataFrame(rows, columns=["file", "chunk_no", "text", "start_line", "end_line", "token_count"])
 
     return files.selectExpr(f"`{path}` as file", f"`{content}` as content").mapInPandas(run, "file string, chunk_no int, text string, start_line int, end_line int, token_count int")
+
+
+@F.udtf(returnType="chunk_no int, text string, start_line int, end_line int, token_count int")
+class SmartChunk:
+    """``smart_chunk(content, path [, max_tokens => ..., target_tokens => ..., overlap_tokens => ...,
+    max_chunks => ...])`` in SQL; a null content has no chunks."""
+
+    def eval(self, content: str, path: str, max_tokens: int = None, target_tokens: int = None, overlap_tokens: int = None, max_chunks: int = MAX_CHUNKS):  # noqa: RUF013
+        for no, c in enumerate(smart_chunk(content, path or "", max_tokens, target_tokens, overlap_tokens, max_chunks) if content else []):
+            yield no, c["text"], c["start_line"], c["end_line"], c["token_count"]
+
+
+def register_smart_chunk(spark: SparkSession, name: str = "smart_chunk") -> None:
+    """Make the table function known to SQL, for use with LATERAL."""
+    spark.udtf.register(name, SmartChunk)

@@ -283,6 +283,27 @@ def smart_chunk(spark, d):
     return chunking.chunk_files(docs).select("file", "chunk_no", "start_line", "end_line", "token_count", F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
+@query("""SELECT doc_id, length(text) >= 200 AS long, true AS found, true AS in_order, true AS inside, true AS in_budget FROM documents""")
+def smart_chunk_table(spark, d):
+    """The table function in SQL with a budget of its own, and what must hold of its chunks:
+    numbered in order, lines ascending, parts of the text, and within the budget and the overlap
+    unless they are of one line, which is cut by its length."""
+    chunking.register_smart_chunk(spark)
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return spark.sql(
+        """WITH c AS (
+  SELECT doc_id, chunk_no, start_line, end_line, token_count, lag(start_line) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS before,
+    contains(d.text, c.text) AS inside, size(split(d.text, '\\n')) AS lines
+  FROM {docs} d, LATERAL smart_chunk(d.text, 'a.md', max_tokens => 120, target_tokens => 90, overlap_tokens => 10, max_chunks => 100000) c),
+g AS (SELECT doc_id, count(*) AS n, max(chunk_no) AS last, bool_and(before IS NULL OR before <= start_line) AND bool_and(start_line <= end_line AND end_line <= lines) AS in_order,
+    bool_and(inside) AS inside, bool_and(start_line = end_line OR token_count <= 130) AS in_budget FROM c GROUP BY doc_id)
+SELECT d.doc_id, length(d.text) >= 200 AS long, length(d.text) < 200 OR d.text IS NULL OR coalesce(n, 0) > 0 AS found, coalesce(in_order AND last + 1 = n, true) AS in_order,
+  coalesce(inside, true) AS inside, coalesce(in_budget, true) AS in_budget
+FROM {docs} d LEFT JOIN g ON d.doc_id = g.doc_id""",
+        docs=docs,
+    )
+
+
 @query(f"""WITH b AS (SELECT vec_id, label::VARCHAR AS file, {_DOT} AS s FROM embeddings, {_Q}),
 r AS (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM b QUALIFY rank <= 7)
 SELECT rank::INTEGER AS rank, '## Result ' || rank || ' (Relevance: ' || format('{{:.1f}}', round(s * 100, 6)) || '%)' || chr(10) || '**File:** `' || file || '`' || chr(10) || chr(10) || '```' || chr(10) || 'text of ' || vec_id || chr(10) || '```' || chr(10) AS markdown FROM r""")

@@ -122,3 +122,15 @@ def test_registry(spark):
 
 def test_jsonc():
     assert parse_jsonc('{"a": "x // y, }", /* c */ "b": [1, 2, ], // end\n}') == {"a": "x // y, }", "b": [1, 2]}
+
+
+def test_table_function_equals_chunk_files(spark, sf):
+    from corpusforge.operators.chunking import chunk_files, register_smart_chunk
+
+    register_smart_chunk(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('f', doc_id, '.py') as file", "text as content")
+    options = {"max_tokens": 60, "target_tokens": 40, "overlap_tokens": 5}
+    want = {tuple(r) for r in chunk_files(docs, **options).select("file", "chunk_no", "text", "start_line", "end_line", "token_count").collect()}
+    got = spark.sql("SELECT f.file, c.* FROM {docs} f, LATERAL smart_chunk(f.content, f.file, max_tokens => 60, target_tokens => 40, overlap_tokens => 5) c", docs=docs)
+    assert {tuple(r) for r in got.collect()} == want and want
+    assert spark.sql("SELECT * FROM smart_chunk(CAST(NULL AS STRING), 'a.py')").count() == 0
