@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusforge.llm import decontam, jaccard_join, mixing, quality_rules, sharding
-from corpusforge.llm.common import drop_path, owning, read_table
-from corpusforge.sources.shared import shared_root
+from corpusforge.llm.common import Scratch, drop_path, owning, read_table
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over the documents of ``sf_dir``."""
-    import uuid
-
-    folder = f"{shared_root(spark)}/corpusforge/pipeline-{uuid.uuid4().hex}"
+    """Rows of the last stage over the documents of ``sf_dir``; the stored table belongs to the
+    caller, who may work inside ``owning(spark)``."""
+    folder = Scratch(spark).path("pipeline", keep=True)
     docs, last = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
