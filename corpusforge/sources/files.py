@@ -31,6 +31,16 @@ def scan(spark: SparkSession, root: str, exclude: list[str] = (), ignore_lines:
     return crawl(spark, root, exclude, ignore_lines)
 
 
+def ignore_file(root: str, name: str = ".gitignore") -> list[str]:
+    """Lines of the root's ignore file; none if there is no such file."""
+    try:
+        fs, path = open_path(root.rstrip("/").removeprefix("file://") if root.startswith("file:") else root.rstrip("/"))
+        with fs.open_input_stream(f"{path}/{name}", compression=None) as source:
+            return source.read(MAX_FILE_SIZE).decode("utf-8", "replace").splitlines()
+    except OSError:
+        return []
+
+
 def discover(spark: SparkSession, root: str, extensions: list[str], names: list[str] = (), exclude: list[str] = (), ignore_lines: list[str] = ()) -> DataFrame:
     """Files with a listed extension or name that nothing excludes."""
     found = scan(spark, root, exclude, ignore_lines)

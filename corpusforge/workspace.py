@@ -41,7 +41,7 @@ class IndexReport:
 class Workspace:
     """``root`` indexed below ``cache_root``; one writer at a time.
 
-    ``provider`` embeds a text column, ``embed`` one text on the driver; both must be the
+    Without ``ignore_lines`` those of the root's ignore file hold.  ``provider`` embeds a text column, ``embed`` one text on the driver; both must be the
     same model.
     """
 
@@ -98,7 +98,7 @@ class Workspace:
         known, calls = self._table("file_hashes"), self._table("call_data")
         if renew:
             known, calls = known.limit(0), calls.limit(0)
-        listed = files.discover(self.spark, self.root, self.extensions, self.names, self.exclude, self.ignore_lines).select("file", "size", "mtime_ms")
+        listed = files.discover(self.spark, self.root, self.extensions, self.names, self.exclude, self.ignore_lines or files.ignore_file(self.root)).select("file", "size", "mtime_ms")
         if only is not None:
             listed = listed.where(F.col("file").isin(only))
             gone = known.where(F.col("file").isin(only)).join(listed.select("file"), "file", "left_anti").select("file")

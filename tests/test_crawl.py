@@ -62,3 +62,12 @@ def test_workspace_indexes_all_names(spark, tmp_path):
     w = Workspace(spark, str(tmp_path / "p"), f"file://{tmp_path}/cache")
     assert w.index().files == len(NAMES)
     assert w.chunks().select(F.col("file")).distinct().count() == len(NAMES)
+
+
+def test_the_roots_ignore_file_holds(spark, tmp_path):
+    put(tmp_path / "p", ["a.py", "gen/b.py", "c.log.py"])
+    (tmp_path / "p/.gitignore").write_text("# made\ngen/\n*.log.py\n")
+    assert files.ignore_file(f"file://{tmp_path}/p") == ["# made", "gen/", "*.log.py"] and files.ignore_file(str(tmp_path)) == []
+    w = Workspace(spark, str(tmp_path / "p"), f"file://{tmp_path}/cache")
+    assert w.index().files == 1
+    assert Workspace(spark, str(tmp_path / "p"), f"file://{tmp_path}/other", ignore_lines=["gen/"]).index().files == 2
