@@ -1003,6 +1003,23 @@ def watch_apply(spark, d):
     return state[-1]
 
 
+@query(ORACLES["watch_apply"])
+def watch_layers(spark, d):
+    """The same, each micro-batch as a layer of a store."""
+    scope = Scratch(spark)
+    folder = scope.path("watch", keep=True)
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.when(F.col("event_type") == "error", "unlink").otherwise("change").alias("event_type"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    events.write.parquet(f"{folder}/log")
+    body = lambda text: (F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(text).alias("content"), F.lit(None).cast("array<float>").alias("vector"))
+    named = table(spark, d, "region").select(F.concat(F.lit("f"), "r_regionkey").alias("file")).union(table(spark, d, "events").select(F.col("user_id").cast("string")).distinct())
+    store = stores.VersionedStore(spark, f"{folder}/store")
+    old = indexing.dense_index(named, "file", "chunk_id").select("chunk_id", "file", *body("old"))
+    store.save(stores.StoreMeta(), chunks=old, file_hashes=named.select("file", F.lit("h").alias("hash"), F.lit(0.0).alias("mtime_ms"), F.lit(0).cast("long").alias("size"), F.lit(1).cast("long").alias("chunks")))
+    stream = spark.readStream.schema(watch.EVENT_SCHEMA + ", seq long").parquet(f"{folder}/log")
+    watch.watch_store(stream, store, lambda f: f.select("file", *body("new")), f"{folder}/checkpoint").awaitTermination(600)
+    return store.read("chunks").select("file", "content")
+
+
 @query("""WITH l AS (SELECT user_id::VARCHAR AS path, floor(value / 10)::BIGINT AS size, epoch_us(ts) // 1000 AS seen_ms, event_id FROM events WHERE value IS NOT NULL),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY path, seen_ms ORDER BY event_id) = 1),
 c AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY seen_ms) AS before FROM o),

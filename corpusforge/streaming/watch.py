@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.indexing import coalesce_events, replace_by_file
+from ..operators.indexing import coalesce_events, dense_index, replace_by_file
+from ..sources.shared import Scratch
+from ..sources.stores import StoreMeta, VersionedStore
 
 #: Milliseconds of silence after which a path's last event is passed on; and for writes.
 DEBOUNCE, STABILITY = 300, 1500
@@ -79,6 +82,36 @@ def run_watcher(events: DataFrame, load: Callable[[], DataFrame], save: Callable
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch_store(events: DataFrame, store: VersionedStore, index: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Start the stream that applies each micro-batch to a store as a layer; returns the query.
+
+    ``index`` makes (file, start_line, end_line, content, vector) of ``(file)`` rows.  A batch
+    writes the chunks of its files and the names of what they replace, nothing else.  Their hash
+    rows have no hash, so the next index run looks at these files again.  A batch that is applied
+    again after a crash replaces its own rows.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        tie = "seq" if "seq" in batch.columns else "event_type"
+        with Scratch(batch.sparkSession) as scope:
+            touched = scope.write(coalesce_events(batch.withColumn("seq", F.struct("ts", tie))).select(F.col("path").alias("file"), "event_type"), "touched")
+            alive = touched.where("event_type <> 'unlink'").select("file")
+            made = scope.write(index(alive), "made")
+            meta = store.meta() or StoreMeta()
+            numbered = dense_index(made.withColumn("_key", F.struct("file", "start_line", "end_line")), "_key", "_n")
+            counts = made.groupBy("file").agg(F.count("*").alias("chunks"))
+            store.apply(
+                replace(meta),
+                touched.select("file"),
+                chunks=numbered.select((F.col("_n") + meta.next_chunk_id).alias("chunk_id"), "file", "start_line", "end_line", "content", "vector"),
+                file_hashes=alive.join(counts, "file", "left").select("file", F.lit(None).cast("string").alias("hash"), F.lit(None).cast("double").alias("mtime_ms"), F.lit(None).cast("long").alias("size"), F.coalesce("chunks", F.lit(0)).alias("chunks")),
+            )
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def progress_events(query) -> list[dict]:
     """Rows and times of the query's recent batches."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ts": p["timestamp"], "ms": p["durationMs"].get("triggerExecution", 0)} for p in (x if isinstance(x, dict) else json.loads(x.json) for x in query.recentProgress)]
