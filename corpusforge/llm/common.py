@@ -12,9 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import FILE_ROWS, Scratch, drop_path, owning
+from ..sources.shared import FILE_ROWS, Scratch, drop_path, owning, shared_root
 
-__all__ = ["FILE_ROWS", "Scratch", "drop_path", "owning"]
+__all__ = ["FILE_ROWS", "Scratch", "drop_path", "owning", "shared_root"]
 
 #: Words of a text: runs of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

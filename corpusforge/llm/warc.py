@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mark_possible_members
+from .common import HEAVY, Scratch, mark_possible_members
 
 #: Fixed by contract: payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -134,6 +134,21 @@ def _write(folder: str):
     return run
 
 
+def _with_low(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``rows`` with ``low`` of their digest in ``firsts(digest, low, n)``, or null.
+
+    Digests of more than a HEAVY-th of all repeated rows, fewer than HEAVY, are broadcast; rows
+    that have one are then dealt out by a number of their own, so a page that is a third of all
+    is no single task's.
+    """
+    total = firsts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = firsts.where(F.col("n") > total // HEAVY).select("digest", F.col("low").alias("often"), F.lit(True).alias("heavy"))
+    asked = rows.join(F.broadcast(often), "digest", "left")
+    asked = asked.withColumn("key", F.when(F.col("heavy"), F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("digest")))
+    rare = firsts.where(F.col("n") <= total // HEAVY).select(F.col("digest").alias("key"), F.col("low").alias("rare"))
+    return asked.join(rare.hint("merge"), "key", "left").withColumn("low", F.coalesce("often", "rare")).drop("key", "often", "rare", "heavy")
+
+
 def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Archive ``pages(page_id, url, html)`` below ``folder``; returns the stored index.
 
@@ -150,10 +165,10 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
         payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
         rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
         plain = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
-        firsts = plain.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("digest", "low")
+        firsts = plain.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1")
         firsts = scope.write(firsts, "repeated")
         narrow = mark_possible_members(plain, "digest", firsts, "maybe").where("maybe").drop("maybe")
-        narrow = scope.write(narrow.join(firsts.hint("merge"), "digest", "left").withColumn("first", F.when(~F.col("low").eqNullSafe(F.col("page_id")), F.col("low"))), "narrow")
+        narrow = scope.write(_with_low(narrow, firsts).withColumn("first", F.when(~F.col("low").eqNullSafe(F.col("page_id")), F.col("low"))), "narrow")
         # Revisits of a group without any id have no one to refer to; so all its rows are responses.
         revisits = narrow.where("first is not null").select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "size", "first")
         needed = narrow.where("first is null").select("digest", F.col("page_id").alias("_id")).distinct()
