@@ -15,6 +15,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ PART = 1 << 15
 LISTS, ASKED, LITERAL = 4, 64, 1000
 #: Rows of postings of one file, about; it is sorted, so a list is a few row groups.
 FILE_POSTINGS = 2_000_000
+#: Postings that a task brings together before it passes them on, and rows that it passes on at once.
+HELD_POSTINGS, ROWS_A_BATCH = 2_000_000, 10_000
 #: Parts that additions may leave before a new build is due.
 MOST_PARTS = 32
 PAD = "\x00"
@@ -43,11 +46,39 @@ def grams(text: str) -> set[str]:
 
 
 def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks to rows (gram, part, ids), ids of HELD_POSTINGS postings brought together at a time."""
+    known: dict[str, int] = {}
+    grams_, ids, sizes = [], [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        gram, at = np.concatenate(grams_), np.repeat(np.array(ids, dtype=np.int64), sizes)
+        by = np.lexsort([at, gram, at // PART])
+        gram, at = gram[by], at[by]
+        part = at // PART
+        start = np.flatnonzero(np.append(True, (np.diff(gram) != 0) | (np.diff(part) != 0)))
+        names = np.array(list(known), dtype=object)
+        place = pa.array((at - part * PART).astype(np.int32))
+        for a in range(0, len(start), ROWS_A_BATCH):
+            first = start[a : a + ROWS_A_BATCH]
+            end = start[a + ROWS_A_BATCH] if a + ROWS_A_BATCH < len(start) else len(at)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, end).astype(np.int32) - np.int32(first[0])), place.slice(first[0], end - first[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(names[gram[first]], pa.string()), pa.array(part[first]), lists], names=["gram", "part", "ids"])
+        known.clear(), grams_.clear(), ids.clear(), sizes.clear()
+
+    held = 0
     for batch in batches:
-        for chunk_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted(grams(text or ""))
-            part, place = divmod(chunk_id, PART)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([part] * len(found), pa.int64()), pa.array([place] * len(found), pa.int32())], names=["gram", "part", "place"])
+        for chunk_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            found = grams(text.as_py() or "")
+            if not found:
+                continue
+            grams_.append(np.fromiter((known.setdefault(g, len(known)) for g in found), dtype=np.int64, count=len(found)))
+            ids.append(chunk_id.as_py()), sizes.append(len(found))
+            held += len(found)
+            if held >= HELD_POSTINGS:
+                yield from flush()
+                held = 0
+    if held:
+        yield from flush()
 
 
 class SubstringIndex:
@@ -79,8 +110,7 @@ class SubstringIndex:
         if last is None and self.parts:
             return self
         name = uuid.uuid4().hex
-        listed = rows.mapInArrow(_list_grams, "gram string, part long, place int")
-        lists = listed.groupBy("gram", "part").agg(F.array_sort(F.collect_list("place")).alias("ids"))
+        lists = rows.mapInArrow(_list_grams, _SCHEMA).groupBy("gram", "part").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
         # By range, so that a list lies together; AQE makes the files of even size.
         lists.repartitionByRange(F.col("gram"), F.col("part")).sortWithinPartitions("gram", "part").write.option("maxRecordsPerFile", FILE_POSTINGS).parquet(f"{self.path}/postings-{name}")
         made = SubstringIndex(self.spark, self.path, [*self.parts, f"postings-{name}"], self.last_id if last is None else last)

@@ -85,3 +85,22 @@ def test_lookup_reads_few_row_groups(spark, tmp_path):
     while "Scan" not in scan.nodeName():
         scan = scan.finalPhysicalPlan() if "AdaptiveSparkPlan" in scan.nodeName() else scan.children().head()
     assert scan.metrics().get("numOutputRows").get().value() < n / 2
+
+
+def test_a_task_brings_postings_together(monkeypatch):
+    """Not a row for each place: a task's lists hold many ids, also over several parts and batches."""
+    import pyarrow as pa
+
+    from corpusforge.operators import substring as s
+
+    monkeypatch.setattr(s, "ROWS_A_BATCH", 3)
+    far = s.PART + 1
+    rows = [(5, "abcabc"), (2, "abc"), (far, "zabc"), (7, None), (8, ""), (9, "ab")]
+    for held, most in ((1000, 1), (1, 4)):
+        monkeypatch.setattr(s, "HELD_POSTINGS", held)
+        out = [r for b in s._list_grams(iter([pa.RecordBatch.from_pylist([{"chunk_id": i, "content": t} for i, t in rows])])) for r in b.to_pylist()]
+        lists = [(r["gram"], r["part"]) for r in out]
+        assert max(lists.count(x) for x in lists) <= most
+        got = sorted((r["gram"], r["part"] * s.PART + i) for r in out for i in r["ids"])
+        assert got == sorted((g, i) for i, t in rows for g in s.grams(t or ""))
+    assert {r["gram"]: r["ids"] for r in out if r["gram"] == "ab\x00"} == {"ab\x00": [9]}
