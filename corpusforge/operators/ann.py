@@ -75,7 +75,12 @@ def enough_probes(vectors: np.ndarray, centers: np.ndarray, k: int = 10, recall:
     home = np.argmax(vectors @ centers.T, axis=1)
     places = np.argsort(np.argsort(-(probe @ centers.T), axis=1, kind="stable"), axis=1, kind="stable")
     best = np.argsort(-(probe @ vectors.T), axis=1, kind="stable")[:, :k]
-    reached = np.sort(np.take_along_axis(places, home[best], axis=1).ravel())
+    return fewest_probes(np.take_along_axis(places, home[best], axis=1).ravel(), recall)
+
+
+def fewest_probes(reached: np.ndarray, recall: float) -> int:
+    """Fewest lists that hold ``recall`` of the neighbours whose lists are in these places."""
+    reached = np.sort(reached)
     return int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))))]) + 1
 
 

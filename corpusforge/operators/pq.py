@@ -18,11 +18,11 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import pointer_names, publish_pointer
-from .ann import LEAST_ROWS, RECALL, ROUNDS, SAMPLE, SAMPLE_A_LIST, enough_probes, train_centroids
+from .ann import LEAST_ROWS, ROUNDS, SAMPLE, SAMPLE_A_LIST, fewest_probes, train_centroids
 from .search import comparable, semantic_score
 from .substring import by_id
 
@@ -84,6 +84,47 @@ def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
 
 
+#: Neighbours whose lists decide how many are probed, and rows of the sample that ask for theirs.
+NEAREST, ASKING = 10, 128
+#: Share of those neighbours that lies in the lists counted, and how many times so many are probed:
+#: the asking rows lie in a list themselves, other queries need more, and the codes lose some.
+IN_LISTS, MARGIN = 0.995, 2
+
+
+def _neighbours(shared):
+    """Rows (query, score, list_no): each query's NEAREST best rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe, centers = shared.value
+        scores, lists = np.empty((len(probe), 0)), np.empty((len(probe), 0), dtype=np.int64)
+        for batch in batches:
+            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, centers.shape[1])
+            scores = np.hstack([scores, probe @ rows.T])
+            lists = np.hstack([lists, np.broadcast_to(np.argmax(rows @ centers.T, axis=1), (len(probe), len(rows)))]) if len(rows) else lists
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :NEAREST]
+            scores, lists = np.take_along_axis(scores, best, axis=1), np.take_along_axis(lists, best, axis=1)
+        if scores.size:
+            query = np.repeat(np.arange(len(probe)), scores.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(scores.ravel()), pa.array(lists.ravel().astype(np.int32))], names=["query", "score", "list_no"])
+
+    return run
+
+
+def probes_needed(rows: DataFrame, vectors: np.ndarray, centers: np.ndarray, recall: float) -> int:
+    """Fewest lists by which some vectors of the sample find ``recall`` of their nearest of all rows.
+
+    Those of the sample alone are farther off where it is thin, and would ask for too many lists.
+    """
+    probe = vectors[np.linspace(0, len(vectors) - 1, min(ASKING, len(vectors))).astype(int)]
+    found = rows.mapInArrow(_neighbours(rows.sparkSession.sparkContext.broadcast((probe, centers))), "query int, score double, list_no int")  # 4096 centroids at most
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "list_no"))  # NEAREST rows a task
+    best = found.withColumn("_n", nth).where(F.col("_n") <= NEAREST).select("query", "list_no").toArrow()
+    if not best.num_rows:
+        return 1
+    places = np.argsort(np.argsort(-(probe @ centers.T), axis=1, kind="stable"), axis=1, kind="stable")
+    return fewest_probes(places[best["query"].to_numpy(), best["list_no"].to_numpy()], recall)
+
+
 class PqIndex:
     """Codes of one chunk table below ``path``; vectors stay in the chunk table."""
 
@@ -107,7 +148,7 @@ class PqIndex:
         centers = train_centroids(vectors, lists)
         left = vectors - centers[np.argmax(vectors @ centers.T, axis=1)]
         words = [train_codewords(left[:, a:b]) for a, b in stretches(dim)]
-        meta = PqMeta(VERSION, model, dim, count, len(centers), nprobe or enough_probes(vectors, centers, recall=(1 + RECALL) / 2))
+        meta = PqMeta(VERSION, model, dim, count, len(centers), nprobe or min(len(centers), MARGIN * probes_needed(rows, vectors, centers, IN_LISTS)))
         codes = "".join(f", q{j} tinyint" for j in range(len(words)))
         name = uuid.uuid4().hex
         coded = rows.mapInArrow(_encode(spark.sparkContext.broadcast((centers, words))), f"chunk_id long, list_no int{codes}")  # 4096 centroids at most

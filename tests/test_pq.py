@@ -68,3 +68,11 @@ def test_edge_cases(spark, rows, index, tmp_path):
     assert empty.search([1.0], 3, odd).count() == 0
     assert PqIndex.load(spark, f"file://{tmp_path}/s", "other", 2) is None and PqIndex.load(spark, f"file://{tmp_path}/none", "hashing", 2) is None
     assert small.rows.agg(F.count("*")).first()[0] == 3
+
+
+def test_probes_are_those_of_all_rows(rows, tmp_path, monkeypatch):
+    """A thin sample's own neighbours lie in more lists than the real ones."""
+    monkeypatch.setattr(pq, "SAMPLE", 300)
+    monkeypatch.setattr(pq, "SAMPLE_A_LIST", 1)
+    thin = PqIndex.build(rows, f"file://{tmp_path}/i", lists=40)
+    assert thin.meta.lists == 40 and thin.meta.nprobe <= 13
