@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import Scratch
 
 #: Files changed this recently are always hashed again.
 FRESH_MS = 2000
@@ -103,47 +104,37 @@ def replace_by_file(chunks: DataFrame, changed: DataFrame, new: DataFrame, key:
     return chunks.join(changed.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-#: Rows of a range that is summed in one task, about; most ranges; keys sampled a range.
-RANGE_ROWS, MOST_RANGES, SAMPLES = 100_000, 8192, 32
-
-
-def _borders(rows: DataFrame, order: str, n: int, ranges: int) -> DataFrame:
-    """One row: ``_borders``, quantiles of a sample of the order keys, drawn by their hash.
-
-    The borders are values, not partitions of one physical plan, so every use of them cuts
-    the rows alike.  At most about SAMPLES * MOST_RANGES keys reach the driver.
-    """
-    draw = F.pmod(F.xxhash64(order), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keys = [r[0] for r in rows.where(draw < SAMPLES * ranges / n).select(order).sort(order).collect()]
-    picked = [k for k in (keys[len(keys) * i // ranges] for i in range(1, ranges)) if k is not None] if keys else []
-    kind = rows.schema[order].dataType
-    return rows.sparkSession.createDataFrame([(picked,)], T.StructType([T.StructField("_borders", T.ArrayType(kind))]))
+#: Rows of a range that is summed in one task, about; most ranges.
+RANGE_ROWS, MOST_RANGES = 100_000, 8192
+#: Bits of a row's place in its partition, in Spark's increasing ids.
+_PLACE_BITS = 33
 
 
 def running_total(rows: DataFrame, order: str, weight: str | None = None, name: str = "total", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with the sum of ``weight`` (rows, if None) up to and including each row.
 
-    Ranges of ``order`` are summed first; a row's total is what lies before its range plus
-    a window inside it, so no task sees more than a range.  Rows of equal order are summed
-    in any order; a key that repeats very often makes its range as large.
+    The rows are sorted in ranges of ``order`` and stored once with their range and place, so
+    every use of them sees the same ranges.  A row's total is what lies before its range plus
+    what lies before it inside, so no task sees more than a range, and a row costs the same
+    however many ranges there are.  Rows of equal order are summed in any order; a key that
+    repeats very often makes its range as large.  Unless there is one range, the stored table
+    belongs to the caller.
     """
     amount = F.lit(1) if weight is None else F.col(weight)
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, -(-n // range_rows)))
     if ranges == 1:
         return rows.withColumn(name, F.sum(amount).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("long"))  # ``range_rows`` rows at most
-    steps = ranges.bit_length()
-    middle = "cast((s.lo + s.hi) div 2 as int)"
-    place = F.expr(
-        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_borders)), (s, i) -> if(s.lo < s.hi, "
-        f"if(_borders[{middle}] <= `{order}`, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})), s), s -> s.lo)"
-    )
-    ranged = rows.crossJoin(F.broadcast(_borders(rows, order, n, ranges))).withColumn("_range", place).drop("_borders")  # one row
-    sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))  # a row a range
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_range", before.alias("_before"))
-    inside = F.sum(amount).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(starts), "_range").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
+    sorted_ = rows.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_nth_", F.monotonically_increasing_id())
+    held = Scratch(rows.sparkSession).write(sorted_, "ranges", keep=True).withColumn("_range_", F.shiftright("_nth_", _PLACE_BITS))
+    sums = held.groupBy("_range_").agg(F.sum(amount).alias("_sum_"))  # a row a range
+    before = F.coalesce(F.sum("_sum_").over(Window.orderBy("_range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_range_", before.alias("_before_"))
+    if weight is None:
+        inside = F.col("_nth_").bitwiseAND((1 << _PLACE_BITS) - 1) + 1
+    else:
+        inside = F.sum(amount).over(Window.partitionBy("_range_").orderBy("_nth_").rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("_inside_", inside).join(F.broadcast(starts), "_range_").withColumn(name, (F.col("_inside_") + F.col("_before_")).cast("long")).drop("_range_", "_nth_", "_inside_", "_before_")
 
 
 def dense_index(chunks: DataFrame, order: str = "chunk_id", name: str = "index", range_rows: int = RANGE_ROWS) -> DataFrame:

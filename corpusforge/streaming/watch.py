@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.indexing import coalesce_events, dense_index, replace_by_file
-from ..sources.shared import Scratch
+from ..sources.shared import Scratch, owning
 from ..sources.stores import StoreMeta, VersionedStore
 
 #: Milliseconds of silence after which a path's last event is passed on; and for writes.
@@ -95,7 +95,7 @@ def watch_store(events: DataFrame, store: VersionedStore, index: Callable[[DataF
         if batch.isEmpty():
             return
         tie = "seq" if "seq" in batch.columns else "event_type"
-        with Scratch(batch.sparkSession) as scope:
+        with owning(batch.sparkSession), Scratch(batch.sparkSession) as scope:
             touched = scope.write(coalesce_events(batch.withColumn("seq", F.struct("ts", tie))).select(F.col("path").alias("file"), "event_type"), "touched")
             alive = touched.where("event_type <> 'unlink'").select("file")
             made = scope.write(index(alive), "made")

@@ -126,7 +126,7 @@ class Workspace:
 
     def _commit(self, todo: DataFrame, gone: DataFrame, base: bool, n_files: int, now_ms: int, n_todo: int) -> None:
         """Read, chunk and embed the files of ``todo`` and commit those that came through."""
-        with Scratch(self.spark) as scope:
+        with owning(self.spark), Scratch(self.spark) as scope:
             wanted = todo.select("file", "expected_hash", "again", F.col("mtime_ms").alias("found_ms"))
             looked = scope.write(files.read_files(todo.select("file").repartition(max(1, -(-n_todo // FILES_A_TASK)))).join(wanted, "file").withColumn("mtime_ms", F.col("found_ms")).drop("found_ms"), "looked")
             read = looked.where("status = ''")
