@@ -140,11 +140,14 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(stored_path(spark, name, lambda path: make().write.parquet(path)))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` over all cores if it comes in fewer pieces than there are, as a small file or one
     of a single row group does; else as it is, without a shuffle.
 
     For expensive expressions over small tables: what is dealt out is less than a piece a core.
+    With ``rows`` a piece has no more than about so many, so no task grows with the table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    least = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        least = max(least, -(-df.count() // rows))
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
