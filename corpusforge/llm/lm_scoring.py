@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import spread
-from .common import Scratch, crc_bucket, texts_of
+from .common import Scratch, crc_bucket
 
 #: Longest n-grams.
 ORDER = 3
@@ -94,6 +94,13 @@ def unpack_words(data: bytes) -> list[bytes]:
 # --- batches ------------------------------------------------------------------
 
 
+def _one_by_one(found: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches; of a batch, only one row at a time is made of Python objects."""
+    for rows in found:
+        for at in range(rows.num_rows):
+            yield {name: column[at].as_py() for name, column in zip(rows.schema.names, rows.columns, strict=True)}
+
+
 class _Batch:
     """Documents of one batch; its row has their words in hash order and tokens as places there."""
 
@@ -136,12 +143,11 @@ def _batches(kind: pa.DataType):
         def close(batch: _Batch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(batch.row(next(numbers)), schema, strict=True)], schema=schema)
 
-        for rows in found:
-            for doc_id, part, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), texts_of(rows), strict=True):
-                batch = open_[part == DEVELOPMENT]
-                batch.add(doc_id, part, (text or "").encode().lower().split())
-                if batch.n >= BATCH_TOKENS:
-                    yield close(batch)
+        for row in _one_by_one(found):
+            batch = open_[row["part"] == DEVELOPMENT]
+            batch.add(row["doc_id"], row["part"], (row["text"] or "").encode().lower().split())
+            if batch.n >= BATCH_TOKENS:
+                yield close(batch)
         yield from (close(b) for b in open_.values() if b.n)
 
     return make
@@ -189,25 +195,24 @@ def _questions(order: int, bits: int, ranges: int):
     batch's training documents have each."""
 
     def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in found:
-            for row in rows.to_pylist():
-                words, tokens, sizes = unpack_words(row["words"]), unpack(row["tokens"]).astype(np.int64), np.array(row["sizes"])
-                hashes, place = _hashes(words), _places(sizes)
-                learned = np.repeat(np.array(row["parts"]) != HELD_OUT, sizes)
-                for level in range(1, order + 1):
-                    if level == 1:
-                        keys, inverse = hashes >> np.uint64(64 - bits), tokens
-                    else:
-                        keys, inverse = np.unique(_keys(hashes[tokens], place, level, bits), return_inverse=True)
-                    counts = np.bincount(inverse[learned], minlength=len(keys))
-                    cuts = _ranges(keys, bits, ranges)
-                    out: list[list] = [[] for _ in range(3)]
-                    for r in np.flatnonzero(np.diff(cuts)).tolist():
-                        a, b = int(cuts[r]), int(cuts[r + 1])
-                        named = pack_words(words[a:b]) if level == 1 else pack(np.diff(keys[a:b], prepend=np.uint64(r << (bits - ranges.bit_length() + 1))))
-                        out[0].append(r), out[1].append(named), out[2].append(pack(counts[a:b]))
-                    n = len(out[0])
-                    yield pa.RecordBatch.from_arrays([pa.array([level] * n, pa.int32()), pa.array(out[0], pa.int32()), pa.array([row["batch"]] * n, pa.int64()), pa.array([row["development"]] * n, pa.bool_()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=_ASK_FIELDS)
+        for row in _one_by_one(found):
+            words, tokens, sizes = unpack_words(row["words"]), unpack(row["tokens"]).astype(np.int64), np.array(row["sizes"])
+            hashes, place = _hashes(words), _places(sizes)
+            learned = np.repeat(np.array(row["parts"]) != HELD_OUT, sizes)
+            for level in range(1, order + 1):
+                if level == 1:
+                    keys, inverse = hashes >> np.uint64(64 - bits), tokens
+                else:
+                    keys, inverse = np.unique(_keys(hashes[tokens], place, level, bits), return_inverse=True)
+                counts = np.bincount(inverse[learned], minlength=len(keys))
+                cuts = _ranges(keys, bits, ranges)
+                out: list[list] = [[] for _ in range(3)]
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    a, b = int(cuts[r]), int(cuts[r + 1])
+                    named = pack_words(words[a:b]) if level == 1 else pack(np.diff(keys[a:b], prepend=np.uint64(r << (bits - ranges.bit_length() + 1))))
+                    out[0].append(r), out[1].append(named), out[2].append(pack(counts[a:b]))
+                n = len(out[0])
+                yield pa.RecordBatch.from_arrays([pa.array([level] * n, pa.int32()), pa.array(out[0], pa.int32()), pa.array([row["batch"]] * n, pa.int64()), pa.array([row["development"]] * n, pa.bool_()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=_ASK_FIELDS)
 
     return ask
 
