@@ -6,6 +6,7 @@ file is one row and one pass a pattern, without user functions.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,8 +65,24 @@ def without_backtracking(pattern: str) -> str:
     return "(?<![a-zA-Z_$])" + tight if pattern.startswith(f"({_JS})") else tight
 
 
+_KEYWORD, _END = re.compile(r"(?:\(\?:async\\s\+\)\?)?(function|class|def|func|fn|impl)\b"), re.compile(r"(=>|=|\\\(|\\\{)$")
+
+
+def needed(pattern: str) -> list[str]:
+    """What every match of a pattern holds: the keyword that it begins with, and its end."""
+    return [*(m.group(1) for m in [_KEYWORD.match(pattern)] if m), *(m.group().lstrip("\\") for m in [_END.search(pattern)] if m)]
+
+
+def _found(text: Column, pattern: str, held: Column | None = None) -> Column:
+    """Matches of a pattern; only a text that has what they hold is searched.  ``held``: a text,
+    cheaper to make, that has what ``text`` has."""
+    found = F.regexp_extract_all(text, F.lit(without_backtracking(pattern)), F.lit(1))
+    has = [F.contains(text if held is None else held, F.lit(x)) for x in needed(pattern)]
+    return F.when(reduce(Column.__and__, has), found).otherwise(F.array().cast("array<string>")) if has else found
+
+
 def _all(text: Column, patterns: list[str]) -> Column:
-    found = [F.regexp_extract_all(text, F.lit(without_backtracking(p)), F.lit(1)) for p in patterns]
+    found = [_found(text, p) for p in patterns]
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
@@ -105,8 +122,8 @@ def strip_strings_and_comments(content: Column | str, path: Column | str | None
 
 def calls(content: Column | str, path: Column | str | None = None) -> Column:
     """Distinct names called in the file, strings and comments left out."""
-    clean = strip_strings_and_comments(F.coalesce(_col(content), F.lit("")), path)
-    return _meaningful(F.regexp_extract_all(clean, F.lit(without_backtracking(CALL)), F.lit(1)))
+    text = F.coalesce(_col(content), F.lit(""))
+    return _meaningful(_found(strip_strings_and_comments(text, path), CALL, text))
 
 
 def call_data(content: Column | str, path: Column | str) -> Column:

@@ -6,7 +6,6 @@ will do.  The default hashes tokens into buckets and needs no model.
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,8 @@ from pyspark.sql import types as T
 
 DIM = 64
 _BASIS, _PRIME, _MASK = 2166136261, 16777619, 0xFFFFFFFF
-_TOKEN = re.compile(r"[a-z0-9_]{2,}")
+#: Bytes of lower-cased text with blanks for all that is in no token.
+_TOKEN_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for c in range(256))
 
 
 def fnv1a(token: Column) -> Column:
@@ -43,22 +43,29 @@ def _hash(token: str) -> int:
     return h
 
 
+class _Places(dict):
+    """Bucket and weight of each token in one number, of some tokens kept; a single character weighs nothing."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        place = _hash(token.decode()) % self.dim << 3 | 1 + min(4, len(token) // 4) if len(token) > 1 else 0
+        if len(self) < 200_000:
+            self[token] = place
+        return place
+
+
 class HashingEmbedder:
     """Token hashing on one machine, for queries and inside tasks."""
 
     def __init__(self, dim: int = DIM, normalize: bool = True):
-        self.dim, self.normalize, self.known = dim, normalize, {}
+        self.dim, self.normalize, self.known = dim, normalize, _Places(dim)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        v = np.zeros(self.dim)
-        known = self.known
-        for token in _TOKEN.findall((text or "").lower()):
-            at = known.get(token)
-            if at is None:
-                at = _hash(token) % self.dim, 1 + min(4, len(token) // 4)
-                if len(known) < 200_000:
-                    known[token] = at
-            v[at[0]] += at[1]
+        tokens = (text or "").lower().encode("utf-8", "replace").translate(_TOKEN_BYTES).split()
+        place = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        v = np.bincount(place >> 3, weights=place & 7, minlength=self.dim)
         if self.normalize:
             size = float(np.sqrt((v * v).sum()))
             if size == 0:

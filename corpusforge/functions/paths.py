@@ -132,7 +132,7 @@ def normalize_path(path: Column | str, windows: bool = False) -> Column:
 
 
 def basename(path: Column | str) -> Column:
-    return F.regexp_extract(_col(path), r"([^/]*)/*$", 1)
+    return F.regexp_extract(_col(path), r"(?<![^/])([^/]*+)/*+$", 1)  # tried once a name
 
 
 def dirname(path: Column | str) -> Column:

@@ -27,6 +27,8 @@ SAMPLE, ROUNDS = 20_000, 12
 SAMPLE_A_LIST = 16
 #: Parts that additions may leave before the lists are built anew.
 MOST_PARTS = 32
+#: Vectors that are compared with all centroids at once.
+ASSIGNED = 1000
 #: Share of the exact neighbours that the default effort finds in the sample.
 RECALL = 0.95
 #: Rows of a list at least, on average, and of one file of a list, about.
@@ -96,8 +98,8 @@ def _assign(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = shared.value
         for batch in batches:
-            rows = batch.column(at).to_pylist()
-            near = np.argmax(np.array(rows, dtype=np.float64).reshape(-1, centers.shape[1]) @ centers.T, axis=1) if rows else np.empty(0)
+            rows = np.asarray(batch.column(at).flatten(), dtype=np.float64).reshape(-1, centers.shape[1])
+            near = np.concatenate([np.empty(0), *(np.argmax(rows[a : a + ASSIGNED] @ centers.T, axis=1) for a in range(0, len(rows), ASSIGNED))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32), pa.int32())], names=[*batch.schema.names, "list_no"])
 
     return run
@@ -119,15 +121,15 @@ class IvfIndex:
         first = chunks.where("vector is not null").select(F.size("vector").alias("d")).first()
         dim = first["d"] if first else 0
         rows = comparable(chunks, dim).select("chunk_id", "vector")
-        count = rows.count()
+        count, last = rows.agg(F.count("*"), F.max("chunk_id")).first()
         lists = lists or max(1, min(4096, int(round(count**0.5)), -(-count // LEAST_ROWS)))
         sample = max(sample, SAMPLE_A_LIST * lists)
         part = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, sample / max(1, count))) + 1))
-        vectors = np.array([r["vector"] for r in part.select("vector").toLocalIterator()], dtype=np.float64)
+        drawn = part.select("vector").toArrow().column(0).combine_chunks()
+        vectors = np.asarray(drawn.flatten(), dtype=np.float64).reshape(-1, max(1, dim))
         if not len(vectors):
             vectors = np.zeros((1, max(1, dim)))
         centers = train_centroids(vectors, lists)
-        last = rows.agg(F.max("chunk_id")).first()[0]
         meta = AnnMeta(VERSION, model, "cosine", dim, count, len(centers), nprobe or enough_probes(vectors, centers), capacity(count), [], -1 if last is None else last)
         return cls(cls._placed(rows, centers), centers, meta)._stored(path)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import pointer_names, publish_pointer
+from ..sources.shared import Scratch, pointer_names, publish_pointer
 
 #: Ids that share one posting row at most: those of equal ``chunk_id // PART``.
 PART = 1 << 15
@@ -30,8 +30,9 @@ PART = 1 << 15
 LISTS, ASKED, LITERAL = 4, 64, 1000
 #: Rows of postings of one file, about; it is sorted, so a list is a few row groups.
 FILE_POSTINGS = 2_000_000
-#: Postings that a task brings together before it passes them on, and rows that it passes on at once.
-HELD_POSTINGS, ROWS_A_BATCH = 2_000_000, 10_000
+#: Neighbouring ids whose chunks one task lists, so its lists are long; places of text that it
+#: brings together before it passes their postings on, and rows that it passes on at once.
+PIECE_IDS, HELD_POSTINGS, ROWS_A_BATCH = 1 << 12, 4_000_000, 10_000
 #: Parts that additions may leave before a new build is due.
 MOST_PARTS = 32
 PAD = "\x00"
@@ -46,34 +47,55 @@ def grams(text: str) -> set[str]:
 
 
 def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks to rows (gram, part, ids), ids of HELD_POSTINGS postings brought together at a time."""
-    known: dict[str, int] = {}
-    grams_, ids, sizes = [], [], []
+    """Chunks to rows (gram, part, ids), those of HELD_POSTINGS places brought together at a time.
+
+    A place is one number: the ranks of its three characters among those held, then its chunk.
+    Sorted, equal numbers are one posting, and postings are in order of gram and id.
+    """
+    ids, texts = [], []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        gram, at = np.concatenate(grams_), np.repeat(np.array(ids, dtype=np.int64), sizes)
-        by = np.lexsort([at, gram, at // PART])
-        gram, at = gram[by], at[by]
+        by = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
+        used = np.zeros(0x110000, dtype=bool)
+        for text in texts:
+            used[text] = True
+        chars, rank = np.flatnonzero(used).astype("<u4"), np.cumsum(used) - 1
+        bits = max(1, int(len(chars) - 1).bit_length())
+        room = 1 << (63 - 3 * bits)  # chunks that the number has place for; of very many characters few
+        for a in range(0, len(by), room):
+            yield from listed(by[a : a + room], chars, rank, bits)
+        ids.clear(), texts.clear()
+
+    def listed(by: np.ndarray, chars: np.ndarray, rank: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+        at, sizes = np.array(ids, dtype=np.int64)[by], np.array([len(texts[i]) for i in by])
+        code, low = rank[np.concatenate([texts[i] for i in by])], 63 - 3 * bits
+        place = (((code[:-2] << bits | code[1:-1]) << bits | code[2:]) << low) | np.repeat(np.arange(len(by)), sizes)[:-2]
+        begins = np.ones(len(code), dtype=bool)  # no gram begins in the padding
+        end = np.cumsum(sizes)
+        begins[end - 1] = begins[end - 2] = False
+        place = np.sort(place[begins[:-2]])
+        place = place[np.append(True, place[1:] != place[:-1])]
+        gram, at = place >> low, at[place & ((1 << low) - 1)]
         part = at // PART
         start = np.flatnonzero(np.append(True, (np.diff(gram) != 0) | (np.diff(part) != 0)))
-        names = np.array(list(known), dtype=object)
         place = pa.array((at - part * PART).astype(np.int32))
         for a in range(0, len(start), ROWS_A_BATCH):
             first = start[a : a + ROWS_A_BATCH]
             end = start[a + ROWS_A_BATCH] if a + ROWS_A_BATCH < len(start) else len(at)
+            g, mask = gram[first], (1 << bits) - 1
+            names = np.stack([chars[g >> 2 * bits], chars[g >> bits & mask], chars[g & mask]], axis=1).tobytes().decode("utf-32-le")
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, end).astype(np.int32) - np.int32(first[0])), place.slice(first[0], end - first[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(names[gram[first]], pa.string()), pa.array(part[first]), lists], names=["gram", "part", "ids"])
-        known.clear(), grams_.clear(), ids.clear(), sizes.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([names[i : i + 3] for i in range(0, len(names), 3)], pa.string()), pa.array(part[first]), lists], names=["gram", "part", "ids"])
 
     held = 0
     for batch in batches:
         for chunk_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            found = grams(text.as_py() or "")
-            if not found:
+            text = text.as_py()
+            if not text:
                 continue
-            grams_.append(np.fromiter((known.setdefault(g, len(known)) for g in found), dtype=np.int64, count=len(found)))
-            ids.append(chunk_id.as_py()), sizes.append(len(found))
-            held += len(found)
+            texts.append(np.frombuffer((text + PAD * 2).encode("utf-32-le"), dtype="<u4"))
+            ids.append(chunk_id.as_py())
+            held += len(text)
             if held >= HELD_POSTINGS:
                 yield from flush()
                 held = 0
@@ -106,13 +128,16 @@ class SubstringIndex:
 
     def _store(self, chunks: DataFrame) -> SubstringIndex:
         rows = chunks.select("chunk_id", F.lower("content").alias("content"))
-        last = rows.agg(F.max("chunk_id")).first()[0]
+        n, last = chunks.agg(F.count("*"), F.max("chunk_id")).first()
         if last is None and self.parts:
             return self
         name = uuid.uuid4().hex
-        lists = rows.mapInArrow(_list_grams, _SCHEMA).groupBy("gram", "part").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-        # By range, so that a list lies together; AQE makes the files of even size.
-        lists.repartitionByRange(F.col("gram"), F.col("part")).sortWithinPartitions("gram", "part").write.option("maxRecordsPerFile", FILE_POSTINGS).parquet(f"{self.path}/postings-{name}")
+        pieces = max(1, -(-n // PIECE_IDS))
+        near = rows.repartitionById(pieces, F.pmod(F.floor(F.col("chunk_id") / PIECE_IDS), F.lit(pieces)).cast("int"))
+        with Scratch(self.spark) as scope:
+            lists = scope.write(near.mapInArrow(_list_grams, _SCHEMA), "grams")  # once, as ranges are drawn from it first
+            # By range, so that a list lies together; AQE makes the files of even size.
+            lists.repartitionByRange(F.col("gram"), F.col("part")).sortWithinPartitions("gram", "part").write.option("maxRecordsPerFile", FILE_POSTINGS).parquet(f"{self.path}/postings-{name}")
         made = SubstringIndex(self.spark, self.path, [*self.parts, f"postings-{name}"], self.last_id if last is None else last)
         self.spark.createDataFrame([(json.dumps({"parts": made.parts, "last_id": made.last_id}),)], "meta string").coalesce(1).write.text(f"{self.path}/meta-{name}")
         publish_pointer(self.spark, f"{self.path}/pointers", name)

@@ -126,7 +126,8 @@ def crawl(spark: SparkSession, root: str, exclude: list[str] = (), ignore_lines:
     frontier = spark.createDataFrame([("",)], "relative string")
     while True:
         path = f"{folder}/round={number}"
-        frontier.mapInArrow(lister, _SCHEMA).write.parquet(path)
+        # A large folder's names come from one task; stored in many files, they are looked through by all.
+        frontier.mapInArrow(lister, _SCHEMA).repartition(max(frontier.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)).write.parquet(path)
         left = spark.read.schema(_SCHEMA).parquet(path).where("kind = 'folder'").select("relative")
         n = left.count()
         if n == 0:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths as P
 from .crawl import crawl, open_path
@@ -81,24 +82,39 @@ def _read_one(path: str, max_size: int) -> tuple[str, int | None, float | None,
     return "", len(body), mtime, body
 
 
-def read_files(listed: DataFrame, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """``listed(file)`` to (file, status, size, mtime_ms, content, content_hash).
+#: Bytes of files that a task holds before it hands them on, about.
+PIECE_BYTES = 1 << 20
 
-    Each task reads its own files, never more than ``max_size`` bytes and one of each.  A
-    file that is missing, a directory, too large or unreadable keeps its row, with the
-    reason as its status and no content; text that is no UTF-8 has replacement characters.
+
+def read_files(listed: DataFrame, max_size: int = MAX_FILE_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``listed(file)`` to (file, status, size, mtime_ms, content, content_hash), and its columns ``keep``.
+
+    Each task reads its own files, never more than ``max_size`` bytes and one of each, and hands
+    them on in pieces.  A file that is missing, a directory, too large or unreadable keeps its row,
+    with the reason as its status and no content; text that is no UTF-8 has replacement characters.
     """
-    schema = pa.schema([("file", pa.string()), ("status", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.float64()), ("content", pa.string()), ("content_hash", pa.string())])
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string()]
+    names = ["file", "status", "size", "mtime_ms", "content", "content_hash", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            rows, held, start = [], 0, 0
+            paths = batch.column(0).to_pylist()
+            for at, path in enumerate(paths, 1):
                 status, size, mtime, body = _read_one(path, max_size)
                 text = None if body is None else body.decode("utf-8", "replace")
-                row = {"file": path, "status": status, "size": size, "mtime_ms": mtime, "content": text, "content_hash": None if body is None else hashlib.md5(body).hexdigest()}
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-    return listed.select("file").where("file is not null").mapInArrow(run, "file string, status string, size long, mtime_ms double, content string, content_hash string")
+                rows.append((status, size, mtime, text, None if body is None else hashlib.md5(body).hexdigest()))
+                held += len(body or b"")
+                if held >= PIECE_BYTES or at == len(paths):
+                    read = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    given = batch.slice(start, at - start).columns
+                    yield pa.RecordBatch.from_arrays([given[0], *read, *given[1:]], names=names)
+                    rows, held, start = [], 0, at
+
+    shape = T.StructType.fromDDL("file string, status string, size long, mtime_ms double, content string, content_hash string")
+    for name in keep:
+        shape = shape.add(listed.schema[name])
+    return listed.select("file", *keep).where("file is not null").mapInArrow(run, shape)
 
 
 def real_paths(rows: DataFrame, path: str = "file", name: str = "real") -> DataFrame:

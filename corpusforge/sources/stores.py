@@ -114,6 +114,8 @@ class VersionedStore:
             writer.parquet(f"{folder}/{table}")
         if touched is not None:
             touched.write.parquet(f"{folder}/touched")
+            if self.spark.read.schema(self.TOUCHED).parquet(f"{folder}/touched").isEmpty():  # the layer voids nothing: readers needn't join
+                self._fs.delete(self._path(f"{folder}/touched"), True)
         return [name, self._fs.getContentSummary(self._path(folder)).getLength() if self._exists(f"layers/{name}") else 0]
 
     def _schema(self, table: str) -> T.StructType:
@@ -155,9 +157,10 @@ class VersionedStore:
         if hashes_of is not None:
             marks = marks.union(hashes_of.select("file", F.lit("hashes").alias("scope")))
         layer = self._write_layer(tables, marks.distinct())
-        hashes = self.read("file_hashes")
-        voided = self.spark.read.schema(self.TOUCHED).parquet(f"{self.root}/layers/{layer[0]}/touched").where("scope = 'all'")
-        removed = hashes.join(voided.select("file"), "file", "left_semi").agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0] if hashes is not None else 0
+        removed, hashes = 0, self.read("file_hashes")
+        if hashes is not None and self._exists(f"layers/{layer[0]}/touched"):
+            voided = self._touched([layer]).where("scope = 'all'")
+            removed = hashes.join(voided.select("file"), "file", "left_semi").agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0]
         meta.next_chunk_id = max(meta.next_chunk_id, old.next_chunk_id)
         self._count(meta, [*old.layers, layer], removed, old.chunks_stored)
         self._publish(meta, [*old.layers, layer])
@@ -196,6 +199,11 @@ class VersionedStore:
         if not parts:
             return None
         newest = len(layers) - 1
+        if not any(self._exists(f"layers/{name}/touched") for name, _ in layers[1:]):  # nothing is voided
+            out = parts[0][1]
+            for _, df in parts[1:]:
+                out = out.union(df)
+            return out
         older = [df.withColumn("_layer", F.lit(k)) for k, df in parts if k < newest]
         out = next((df for k, df in parts if k == newest), None)
         if older:

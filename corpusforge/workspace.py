@@ -98,15 +98,15 @@ class Workspace:
         known, calls = self._table("file_hashes"), self._table("call_data")
         if renew:
             known, calls = known.limit(0), calls.limit(0)
-        listed = files.discover(self.spark, self.root, self.extensions, self.names, self.exclude, self.ignore_lines or files.ignore_file(self.root)).select("file", "size", "mtime_ms")
-        if only is not None:
-            listed = listed.where(F.col("file").isin(only))
-            gone = known.where(F.col("file").isin(only)).join(listed.select("file"), "file", "left_anti").select("file")
-        else:
-            gone = indexing.prune_deleted(known, listed).select("file")
-        without_calls = indexing.missing_call_data(known, calls, listed).withColumn("again", F.lit(True))
-        changes = indexing.detect_changes(listed, known, now_ms, force).join(without_calls, "file", "left")
+        found = files.discover(self.spark, self.root, self.extensions, self.names, self.exclude, self.ignore_lines or files.ignore_file(self.root)).select("file", "size", "mtime_ms")
         with Scratch(self.spark) as scope:
+            listed = scope.write(found if only is None else found.where(F.col("file").isin(only)), "listed")
+            if only is not None:
+                gone = known.where(F.col("file").isin(only)).join(listed.select("file"), "file", "left_anti").select("file")
+            else:
+                gone = indexing.prune_deleted(known, listed).select("file")
+            without_calls = indexing.missing_call_data(known, calls, listed).withColumn("again", F.lit(True))
+            changes = indexing.detect_changes(listed, known, now_ms, force).join(without_calls, "file", "left")
             todo = scope.write(changes.where(~F.col("unchanged") | F.col("again")), "todo")
             gone = scope.write(gone, "gone")
             n_files, n_gone = listed.count(), gone.count()
@@ -127,8 +127,9 @@ class Workspace:
     def _commit(self, todo: DataFrame, gone: DataFrame, base: bool, n_files: int, now_ms: int, n_todo: int) -> None:
         """Read, chunk and embed the files of ``todo`` and commit those that came through."""
         with owning(self.spark), Scratch(self.spark) as scope:
-            wanted = todo.select("file", "expected_hash", "again", F.col("mtime_ms").alias("found_ms"))
-            looked = scope.write(files.read_files(todo.select("file").repartition(max(1, -(-n_todo // FILES_A_TASK)))).join(wanted, "file").withColumn("mtime_ms", F.col("found_ms")).drop("found_ms"), "looked")
+            wanted = todo.select("file", "expected_hash", "again", F.col("mtime_ms").alias("found_ms")).repartition(max(1, -(-n_todo // FILES_A_TASK)))
+            read_ = files.read_files(wanted, keep=("expected_hash", "again", "found_ms"))
+            looked = scope.write(read_.withColumn("mtime_ms", F.col("found_ms")).drop("found_ms"), "looked")
             read = looked.where("status = ''")
             fresh = read.where(~F.col("content_hash").eqNullSafe(F.col("expected_hash")) | F.col("again"))
             made = chunking.chunk_files(fresh.select("file", "content"))
@@ -140,23 +141,26 @@ class Workspace:
             unread = looked.where("status <> ''").select(F.lit("read").alias("stage"), F.col("file").alias("scope"), F.lit(0).alias("at"), F.col("status").alias("message"))
             self.errors = (self.errors + [r.asDict() for r in unread.union(indexing.error_list(made, "embed", "file", "chunk_no")).orderBy("scope", "at").limit(MOST_ERRORS).collect()])[:MOST_ERRORS]
             totals = fresh.select("file").join(made.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("total"))
-            done = scope.write(indexing.commit_guard(made, totals), "done")
+            done = scope.write(indexing.commit_guard(made, totals), "done")  # FILES_A_BATCH rows about, so they are broadcast where texts are
             before = self.store.meta()
             first_id = 0 if base or before is None else before.next_chunk_id
-            numbered = indexing.dense_index(made.join(done.select("file"), "file", "left_semi").withColumn("place", F.struct("file", "chunk_no")), "place", "n")
+            # Gapless: a file's chunks follow those of the files before it, so a sum over files numbers them.
+            starts = indexing.running_total(done, "file", "total", "upto").select("file", (F.col("upto") - F.col("total") + first_id).alias("start"))
+            numbered = made.join(F.broadcast(starts), "file").withColumn("chunk_id", F.col("start") + F.col("chunk_no"))
             same = read.where(F.col("content_hash").eqNullSafe(F.col("expected_hash")) & F.col("again").isNull())
             kept = same.join(self._table("file_hashes").select("file", "chunks"), "file", "left").select("file", "chunks")
             hashes = read.select("file", F.col("content_hash").alias("hash"), "mtime_ms", "size").join(done.select("file", F.col("total").alias("chunks")).union(kept), "file")
             tables = {
-                "chunks": numbered.select((F.col("n") + first_id).alias("chunk_id"), "file", "start_line", "end_line", F.col("text").alias("content"), "vector"),
+                "chunks": numbered.select("chunk_id", "file", "start_line", "end_line", F.col("text").alias("content"), "vector"),
                 "file_hashes": hashes,
-                "call_data": fresh.join(done.select("file"), "file", "left_semi").select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"),
+                "call_data": fresh.join(F.broadcast(done.select("file")), "file", "left_semi").select("file", code.call_data("content", "file").alias("c")).select("file", "c.definitions", "c.calls"),
             }
             meta = stores.StoreMeta(model=self.model, dimension=self.dimension, workspace=self.root, last_save_time=time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now_ms / 1000)), files_indexed=n_files)
             if base:
                 self.store.save(meta, **tables)
             else:
-                self.store.apply(meta, done.select("file").union(gone), same.select("file"), **tables)
+                older = looked.where("expected_hash is not null").select("file")  # a new file voids nothing
+                self.store.apply(meta, done.select("file").join(older, "file", "left_semi").union(gone), same.select("file"), **tables)
 
     def _ann_path(self) -> str:
         return f"{self.store.root}/ann"
